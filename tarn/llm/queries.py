@@ -40,10 +40,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.near_dedup import decide
+
+    return decide(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op5_near_dedup": op5_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
