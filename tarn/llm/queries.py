@@ -40,6 +40,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tarn.llm import bpe
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(read(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.decode(ids, ranks, pattern).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.near_dedup import decide
 
@@ -50,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
 }
 
