@@ -61,12 +61,21 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import language
+
+    docs = read(spark, sf_dir, "documents")
+    tagged = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return tagged.select("doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
+    "op9_language_spans": op9_language_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
