@@ -25,6 +25,8 @@ RID, DIGEST, POINTS, VARIANT, SALT = "__tarn_rid", "__tarn_digest", "__tarn_poin
 KEY = [DIGEST, VARIANT]
 #: A digest is hot when it holds over 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE of them.
 HOT_SHARE, HOT_LEAST, SALT_ROWS = 1000, 512, 256
+#: Digests that a run file's Bloom filter is sized for; without it every file carries a filter of full size.
+FILTER_KEYS = 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -52,6 +54,7 @@ class DigestIndex:
         (
             entries.sortWithinPartitions(*split, *KEY)
             .write.option(f"parquet.bloom.filter.enabled#{DIGEST}", "true")
+            .option(f"parquet.bloom.filter.expected.ndv#{DIGEST}", str(FILTER_KEYS))
             .partitionBy(*split)
             .parquet(path)
         )
