@@ -61,6 +61,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.importance import resample
+
+    found = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
+
+
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import language
 
@@ -69,13 +76,22 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.quality import COUNTS, judge
+
+    found = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "mean_ratio")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
+    "op6_importance_resampling": op6_importance_resampling,
     "op9_language_spans": op9_language_spans,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {

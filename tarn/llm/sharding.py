@@ -48,19 +48,19 @@ def _edge(level: int, prefix: tuple[int, ...], digit: int) -> tuple[int, int]:
     return prefix[0], ((head << DIGIT) + digit) << (48 - DIGIT * (level - 5))
 
 
-def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float = 0.002) -> list[tuple[int, int]]:
-    """Splitters over ``keyed`` (k1, k2, size): a row belongs to the shard numbered by how many splitters its key reaches.
+def find_splitters(keyed: DataFrame, shares: list[float], slack: float = 0.0) -> list[tuple[int, int]]:
+    """Splitters over ``keyed`` (k1, k2, size): below the i-th lie about ``shares[i]`` of all bytes.
 
-    A splitter is settled when the bytes below it are within ``tolerance`` of a
-    mean shard from its target, or when one row alone lies between two probes.
+    A splitter is settled when the bytes below it are within ``slack`` (a share
+    of all bytes) of its target, or when one row alone lies between two probes.
     """
     level0 = keyed.groupBy(_digit(0).alias("d")).agg(F.sum(SIZE).alias("b"), F.count("*").alias("n")).collect()
     total = sum(r.b for r in level0)
-    if not total or n_shards < 2:
+    if not total:
         return []
-    slack = tolerance * total / n_shards
+    slack *= total
     settled: dict[int, tuple[int, int]] = {}
-    brackets: dict[int, tuple[tuple[int, ...], float]] = {i: ((), 0) for i in range(1, n_shards)}
+    brackets: dict[int, tuple[tuple[int, ...], float]] = {i: ((), 0) for i in range(len(shares))}
     counts = {(): {r.d: (r.b, r.n) for r in level0}}
     for level in range(LEVELS):
         if level:
@@ -83,7 +83,7 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float = 0.002) ->
                 counts.setdefault(tuple(r[n] for n in names), {})[r.d] = (r.b, r.n)
         opened = {}
         for i, (prefix, below) in brackets.items():
-            target, at = total * i / n_shards, below
+            target, at = total * shares[i], below
             for digit in sorted(counts[prefix]):
                 size, n = counts[prefix][digit]
                 if at + size < target:
@@ -107,14 +107,14 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float = 0.002) ->
     return [settled[i] for i in sorted(settled)]
 
 
-def _shard(splitters: list[tuple[int, int]], low: int, high: int) -> Column:
+def shard_of(splitters: list[tuple[int, int]], low: int, high: int) -> Column:
     """How many splitters a row's key reaches: a balanced tree of comparisons, inside generated code."""
     if low == high:
         return F.lit(low)
     mid = (low + high) // 2
     k1, k2 = splitters[mid]
     below = F.col(K1) < F.lit(k1) if not k2 else (F.col(K1) < F.lit(k1)) | ((F.col(K1) == F.lit(k1)) & (F.col(K2) < F.lit(k2)))
-    return F.when(below, _shard(splitters, low, mid)).otherwise(_shard(splitters, mid + 1, high))
+    return F.when(below, shard_of(splitters, low, mid)).otherwise(shard_of(splitters, mid + 1, high))
 
 
 def histogram_shards(
@@ -142,8 +142,8 @@ def histogram_shards(
     at = hash60(F.monotonically_increasing_id(), F.lit(n_shards))
     whole = df.select(*[F.col(c) for c in keep], size.alias("size"), hash60(*[F.col(c) for c in keys]).alias(K1), at.alias(K2))
     keyed = materialize(whole.select(K1, K2, F.col("size").alias(SIZE)), "shard-keys")
-    splitters = find_splitters(keyed, n_shards, tolerance)
-    shard = _shard(splitters, 0, len(splitters))
+    splitters = find_splitters(keyed, [i / n_shards for i in range(1, n_shards)], tolerance / n_shards)
+    shard = shard_of(splitters, 0, len(splitters))
 
     bits = max(8, math.ceil(math.log2(max(1, keyed.count() / rows_per_bin))))
     bin_ = F.shiftright(F.col(K1), 60 - min(bits, 40))
