@@ -68,6 +68,23 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm import secrets
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(secrets.spelled(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import language
 
@@ -90,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
     "op6_importance_resampling": op6_importance_resampling,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_spans": op9_language_spans,
     "op10_quality_rules": op10_quality_rules,
 }
