@@ -68,6 +68,13 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_ngrams", "log_weight", "gumbel_key", "kept")
 
 
+def op7_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.html_main import main_text
+
+    found = main_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import secrets
 
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dedup": op5_near_dedup,
     "op6_importance_resampling": op6_importance_resampling,
+    "op7_wrapper_main_text": op7_wrapper_main_text,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_spans": op9_language_spans,
     "op10_quality_rules": op10_quality_rules,
