@@ -1,4 +1,10 @@
-"""The registered queries of the engine proper."""
+"""The registered queries of the engine proper, with their SQL."""
 
+from tarn.plans import q_search
+
+MODULES = [q_search]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
