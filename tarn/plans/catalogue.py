@@ -1,8 +1,8 @@
 """The registered queries of the engine proper, with their SQL."""
 
-from tarn.plans import q_search
+from tarn.plans import q_logs, q_search, q_tables
 
-MODULES = [q_search]
+MODULES = [q_search, q_tables, q_logs]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:
