@@ -1,8 +1,8 @@
 """The registered queries of the engine proper, with their SQL."""
 
-from tarn.plans import q_logs, q_search, q_tables
+from tarn.plans import q_logs, q_search, q_tables, q_text
 
-MODULES = [q_search, q_tables, q_logs]
+MODULES = [q_search, q_tables, q_logs, q_text]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:
