@@ -37,7 +37,7 @@ from tarn.session import materialize
 BANDS, ROWS = 28, 4
 SHINGLE = 4
 #: Members a block holds: of those that are compared, and of those compared with.
-BLOCK_A, BLOCK_B = 128, 1024
+BLOCK_A, BLOCK_B = 512, 1024
 HOT_SHARE, HOT_LEAST, SALT_ROWS = 1000, 512, 256
 
 
