@@ -33,6 +33,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 MARGIN = 10.0
 SAMPLE_DOCS = 4000
 GENERATED = 3000
+#: The weight of single characters beside a context's own counts.
+BACK_OFF = 4.0
 _ASSIGN, _ACCESS, _HEX, _CANDIDATE = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS), re.compile(HEX), re.compile(CANDIDATE)
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9+/_=-]{3,}")
 
@@ -103,9 +105,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs
     counts[found["side"], found["pair"]] = found["n"]
     for key in generated_keys():
         counts[0] += np.bincount(_steps(key), minlength=_SIGNS * _SIGNS)
-    counts = counts.reshape(2, _SIGNS, _SIGNS) + 0.5
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return (logs[0] - logs[1]).ravel()
+    counts = counts.reshape(2, _SIGNS, _SIGNS)
+    single = counts.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    # a pair seen seldom is as likely as its second character alone
+    pairs = (counts + BACK_OFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
+    return (np.log(pairs[0]) - np.log(pairs[1])).ravel()
 
 
 def all_spans(text: str, ratios: np.ndarray, margin: float = MARGIN) -> list[tuple[str, int, int]]:
