@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _number(text: Column, digits: Column) -> Column:
+    comma, stop = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
+    plain = (
+        F.when(comma & stop & (F.locate(",", F.reverse(digits)) < F.locate(".", F.reverse(digits))), F.translate(digits, ",.", "."))
+        .when(comma & stop, F.translate(digits, ",", ""))
+        .when(comma & digits.rlike("^[^,]+,[^,]{3}$"), F.translate(digits, ",", ""))
+        .when(comma, F.translate(digits, ",", "."))
+        .when(stop & digits.rlike(r"^[^.]*(?:[.][^.]{3})+$"), F.translate(digits, ".", ""))
+        .otherwise(digits)
+    )
+    sign = F.when((F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.startswith(text, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+    refused = (
+        ~digits.rlike("[0-9]")
+        | text.rlike(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}")
+        | F.regexp_replace(text, r"(?i)\b(rp|idr|usd)\b", "").rlike("[A-Za-z]")
+    )
+    return F.when(~refused, plain.try_cast("double") * sign)
+
+
 def parse_number(value: Column) -> Column:
     """The number that a cell holds, or null: dates, codes and prose are not numbers.
 
     The last of ``,`` and ``.`` is the decimal sign if both occur. One comma
     before three digits, or full stops before groups of three, group thousands.
     """
-    text = F.trim(F.coalesce(value, F.lit("")))
-    bare = F.regexp_replace(text, r"(?i)\b(rp|idr|usd)\b", "")
-    digits = F.regexp_replace(text, "[^0-9.,]", "")
-    comma, stop = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
-    no_commas, no_stops = F.regexp_replace(digits, ",", ""), F.regexp_replace(digits, "[.]", "")
-    plain = (
-        F.when(comma & stop & (F.locate(",", F.reverse(digits)) < F.locate(".", F.reverse(digits))), F.regexp_replace(no_stops, ",", "."))
-        .when(comma & stop, no_commas)
-        .when(comma & digits.rlike("^[^,]+,[^,]{3}$"), no_commas)
-        .when(comma, F.regexp_replace(digits, ",", "."))
-        .when(stop & digits.rlike(r"^[^.]*(?:[.][^.]{3})+$"), no_stops)
-        .otherwise(digits)
-    )
-    number = plain.try_cast("double")
-    negative = (F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))) | F.startswith(text, F.lit("-"))
-    refused = (text == "") | text.rlike(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}") | bare.rlike("[A-Za-z]") | ~digits.rlike("[0-9]")
-    return F.when(~refused, F.when(negative, -number).otherwise(number))
+    return let(F.trim(F.coalesce(value, F.lit(""))), lambda text: let(F.regexp_replace(text, "[^0-9.,]", ""), lambda digits: _number(text, digits)))
 
 
 def is_numeric_cell(value: Column) -> Column:
     """Whether a cell holds a number, its unit aside."""
     bare = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)\b(rp|idr|usd|rp\.|ribu|juta|kg|pcs|unit|%)\b", "")
-    bare = F.trim(F.regexp_replace(bare, "[$%]", ""))
-    return (bare != "") & ~bare.rlike("[A-Za-z]") & parse_number(bare).isNotNull()
+    return let(F.trim(F.translate(bare, "$%", "")), lambda b: (b != "") & ~b.rlike("[A-Za-z]") & parse_number(b).isNotNull())
 
 
 def numeric_ratio(value: Column) -> Column:

@@ -91,8 +91,7 @@ def surface_tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """Surface tokens that carry meaning, in order."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(surface_tokens(text), lambda t: ~F.array_contains(stop, t) & ((F.length(t) >= 2) | t.rlike(r"^\p{Nd}+$")))
+    return F.filter(surface_tokens(text), lambda t: ~t.isin(STOPWORDS) & ((F.length(t) >= 2) | t.rlike(r"^\p{Nd}+$")))
 
 
 def clean_text(text: Column) -> Column:
