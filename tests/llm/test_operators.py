@@ -282,6 +282,13 @@ def test_language_and_spans(spark, empty):
     assert language.keep_known(docs).columns == docs.columns
 
 
+def test_keeping_known_languages_takes_odd_rows(docs):
+    kept = language.keep_known(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("text IS NULL OR trim(text) = ''").count() == 0
+    assert kept.count() == docs.where(r"text RLIKE '\\p{L}'").count()
+
+
 def test_viterbi_equals_search():
     import itertools
 
