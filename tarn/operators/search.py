@@ -33,6 +33,11 @@ def bm25_term(tf: Column, dl: Column, avgdl: Column, idf_: Column) -> Column:
     return idf_ * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def place_of(score: Column) -> Column:
+    """What scores are ranked by: equal texts must tie, whatever the order in which their terms were added up."""
+    return F.round(score, 9)
+
+
 def _equals(word: str):
     return lambda token: token == F.lit(word)
 
@@ -58,7 +63,7 @@ def bm25_scan(docs: DataFrame, key: str, tokens: str, terms: list[str], top_k: i
         for i in range(len(terms))
     ]
     scored = joined.select(key, reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(top_k) if top_k else scored
+    return scored.orderBy(place_of(F.col("score")).desc(), key).limit(top_k) if top_k else scored
 
 
 def postings(docs: DataFrame, keys: list[str], tokens: str) -> DataFrame:
@@ -77,7 +82,7 @@ def bm25_index(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str,
     hits = index.join(asked, "term")
     part = bm25_term(F.col("tf"), F.col("dl"), F.col("total") / F.col("n"), F.col("idf"))
     scores = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("score")).desc(), key))
     return scores.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
@@ -94,7 +99,7 @@ def dense_search(vectors: DataFrame, key: str, vector: str, query: DataFrame, to
 
 def ranked(hits: DataFrame, key: str, score: str = "score", rank: str = "rank") -> DataFrame:
     """Ranks from 0. For lists that a limit has cut already."""
-    return hits.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
+    return hits.withColumn(rank, F.row_number().over(Window.orderBy(place_of(F.col(score)).desc(), key)) - 1)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, key: str, k: int = RRF_K, dense_weight: float = 1.0) -> DataFrame:

@@ -85,7 +85,7 @@ def jobs_without_index(spark, d):
 
 
 def kb_catalogue(spark, d):
-    return catalog.knowledge_bases(_jobs(spark, d), _chunks(spark, d))
+    return catalog.knowledge_bases(_jobs(spark, d), _chunks(spark, d)).withColumn("updated_at", F.coalesce("updated_at", F.lit(0)))
 
 
 def replace_document(spark, d):
@@ -240,7 +240,7 @@ f AS (SELECT DISTINCT dst AS url FROM e JOIN s ON e.src = s.url WHERE src <> dst
     "jobs_without_index": C + "SELECT document_id, chunks FROM n WHERE document_id % 11 = 0",
     "kb_catalogue": C + """, a AS (SELECT organization_id, knowledge_base_id, count(*) AS jd, sum(tokens)::BIGINT AS tokens, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, max(updated_at) AS updated_at FROM j WHERE status <> 'deleted' GROUP BY ALL),
 b AS (SELECT organization_id, knowledge_base_id, count(*) AS sd, sum(chunks)::BIGINT AS sc FROM n GROUP BY ALL)
-SELECT b.organization_id, b.knowledge_base_id, greatest(coalesce(jd, 0), sd) AS documents, sc AS chunks, coalesce(tokens, 0) AS tokens, CASE WHEN coalesce(completed, 0) + coalesce(failed, 0) = 0 THEN sd ELSE completed END AS completed, 0::BIGINT AS processing, coalesce(failed, 0) AS failed, updated_at
+SELECT b.organization_id, b.knowledge_base_id, greatest(coalesce(jd, 0), sd) AS documents, sc AS chunks, coalesce(tokens, 0) AS tokens, CASE WHEN coalesce(completed, 0) + coalesce(failed, 0) = 0 THEN sd ELSE completed END AS completed, 0::BIGINT AS processing, coalesce(failed, 0) AS failed, coalesce(updated_at, 0) AS updated_at
 FROM b LEFT JOIN a USING (organization_id, knowledge_base_id)""",
     "replace_document": C + "SELECT document_id, count(*) AS n, max(md5(CASE WHEN document_id % 50 = 0 THEN upper(content) ELSE content END)) AS digest FROM ch WHERE document_id % 50 <> 0 OR chunk_index = 0 GROUP BY 1",
     "delete_document": C + "SELECT organization_id, count(*) AS n FROM ch WHERE document_id % 3 <> 0 GROUP BY 1",

@@ -65,7 +65,7 @@ g AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
 h AS (SELECT q.query_id, p.doc_id, sum(ln(1 + (s.n - g.df + 0.5) / (g.df + 0.5)) * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / (s.total / s.n)))) AS score
       FROM q JOIN p USING (term) JOIN g USING (term), s GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h)
 """
 
 
@@ -159,9 +159,9 @@ def token_estimates(spark, d):
 
 DENSE = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 LISTS = BM25.rstrip() + f""",
-dn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM
+dn AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM
   (SELECT e.vec_id AS doc_id, {DENSE} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, doc_id LIMIT 50)),
-sp AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 50)),
+sp AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, score FROM h ORDER BY round(score, 9) DESC, doc_id LIMIT 50)),
 fu AS (SELECT coalesce(dn.doc_id, sp.doc_id) AS doc_id, coalesce(0.25::DOUBLE * (1.0::DOUBLE / (60 + dn.rank + 1)), 0.0) + coalesce(1.0::DOUBLE / (60 + sp.rank + 1), 0.0) AS raw
        FROM dn FULL JOIN sp ON dn.doc_id = sp.doc_id),
 fs AS (SELECT doc_id, raw / (SELECT max(raw) FROM fu) AS score FROM fu),
@@ -178,7 +178,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL = {
-    "bm25_search": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 20",
+    "bm25_search": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h ORDER BY round(h.score, 9) DESC, doc_id LIMIT 20",
     "bm25_document_filter_keeps_idf": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h WHERE lang = 'en' AND source <> 'src3'",
     "bm25_scope_stats": r"""SELECT source, lang, count(*) AS n, sum(dl)::BIGINT AS total_len, round(avg(dl), 6) AS avgdl
 FROM (SELECT source, lang, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS dl FROM documents) GROUP BY ALL""",
@@ -202,8 +202,8 @@ SELECT n.doc_id, round(CASE WHEN v.semantic IS NULL THEN n.lexical ELSE round(0.
 FROM n LEFT JOIN v USING (doc_id)""",
     "relative_threshold": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h WHERE score >= 0.35::DOUBLE * (SELECT max(score) FROM h)",
     "relevance_gate": BM25 + "SELECT round(max(score), 6) AS best_score, max(score) >= 0.28 AS relevant, CASE WHEN max(score) >= 0.28 THEN 'lexical' ELSE 'below_min_relevance' END AS gate FROM h",
-    "noop_rerank": BM25 + """SELECT doc_id, round(1 - (row_number() OVER (ORDER BY score DESC, doc_id) - 1) / 20.0::DOUBLE, 6) AS score FROM
-(SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 20)""",
+    "noop_rerank": BM25 + """SELECT doc_id, round(1 - (row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1) / 20.0::DOUBLE, 6) AS score FROM
+(SELECT doc_id, score FROM h ORDER BY round(score, 9) DESC, doc_id LIMIT 20)""",
     "fingerprint_dedupe": f"SELECT md5(fp) AS fp, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {FP} AS fp FROM documents) GROUP BY ALL",
     "token_estimates": r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, ceil(greatest(len(regexp_extract_all(text, '[^\s\x1c-\x1f\x{85}\x{a0}]+')) * 1.34::DOUBLE, length(text) / 6.0::DOUBLE)))::INT END AS tokens FROM documents""",
 }

@@ -5,6 +5,7 @@ import os
 import zipfile
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,8 @@ def duck():
 def plain(v):
     if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0):
         return tuple(plain(x) for x in v)
+    if v is None or v is pd.NA:
+        return None
     v = v.item() if hasattr(v, "item") else v
     if isinstance(v, float):
         return None if v != v else round(v, 6)
