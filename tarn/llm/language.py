@@ -76,7 +76,7 @@ def _find_words(texts: list[str]) -> Words:
     letter, script = _tables()
     lower = [t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
     code = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    is_letter = letter[np.minimum(code, 0x1FFFF)] | (code > 0x1FFFF)
+    is_letter = letter[np.minimum(code, 0x1FFFF)] | ((code > 0x1FFFF) & (code < 0x40000))  # ideographs beyond
     at = np.flatnonzero(is_letter)
     masked = np.where(is_letter, code, np.uint32(0))
     before = np.concatenate([[np.uint32(0)], masked[:-1]])[at]
@@ -228,7 +228,8 @@ def _label(model: Model | None, texts: list[str]) -> list[tuple]:
             own = scores[at : at + n]
             path = model.path(own)
             length = words.length[at : at + n]
-            mass = np.bincount(path, weights=length, minlength=len(model.langs))
+            told = model.scripts[words.script[at : at + n]].any(axis=1)
+            mass = np.bincount(path, weights=length * told, minlength=len(model.langs))
             best = int(mass.argmax())
             total = np.sort(own.sum(axis=0))
             sure = 1.0 / (1.0 + np.exp(-min(50.0, float(total[-1] - total[-2])))) if len(total) > 1 else 1.0
@@ -237,7 +238,7 @@ def _label(model: Model | None, texts: list[str]) -> list[tuple]:
             end = start + length
             last = np.append(cut[1:], n) - 1
             spans = [{"start": int(start[a]), "end": int(end[b]), "lang": model.langs[path[a]]} for a, b in zip(cut, last, strict=True)]
-            out.append((model.langs[best], float(mass[best] / mass.sum() * sure), spans))
+            out.append((model.langs[best], float(mass[best] / length.sum() * sure), spans))
         at += n
         offset += len(text) + 1
     return out
@@ -249,7 +250,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     ``lang_pred`` labels most letters; ``score`` is its share of them times the
     probability of the best language against the next.  A null text, or one
     without letters, is ``und`` with score 0, as is every text where nothing
-    could be learnt.  Words in a script that no language uses count for none.
+    could be learnt.  Letters in a script that no language uses lower the score.
     Input columns named like an output are replaced.
     """
     from pyspark.sql.functions import pandas_udf

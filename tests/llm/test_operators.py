@@ -277,7 +277,7 @@ def test_language_and_spans(spark, empty):
     found = {r.doc_id: r for r in language.identify(odd, model).collect()}
     assert [s.lang for s in found[1].spans] == ["aa", "bb", "ru"] and found[1].lang_pred == "bb"
     assert "".join(mixed[s.start : s.end].strip() + " " for s in found[1].spans).split() == mixed.split()
-    assert [found[i].lang_pred for i in (2, 3, 5)] == ["und"] * 3 and found[4].lang_pred in model.langs
+    assert [found[i].lang_pred for i in (2, 3, 5)] == ["und"] * 3 and found[4].lang_pred in model.langs and found[4].score == 0
     assert language.train(empty) is None and language.identify(odd, None).where("lang_pred <> 'und'").count() == 0
     assert language.keep_known(docs).columns == docs.columns
 
