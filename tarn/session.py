@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, so that they need no installation of their own."""
+    context, root = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    _SHIPPED.add(context.applicationId)
+    packed = Path(tempfile.mkdtemp(prefix="tarn-package-")) / "tarn-package.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(packed))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (see the module docstring)."""
     context = spark.sparkContext
@@ -47,6 +65,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, the rows survive executors."""
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
