@@ -270,8 +270,11 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     return found.select(*keep, "__tarn_found.lang_pred", "__tarn_found.score", "__tarn_found.spans")
 
 
-def keep_known(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """``df`` without rows whose language is undetermined or surer by less than ``least``; columns unchanged."""
+def keep_known(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2) -> DataFrame:
+    """``df`` without rows whose language is undetermined or has a score under ``least``; columns unchanged.
+
+    Texts in two or three languages stay: the least score is below the share that the main one has in them.
+    """
     model = train(df, id_col, text, lang)
     tagged = identify(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(df.columns)], F.col(text).alias("__tarn_text")), model, "__tarn_text")
     kept = tagged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
