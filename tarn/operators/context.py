@@ -25,12 +25,13 @@ def neighbours(hits: DataFrame, chunks: DataFrame, n: int, document: str = "docu
     return chunks.join(near, [document, index])
 
 
-def ordered(rows: DataFrame, rank: str = "rank", document: str = "document_id", place: str = "document_order", summary: str = "is_summary") -> DataFrame:
-    """Adds ``position``: summaries first, then documents by their best rank, each in its own order."""
+def ordered(rows: DataFrame, rank: str = "rank", document: str = "document_id", place: str = "document_order", summary: str = "is_summary", query: str | None = None) -> DataFrame:
+    """Adds ``position``: summaries first, then documents by their best rank, each in its own order; within each ``query``, if one is named."""
     flag = F.coalesce(F.col(summary), F.lit(False))
-    first = F.min(F.when(~flag, F.col(rank))).over(Window.partitionBy(document))
+    per = [query] if query else []
+    first = F.min(F.when(~flag, F.col(rank))).over(Window.partitionBy(*per, document))
     keyed = rows.withColumn("__first", F.when(flag, F.col(rank)).otherwise(first)).withColumn("__flag", flag)
-    order = Window.orderBy(F.desc("__flag"), "__first", F.when(F.col("__flag"), F.lit(0)).otherwise(F.col(place)), rank)
+    order = Window.partitionBy(*per).orderBy(F.desc("__flag"), "__first", F.when(F.col("__flag"), F.lit(0)).otherwise(F.col(place)), rank)
     return keyed.withColumn("position", F.row_number().over(order)).drop("__first", "__flag")
 
 

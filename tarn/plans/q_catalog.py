@@ -137,11 +137,15 @@ def document_coverage(spark, d):
     return context.coverage(included, chunks)
 
 
-def _candidates(spark, d):
-    rows = _chunks(spark, d).where("document_id < 40 AND chunk_index < 3").withColumn("rank", F.pmod(F.col("document_id") * 31 + F.col("chunk_index") * 17, F.lit(101)) * 1000 + F.col("document_id") * 10 + F.col("chunk_index"))
+def _ranked(chunks):
+    rows = chunks.withColumn("rank", F.pmod(F.col("document_id") * 31 + F.col("chunk_index") * 17, F.lit(101)) * 1000 + F.col("document_id") * 10 + F.col("chunk_index"))
     return rows.withColumn("document_order", F.col("chunk_index"))
 
 
+def _candidates(spark, d):
+    return _ranked(_chunks(spark, d).where("document_id < 40 AND chunk_index < 3"))
+
+
 def context_order(spark, d):
     return context.ordered(_candidates(spark, d)).select("position", "document_id", "chunk_id")
 
@@ -153,8 +157,10 @@ def context_union(spark, d):
 
 
 def context_pack(spark, d):
-    rows = context.ordered(_candidates(spark, d)).withColumn("tokens", text.estimate_tokens(F.col("content")))
-    made = rows.select(F.lit(1).cast("long").alias("query_id"), F.concat_ws("::", F.col("document_id").cast("string"), "chunk_id").alias("key"), "tokens", F.coalesce("is_summary", F.lit(False)).alias("is_summary"), "position")
+    """All chunks of all documents: each forty documents in a row are the candidates of one query."""
+    asked = _ranked(_chunks(spark, d)).withColumn("query_id", F.floor(F.col("document_id") / 40).cast("long"))
+    rows = context.ordered(asked, query="query_id").withColumn("tokens", text.estimate_tokens(F.col("content")))
+    made = rows.select("query_id", F.concat_ws("::", F.col("document_id").cast("string"), "chunk_id").alias("key"), "tokens", F.coalesce("is_summary", F.lit(False)).alias("is_summary"), "position")
     return context.pack_contexts(made, 600, 12)
 
 
