@@ -185,8 +185,8 @@ def eval_recall_precision_mrr(spark, d):
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")))
     docs = spark.read.parquet(f"{d}/documents.parquet")
     items = spark.read.parquet(f"{d}/benchmark.parquet")
-    # an item's documents are those that hold the first 40 characters of its text
-    expected = docs.join(F.broadcast(items), F.contains(docs["text"], F.substring(items["text"], 1, 40))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+    # an item's documents are those that hold its whole text
+    expected = docs.join(F.broadcast(items), F.contains(docs["text"], items["text"])).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
     return evaluate.summary(evaluate.per_query(ranked, expected, 5))
 
 

@@ -47,7 +47,7 @@ def foreign_tokens(spark, d):
 
 
 def strip_foreign(spark, d):
-    made = F.concat(F.lit("final ，"), F.lit("完整 , ok "), F.substring("text", 1, 40))
+    made = F.concat(F.lit("final ，"), F.lit("完整 , ok "), F.col("text"))
     return _docs(spark, d).select("doc_id", text.strip_foreign(made, text.foreign_chars(made)).alias("clean"))
 
 
@@ -106,7 +106,7 @@ def intent_flags(spark, d):
 def follow_up_query(spark, d):
     from pyspark.sql import Window
 
-    c = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").withColumn("q", F.substring("text", 1, 20))
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").withColumn("q", F.col("text"))
     before = F.lag("q").over(Window.partitionBy("conv_id").orderBy("turn"))
     return c.withColumn("p", before).select("conv_id", "turn", F.md5(routing.retrieval_query(F.col("q"), F.col("p"))).alias("digest"), F.col("p").isNotNull().alias("has_previous"))
 

@@ -1,5 +1,6 @@
 """Queries take all rows and whole texts of their tables; each case here lies outside of what a cut would leave."""
 
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -40,3 +41,20 @@ def test_context_pack_takes_all_chunks_of_all_documents(spark, tables):
                     parts.append(((0, (i * 31 - 17) % 101 * 1000 + i * 10 - 1, 0), f"{i}::chunk_summary", max(1, -(-max(len(body[:50].split()) * 134, 50 * 100 / 6) // 100)), True))
         want[q] = dict(enumerate(context.pack([p[1:] for p in sorted(parts)], 600, 12), 1))
     assert dict(got) == want
+
+
+def test_text_queries_take_whole_texts(spark, tables):
+    long = "plain words before what matters, " * 3
+    turns = [(1, 0, "user", long + "first"), (1, 1, "user", "berapa " + "x" * 30), (2, 0, "user", long + "other"), (2, 1, "user", " ".join(f"kata{i}" for i in range(30)))]
+    items = [(1, long + "one"), (2, long + "two")]
+    docs = [(1, f"{long}one 完 end", "en", "s", 0), (2, f"{long}two перевод end", "en", "s", 0), (3, f"{long}three", "en", "s", 0)]
+    d = tables(documents=(docs, DOCS), conversations=(turns, "conv_id long, turn long, role string, text string"), benchmark=(items, "item_id long, text string"))
+    clean = {r.doc_id: r.clean for r in catalogue.QUERIES["strip_foreign"](spark, d).collect()}
+    assert all("three" in clean[i] if i == 3 else "end" in clean[i] for i in clean)
+    assert not any(c in "".join(clean.values()) for c in "完перевод")
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    asked = {(r.conv_id, r.turn): r.digest for r in catalogue.QUERIES["follow_up_query"](spark, d).collect()}
+    assert asked == {(1, 0): digest(turns[0][3]), (1, 1): digest(turns[0][3] + "\n" + turns[1][3]), (2, 0): digest(turns[2][3]), (2, 1): digest(turns[3][3])}
+    found = catalogue.QUERIES["eval_recall_precision_mrr"](spark, d).first()
+    # each item is in one document; three documents share its first characters
+    assert found.queries == 2 and found.precision == pytest.approx(1 / 3, abs=1e-4)
