@@ -7,13 +7,15 @@ texts that differ become slots.  The wrapper shows where a host keeps its main
 text: in its article, or else in the part that holds most of what varies from
 page to page; texts that never vary there are furniture.
 
-Wrappers are learnt from at most ``SAMPLE_PAGES`` pages a host, picked by a hash
-of the address; every page is then read whole.  A page without the place that
-its host's wrapper names, or with a host of its own, is read by its own wrapper.
+Wrappers are learnt from all pages: each task folds its own into one partial
+wrapper a host, and the partial wrappers of a host are aligned in a tree.  Every
+page is then read whole.  A page without the place that its host's wrapper names,
+or with a host of its own, is read by its own wrapper.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -21,12 +23,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._common import carried, small_batches
 
-SAMPLE_PAGES = 12
+#: From this many distinct pages on, a line that never varies inside a host's articles is furniture.
+LEAST_PAGES = 12
+#: Partial wrappers that meet in one group of a tree's level, and hosts that a task holds at once.
+FAN_IN, OPEN_HOSTS = 16, 1000
 #: A part is the main one if it holds this share of its surroundings' text.
 MAIN_SHARE = 0.6
 
@@ -58,6 +64,8 @@ BOUNDS = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "bod
 ENDS_P = BLOCK - {"br", "option", "optgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "legend", "caption", "html", "body"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
+#: Classes that count pages (post-123) are one shape.
+_DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -105,7 +113,7 @@ def parse(page: str) -> Node:
         marks = " ".join(attrs[a] for a in ("class", "id", "role", "itemprop") if attrs.get(a))
         if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
             marks += " hidden"
-        shape = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"@{attrs['role']}" if attrs.get("role") else "")
+        shape = tag + "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(attrs.get("class", "").split())) + (f"@{attrs['role']}" if attrs.get("role") else "")
         node = Node(tag, shape, marks)
         stack[-1].parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag in RAW:
@@ -153,6 +161,11 @@ class Part:
     mass: int = 0
     body: list = field(default_factory=list)
 
+    @property
+    def key(self) -> tuple[str, bool]:
+        """What must agree for parts to meet; one furniture part does not make furniture of others of its shape."""
+        return self.shape, self.furniture
+
 
 def _stream(node: Node, inside_main: bool = False) -> list[Part]:
     """The parts of one page, adjacent parts of one shape folded into repeated groups."""
@@ -168,7 +181,7 @@ def _stream(node: Node, inside_main: bool = False) -> list[Part]:
             furniture = is_furniture(x, inside_main)
             part = Part(x.shape, furniture=furniture, main=main and not furniture, body=[] if furniture else _stream(x, inside_main or main))
             part.mass = 0 if furniture else sum(p.mass for p in part.body)
-        if out and out[-1].shape == part.shape:
+        if out and out[-1].key == part.key:
             last = out[-1]
             if part.shape == "#text":
                 last.value, last.mass = (last.value or "") + " " + part.value, last.mass + part.mass
@@ -186,10 +199,10 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].shape == b[j].shape else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i].shape == b[j].shape:
+        if i < n and j < m and a[i].key == b[j].key:
             x, y = a[i], b[j]
             out.append(
                 Part(
@@ -220,7 +233,7 @@ def _fold(parts: list[Part]) -> list[Part]:
     """Neighbours of one shape, of which alignment left several, as one repeated group."""
     out: list[Part] = []
     for p in parts:
-        if out and p.shape == out[-1].shape != "#text":
+        if out and p.key == out[-1].key and p.shape != "#text":
             q = out[-1]
             q.repeated, q.optional, q.mass, q.seen = True, q.optional and p.optional, q.mass + p.mass, max(q.seen, p.seen)
             q.main, q.body = q.main or p.main, align(q.body, p.body)
@@ -253,7 +266,7 @@ def _main_paths(parts: list[Part], path: tuple[str, ...] = ()) -> list[tuple[str
 
 def _varying(parts: list[Part], pages: int) -> int:
     """Characters that are not the same on every page."""
-    return sum((0 if pages > 2 and p.value is not None and p.seen >= pages else p.mass) if p.shape == "#text" else _varying(p.body, pages) for p in parts if not p.furniture)
+    return sum((0 if pages > 2 and p.value is not None and not p.optional else p.mass) if p.shape == "#text" else _varying(p.body, pages) for p in parts if not p.furniture)
 
 
 def _densest(parts: list[Part], pages: int) -> tuple[str, ...]:
@@ -272,27 +285,64 @@ def _constants(parts: list[Part], pages: int) -> list[str]:
     out = []
     for p in parts:
         if p.shape == "#text":
-            out += [p.value] if p.value is not None and pages > 2 and p.seen >= pages else []
-        elif not p.furniture:
+            out += [p.value] if p.value is not None and pages > 2 and not p.optional else []
+        elif not p.furniture and not p.optional:
             out += _constants(p.body, pages)
     return out
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of a host: its expression, the paths of its main text, and, where no article says so, its constant texts."""
-    wrapper: list[Part] | None = None
-    texts = list(dict.fromkeys(pages))
-    for page in texts:
+@dataclass
+class Partial:
+    """A wrapper of some pages of a host. ``every``, ``articles``: digests of distinct pages, and of those with an article; ``LEAST_PAGES`` say enough."""
+
+    parts: list[Part] | None = None
+    every: set[str] = field(default_factory=set)
+    articles: set[str] = field(default_factory=set)
+
+    def add(self, page: str) -> None:
         stream = _stream(parse(page))
-        wrapper = stream if wrapper is None else align(wrapper, stream)
-    paths = list(dict.fromkeys(_main_paths(wrapper or [])))
-    plain = [] if paths else _constants(wrapper or [], len(texts))
-    return {"paths": [list(p) for p in paths or [_densest(wrapper or [], len(texts))]], "article": bool(paths), "constants": plain, "expression": expression(wrapper or [])}
+        digest = {hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()}
+        self.merge(Partial(stream, digest, digest if _main_paths(stream) else set()))
+
+    def merge(self, other: Partial) -> None:
+        if other.parts is not None:
+            self.parts = other.parts if self.parts is None else align(self.parts, other.parts)
+        self.every = set(sorted(self.every | other.every)[:LEAST_PAGES])
+        self.articles = set(sorted(self.articles | other.articles)[:LEAST_PAGES])
+
+    def dump(self) -> str:
+        pack = lambda parts: [[p.shape, p.value, p.optional, p.repeated, p.furniture, p.main, p.seen, p.mass, pack(p.body)] for p in parts]
+        return json.dumps([None if self.parts is None else pack(self.parts), sorted(self.every), sorted(self.articles)])
+
+    @staticmethod
+    def load(text: str) -> Partial:
+        unpack = lambda rows: [Part(*r[:-1], unpack(r[-1])) for r in rows]
+        parts, every, articles = json.loads(text)
+        return Partial(None if parts is None else unpack(parts), set(every), set(articles))
+
+    def wrapper(self) -> dict:
+        """Its expression, the paths of its main text, and the texts that never vary: everywhere, where no article says what is main, or inside the articles."""
+        parts, pages = self.parts or [], len(self.every)
+        paths = list(dict.fromkeys(_main_paths(parts)))
+        return {
+            "paths": [list(p) for p in paths or [_densest(parts, pages)]],
+            "article": bool(paths),
+            "constants": [] if paths else _constants(parts, pages),
+            "expression": expression(parts),
+        }
+
+
+def infer(pages: list[str]) -> dict:
+    """The wrapper of a host's pages."""
+    found = Partial()
+    for page in dict.fromkeys(pages):
+        found.add(page)
+    return found.wrapper()
 
 
-def _places(node: Node, paths: list[tuple[str, ...]], path: tuple[str, ...] = ()) -> list[Node]:
+def _places(node: Node, paths: list[tuple[str, ...]], path: tuple[str, ...] = ()) -> list[tuple[Node, tuple[str, ...]]]:
     if path in paths:
-        return [node]
+        return [(node, path)]
     out = []
     for x in node.parts:
         if isinstance(x, Node) and any(p[: len(path) + 1] == (*path, x.shape) for p in paths):
@@ -300,19 +350,20 @@ def _places(node: Node, paths: list[tuple[str, ...]], path: tuple[str, ...] = ()
     return out
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
+def _blocks(node: Node, out: list[list[tuple[str, tuple[str, ...]]]], path: tuple[str, ...] = ()) -> None:
+    """Appends each block's texts, each with the path to it."""
     for x in node.parts:
         if isinstance(x, str):
-            out[-1].append(x)
+            out[-1].append((x, path))
         elif is_furniture(x, True):
             if x.tag in BLOCK or x.tag not in ("label", "button", "input", "svg", "math", "script", "style"):
                 out.append([])
         elif x.tag in BLOCK:
             out.append([])
-            _blocks(x, out)
+            _blocks(x, out, (*path, x.shape))
             out.append([])
         else:
-            _blocks(x, out)
+            _blocks(x, out, (*path, x.shape))
 
 
 def extract(page: str, wrapper: dict | None) -> str:
@@ -324,11 +375,11 @@ def extract(page: str, wrapper: dict | None) -> str:
         if own["article"] or not found:
             wrapper = own
             found = _places(root, [tuple(p) for p in own["paths"]])
-    blocks: list[list[str]] = [[]]
-    for node in found:
+    blocks: list[list[tuple[str, tuple[str, ...]]]] = [[]]
+    for node, path in found:
         blocks.append([])
-        _blocks(node, blocks)
-    lines = [" ".join("".join(b).split()) for b in blocks]
+        _blocks(node, blocks, path)
+    lines = [" ".join("".join(text for text, _ in b).split()) for b in blocks]
     constant = set() if wrapper["article"] else set(wrapper["constants"])
     return "\n".join(x for x in lines if x and x not in constant)
 
@@ -340,19 +391,43 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper as JSON), from at most ``sample`` pages of each host."""
+def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, wrapper as JSON), from all pages: partial wrappers by task, then aligned ``FAN_IN`` at a time."""
     small_batches(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"), F.xxhash64(url, html).alias("place"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy("place"))).where(F.col("rank") <= sample)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer(sorted(pdf["html"])))]})
-
-    return ranked.groupBy("host").applyInPandas(fit, "host string, wrapper string")
-
-
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE_PAGES, out: str = "text") -> DataFrame:
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"))
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held = TaskContext.get().partitionId(), {}
+        made = lambda: pd.DataFrame([(h, task, p.dump()) for h, p in held.items()], columns=["host", "task", "partial"])
+        for pdf in batches:
+            for host, page in zip(pdf["host"], pdf["html"], strict=True):
+                held.setdefault(host, Partial()).add(page)
+            if len(held) > OPEN_HOSTS:
+                yield made()
+                held.clear()
+        yield made()
+
+    def merged(pdf: pd.DataFrame) -> Partial:
+        out = Partial()
+        for text in sorted(pdf["partial"]):
+            out.merge(Partial.load(text))
+        return out
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN_IN], "partial": [merged(pdf).dump()]})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        wrapper = {k: v for k, v in merged(pdf).wrapper().items() if k != "expression"}
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
+
+    found, tasks = rows.mapInPandas(begin, "host string, task int, partial string"), rows.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        found = found.groupBy("host", F.floor(F.col("task") / FAN_IN).alias("next")).applyInPandas(join, "host string, task int, partial string")
+        tasks = -(-tasks // FAN_IN)
+    return found.groupBy("host").applyInPandas(finish, "host string, wrapper string")
+
+
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``out``: the main text of each page, empty if it has none.
 
     A null page counts as empty; a null or odd address as one host of its own.
@@ -365,7 +440,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", sample: in
     from tarn.session import materialize
 
     keep = carried(pages, [out])
-    wrappers = materialize(learn_wrappers(pages, url, html, sample), "wrappers")
+    wrappers = materialize(learn_wrappers(pages, url, html), "wrappers")
     rows = pages.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("__tarn_host"))
     met = rows.join(wrappers.withColumnRenamed("host", "__tarn_host").withColumnRenamed("wrapper", "__tarn_wrapper"), "__tarn_host", "left")
 
