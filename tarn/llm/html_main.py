@@ -291,6 +291,35 @@ def _constants(parts: list[Part], pages: int) -> list[str]:
     return out
 
 
+def _fixed(parts: list[Part], path: tuple[str, ...]) -> list[tuple[tuple[str, ...], str]]:
+    """(path, text) of what is there, and the same, wherever the surrounding part is."""
+    out = []
+    for p in parts:
+        if p.shape == "#text":
+            out += [(path, p.value)] if p.value is not None and not p.optional else []
+        elif not p.furniture and not p.optional:
+            out += _fixed(p.body, (*path, p.shape))
+    return out
+
+
+def _inside(parts: list[Part], paths: set[tuple[str, ...]], path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """What never varies inside the articles at ``paths``, of those in which something does."""
+    out = []
+    for p in parts:
+        here = (*path, p.shape)
+        if p.furniture or p.shape == "#text":
+            continue
+        if here in paths:
+            out += _fixed(p.body, here) if _slots(p.body) else []
+        else:
+            out += _inside(p.body, paths, here)
+    return out
+
+
+def _slots(parts: list[Part]) -> bool:
+    return any(p.value is None if p.shape == "#text" else not p.furniture and _slots(p.body) for p in parts)
+
+
 @dataclass
 class Partial:
     """A wrapper of some pages of a host. ``every``, ``articles``: digests of distinct pages, and of those with an article; ``LEAST_PAGES`` say enough."""
@@ -324,10 +353,12 @@ class Partial:
         """Its expression, the paths of its main text, and the texts that never vary: everywhere, where no article says what is main, or inside the articles."""
         parts, pages = self.parts or [], len(self.every)
         paths = list(dict.fromkeys(_main_paths(parts)))
+        inside = _inside(parts, set(paths)) if paths and len(self.articles) >= LEAST_PAGES else []
         return {
             "paths": [list(p) for p in paths or [_densest(parts, pages)]],
             "article": bool(paths),
             "constants": [] if paths else _constants(parts, pages),
+            "inside": [[list(path), text] for path, text in dict.fromkeys(inside)],
             "expression": expression(parts),
         }
 
@@ -379,6 +410,10 @@ def extract(page: str, wrapper: dict | None) -> str:
     for node, path in found:
         blocks.append([])
         _blocks(node, blocks, path)
+    if wrapper["inside"]:
+        # a line goes if all of it is fixed; a fixed label beside a slot stays
+        fixed = {(tuple(path), text) for path, text in wrapper["inside"]}
+        blocks = [b for b in blocks if not all(not text.strip() or (path, " ".join(text.split())) in fixed for text, path in b)]
     lines = [" ".join("".join(text for text, _ in b).split()) for b in blocks]
     constant = set() if wrapper["article"] else set(wrapper["constants"])
     return "\n".join(x for x in lines if x and x not in constant)

@@ -22,3 +22,11 @@ def test_wrappers_are_learnt_from_all_pages(spark):
 def test_numbered_classes_are_one_place():
     found = html_main.infer([f"<body><article class='post-{i}'><p>{i}</p></article></body>" for i in range(300)])
     assert found["paths"] == [["body", "article.post-#"]]
+
+
+def test_wrapper_decides_inside_the_article(spark):
+    page = "<body><article><h1>T %d</h1><div class='x'>Sign <b>up</b> now</div><p>Price: <b>%d</b></p></article></body>"
+    assert set(_read(spark, [page % (i, i) for i in range(30)], 5).values()) == {f"T {i}\nPrice: {i}" for i in range(30)}
+    # too few pages to tell, and articles that are copies of each other: nothing goes
+    assert _read(spark, [page % (i, i) for i in range(3)])[1] == "T 1\nSign up now\nPrice: 1"
+    assert _read(spark, [f"<body><nav>{i}</nav><p>{i}</p>" + page % (1, 1) for i in range(30)])[9] == "T 1\nSign up now\nPrice: 1"
