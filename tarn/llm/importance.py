@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import _ngrams
@@ -21,38 +21,49 @@ from tarn.llm._common import hash60, small_batches
 from tarn.llm.sharding import K1, K2, SIZE, find_splitters
 from tarn.session import materialize
 
-#: A long text weighs as an excerpt of this many n-grams; else length alone would decide.
-EXCERPT = 512
 #: The sample is as large as the number of documents whose log weight is at least this.
 LEAST_WEIGHT = -10.0
 SEED = 41
-_FAR = 1e6
+#: Keys are told apart within this of 0.
+_FAR = 1 << 33
 
 
 def _weigh(ratios: np.ndarray):
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums, n = _ngrams.text_scores(pdf["text"].tolist(), ratios)
-            mean = sums / np.maximum(1, n)
-            yield pd.DataFrame({"rid": pdf["rid"], "id": pdf["id"], "n_ngrams": n, "log_weight": mean * np.minimum(n, EXCERPT)})
+            yield pd.DataFrame({"rid": pdf["rid"], "id": pdf["id"], "n_ngrams": n, "log_weight": sums})
 
     return weigh
 
 
+def _place(key: Column, tie: Column) -> dict[str, Column]:
+    """``key`` as two numbers of 60 bits, ascending where it descends: its whole part and 26 binary places, then 26 more and a hash of ``tie``."""
+    whole = F.floor(-key)
+    places = (-key - whole) * F.lit(float(1 << 26))
+    held = F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR - 1), whole))
+    return {
+        K1: (held + F.lit(_FAR)) * F.lit(1 << 26) + F.floor(places),
+        K2: F.floor((places - F.floor(places)) * F.lit(float(1 << 26))) * F.lit(1 << 34) + F.shiftrightunsigned(hash60(tie), 26),
+    }
+
+
 def resample(
     df: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
     k: int | None = None,
+    share: float | None = None,
     seed: int = SEED,
     target_docs: int = _ngrams.TARGET_DOCS,
 ) -> DataFrame:
     """One row per row of ``df``: position ``__tarn_rid``, ``id_col``, ``n_ngrams``, ``log_weight``, ``gumbel_key``, ``kept``.
 
     ``labels`` (id, quality, toxic) names trusted rows, of which about
-    ``target_docs`` are learnt from.  ``k`` rows are kept, by default as many
-    as have a log weight of ``LEAST_WEIGHT`` or more.  Noise depends on seed
+    ``target_docs`` are learnt from.  A log weight is the sum of the log ratios of
+    all n-grams of a text.  ``k`` rows are kept, or that ``share`` of all rows,
+    by default as many as have a log weight of ``LEAST_WEIGHT`` or more.  Noise depends on seed
     and identifier, so reruns agree; equal keys are told apart by position.  A
     text without n-grams (null, empty) has log weight 0.  Without trusted rows
     all log weights are 0.  An empty table gives none.
@@ -72,11 +83,12 @@ def resample(
     weighed = rows.mapInPandas(weigh, f"rid long, id {kind}, n_ngrams long, log_weight double")
     weighed = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     n = weighed.count()
+    if k is None and share is not None:
+        k = round(share * n)
     if k is None:
         k = weighed.where(F.col("log_weight") >= LEAST_WEIGHT).count()
-    # ascending and not negative, so that the k first keys are the k largest sums
-    place = F.greatest(F.lit(0.0), F.least(F.lit(2 * _FAR), F.lit(_FAR) - F.col("gumbel_key")))
-    keyed = weighed.withColumns({K1: (place * F.lit(float(1 << 38))).cast("long"), K2: hash60(F.col("rid")), SIZE: F.lit(1)})
+    # ascending, so that the k first keys are the k largest sums
+    keyed = weighed.withColumns({**_place(F.col("gumbel_key"), F.col("rid")), SIZE: F.lit(1)})
     cut = find_splitters(keyed.select(K1, K2, SIZE), [k / n]) if 0 < k < n else []
     if cut:
         (k1, k2), = cut

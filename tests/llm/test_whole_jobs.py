@@ -1,6 +1,10 @@
 """Corpus operators do their whole job; each case here lies outside of what a cut would leave."""
 
-from tarn.llm import html_main
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import _ngrams, html_main, importance
+from tarn.llm.sharding import K1, K2
 
 
 def _read(spark, pages, parts=40):
@@ -30,3 +34,24 @@ def test_wrapper_decides_inside_the_article(spark):
     # too few pages to tell, and articles that are copies of each other: nothing goes
     assert _read(spark, [page % (i, i) for i in range(3)])[1] == "T 1\nSign up now\nPrice: 1"
     assert _read(spark, [f"<body><nav>{i}</nav><p>{i}</p>" + page % (1, 1) for i in range(30)])[9] == "T 1\nSign up now\nPrice: 1"
+
+
+def test_weights_are_whole_sums(spark):
+    good = [(i, f"good words of kind {i % 7} " * 30) for i in range(60)]
+    docs = spark.createDataFrame([*good, *[(100 + i, "junk ### line *** " * (5 + 400 * i)) for i in range(3)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    ratios = _ngrams.log_ratios(*_ngrams.count_ngrams(docs, labels.select("doc_id"), "doc_id", "text"))
+    rows = importance.resample(docs, labels, share=0.5).toPandas().set_index("doc_id")
+    texts = docs.toPandas().set_index("doc_id")["text"]
+    sums, n = _ngrams.text_scores([texts[i] for i in rows.index], ratios)
+    assert rows.log_weight.tolist() == pytest.approx(sums.tolist(), rel=1e-6) and rows.n_ngrams.tolist() == n.tolist()
+    assert rows.log_weight[102] < 1.9 * rows.log_weight[101] < 0
+    assert rows.kept.sum() == 32
+
+
+def test_keys_are_ordered_however_far(spark):
+    keys = [3.2, 3.2 + 1e-12, -1e-15, 0.0, -5e6, -4e6, -4e6 - 1e-6, 12.0, -2e9]
+    placed = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key double, rid long").select("key", *[c.alias(n) for n, c in importance._place(F.col("key"), F.col("rid")).items()])
+    rows = placed.orderBy(K1, K2).collect()
+    assert all(0 <= x < 1 << 60 for r in rows for x in r[1:])
+    assert [r.key for r in rows] == pytest.approx(sorted(keys, reverse=True), abs=1e-15)
