@@ -13,6 +13,9 @@ third of all rows is still spread over many tasks.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from tarn.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: The dynamic programme covers budgets up to this many words; more is taken greedily before.
+#: The dynamic programme covers budgets up to this many words, or twice the longest document that fits; more is taken greedily before.
 DP_WORDS = 1 << 16
 RID, NO, NAME, LEN, SLICE, ORDER = "__tarn_rid", "__tarn_no", "__tarn_name", "__tarn_len", "__tarn_slice", "__tarn_order"
 
@@ -65,39 +68,43 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
         return counts
     if budget <= 0 or not counts:
         return {}
-    # leave room for the programme: a spread of lengths stays untaken
-    aim = max(0, budget - DP_WORDS // 2)
+    # leave room for the programme: a spread of lengths stays untaken, and any document that fits is an item
+    half = max([DP_WORDS // 2, *(n for n in counts if n <= budget)])
+    aim = max(0, budget - half)
     taken = {n: c * aim // total for n, c in counts.items()}
     left = budget - sum(n * c for n, c in taken.items())
     for n in sorted(counts, reverse=True):
-        if left <= DP_WORDS:
+        if left <= 2 * half:
             break
-        more = min(counts[n] - taken[n], max(0, (left - DP_WORDS // 2) // n))
+        more = min(counts[n] - taken[n], max(0, (left - half) // n))
         taken[n] += more
         left -= more * n
     # lengths within the window, each count split into powers of two
-    left = min(left, DP_WORDS)
+    spares = {n: min(counts[n] - taken[n], left // n) for n in sorted(counts, reverse=True) if n <= left and counts[n] > taken[n]}
+    unit = math.gcd(*spares) or 1
+    left = min(left, sum(n * c for n, c in spares.items())) // unit
     items = []
-    for n in sorted(counts, reverse=True):
-        spare, part = min(counts[n] - taken[n], left // n), 1
+    for n, spare in spares.items():
+        part = 1
         while spare > 0:
             use = min(part, spare)
             items.append((n, use))
             spare -= use
             part *= 2
-    reach, mask, steps = 1, (1 << (left + 1)) - 1, []
-    for n, use in items:
-        steps.append(reach)
-        reach |= (reach << (n * use)) & mask
+    # for each sum, the item that reached it first
+    reach, mask, by = 1, (1 << (left + 1)) - 1, np.zeros(left + 1, dtype=np.int32)
+    for i, (n, use) in enumerate(items):
+        new = (reach << (n // unit * use)) & mask & ~reach
+        if new:
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), dtype=np.uint8), bitorder="little"))] = i
+            reach |= new
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
-    for i in range(len(steps) - 1, -1, -1):
-        if steps[i] >> at & 1:
-            continue
-        n, use = items[i]
+    while at:
+        n, use = items[by[at]]
         taken[n] += use
-        at -= n * use
+        at -= n // unit * use
     return taken
 
 

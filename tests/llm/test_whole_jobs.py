@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import _ngrams, html_main, importance
+from tarn.llm import _ngrams, html_main, importance, mixing
 from tarn.llm.sharding import K1, K2
 
 
@@ -55,3 +55,15 @@ def test_keys_are_ordered_however_far(spark):
     rows = placed.orderBy(K1, K2).collect()
     assert all(0 <= x < 1 << 60 for r in rows for x in r[1:])
     assert [r.key for r in rows] == pytest.approx(sorted(keys, reverse=True), abs=1e-15)
+
+
+def test_budgets_take_documents_of_any_length():
+    assert mixing.fit_budget({90_000: 3}, 100_000) == {90_000: 1}
+    assert mixing.fit_budget({90_000: 100}, 4_500_000) == {90_000: 50}
+    for counts, budget in (({200_000: 5, 70_001: 3, 11: 2}, 600_000), ({150_000: 2, 99_999: 4, 80_001: 3}, 333_333), ({10: 1, 10**9: 1}, 5 * 10**8)):
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        taken = mixing.fit_budget(counts, budget)
+        assert sum(n * c for n, c in taken.items()) == max(s for s in sums if s <= budget)
+        assert all(taken[n] <= c for n, c in counts.items())
