@@ -2,9 +2,9 @@
 
 Two character Markov models are fitted, one of random strings, one of ordinary
 identifiers.  A long run of identifier characters is a secret where the first
-explains it better by a margin.  Samples are labelled: what the patterns find
-in a sample of rows, with generated keys, is random; that sample's other words,
-alone and joined as identifiers are, is ordinary.
+explains it better by a margin.  Both learn from all rows: what the patterns
+find, with generated keys, is random; all other words, alone and joined as
+identifiers are, are ordinary.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 MARGIN = 10.0
-SAMPLE_DOCS = 4000
 GENERATED = 3000
 #: The weight of single characters beside a context's own counts.
 BACK_OFF = 4.0
@@ -84,23 +83,23 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = _WORD.findall(" ".join([*masked, text[at:]]))
             if words:
                 # as they stand, and as identifiers: joined by _ or -, or in camel case
-                joined = [*words, "_".join(words[:200]), "-".join(words[:100]), "".join(w.capitalize() for w in words[:100])]
-                steps = np.concatenate([_steps(w) for w in joined])
-                counts[1] += np.bincount(steps, minlength=_SIGNS * _SIGNS)
+                joined = [*words, "_".join(words), "-".join(words), "".join([w.capitalize() for w in words])]
+                counts[1] += np.bincount(_steps("\n".join(joined)), minlength=_SIGNS * _SIGNS)
+    # words hold signs of the alphabet only, so what is none of them parted two
+    ordinary = counts[1].reshape(_SIGNS, _SIGNS)
+    ordinary[-1], ordinary[:, -1] = 0, 0
     side, pair = np.nonzero(counts)
     yield pd.DataFrame({"side": side, "pair": pair, "n": counts[side, pair]})
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
+def train(df: DataFrame, text: str = "text") -> np.ndarray:
     """For each pair of characters, how much likelier the second is after the first in a random string: log-likelihood ratios.
 
-    Learns from about ``sample_docs`` rows, picked by a hash of their identifier.
+    Learns from all rows; a task sends one count for each pair that it met.
     """
     small_batches(df.sparkSession)
-    share = min(1.0, sample_docs / max(1, df.count()))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(id_col)), 11) / F.lit(float(1 << 53))
-    sample = df.where(place < F.lit(share)).select(F.col(text).alias("text"))
-    found = sample.mapInPandas(_count_pairs, "side int, pair int, n long").groupBy("side", "pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.select(F.col(text).alias("text"))
+    found = rows.mapInPandas(_count_pairs, "side int, pair int, n long").groupBy("side", "pair").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, _SIGNS * _SIGNS))
     counts[found["side"], found["pair"]] = found["n"]
     for key in generated_keys():

@@ -1,9 +1,10 @@
 """Corpus operators do their whole job; each case here lies outside of what a cut would leave."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import _ngrams, html_main, importance, mixing
+from tarn.llm import _ngrams, html_main, importance, mixing, secrets
 from tarn.llm.sharding import K1, K2
 
 
@@ -67,3 +68,12 @@ def test_budgets_take_documents_of_any_length():
         taken = mixing.fit_budget(counts, budget)
         assert sum(n * c for n, c in taken.items()) == max(s for s in sums if s <= budget)
         assert all(taken[n] <= c for n, c in counts.items())
+
+
+def test_identifiers_are_learnt_from_whole_texts():
+    text = "abcd " * 5000 + "wxyz " * 5000
+    (found,) = secrets._count_pairs(iter([pd.DataFrame({"text": [text, None, ""]})]))
+    met = {(r.side, r.pair): r.n for r in found.itertuples()}
+    pair = lambda a, b: met[1, int(secrets._steps(a + b)[0])]
+    assert pair("d", "_") == pair("d", "-") == pair("_", "a") + 1 == 5000 and pair("z", "_") == pair("z", "W") == 4999
+    assert pair("w", "x") == 15_000 and pair("W", "x") == 5000 and len(met) == 19
