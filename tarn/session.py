@@ -2,12 +2,15 @@
 
 Anything that must be cut out of a lineage goes to the folder that the cluster
 names in ``spark.checkpoint.dir``: driver and executors all see it, so a lost
-executor never loses it.  Only where that setting is absent (unit tests, a
-laptop) is a temporary local folder used.
+executor never loses it.  Only a session on one machine may go without that
+setting (unit tests, a laptop); it uses a temporary local folder.  What a
+session writes there goes when it ends, rounds of an iteration as soon as the
+next ones are written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -53,19 +56,47 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarn-scratch-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_ENDING: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in this session's part of the shared folder, which is deleted when the session ends."""
+    own = f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}"
+    if own not in _ENDING:
+        _ENDING.add(own)
+        files, at = _file_system(spark, own)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete scratch that nothing will read again."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, the rows survive executors."""
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (to ``path`` there, if given) and read it back: lineage is cut, the rows survive executors."""
     spark = df.sparkSession
     ship_package(spark)
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
