@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.session import ship_package
+from tarn.session import materialize, ship_package
 
 #: The white space of every contract here: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch. Texts may be long, so batches are kept far below Spark's default of 10,000 rows.
 BATCH_ROWS = 256
+#: A row's number in a table that was written once.
+RID = "__tarn_rid"
+#: A key is hot when it holds over 1/HOT_SHARE of all rows (and over HOT_LEAST), so there are fewer than HOT_SHARE of them.
+HOT_SHARE, HOT_LEAST = 2000, 256
+_SALTS, _SALT = "__tarn_salts", "__tarn_salt"
 
 
 def carried(df: DataFrame, made: list[str]) -> list[str]:
@@ -20,6 +25,33 @@ def carried(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once with a number for each row, ``__tarn_rid``.
+
+    Numbers that a scan hands out depend on its splits, and those on how many
+    executors there are; so rows are numbered once, and all later steps read
+    the numbers from the written table.
+    """
+    names = carried(df, [RID])
+    return materialize(df.select(F.monotonically_increasing_id().alias(RID), *names), name)
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, total: int, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which has one row a key and says in ``copies`` how many of ``rows`` carry it.
+
+    The rows of a hot key are dealt over salts by a hash of ``spread_by``, and
+    its row of ``side`` is repeated for each salt, so no task meets more than
+    about ``total / HOT_SHARE`` rows of one key.  ``copies`` is dropped.
+    """
+    hot_from = max(HOT_LEAST, total // HOT_SHARE)
+    salts = F.when(F.col(copies) > hot_from, F.ceil(F.col(copies) / hot_from)).otherwise(1).cast("int")
+    side = side.withColumn(_SALTS, salts).drop(copies)
+    hot = F.broadcast(side.where(F.col(_SALTS) > 1).select(*keys, _SALTS))  # fewer than HOT_SHARE rows
+    salted = rows.join(hot, keys, "left").withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(_SALTS), F.lit(1))).cast("int")).drop(_SALTS)
+    spread = side.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_SALTS) - 1))).drop(_SALTS)
+    return salted.join(spread, [*keys, _SALT], how).drop(_SALT)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Make ready for Python workers: bound what one Arrow batch holds, unless the session asks for less, and send them this package."""
     ship_package(spark)

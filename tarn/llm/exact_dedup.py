@@ -1,32 +1,36 @@
 """Exact deduplication over a log-structured merge index of digests.
 
-An entry is (digest, best row, count).  Input partitions are dealt to
-memtables; each flushes one run: its entries, combined per digest, sorted, and
-written with per-block ranges and Bloom filters on the digest, so that lookups
-skip blocks and whole files.  Compaction merges runs, ``fanout`` at a time, and
-keeps for each digest the best row: most code points, then smallest identifier.
-
-A digest hit is only a hint.  Rows that meet in a digest are compared by their
-whole normalised bytes; where one digest turns out to hold several texts, each
-text becomes a variant of it and is indexed on its own.
+An entry is (digest, best row, count).  The input is dealt to memtables, about
+log2 of its rows of them; each flushes one run: its entries, combined per digest,
+sorted, and beside it a blocked Bloom filter, one 64-bit word for every few
+digests.  A flushed entry is a hit if its own run met the digest twice, or if
+the filter of another run may hold it.  All other entries are final as they
+are: filters miss nothing.  Compaction merges the hits of all runs and keeps for
+each digest the best row: most code points, then smallest identifier.
+
+A digest that several rows share is only a hint.  The whole normalised bytes of
+such rows, and of no others, are read again and compared; where one digest turns
+out to hold several texts, each text becomes a variant of it and is indexed on
+its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import SPACE_CLASS, carried
+from tarn.llm._common import RID, SPACE_CLASS, carried, join_hot, numbered
 from tarn.session import materialize, scratch_path
 
-RID, DIGEST, POINTS, VARIANT, SALT = "__tarn_rid", "__tarn_digest", "__tarn_points", "__tarn_variant", "__tarn_salt"
+ID, DIGEST, POINTS, VARIANT = "__tarn_id", "__tarn_digest", "__tarn_points", "__tarn_variant"
 KEY = [DIGEST, VARIANT]
-#: A digest is hot when it holds over 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE of them.
-HOT_SHARE, HOT_LEAST, SALT_ROWS = 1000, 512, 256
-#: Digests that a run file's Bloom filter is sized for; without it every file carries a filter of full size.
-FILTER_KEYS = 20_000
+#: Rows below which one memtable is enough, and digests for which a filter has one word of 64 bits.
+MEMTABLE_ROWS, WORD_KEYS = 4096, 6
+#: Up to so many shared digests are broadcast (8 bytes each) to find their texts; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -39,70 +43,80 @@ def sha256_hex(text: Column) -> Column:
 
 
 def _best() -> Column:
-    """Orders rows of equal texts, the one to keep first. Rows without identifier come last; equal rows by position."""
-    return F.struct((-F.col(POINTS)).alias("points"), F.col("__tarn_id").isNull().alias("no_id"), F.col("__tarn_id").alias("id"), F.col(RID).alias("rid"))
+    """Orders rows of equal texts, the one to keep first. Rows without identifier come last; equal rows by number."""
+    return F.struct((-F.col(POINTS)).alias("points"), F.col(ID).isNull().alias("no_id"), F.col(ID).alias("id"), F.col(RID).alias("rid"))
 
 
 class DigestIndex:
-    """Sorted digest runs in the shared folder."""
-
-    def __init__(self, spark, fanout: int = 4):
-        self.spark, self.fanout, self.runs, self.schema = spark, fanout, [], None
-
-    def _write(self, entries: DataFrame, split: list[str]) -> str:
-        path = scratch_path(self.spark, "digest-run")
-        (
-            entries.sortWithinPartitions(*split, *KEY)
-            .write.option(f"parquet.bloom.filter.enabled#{DIGEST}", "true")
-            .option(f"parquet.bloom.filter.expected.ndv#{DIGEST}", str(FILTER_KEYS))
-            .partitionBy(*split)
-            .parquet(path)
-        )
-        return path
-
-    def flush(self, rows: DataFrame, memtables: int) -> None:
-        """Flush ``rows`` (rid, id, digest, variant, points) as ``memtables`` sorted runs, combined before they are shuffled."""
-        dealt = rows.withColumn("run", F.pmod(F.shiftright(F.col(RID), 33), F.lit(memtables)).cast("int"))
+    """Sorted digest runs and their filters in the shared folder."""
+
+    def __init__(self, rows: DataFrame, memtables: int | None = None):
+        """Flush ``rows`` (rid, id, digest, variant, points) as sorted runs, combined before they are shuffled."""
+        n = rows.count()
+        self.memtables = memtables or max(1, math.ceil(math.log2(max(1, n / MEMTABLE_ROWS))))
+        self._words = max(1, n // (self.memtables * WORD_KEYS))
+        dealt = rows.withColumn("run", F.pmod(F.shiftright(F.col(RID), 33), F.lit(self.memtables)).cast("int"))
         entries = dealt.groupBy("run", *KEY).agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
-        self.schema = entries.drop("run").schema
-        path = self._write(entries, ["run"])
-        self.runs += [f"{path}/run={i}" for i in range(memtables)]
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        there = [p for p in paths if self._exists(p)]
-        if not there:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*there)
-
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
-    def compact(self) -> None:
-        """Merge runs until one is left."""
-        while len(self.runs) > 1:
-            level, self.runs = self.runs, []
-            for i in range(0, len(level), self.fanout):
-                merged = self._read(level[i : i + self.fanout]).groupBy(*KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-                self.runs.append(self._write(merged, []))
+        self._path, self._schema = scratch_path(rows.sparkSession, "digest-runs"), entries.schema
+        entries.sortWithinPartitions("run", *KEY).write.partitionBy("run").parquet(self._path)
+        self._spark = rows.sparkSession
+        word = self._hashed(self.entries()).groupBy("block", "run").agg(F.bit_or("mask").alias("word"))
+        self.filters = materialize(word.groupBy("block").agg(F.collect_list(F.struct("run", "word")).alias("words")), "digest-filters")
 
     def entries(self) -> DataFrame:
-        return self._read(self.runs)
+        return self._spark.read.schema(self._schema).parquet(self._path)
+
+    def _hashed(self, keys: DataFrame) -> DataFrame:
+        """``keys`` with the filter word that a key falls into and the four bits it has there."""
+        bits = " | ".join(f"shiftleft(1L, cast(shiftright(hash, {6 * i}) & 63 AS int))" for i in range(4))
+        hashed = keys.withColumn("hash", F.xxhash64(*KEY))
+        return hashed.withColumns({"block": F.pmod(F.shiftrightunsigned("hash", 24), F.lit(self._words)), "mask": F.expr(bits)}).drop("hash")
+
+    def hits(self) -> DataFrame:
+        """Entries whose digest their own run met more than once, or that the filter of another run may hold."""
+        probed = self._hashed(self.entries()).join(self.filters, "block")
+        return probed.where("n > 1 OR exists(words, w -> w.run <> run AND w.word & mask = mask)").drop("block", "mask", "words")
+
+    def compact(self) -> DataFrame:
+        """One entry for each digest that several rows share: (digest, variant, best, n); all other entries stand as they are."""
+        return self.hits().groupBy(*KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n")).where("n > 1")
 
     def lookup(self, digests: list[str]) -> DataFrame:
-        """Entries of a few digests; block ranges and Bloom filters let the scan skip what can't hold them."""
-        return self.entries().where(F.col(DIGEST).isin(digests))
+        """Entries of a few digests; runs whose filters can't hold any are not read."""
+        asked = self._spark.createDataFrame([(d, "") for d in digests], f"{DIGEST} string, {VARIANT} string")
+        met = self._hashed(asked).join(self.filters, "block").select("mask", F.explode("words").alias("w")).where("w.word & mask = mask")
+        runs = [r.run for r in met.select("w.run").distinct().collect()]
+        return self.entries().where(F.col("run").isin(runs) & F.col(DIGEST).isin(digests))
+
+
+def _write_log(df: DataFrame, id_col: str, text: str, digest: Callable[[Column], Column], rid: str | None, clashes: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``df``, from one scan: its number, identifier, digest and length, and its whole text if its digest is one of ``clashes``."""
+    norm = normalised(F.col(text))
+    given = F.col(rid) if rid else F.lit(None).cast("long")
+    rows = df.select(given.alias("given"), F.col(id_col).alias(ID), digest(norm).alias(DIGEST), F.length(F.coalesce(F.col(text), F.lit(""))).alias(POINTS), norm.alias(VARIANT))
+    if clashes is None:
+        rows = rows.withColumn(VARIANT, F.lit(""))
+    else:
+        rows = rows.join(clashes.withColumn("clash", F.lit(True)), DIGEST, "left").withColumn(VARIANT, F.when(F.col("clash"), F.col(VARIANT)).otherwise(""))
+    return materialize(rows.select(F.coalesce("given", F.monotonically_increasing_id()).alias(RID), ID, *KEY, POINTS), "digest-log")
 
 
-def _clashes(df: DataFrame, text: str, digest: Callable[[Column], Column]) -> DataFrame | None:
-    """Digests that hold more than one text; None where bytes confirm every digest.
+def _clashes(df: DataFrame, text: str, digest: Callable[[Column], Column], shared: DataFrame) -> DataFrame | None:
+    """Digests of ``shared`` that hold more than one text; None where bytes confirm them all.
 
-    Grouping by digest and whole bytes combines copies on the map side: a hot
-    group sends one copy of its text from each task.
+    Only texts with a shared digest are compared.  Grouping by digest and whole
+    bytes combines copies on the map side: a hot group sends one copy of its
+    text from each task.
     """
+    keys = shared.select(F.xxhash64(DIGEST).alias("key")).distinct()
     norm = normalised(F.col(text))
-    texts = df.select(digest(norm).alias(DIGEST), norm.alias("__tarn_norm")).groupBy(DIGEST, "__tarn_norm").agg(F.lit(1).alias("one"))
-    clash = materialize(texts.groupBy(DIGEST).agg(F.count("*").alias("texts")).where("texts > 1"), "digest-clashes")
+    texts = df.select(norm.alias("norm"), digest(norm).alias(DIGEST)).withColumn("key", F.xxhash64(DIGEST))
+    if shared.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(keys), "key", "left_semi").groupBy(DIGEST, "norm").agg(F.lit(1).alias("one"))
+    else:
+        # copies are combined before they are shuffled, so that no key is hot in the join
+        texts = texts.groupBy("key", DIGEST, "norm").agg(F.lit(1).alias("one")).join(keys, "key", "left_semi")
+    clash = materialize(texts.groupBy(DIGEST).agg(F.count("*").alias("texts")).where("texts > 1").select(DIGEST), "digest-clashes")
     return None if clash.isEmpty() else clash
 
 
@@ -110,63 +124,42 @@ def decide(
     df: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
-    memtables: int = 4,
-    fanout: int = 4,
+    memtables: int | None = None,
     digest: Callable[[Column], Column] = sha256_hex,
+    rid: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``df``: its position ``__tarn_rid``, ``id_col``, ``keep_id``, ``group_size``, ``kept``, and its digest.
+    """One row per row of ``df``: its number ``__tarn_rid``, ``id_col``, ``keep_id``, ``group_size``, ``kept``, and its digest.
 
     Texts are equal if they are identical without white space.  Null and empty
     texts are equal to each other.  Of rows that agree in length and
     identifier, exactly one is kept.  Rows without identifier are kept only
     where no other row of the group is as long.  An empty table gives none.
+
+    ``rid`` names a column that numbers the rows; without it rows get numbers
+    in the one scan that writes the log.  No step matches rows across scans by
+    their place: texts are found again by their digests.
     """
-    spark = df.sparkSession
-    norm = normalised(F.col(text))
-    rows = df.select(
-        F.monotonically_increasing_id().alias(RID),
-        F.col(id_col).alias("__tarn_id"),
-        digest(norm).alias(DIGEST),
-        F.length(F.coalesce(F.col(text), F.lit(""))).alias(POINTS),
-        F.lit("").alias(VARIANT),
-    )
-    rows = materialize(rows, "digest-log")
-    clash = _clashes(df, text, digest)
-    if clash is not None:
-        told = df.select(F.monotonically_increasing_id().alias(RID), digest(norm).alias(DIGEST), norm.alias("whole"))
-        told = told.join(clash.select(DIGEST), DIGEST, "left_semi")
-        rows = materialize(
-            rows.drop(VARIANT).join(told.select(RID, F.col("whole").alias(VARIANT)), RID, "left").withColumn(VARIANT, F.coalesce(VARIANT, F.lit(""))), "digest-variants"
-        )
-    index = DigestIndex(spark, fanout)
-    index.flush(rows, memtables)
-    index.compact()
-    entries = index.entries()
-
-    hot_from = max(HOT_LEAST, rows.count() // HOT_SHARE)
-    salts = F.when(F.col("n") > hot_from, F.ceil(F.col("n") / SALT_ROWS)).otherwise(1).cast("int")
-    entries = entries.withColumn("salts", salts)
-    hot = entries.where("salts > 1").select(*KEY, "salts")  # fewer than HOT_SHARE rows
-    salted = rows.join(F.broadcast(hot), KEY, "left").withColumn(SALT, F.pmod(F.xxhash64(RID), F.coalesce("salts", F.lit(1))).cast("int"))
-    spread = entries.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    met = salted.drop("salts").join(spread.select(*KEY, SALT, "best", "n"), [*KEY, SALT])
-    kept = F.col("__tarn_id").eqNullSafe(F.col("best.id")) & (F.col(RID) == F.col("best.rid"))
+    rows = _write_log(df, id_col, text, digest, rid)
+    groups = materialize(DigestIndex(rows, memtables).compact(), "digest-groups")
+    clashes = _clashes(df, text, digest, groups)
+    if clashes is not None:
+        rows = _write_log(df, id_col, text, digest, rid, clashes)
+        groups = materialize(DigestIndex(rows, memtables).compact(), "digest-groups")
+    named = groups.select(*KEY, F.struct("best", "n").alias("group"), F.col("n").alias("copies"))
+    met = join_hot(rows, named, KEY, "copies", rows.count(), [RID], "left")
+    alone = F.col("group").isNull()
     return met.select(
         RID,
-        F.col("__tarn_id").alias(id_col),
-        F.col("best.id").alias("keep_id"),
-        F.col("n").cast("long").alias("group_size"),
-        kept.alias("kept"),
+        F.col(ID).alias(id_col),
+        F.when(alone, F.col(ID)).otherwise(F.col("group.best.id")).alias("keep_id"),
+        F.coalesce(F.col("group.n"), F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col(RID) == F.col("group.best.rid"))).alias("kept"),
         F.col(DIGEST).alias("digest"),
     )
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` without the rows that :func:`decide` drops, columns unchanged.
-
-    ``df`` should be a scan (a table, or Parquet files): rows are matched by
-    their position in it.
-    """
-    dropped = decide(df, id_col, text, **options).where(~F.col("kept")).select(RID)
-    names = carried(df, [RID])
-    return df.withColumn(RID, F.monotonically_increasing_id()).join(dropped, RID, "left_anti").select(*names)
+    """``df`` without the rows that :func:`decide` drops, columns unchanged. Rows are numbered in a written copy, so ``df`` may be any DataFrame."""
+    rows = numbered(df, "dedup-rows")
+    dropped = decide(rows, id_col, text, rid=RID, **options).where(~F.col("kept")).select(RID)
+    return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))

@@ -6,9 +6,11 @@ counts alone: an equal share of every length first, then the longest lengths
 that still fit, then a bounded-knapsack dynamic programme over what is left.
 Within a length, documents are taken in a seeded order.
 
-Only length counts meet in one task, one task a source; documents are ranked
-inside (source, length, slice of the seeded order), so a length that holds a
-third of all rows is still spread over many tasks.
+Only length counts meet in one task, one task a source; targets are found by a
+few sums over the sources, however many there are.  Documents are ranked inside
+(source, length, slice of the seeded order), with about as many slices as the
+square root of all rows, so a length that holds a third of all rows is still
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm._common import WORD_CLASS, carried
+from tarn.llm._common import RID, WORD_CLASS, carried, numbered
 from tarn.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: The dynamic programme covers budgets up to this many words, or twice the longest document that fits; more is taken greedily before.
 DP_WORDS = 1 << 16
-RID, NO, NAME, LEN, SLICE, ORDER = "__tarn_rid", "__tarn_no", "__tarn_name", "__tarn_len", "__tarn_slice", "__tarn_order"
+NO, NAME, LEN, SLICE, ORDER = "__tarn_no", "__tarn_name", "__tarn_len", "__tarn_slice", "__tarn_order"
 
 
 def words(text: Column) -> Column:
@@ -35,24 +37,37 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_CLASS)).cast("long")
 
 
-def fit_targets(sizes: list[float], weights: list[float], share: float = 1.0, most: float = MAX_REPEATS) -> list[float]:
-    """Targets by weight that add up to ``share`` of all sizes, none above ``most`` times its own size.
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``: their rank by code point, null last. Sorted by ranges, counted by range; no task meets all of them."""
+    ranges = sources.repartitionByRange(NO, NAME).sortWithinPartitions(NO, NAME).withColumn("at", F.monotonically_increasing_id())
+    ranges = materialize(ranges, "mix-ranges")
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    first = ranges.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    met = ranges.withColumn("part", part).join(first, "part")
+    return met.withColumn("place", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first", "at")
 
-    What a source can't use is shared again among the others by weight.
+
+def fit_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MAX_REPEATS) -> DataFrame:
+    """``sources`` (``__tarn_no``, ``__tarn_name``, ``source_size``) with ``target``.
+
+    Targets go by weight and add up to ``share`` of all sizes, none above ``most``
+    times its own size; what a source can't use is shared again among the others
+    by weight.  A source is stopped where ``most`` times its size is under the
+    others' rate times its weight; the rate only rises, so a few rounds of sums
+    settle it.
     """
-    targets, free, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(sizes)
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / weight > most * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = left * weights[i] / weight
+    weight = F.element_at(F.lit(list(map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = materialize(_ranked(sources).withColumn("weight", weight).withColumn("top", F.lit(float(most)) * F.col("source_size")), "mix-sources")
+    whole = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    rate, stopped = 0.0, -1
+    while True:
+        over = F.col("top") < F.lit(rate) * F.col("weight")
+        seen = rows.agg(F.sum(F.when(over, F.col("top"))).alias("used"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("n")).first()
+        if seen.n == stopped or not seen.weight:
             break
-        for i in over:
-            targets[i] = most * sizes[i]
-            left -= targets[i]
-        free = [i for i in free if i not in set(over)]
-    return targets
+        rate, stopped = (whole - (seen.used or 0.0)) / seen.weight, seen.n
+    return rows.withColumn("target", F.least("top", F.lit(rate) * F.col("weight"))).select(NO, NAME, "source_size", "target")
 
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -121,15 +136,6 @@ def _fit_source(most: int):
     return fit
 
 
-def _fit_all_targets(weights: tuple[float, ...], share: float, most: float):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf[NO].astype(bool), pdf[NAME], pdf["source_size"].astype(int), strict=True), key=lambda r: (r[0], r[1].encode("utf-8", "surrogatepass")))
-        found = fit_targets([float(r[2]) for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, most)
-        return pd.DataFrame({NO: [r[0] for r in rows], NAME: [r[1] for r in rows], "source_size": [r[2] for r in rows], "target": found})
-
-    return fit
-
-
 def decide(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -139,30 +145,34 @@ def decide(
     share: float = 1.0,
     most: int = MAX_REPEATS,
     seed: int = 20240229,
+    rid: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``df``: its position ``__tarn_rid``, ``id_col``, ``size``, ``source_size``, ``target`` (its source's) and ``taken``.
+    """One row per row of ``df``: its number ``__tarn_rid``, ``id_col``, ``size``, ``source_size``, ``target`` (its source's) and ``taken``.
 
     ``taken`` counts the words that the mix takes of a row, repeats counted: a
     multiple of ``size``, at most ``most`` times it.  Sources, ordered by code
     point with null last, take ``weights`` in turn.  Null and empty texts have
-    size 0 and nothing to take.  Equal rows are told apart by their position in
-    the scan.  A second run takes the same rows.  An empty table gives none.
+    size 0 and nothing to take.  Equal rows are told apart by their numbers:
+    those in column ``rid``, or such as they get in the one scan that counts
+    their words.  A second run takes the same rows.  An empty table gives none.
     """
-    rid = F.monotonically_increasing_id()
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = df.select(
-        rid.alias(RID),
+        number.alias(RID),
         F.col(id_col).alias("__tarn_id"),
         F.col(source).isNull().alias(NO),
         F.coalesce(F.col(source), F.lit("")).alias(NAME),
         words(F.col(text)).alias(LEN),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias(ORDER),
+        # identifiers alone decide the order; rows without one are spread by their numbers
+        F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), number)).alias(ORDER),
     )
-    rows = materialize(rows, "mix-rows").withColumn(SLICE, F.shiftrightunsigned(F.xxhash64(ORDER, RID), 54).cast("int"))
+    rows = materialize(rows, "mix-rows")
+    bits = max(4, math.ceil(math.log2(max(1, rows.count())) / 2))
+    rows = rows.withColumn(SLICE, F.shiftrightunsigned(F.xxhash64(ORDER), 64 - bits).cast("int"))
     slices = rows.groupBy(NO, NAME, LEN, SLICE).agg(F.count("*").alias("here"))
     lengths = materialize(rows.groupBy(NO, NAME, LEN).agg(F.count("*").alias("docs")), "mix-lengths")
     sources = lengths.groupBy(NO, NAME).agg(F.sum(F.col(LEN) * F.col("docs")).alias("source_size"))
-    targets = sources.groupBy(F.lit(1).alias("all")).applyInPandas(_fit_all_targets(weights, share, most), f"{NO} boolean, {NAME} string, source_size long, target double")
-    targets = materialize(targets, "mix-targets")
+    targets = materialize(fit_targets(sources, weights, share, most), "mix-targets")
     plan = lengths.join(targets, [NO, NAME]).groupBy(NO, NAME).applyInPandas(_fit_source(most), f"{NO} boolean, {NAME} string, {LEN} long, passes long, extra long")
     plan = materialize(plan.join(targets, [NO, NAME]), "mix-plan")
 
@@ -182,11 +192,8 @@ def decide(
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` as mixed: each row as often as the mix takes it, columns unchanged; rows of size 0 go.
-
-    ``df`` should be a scan: rows are matched by their position in it.
-    """
-    taken = decide(df, id_col, text, **options).where("taken > 0").select(RID, F.expr("cast(taken div size as int)").alias("__tarn_copies"))
-    names = carried(df, [RID])
-    met = df.withColumn(RID, F.monotonically_increasing_id()).join(taken, RID)
-    return met.withColumn("__tarn_copy", F.explode(F.sequence(F.lit(1), F.col("__tarn_copies")))).select(*names)
+    """``df`` as mixed: each row as often as the mix takes it, columns unchanged; rows of size 0 go. ``df`` may be any DataFrame."""
+    rows = numbered(df, "mix-input")
+    taken = decide(rows, id_col, text, rid=RID, **options).where("taken > 0").select(RID, F.expr("cast(taken div size as int)").alias("__tarn_copies"))
+    met = rows.join(taken, RID).withColumn("__tarn_copy", F.explode(F.sequence(F.lit(1), F.col("__tarn_copies"))))
+    return met.select(*carried(df, [RID]))

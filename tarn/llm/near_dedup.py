@@ -14,7 +14,9 @@ share a band are compared by their full sets, but not pair by pair:
    largest component with all others, in blocks, inside the tasks; only links
    leave a task, and a pair is looked at in the first band that it shares.
 
-No band, block or partner is capped.
+No band, block or partner is capped.  A band or a class may hold a third of all
+rows: joins on either are salted.  Rows are numbered in one written copy of the
+texts, which all later steps read.
 """
 
 from __future__ import annotations
@@ -30,15 +32,14 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from tarn.llm import _words
-from tarn.llm._common import carried, small_batches
+from tarn.llm._common import RID, carried, join_hot, numbered, small_batches
 from tarn.llm.components import components
 from tarn.session import materialize
 
 BANDS, ROWS = 28, 4
 SHINGLE = 4
-#: Members a block holds: of those that are compared, and of those compared with.
-BLOCK_A, BLOCK_B = 512, 1024
-HOT_SHARE, HOT_LEAST, SALT_ROWS = 1000, 512, 256
+#: About what a block holds: members that are compared, those that they are compared with, and shingles of either.
+BLOCK_A, BLOCK_B, BLOCK_SHINGLES = 512, 1024, 4_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -119,10 +120,10 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are linked."""
+    """The pairs (u, v), written already, whose full sets are linked; many may share one v."""
     with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    with_both = with_u.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return with_both.where(_linked("a", "b")).select("u", "v")
+    often = pairs.groupBy("v").agg(F.count("*").alias("copies")).join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return join_hot(with_u, often, ["v"], "copies", pairs.count(), ["u"]).where(_linked("a", "b")).select("u", "v")
 
 
 def _compare(rows: list) -> Iterator[tuple[int, int]]:
@@ -170,18 +171,23 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: its position ``__tarn_rid``, ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
+def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+    """One row per row of ``df``: its number ``__tarn_rid``, ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     A row without words has no shingles, is linked with nothing and stays.  Of
     a component, the row with the smallest identifier stays; where several rows
     carry it, one of them.  Rows without identifier take part; a component of
     such rows alone has a null ``component_id`` and keeps its first row.  An
-    empty table gives none.
+    empty table gives none.  ``rid`` names a column that numbers the rows of a
+    written table; without it ``df`` is written once, with numbers.
     """
     spark = df.sparkSession
     small_batches(spark)
-    source = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if rid is None:
+        df, rid = numbered(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "near-rows"), RID
+        source = df.select(F.col(rid).alias("rid"), "id", "text")
+    else:
+        source = df.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     signed = materialize(source.mapInPandas(_sign, f"rid long, id {id_type}, n long, digest binary, bands array<long>"), "near-signed")
 
@@ -190,44 +196,60 @@ def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     classes = materialize(classes.select("digest", "best", F.col("best.rid").alias("node"), "copies"), "near-classes")
 
     # a class is represented by one of its rows
-    members = signed.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.posexplode("bands").alias("band", "key"))
-    members = members.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    members = materialize(members.join(shared, "bucket"), "near-members")
+    members = signed.join(classes.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
+    members = materialize(members.select("node", "n", "band", F.xxhash64("band", "key").alias("bucket")), "near-bands")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("copies"), F.min("node").alias("pivot")).where("copies > 1")
+    buckets = materialize(buckets.withColumn("size", F.col("copies")), "near-buckets")
+    members = materialize(join_hot(members, buckets, ["bucket"], "copies", members.count(), ["node"]), "near-members")
 
     nodes = members.select("node").distinct()
     chosen = source.join(nodes.withColumnRenamed("node", "rid"), "rid").select(F.col("rid").alias("node"), "text")
     sets = materialize(chosen.mapInPandas(_sets, "node long, shingles binary"), "near-sets")
 
     first = members.groupBy("node").agg(F.min("pivot").alias("v")).where("v <> node").select(F.col("node").alias("u"), "v")
-    links = materialize(_verify(first, sets), "near-links")
-    labels = materialize(components(links), "near-labels")
+    first = materialize(first, "near-first")
+    labels = _relabelled(None, _verify(first, sets))
 
-    told = _labelled(members, labels).join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
-    apart = told.where(F.col("label") != F.coalesce("pivot_label", "pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = links.union(materialize(_verify(apart.join(first, ["u", "v"], "left_anti"), sets), "near-links"))
-    labels = materialize(components(links), "near-labels")
+    pivots = buckets.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
+    pivots = pivots.select("bucket", "copies", F.coalesce("pivot_label", "pivot").alias("pivot_label"))
+    told = join_hot(_labelled(members, labels), pivots, ["bucket"], "copies", members.count(), ["node"])
+    apart = told.where("label <> pivot_label").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    apart = materialize(apart.join(first, ["u", "v"], "left_anti"), "near-apart")
+    labels = _relabelled(labels, _verify(apart, sets))
 
-    links = links.union(materialize(_units(_labelled(members.where("size > 2"), labels), signed, sets), "near-links"))
-    labels = materialize(components(links), "near-labels")
+    labels = _relabelled(labels, _units(_labelled(members.where("size > 2"), labels), signed, sets))
     return _assign(signed, classes, labels, id_col)
 
 
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after ``links`` (u, v) came to those that ``labels`` has; the same where there are no new links."""
+    links = materialize(links, "near-links")
+    if labels is not None:
+        if links.isEmpty():
+            return labels
+        links = links.union(labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")))
+    return materialize(components(links), "near-labels")
+
+
 def _units(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside bands that still hold several components."""
-    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    members = materialize(members, "near-told")
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    blocks = lambda rows, shingles, most: F.ceil(F.greatest(rows / most, shingles / BLOCK_SHINGLES)).cast("int")
     open_ = (
         counts.groupBy("bucket")
-        .agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("all"))
+        .agg(F.max(F.struct("n", "label", "shingles")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("copies"), F.sum("shingles").alias("shingles"))
         .where("labels > 1")
         .select(
             "bucket",
+            "copies",
             F.col("top.label").alias("main"),
-            F.ceil((F.col("all") - F.col("top.n")) / BLOCK_A).cast("int").alias("blocks_a"),
-            F.ceil(F.col("all") / BLOCK_B).cast("int").alias("blocks_b"),
+            blocks(F.col("copies") - F.col("top.n"), F.col("shingles") - F.col("top.shingles"), BLOCK_A).alias("blocks_a"),
+            blocks(F.col("copies"), F.col("shingles"), BLOCK_B).alias("blocks_b"),
         )
     )
-    inside = members.select("bucket", "band", "node", "label").join(open_, "bucket").withColumn("minor", F.col("label") != F.col("main"))
+    inside = join_hot(members.select("bucket", "band", "node", "label"), open_, ["bucket"], "copies", members.count(), ["node"])
+    inside = materialize(inside.withColumn("minor", F.col("label") != F.col("main")), "near-open")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     plain = ["bucket", "band", "node", "label", "minor"]
@@ -240,26 +262,21 @@ def _units(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _assign(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """Every row with its component; rows of large classes are salted before they meet their class."""
+    """Every row with its component; rows of large classes, and classes of large components, are salted before they meet their head."""
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "near-named")
-    heads = named.groupBy("label").agg(F.min("best").alias("head"))
-    named = named.join(heads, "label")
-    hot_from = max(HOT_LEAST, signed.count() // HOT_SHARE)
-    named = named.withColumn("salts", F.when(F.col("copies") > hot_from, F.ceil(F.col("copies") / SALT_ROWS)).otherwise(1).cast("int"))
-    hot = named.where("salts > 1").select("digest", "salts")  # fewer than HOT_SHARE rows
-    rows = signed.select("rid", "id", "n", "digest").where("n > 0").join(F.broadcast(hot), "digest", "left")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    spread = named.select("digest", "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = rows.join(spread, ["digest", "salt"])
-    out = ["__tarn_rid", id_col, "n_shingles", "component_id", "kept"]
+    heads = named.groupBy("label").agg(F.min("best").alias("head"), F.count("*").alias("members"))
+    named = join_hot(named, heads, ["label"], "members", named.count(), ["node"])
+    rows = signed.select("rid", "id", "n", "digest").where("n > 0")
+    met = join_hot(rows, named.select("digest", "head", "copies"), ["digest"], "copies", signed.count(), ["rid"])
+    out = [RID, id_col, "n_shingles", "component_id", "kept"]
     some = met.select("rid", "id", "n", F.col("head.id"), F.col("rid") == F.col("head.rid")).toDF(*out)
     none = signed.where("n = 0").select("rid", "id", "n", "id", F.lit(True)).toDF(*out)
     return some.union(none)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component, columns unchanged; ``df`` should be a scan (rows are matched by position)."""
-    dropped = decide(df, id_col, text).where(~F.col("kept")).select("__tarn_rid")
-    names = carried(df, ["__tarn_rid"])
-    return df.withColumn("__tarn_rid", F.monotonically_increasing_id()).join(dropped, "__tarn_rid", "left_anti").select(*names)
+    """``df`` with one row of each component, columns unchanged; ``df`` may be any DataFrame."""
+    rows = numbered(df, "near-input")
+    dropped = decide(rows, id_col, text, rid=RID).where(~F.col("kept")).select(RID)
+    return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))

@@ -1,8 +1,9 @@
 """Sharding by histogram sort.
 
 Rows are ordered by a 120-bit key: 60 hashed bits of the key columns, then 60
-bits of the row's position in the scan, which only matter between rows whose
-key columns are equal.  Splitters between shards are found by counting exact
+bits of the row's number, which only matter between rows whose key columns are
+equal.  Keys are written once, with the rows; counts and the exchange read them
+from there.  Splitters between shards are found by counting exact
 bytes: a round counts the bytes that lie between evenly spaced probes inside
 every open bracket, keeps a probe that is near enough to its target, and opens
 the narrower bracket around each other target.  Only bracket counts reach the
@@ -10,7 +11,8 @@ driver: at most ``4096 * (n_shards - 1)`` numbers a round, whatever the input.
 Rows move once, when every splitter is known.
 
 Slots number a shard's rows without gaps.  A shard is not sorted in one task:
-its key range is cut into bins, whose exact counts give each bin's first slot.
+it is cut into bins by key, and by number where many rows have one key; the
+bins' exact counts give each bin's first slot.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from tarn.session import materialize
 
 DIGIT = 12
 LEVELS = 10  # 5 digits of the key hash, 5 of the position hash
-K1, K2, SIZE, BIN = "__tarn_k1", "__tarn_k2", "__tarn_size", "__tarn_bin"
+K1, K2, SIZE, BIN, PART = "__tarn_k1", "__tarn_k2", "__tarn_size", "__tarn_bin", "__tarn_part"
+#: Up to so many bins of equal keys are broadcast; more are joined by a shuffle.
+BROADCAST_BINS = 100_000
 
 
 def _digit(level: int) -> Column:
@@ -117,6 +121,23 @@ def shard_of(splitters: list[tuple[int, int]], low: int, high: int) -> Column:
     return F.when(below, shard_of(splitters, low, mid)).otherwise(shard_of(splitters, mid + 1, high))
 
 
+def _bins(keyed: DataFrame, bin_bytes: int) -> tuple[DataFrame, list[str]]:
+    """``keyed`` with bins of about ``bin_bytes``: ranges of the key, cut again by the second number where one range holds far more (equal keys)."""
+    total = keyed.agg(F.sum(SIZE)).first()[0] or 0
+    bits = min(40, max(0, math.ceil(math.log2(max(1, total / bin_bytes)))))
+    coarse = keyed.withColumn(BIN, F.shiftrightunsigned(K1, 60 - bits))
+    mass = coarse.groupBy(BIN).agg(F.sum(SIZE).alias("bytes"), F.count("*").alias("rows"))
+    # a range of a hashed key holds one bin's bytes, give or take: what holds 8 times that in more than one row has equal keys or long rows
+    large = mass.where((F.col("bytes") > 8 * bin_bytes) & (F.col("rows") > 1))
+    large = materialize(large.select(BIN, F.ceil(F.log2(F.col("bytes") / bin_bytes)).cast("int").alias("cut")), "shard-large-bins")
+    if large.isEmpty():
+        return coarse.withColumn(PART, F.lit(0).cast("long")), [BIN, PART]
+    # fewer than total / (8 * bin_bytes) of 2 ** bits ranges, and of those with equal keys only
+    cut = coarse.join(F.broadcast(large), BIN, "left") if large.count() <= BROADCAST_BINS else coarse.join(large, BIN, "left")
+    part = F.when(F.col("cut").isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({K2}, 60 - cut)"))
+    return cut.withColumn(PART, part).drop("cut"), [BIN, PART]
+
+
 def histogram_shards(
     df: DataFrame,
     n_shards: int,
@@ -124,14 +145,15 @@ def histogram_shards(
     text: str = "text",
     overhead: int = 16,
     tolerance: float = 0.002,
-    rows_per_bin: int = 4096,
+    bin_bytes: int = 1 << 20,
 ) -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of ``text`` plus ``overhead``), ``shard`` and ``slot``, in shards of nearly equal bytes.
 
     ``keys`` (``doc_id`` by default) decide the order, by their hash.  Rows with
-    equal keys, nulls among them, are told apart by their position in the scan,
-    so even one key that holds a third of all rows is spread over shards; such
-    rows' own slots depend on how the input is laid out, all others' do not.
+    equal keys, nulls among them, are told apart by the number they get when
+    they are written, so even one key that holds a third of all rows is spread
+    over shards and bins; such rows' own slots depend on how the input is laid
+    out, all others' do not.  ``df`` may be any DataFrame.
 
     A null text has no bytes.  An empty table gives an empty result.  Input
     columns named like an output are replaced.
@@ -140,21 +162,13 @@ def histogram_shards(
     keep = carried(df, ["size", "shard", "slot"])
     size = F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0)) + F.lit(overhead)
     at = hash60(F.monotonically_increasing_id(), F.lit(n_shards))
-    whole = df.select(*[F.col(c) for c in keep], size.alias("size"), hash60(*[F.col(c) for c in keys]).alias(K1), at.alias(K2))
-    keyed = materialize(whole.select(K1, K2, F.col("size").alias(SIZE)), "shard-keys")
-    splitters = find_splitters(keyed, [i / n_shards for i in range(1, n_shards)], tolerance / n_shards)
-    shard = shard_of(splitters, 0, len(splitters))
-
-    bits = max(8, math.ceil(math.log2(max(1, keyed.count() / rows_per_bin))))
-    bin_ = F.shiftright(F.col(K1), 60 - min(bits, 40))
-    before = Window.partitionBy("shard").orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        keyed.select(shard.alias("shard"), bin_.alias(BIN))
-        .groupBy("shard", BIN)
-        .count()
-        .select("shard", BIN, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__tarn_first"))
-    )
-    placed = whole.withColumns({"shard": shard, BIN: bin_}).join(first, ["shard", BIN])
-    inside = Window.partitionBy("shard", BIN).orderBy(K1, K2)
+    rows = materialize(df.select(*[F.col(c) for c in keep], size.alias(SIZE), hash60(*[F.col(c) for c in keys]).alias(K1), at.alias(K2)), "shard-rows")
+    splitters = find_splitters(rows.select(K1, K2, SIZE), [i / n_shards for i in range(1, n_shards)], tolerance / n_shards)
+
+    binned, bins = _bins(rows, bin_bytes)
+    placed = binned.withColumn("shard", shard_of(splitters, 0, len(splitters)))
+    before = Window.partitionBy("shard").orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("shard", *bins).count().select("shard", *bins, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__tarn_first"))
+    inside = Window.partitionBy("shard", *bins).orderBy(K1, K2)
     slot = F.col("__tarn_first") + F.row_number().over(inside) - 1
-    return placed.select(*keep, "size", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.join(first, ["shard", *bins]).select(*keep, F.col(SIZE).alias("size"), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))

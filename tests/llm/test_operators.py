@@ -81,7 +81,7 @@ def test_splitters_are_exact_and_split_one_hot_key(spark):
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup_compares_bytes(docs, weak):
     digest = (lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(3)).cast("string")) if weak else exact_dedup.sha256_hex
-    got = exact_dedup.decide(docs, digest=digest, memtables=3, fanout=2).toPandas()
+    got = exact_dedup.decide(docs, digest=digest, memtables=3).toPandas()
     groups = {}
     for r in docs.select("doc_id", "text").collect():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append((-len(r.text or ""), r.doc_id is None, r.doc_id))
@@ -105,15 +105,17 @@ def test_exact_dedup_salts_hot_groups_and_takes_nothing(spark, empty):
     assert exact_dedup.drop_copies(empty).columns == empty.columns
 
 
-def test_lookup_reads_runs(spark, docs):
-    rows = docs.select(F.monotonically_increasing_id().alias(exact_dedup.RID), F.col("doc_id").alias("__tarn_id"), F.md5("text").alias(exact_dedup.DIGEST), F.lit(1).alias(exact_dedup.POINTS), F.lit("").alias(exact_dedup.VARIANT)).where(F.col(exact_dedup.DIGEST).isNotNull())
-    index = exact_dedup.DigestIndex(spark, fanout=2)
-    index.flush(rows, 3)
-    assert len(index.runs) == 3
-    index.compact()
-    assert len(index.runs) == 1
-    one = rows.first()[exact_dedup.DIGEST]
-    assert index.lookup([one, "absent"]).count() == 1
+def test_filters_find_hits_and_lookups(spark):
+    """Digests that several rows share are hits, wherever their runs are; nearly all others are final without a merge."""
+    cols = [F.col("id").alias("__tarn_id"), F.md5((F.col("id") % 4000).cast("string")).alias(exact_dedup.DIGEST), F.lit("").alias(exact_dedup.VARIANT), F.lit(1).alias(exact_dedup.POINTS)]
+    rows = spark.range(0, 4400, 1, 6).select(F.monotonically_increasing_id().alias(exact_dedup.RID), *cols)
+    index = exact_dedup.DigestIndex(rows, 3)
+    assert index.entries().select("run").distinct().count() == 3
+    assert 800 <= index.hits().count() < 1200
+    shared = index.compact().collect()
+    assert len(shared) == 400 and all(r.n == 2 and r.best.id < 400 for r in shared)
+    assert index.lookup([hashlib.md5(b"3999").hexdigest(), "absent"]).count() == 1
+    assert index.lookup([hashlib.md5(b"7").hexdigest()]).count() == 2
 
 
 def test_mix_meets_targets(docs, empty):
@@ -131,10 +133,32 @@ def test_mix_meets_targets(docs, empty):
     assert mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == got["taken"].sum()
 
 
-def test_targets_and_budgets():
-    assert mixing.fit_targets([10, 10, 10], [5, 2, 1]) == pytest.approx([18.75, 7.5, 3.75])
-    assert mixing.fit_targets([1, 10, 0], [5, 2, 1]) == pytest.approx([3, 8, 0])
-    assert sum(mixing.fit_targets([1, 1, 100], [5, 2, 1])) == pytest.approx(102)
+def _fit_targets(sizes, weights, share, most):
+    """Water filling, source by source."""
+    targets, free, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(sizes)
+    while free:
+        weight = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / weight > most * sizes[i]]
+        for i in over or free:
+            targets[i] = most * sizes[i] if over else left * weights[i] / weight
+        left -= sum(targets[i] for i in over)
+        free = [i for i in free if over and i not in over]
+    return targets
+
+
+def test_targets_of_any_number_of_sources(spark):
+    rng = np.random.default_rng(1)
+    names = ["é", "z", "\U0001F600", "\uffee", "a", "B", *[f"host-{i}.example" for i in range(500)]]
+    for sizes in ([10, 10, 10], [1, 10, 0], [1, 1, 100], [0, 0], [int(x) for x in rng.pareto(0.7, 506) * 50], []):
+        rows = [(False, n, s) for n, s in zip(names, sizes)]
+        rows = [*rows[1:], (True, "", rows[0][2])] if rows else []  # the null source is last
+        got = {(r[0], r[1]): r.target for r in mixing.fit_targets(spark.createDataFrame(rows, f"{mixing.NO} boolean, {mixing.NAME} string, source_size long").repartition(5)).collect()}
+        order = sorted(rows)  # Python compares code points
+        want = _fit_targets([r[2] for r in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))], 1.0, 3)
+        assert [got[r[:2]] for r in order] == pytest.approx(want)
+
+
+def test_budgets():
     for budget in (0, 1, 7, 50, 123, 999):
         taken = mixing.fit_budget({3: 20, 7: 10, 50: 3, 1: 2}, budget)
         assert sum(n * c for n, c in taken.items()) == min(budget, 282)
