@@ -1,16 +1,25 @@
 """Main text of web pages by inferred wrappers.
 
-A page is a stream of tags and texts.  Streams of one host are aligned into a
-wrapper, a regular expression without unions: adjacent parts of one shape fold
-into a repeated group, parts that some pages lack become optional groups, and
-texts that differ become slots.  The wrapper shows where a host keeps its main
-text: in its article, or else in the part that holds most of what varies from
-page to page; texts that never vary there are furniture.
+A page is a stream of tags and texts.  Streams of one host are aligned, one
+after another, into a wrapper: a regular expression without unions.  Siblings
+of equal shape meet in order; where their numbers differ they become a repeated
+group, but for leading and trailing ones whose text is the same on both sides;
+a sequence that recurs many times becomes a repeated group of its own; what one
+side lacks becomes optional, and texts that differ become slots.
+
+A host's wrapper decides what its pages say.  Its main part is the article (or
+main element), or else the part that holds most of what varies from page to
+page.  Inside it, texts that are the same wherever they stand are furniture, and
+so are the elements that HTML has for menus, asides, forms and the like.  Names
+of classes are weak evidence: they take a part out only if enough is left.
+Each page is then matched with its host's wrapper, and the texts that fall on
+its kept slots are the page's text.
 
 Wrappers are learnt from all pages: each task folds its own into one partial
-wrapper a host, and the partial wrappers of a host are aligned in a tree.  Every
-page is then read whole.  A page without the place that its host's wrapper names,
-or with a host of its own, is read by its own wrapper.
+wrapper a host, and the partial wrappers of a host are aligned in a tree.  A
+page in which the wrapper finds no main part is read by a wrapper of its own.
+All walks use lists for stacks, so pages may be nested to any depth, and long
+sequences are aligned inside a band, so the work grows with a page's length.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,14 +37,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import carried, small_batches
+from tarn.llm._common import HOT_LEAST, HOT_SHARE, carried, small_batches
+from tarn.session import materialize
 
-#: From this many distinct pages on, a line that never varies inside a host's articles is furniture.
-LEAST_PAGES = 12
+#: From this many distinct pages on, what never varies is furniture: outside of articles, and inside them.
+FEW_PAGES, LEAST_PAGES = 3, 12
 #: Partial wrappers that meet in one group of a tree's level, and hosts that a task holds at once.
 FAN_IN, OPEN_HOSTS = 16, 1000
 #: A part is the main one if it holds this share of its surroundings' text.
 MAIN_SHARE = 0.6
+#: Where parts whose class names tell of furniture hold this share of the text, the heaviest of them stays; repeated articles with less than the other share are teasers.
+MARKED_SHARE, TEASER_SHARE = 0.8, 0.3
+#: Siblings of one shape that are one group at sight, recurrences of a sequence (of at most so many parts) that are, and how far alignment strays from the diagonal.
+RUN, TANDEM, PERIOD, BAND, CELLS = 16, 8, 4, 64, 20_000
+#: Up to this size, all wrappers are broadcast; beyond, pages are dealt to them.
+BROADCAST_BYTES = 16 << 20
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math"}
@@ -57,7 +74,6 @@ MARKS = re.compile(
     r"widget|search|skip-link|hidden|sr-only|visually-hidden|print-only|complementary|contentinfo|dialog|tooltip)(?:$|[\s_-])",
     re.I,
 )
-MAIN = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 #: A start tag that closes an open tag of these names, up to the nearest tag that bounds the search.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "body", "aside", "nav", "footer", "header", "main", "form", "td", "th", "blockquote"}
@@ -69,354 +85,582 @@ _DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
+
 @dataclass
 class Node:
-    """An element; ``parts`` holds texts and elements in order."""
+    """An element; ``parts`` holds texts and elements in order. ``marked``: its class, id or role tells of furniture."""
 
     tag: str
     shape: str
-    marks: str = ""
+    marked: bool = False
     parts: list = field(default_factory=list)
 
+    def add_text(self, text: str) -> None:
+        if self.parts and isinstance(self.parts[-1], str):
+            self.parts[-1] += text
+        else:
+            self.parts.append(text)
+
 
 def parse(page: str) -> Node:
     """The page as a tree, with the end tags that authors leave out."""
     root = Node("#root", "#root")
-    stack, at = [root], 0
-    for_raw = None
+    stack, at, open_ = [root], 0, Counter()
+
+    def cut(i: int) -> None:
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    def close(tags: set[str]) -> None:
+        if not any(open_[t] for t in tags):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                return cut(i)
+            if stack[i].tag in BOUNDS:
+                return None
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].parts.append(entities.unescape(text))
+            stack[-1].add_text(entities.unescape(text))
         if not m:
             return root
         at = m.end()
         if not m.group(2):
             if m.group().startswith("<![CDATA["):
-                stack[-1].parts.append(m.group()[9:-3])
+                stack[-1].add_text(m.group()[9:-3])
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("article", "body", "main", "td", "table") and tag not in ("html", "body", "article", "main", "table", "tr", "td"):
                     break
             continue
         if tag in ENDS_P:
-            _close(stack, {"p"})
+            close({"p"})
         if tag in CLOSES:
-            _close(stack, CLOSES[tag])
-        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m.group(3))}
+            close(CLOSES[tag])
+        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m.group(3))} if m.group(3) else {}
         marks = " ".join(attrs[a] for a in ("class", "id", "role", "itemprop") if attrs.get(a))
-        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-            marks += " hidden"
         shape = tag + "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(attrs.get("class", "").split())) + (f"@{attrs['role']}" if attrs.get("role") else "")
-        node = Node(tag, shape, marks)
+        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+            shape += "!hidden"
+        node = Node(tag, shape, bool(marks) and tag not in ("html", "body", "main", "article") and bool(MARKS.search(marks)))
         stack[-1].parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag in RAW:
             continue
         if tag in RAW:
-            for_raw = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I)
-            end = for_raw.search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             node.parts.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
             continue
         stack.append(node)
+        open_[tag] += 1
 
 
-def _close(stack: list[Node], tags: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in BOUNDS:
-            return
-
+# ---- wrappers
 
-def is_furniture(node: Node, inside_main: bool) -> bool:
-    if node.tag in FURNITURE:
-        return True
-    if node.tag == "header":
-        return not inside_main
-    return bool(node.marks) and node.tag not in ("html", "body") and bool(MARKS.search(node.marks)) and not MAIN.search(node.marks)
+TEXT = "#text"
 
 
-# ---- wrappers: ("text", value or None for a slot, optional, mass) and ("tag", shape, optional, repeated, mass, body)
-
-
-@dataclass
+@dataclass(eq=False)
 class Part:
-    """A piece of a wrapper. ``value``: a constant text; None for a slot or an element. ``mass``: characters seen in slots."""
+    """A piece of a wrapper, or of one page.
+
+    ``value``: all text inside, if it is the same wherever the part stands;
+    None for what varies.  ``seen``: surroundings that have the part; ``count``:
+    how often it stands in them.  ``mass``: characters of a text, all of them.
+    A group is a sequence that recurs; its body holds the sequence once.
+    """
 
     shape: str
+    marked: bool = False
     value: str | None = None
-    optional: bool = False
-    repeated: bool = False
-    furniture: bool = False
-    main: bool = False
+    count: int = 1
     seen: int = 1
+    repeated: bool = False
     mass: int = 0
     body: list = field(default_factory=list)
+    role: str = ""
 
     @property
     def key(self) -> tuple[str, bool]:
-        """What must agree for parts to meet; one furniture part does not make furniture of others of its shape."""
-        return self.shape, self.furniture
-
+        return self.shape, self.marked
 
-def _stream(node: Node, inside_main: bool = False) -> list[Part]:
-    """The parts of one page, adjacent parts of one shape folded into repeated groups."""
-    out: list[Part] = []
-    for x in node.parts:
-        if isinstance(x, str):
-            text = " ".join(x.split())
-            if not text:
-                continue
-            part = Part("#text", text, mass=len(text))
-        else:
-            main = x.tag in ("article", "main") or bool(MAIN.search(x.marks)) or "main" in x.marks.split()
-            furniture = is_furniture(x, inside_main)
-            part = Part(x.shape, furniture=furniture, main=main and not furniture, body=[] if furniture else _stream(x, inside_main or main))
-            part.mass = 0 if furniture else sum(p.mass for p in part.body)
-        if out and out[-1].key == part.key:
-            last = out[-1]
-            if part.shape == "#text":
-                last.value, last.mass = (last.value or "") + " " + part.value, last.mass + part.mass
+    @property
+    def tag(self) -> str:
+        return re.match(r"[^.@!]*", self.shape).group()
+
+    def row(self) -> list:
+        return [self.shape, self.marked, self.value, self.count, self.seen, self.repeated, self.mass]
+
+
+def is_furniture(tag: str, shape: str) -> bool:
+    """Whether HTML itself says that an element is no text to read."""
+    return tag in FURNITURE or shape.endswith("!hidden")
+
+
+def page_parts(root: Node) -> Part:
+    """One page as parts, blank texts left out; elements that are furniture have no body."""
+    top = Part(root.shape)
+    order, stack = [], [(root, top)]
+    while stack:
+        node, part = stack.pop()
+        order.append(part)
+        for x in node.parts:
+            if isinstance(x, str):
+                text = " ".join(x.split())
+                if text:
+                    part.body.append(Part(TEXT, value=text, mass=len(text)))
             else:
-                last.repeated, last.mass, last.main = True, last.mass + part.mass, last.main or part.main
-                last.body = align(last.body, part.body)
+                part.body.append(Part(x.shape, x.marked))
+                if not is_furniture(x.tag, x.shape):
+                    stack.append((x, part.body[-1]))
+    for part in reversed(order):
+        part.value = _digest([p.value for p in part.body])
+    return top
+
+
+def _digest(values: list[str | None]) -> str | None:
+    """What stands for all text inside a part: short, or by its digest."""
+    if any(v is None for v in values):
+        return None
+    text = " ".join(v for v in values if v)
+    return text if len(text) <= 64 else hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def grouped(parts: list[Part]) -> list:
+    """``parts`` in order, with a list of lists in place of a sequence that recurs ``TANDEM`` times or more."""
+    if len(parts) < 2 * TANDEM:
+        return parts
+    keys, out, i = [p.key for p in parts], [], 0
+    while i < len(parts):
+        for period in range(2, PERIOD + 1):
+            end = i + period
+            while end + period <= len(keys) and all(keys[end + k] == keys[i + k] for k in range(period)):
+                end += period
+            if end - i >= TANDEM * period and len(set(keys[i : i + period])) > 1:
+                out.append([parts[k : k + period] for k in range(i, end, period)])
+                i = end
+                break
         else:
-            out.append(part)
+            out.append(parts[i])
+            i += 1
     return out
 
 
-def align(a: list[Part], b: list[Part]) -> list[Part]:
-    """One wrapper for two: equal shapes meet in order, what is left over on either side becomes optional, differing texts become slots."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            x, y = a[i], b[j]
-            out.append(
-                Part(
-                    x.shape,
-                    x.value if x.value == y.value else None,
-                    x.optional or y.optional,
-                    x.repeated or y.repeated,
-                    x.furniture or y.furniture,
-                    x.main or y.main,
-                    x.seen + y.seen,
-                    x.mass + y.mass,
-                    align(x.body, y.body),
-                )
-            )
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            a[i].optional = True
-            out.append(a[i])
-            i += 1
+def _runs(parts: list) -> list[tuple[tuple, list]]:
+    """Neighbours of one key together; groups that recur stand alone."""
+    out: list[tuple[tuple, list]] = []
+    for p in grouped(parts):
+        key = p.key if isinstance(p, Part) else (_group_shape(p[0]), False)
+        if out and out[-1][0] == key:
+            out[-1][1].append(p)
         else:
-            b[j].optional = True
-            out.append(b[j])
-            j += 1
-    return _fold(out)
-
-
-def _fold(parts: list[Part]) -> list[Part]:
-    """Neighbours of one shape, of which alignment left several, as one repeated group."""
-    out: list[Part] = []
-    for p in parts:
-        if out and p.key == out[-1].key and p.shape != "#text":
-            q = out[-1]
-            q.repeated, q.optional, q.mass, q.seen = True, q.optional and p.optional, q.mass + p.mass, max(q.seen, p.seen)
-            q.main, q.body = q.main or p.main, align(q.body, p.body)
-        else:
-            out.append(p)
+            out.append((key, [p]))
     return out
 
 
-def expression(parts: list[Part]) -> str:
-    """The wrapper as a regular expression without unions."""
-    out = []
-    for p in parts:
-        one = ("#PCDATA" if p.value is None else p.value) if p.shape == "#text" else f"<{p.shape}>{expression(p.body)}</{p.shape.split('.')[0].split('@')[0]}>"
-        sign = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[p.optional, p.repeated]
-        out.append(f"({one}){sign}" if sign else one)
-    return " ".join(out)
+def _group_shape(parts: list[Part]) -> str:
+    return "(" + " ".join(f"{p.shape}{'~' if p.marked else ''}" for p in parts) + ")"
+
+
+def pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of keys: their common head and tail, and between them the best inside a band."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    n, m = len(a) - head - tail, len(b) - head - tail
+    found = [(i, i) for i in range(head)]
+    if n and m:
+        wide = m if n * m <= CELLS else BAND
+        low = lambda i: max(0, i * m // n - wide)
+        best = [{} for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(min(m, (i + 1) * m // n + wide) - 1, low(i) - 1, -1):
+                row[j] = below.get(j + 1, 0) + 1 if a[head + i] == b[head + j] else max(below.get(j, 0), row.get(j + 1, 0))
+        i = j = 0
+        while i < n and j < m:
+            if a[head + i] == b[head + j] and j in best[i]:
+                found.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1].get(j, 0) >= best[i].get(j + 1, 0):
+                i += 1
+            else:
+                j += 1
+    return found + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
-def _main_paths(parts: list[Part], path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
-    out = []
-    for p in parts:
-        if p.furniture or p.shape == "#text":
-            continue
-        here = (*path, p.shape)
-        inner = _main_paths(p.body, here)
-        # <main> around an <article>: the article
-        out += inner if inner else [here] if p.main else []
-    return out
+class _Pending:
+    """Bodies that still have to be aligned with the body of a part."""
 
+    def __init__(self):
+        self.of: dict[int, tuple[Part, list]] = {}
 
-def _varying(parts: list[Part], pages: int) -> int:
-    """Characters that are not the same on every page."""
-    return sum((0 if pages > 2 and p.value is not None and not p.optional else p.mass) if p.shape == "#text" else _varying(p.body, pages) for p in parts if not p.furniture)
+    def add(self, part: Part, bodies: list) -> None:
+        bodies = [b for b in bodies if b]
+        if bodies:
+            self.of.setdefault(id(part), (part, []))[1].extend(bodies)
 
+    def take(self, part: Part) -> list:
+        return self.of.pop(id(part), (part, []))[1]
 
-def _densest(parts: list[Part], pages: int) -> tuple[str, ...]:
-    """Down to the part that holds most of what varies, as long as one does."""
-    path: tuple[str, ...] = ()
-    while True:
-        total = _varying(parts, pages)
-        inner = [p for p in parts if p.shape != "#text" and not p.furniture]
-        best = max(inner, key=lambda p: _varying(p.body, pages), default=None)
-        if best is None or not total or best.repeated or _varying(best.body, pages) < MAIN_SHARE * total or best.shape.split(".")[0] in ("p", "b", "span", "ul", "ol", "table"):
-            return path
-        path, parts = (*path, best.shape), best.body
-
-
-def _constants(parts: list[Part], pages: int) -> list[str]:
-    out = []
-    for p in parts:
-        if p.shape == "#text":
-            out += [p.value] if p.value is not None and pages > 2 and not p.optional else []
-        elif not p.furniture and not p.optional:
-            out += _constants(p.body, pages)
-    return out
 
+def _meet(x: Part, y: Part, todo: _Pending) -> Part:
+    """``y`` of another page on ``x``."""
+    x.count, x.seen, x.mass, x.repeated = x.count + y.count, x.seen + y.seen, x.mass + y.mass, x.repeated or y.repeated
+    x.value = x.value if x.value == y.value else None
+    todo.add(x, [y.body, *todo.take(y)])
+    return x
 
-def _fixed(parts: list[Part], path: tuple[str, ...]) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of what is there, and the same, wherever the surrounding part is."""
-    out = []
-    for p in parts:
-        if p.shape == "#text":
-            out += [(path, p.value)] if p.value is not None and not p.optional else []
-        elif not p.furniture and not p.optional:
-            out += _fixed(p.body, (*path, p.shape))
-    return out
 
+def _fold(parts: list, todo: _Pending) -> Part:
+    """Neighbours of one key, or of one recurring sequence, as one repeated part."""
+    if isinstance(parts[0], list):
+        rounds = [r for p in parts for r in p]
+        body = [_fold([r[k] for r in rounds], todo) for k in range(len(rounds[0]))]
+        return Part(_group_shape(rounds[0]), False, _digest([p.value for p in body]), len(rounds), 1, True, 0, body)
+    x = parts[0]
+    for y in parts[1:]:
+        seen = max(x.seen, y.seen)
+        _meet(x, y, todo).seen = seen
+    x.repeated = x.repeated or len(parts) > 1
+    return x
 
-def _inside(parts: list[Part], paths: set[tuple[str, ...]], path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
-    """What never varies inside the articles at ``paths``, of those in which something does."""
-    out = []
-    for p in parts:
-        here = (*path, p.shape)
-        if p.furniture or p.shape == "#text":
-            continue
-        if here in paths:
-            out += _fixed(p.body, here) if _slots(p.body) else []
-        else:
-            out += _inside(p.body, paths, here)
+
+def _ends(a: list[Part], b: list[Part]) -> tuple[int, int]:
+    """How many at the head and at the tail of two runs have one and the same text on both sides."""
+    same = lambda x, y: isinstance(x, Part) and isinstance(y, Part) and not x.repeated and not y.repeated and bool(x.value) and x.value == y.value
+    most, head, tail = min(len(a), len(b)), 0, 0
+    while head < most and same(a[head], b[head]):
+        head += 1
+    while tail < most - head and same(a[-1 - tail], b[-1 - tail]):
+        tail += 1
+    return head, tail
+
+
+def _one_by_one(a: list, b: list) -> bool:
+    return len(a) == len(b) <= RUN and all(isinstance(p, Part) and not p.repeated for p in [*a, *b])
+
+
+def _level(a: list[Part], b: list[Part], todo: _Pending) -> list[Part]:
+    """Two sequences of siblings as one; what is inside them is left to ``todo``."""
+    left, right = _runs(a), _runs(b)
+    out, i, j = [], 0, 0
+    for p, q in [*pairs([k for k, _ in left], [k for k, _ in right]), (len(left), len(right))]:
+        for _, run in [*left[i:p], *right[j:q]]:
+            out += _settled(run, todo)
+        if p < len(left):
+            x, y = left[p][1], right[q][1]
+            if _one_by_one(x, y):
+                out += [_meet(s, t, todo) for s, t in zip(x, y, strict=True)]
+            else:
+                head, tail = _ends(x, y)
+                out += [_meet(s, t, todo) for s, t in zip(x[:head], y[:head], strict=True)]
+                inner = [x[head : len(x) - tail], y[head : len(y) - tail]]
+                folded = [_fold(part, todo) for part in inner if part]
+                if len(folded) == 2:
+                    folded = [_meet(*folded, todo)]
+                for part in folded:
+                    part.repeated = True
+                out += folded
+                out += [_meet(s, t, todo) for s, t in zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)]
+        i, j = p + 1, q + 1
     return out
 
 
-def _slots(parts: list[Part]) -> bool:
-    return any(p.value is None if p.shape == "#text" else not p.furniture and _slots(p.body) for p in parts)
+def _settled(run: list, todo: _Pending) -> list[Part]:
+    """A run as it goes into a wrapper: as it stands, or as one group if it is long or recurs."""
+    if isinstance(run[0], list) or len(run) > RUN:
+        return [_fold(run, todo)]
+    return run
+
+
+def merge(a: Part, b: Part) -> Part:
+    """One wrapper for two, or for a wrapper and a page: level by level, for all parts of a level before any of the next."""
+    todo = _Pending()
+    _meet(a, b, todo)
+    return _settle(a, todo)
+
+
+def _settle(top: Part, todo: _Pending) -> Part:
+    while todo.of:
+        _, (part, bodies) = todo.of.popitem()
+        for body in bodies:
+            part.body = _level(part.body, body, todo)
+    return top
+
+
+def folded(top: Part) -> Part:
+    """A page's parts as the wrapper of one page: long runs and recurring sequences become groups."""
+    stack = [top]
+    while stack:
+        part, todo = stack.pop(), _Pending()
+        part.body = [p for _, run in _runs(part.body) for p in _settled(run, todo)]
+        _settle(part, todo)
+        stack += part.body
+    return top
+
+
+def expression(top: Part) -> str:
+    """The body of a wrapper as a regular expression without unions."""
+    made: dict[int, str] = {}
+    for p in reversed(_preorder(top)):
+        inside = []
+        for q in p.body:
+            one = made.pop(id(q))
+            sign = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[q.seen < p.count, q.repeated]
+            inside.append(f"({one}){sign}" if sign else one)
+        body = " ".join(inside)
+        made[id(p)] = (p.value or "#PCDATA") if p.shape == TEXT else body if p is top or p.shape.startswith("(") else f"<{p.shape}>{body}</{p.tag}>"
+    return made[id(top)]
 
 
 @dataclass
-class Partial:
-    """A wrapper of some pages of a host. ``every``, ``articles``: digests of distinct pages, and of those with an article; ``LEAST_PAGES`` say enough."""
+class Wrapper:
+    """A wrapper of some pages of a host. ``every``: digests of distinct pages; ``LEAST_PAGES`` say enough."""
 
-    parts: list[Part] | None = None
+    top: Part | None = None
     every: set[str] = field(default_factory=set)
-    articles: set[str] = field(default_factory=set)
 
     def add(self, page: str) -> None:
-        stream = _stream(parse(page))
-        digest = {hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()}
-        self.merge(Partial(stream, digest, digest if _main_paths(stream) else set()))
+        digest = hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()
+        self.merge(Wrapper(folded(page_parts(parse(page))), {digest}))
 
-    def merge(self, other: Partial) -> None:
-        if other.parts is not None:
-            self.parts = other.parts if self.parts is None else align(self.parts, other.parts)
+    def merge(self, other: Wrapper) -> None:
+        if other.top is not None:
+            self.top = other.top if self.top is None else merge(self.top, other.top)
         self.every = set(sorted(self.every | other.every)[:LEAST_PAGES])
-        self.articles = set(sorted(self.articles | other.articles)[:LEAST_PAGES])
 
     def dump(self) -> str:
-        pack = lambda parts: [[p.shape, p.value, p.optional, p.repeated, p.furniture, p.main, p.seen, p.mass, pack(p.body)] for p in parts]
-        return json.dumps([None if self.parts is None else pack(self.parts), sorted(self.every), sorted(self.articles)])
+        rows, stack = [], [(self.top, 0)] if self.top else []
+        while stack:
+            part, depth = stack.pop()
+            rows.append([depth, *part.row()])
+            stack += [(p, depth + 1) for p in reversed(part.body)]
+        return json.dumps([rows, sorted(self.every)])
 
     @staticmethod
-    def load(text: str) -> Partial:
-        unpack = lambda rows: [Part(*r[:-1], unpack(r[-1])) for r in rows]
-        parts, every, articles = json.loads(text)
-        return Partial(None if parts is None else unpack(parts), set(every), set(articles))
-
-    def wrapper(self) -> dict:
-        """Its expression, the paths of its main text, and the texts that never vary: everywhere, where no article says what is main, or inside the articles."""
-        parts, pages = self.parts or [], len(self.every)
-        paths = list(dict.fromkeys(_main_paths(parts)))
-        inside = _inside(parts, set(paths)) if paths and len(self.articles) >= LEAST_PAGES else []
-        return {
-            "paths": [list(p) for p in paths or [_densest(parts, pages)]],
-            "article": bool(paths),
-            "constants": [] if paths else _constants(parts, pages),
-            "inside": [[list(path), text] for path, text in dict.fromkeys(inside)],
-            "expression": expression(parts),
-        }
-
-
-def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's pages."""
-    found = Partial()
-    for page in dict.fromkeys(pages):
-        found.add(page)
-    return found.wrapper()
+    def load(text: str) -> Wrapper:
+        rows, every = json.loads(text)
+        path: list[Part] = []
+        for depth, *row in rows:
+            part = Part(*row)
+            del path[depth:]
+            if path:
+                path[-1].body.append(part)
+            path.append(part)
+        return Wrapper(path[0] if path else None, set(every))
+
+    def decide(self) -> Wrapper:
+        """Give parts their roles: ``main``, ``out`` (furniture, with all inside) and ``fixed`` (a text that never varies)."""
+        if self.top is not None:
+            _decide(self.top, len(self.every))
+        return self
+
+    def main_paths(self) -> list[list[str]]:
+        out, stack = [], [(self.top, [])] if self.top else []
+        while stack:
+            part, path = stack.pop()
+            if part.role == "main":
+                out.append(path)
+            else:
+                stack += [(p, [*path, p.shape]) for p in reversed(part.body) if p.role != "out"]
+        return out
 
 
-def _places(node: Node, paths: list[tuple[str, ...]], path: tuple[str, ...] = ()) -> list[tuple[Node, tuple[str, ...]]]:
-    if path in paths:
-        return [(node, path)]
-    out = []
-    for x in node.parts:
-        if isinstance(x, Node) and any(p[: len(path) + 1] == (*path, x.shape) for p in paths):
-            out += _places(x, paths, (*path, x.shape))
+def _preorder(top: Part) -> list[Part]:
+    out, stack = [], [top]
+    while stack:
+        part = stack.pop()
+        out.append(part)
+        stack += reversed(part.body)
     return out
 
 
-def _blocks(node: Node, out: list[list[tuple[str, tuple[str, ...]]]], path: tuple[str, ...] = ()) -> None:
-    """Appends each block's texts, each with the path to it."""
-    for x in node.parts:
-        if isinstance(x, str):
-            out[-1].append((x, path))
-        elif is_furniture(x, True):
-            if x.tag in BLOCK or x.tag not in ("label", "button", "input", "svg", "math", "script", "style"):
-                out.append([])
-        elif x.tag in BLOCK:
-            out.append([])
-            _blocks(x, out, (*path, x.shape))
-            out.append([])
+def _decide(top: Part, pages: int) -> None:
+    order = _preorder(top)
+    for p in order:
+        p.role = "out" if p.shape != TEXT and is_furniture(p.tag, p.shape) else ""
+    weigh = lambda least: _weights(order, pages, least)
+    weight = weigh(FEW_PAGES)
+    _drop_marked(top, weight)
+    weight = weigh(FEW_PAGES)
+    mains = _outermost(top, {"article"})
+    if mains and all(p.repeated for p in mains) and sum(weight[id(p)] for p in mains) < TEASER_SHARE * weight[id(top)]:
+        mains = []
+    mains = mains or _outermost(top, {"main"}) or [p for p in order if p.shape.endswith("@main") and p.role != "out"]
+    least = LEAST_PAGES if mains else FEW_PAGES
+    for main in mains or [_densest(top, weight)]:
+        main.role = "main"
+        inside = _preorder(main)
+        weight = _weights(inside, pages, least)
+        nested = _outermost(main, {"article"})  # what readers say about an article is often an article inside it
+        for p in nested if 2 * sum(weight[id(p)] for p in nested) < weight[id(main)] else []:
+            p.role = "out"
+        _drop_marked(main, weight)
+        if pages >= least and weight[id(main)]:
+            for p in inside:
+                if p.shape == TEXT and p.value is not None and p.seen >= least:
+                    p.role = "fixed"
+
+
+def _weights(order: list[Part], pages: int, least: int) -> dict[int, int]:
+    """Characters inside each part: those that vary, where there are pages enough to tell; what is out, and text of links outside of sentences, does not count."""
+    weight: dict[int, int] = {}
+    for p in reversed(order):
+        if p.role == "out":
+            weight[id(p)] = 0
+        elif p.shape == TEXT:
+            weight[id(p)] = 0 if pages >= least and p.value is not None and p.count >= least else p.mass
         else:
-            _blocks(x, out, (*path, x.shape))
+            inner = sum(weight.get(id(q), 0) for q in p.body)
+            alone = p.body and all(q.tag == "a" for q in p.body)
+            weight[id(p)] = 0 if alone and p.tag in ("li", "div", "ul", "span", "td") else inner
+    return weight
+
+
+def _drop_marked(top: Part, weight: dict[int, int]) -> None:
+    """Parts whose names tell of furniture go; where little would be left, the heaviest stays, and is looked into."""
+    while top is not None:
+        marked, stack = [], list(top.body)
+        while stack:
+            p = stack.pop()
+            if p.marked and p.role != "out":
+                marked.append(p)
+            elif p.role != "out":
+                stack += p.body
+        for p in marked:
+            p.role = "out"
+        rest = weight[id(top)] - sum(weight[id(p)] for p in marked)
+        top = max(marked, key=lambda p: weight[id(p)]) if marked and rest < (1 - MARKED_SHARE) * weight[id(top)] else None
+        if top is not None:
+            top.role = ""
+
+
+def _outermost(top: Part, tags: set[str]) -> list[Part]:
+    out, stack = [], list(reversed(top.body))
+    while stack:
+        p = stack.pop()
+        if p.role == "out":
+            continue
+        if p.tag in tags:
+            out.append(p)
+        else:
+            stack += reversed(p.body)
+    return out
 
 
-def extract(page: str, wrapper: dict | None) -> str:
-    """The main text of a page, its blocks joined by line feeds."""
+def _densest(top: Part, weight: dict[int, int]) -> Part:
+    """Down to the part that holds most of what varies, as long as one does."""
+    while True:
+        inner = [p for p in top.body if p.shape != TEXT and p.role != "out" and p.tag != "header"]
+        best = max(inner, key=lambda p: weight[id(p)], default=None)
+        if best is None or not weight[id(top)] or best.repeated or weight[id(best)] < MAIN_SHARE * weight[id(top)] or best.tag in ("p", "b", "span", "ul", "ol", "table"):
+            return top
+        top = best
+
+
+def infer(pages: list[str]) -> Wrapper:
+    """The wrapper of a host's pages."""
+    found = Wrapper()
+    for page in dict.fromkeys(pages):
+        found.add(page)
+    return found.decide()
+
+
+def _matched(wrapper: list[Part], page: list[Part]) -> dict[int, Part]:
+    """The part of a wrapper's body that each part of a page's body falls on, by ``id``."""
+    out: dict[int, Part] = {}
+    left = []
+    for p in wrapper:
+        if left and left[-1][0] == p.key:
+            left[-1][1].append(p)
+        else:
+            left.append((p.key, [p]))
+    right = _runs(page)
+    for i, j in pairs([k for k, _ in left], [k for k, _ in right]):
+        x, y = left[i][1], right[j][1]
+        if isinstance(y[0], list):
+            for rounds in y:
+                for one in rounds:
+                    out.update((id(q), p) for q, p in zip(one, x[0].body, strict=True))
+            continue
+        if _one_by_one(x, y):
+            out.update((id(q), p) for p, q in zip(x, y, strict=True))
+            continue
+        head, tail = _ends(x, y)
+        head, tail = min(head, len(x) - 1), min(tail, max(0, len(x) - 1 - head))
+        for k, q in enumerate(y):
+            at = k if k < head else len(x) - (len(y) - k) if k >= len(y) - tail else next((n for n, p in enumerate(x) if p.repeated), head)
+            out[id(q)] = x[at]
+    return out
+
+
+def read_by(root: Node, wrapper: Wrapper) -> str | None:
+    """The text that falls on kept parts of the wrapper, its blocks joined by line feeds; None if its main part is nowhere in the page."""
+    if wrapper.top is None:
+        return None
+    blocks: list[list[tuple[str, bool]]] = [[]]
+    top = page_parts(root)
+    found = wrapper.top.role == "main"
+    # (element, its part, the wrapper's part, whether inside the main part); None ends a block
+    stack: list = [(root, top, wrapper.top, found)]
+    while stack:
+        here = stack.pop()
+        if here is None:
+            blocks.append([])
+            continue
+        if isinstance(here[0], str):
+            blocks[-1].append(here)
+            continue
+        node, part, met, main = here
+        if node is not root and node.tag in BLOCK:
+            blocks.append([])
+            stack.append(None)
+        known = _matched(met.body, part.body) if met is not None else {}
+        own, later = iter(part.body), []
+        for x in node.parts:
+            if isinstance(x, str):
+                p = known.get(id(next(own))) if x.strip() else None
+                if main:
+                    later.append((x, p is not None and p.role == "fixed"))
+                continue
+            mine = next(own)
+            p = known.get(id(mine))
+            begins = p.role == "main" if p is not None else x.tag == "article" and not main
+            if is_furniture(x.tag, x.shape) or p is not None and p.role == "out" or p is None and main and x.marked or x.tag == "header" and not (main or begins):
+                if main and (x.tag in BLOCK or x.tag not in ("label", "button", "input", "svg", "math", "script", "style")):
+                    later.append(None)
+                continue
+            if begins:
+                found = True
+                later += [None, (x, mine, p, True), None]
+            else:
+                later.append((x, mine, p, main))
+        stack += reversed(later)
+    if not found:
+        return None
+    # a line goes if all of it is fixed; a fixed label beside a slot stays
+    kept = [b for b in blocks if any(text.strip() and not fixed for text, fixed in b)]
+    lines = [" ".join("".join(text for text, _ in b).split()) for b in kept]
+    return "\n".join(x for x in lines if x)
+
+
+def extract(page: str, wrapper: Wrapper | None) -> str:
+    """The main text of a page by its host's wrapper (with roles), or by its own where that one finds no main part."""
     root = parse(page)
-    found = _places(root, [tuple(p) for p in wrapper["paths"]]) if wrapper else []
-    if not found or not wrapper["article"]:
-        own = infer([page])
-        if own["article"] or not found:
-            wrapper = own
-            found = _places(root, [tuple(p) for p in own["paths"]])
-    blocks: list[list[tuple[str, tuple[str, ...]]]] = [[]]
-    for node, path in found:
-        blocks.append([])
-        _blocks(node, blocks, path)
-    if wrapper["inside"]:
-        # a line goes if all of it is fixed; a fixed label beside a slot stays
-        fixed = {(tuple(path), text) for path, text in wrapper["inside"]}
-        blocks = [b for b in blocks if not all(not text.strip() or (path, " ".join(text.split())) in fixed for text, path in b)]
-    lines = [" ".join("".join(text for text, _ in b).split()) for b in blocks]
-    constant = set() if wrapper["article"] else set(wrapper["constants"])
-    return "\n".join(x for x in lines if x and x not in constant)
+    text = read_by(root, wrapper) if wrapper is not None else None
+    return text if text is not None else read_by(root, infer([page])) or ""
 
 
 # ---- Spark
@@ -427,69 +671,90 @@ def host_of(url: Column) -> Column:
 
 
 def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper as JSON), from all pages: partial wrappers by task, then aligned ``FAN_IN`` at a time."""
+    """(host, wrapper as JSON, pages), from all pages: partial wrappers by task, then aligned ``FAN_IN`` at a time."""
     small_batches(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"))
+    schema = "host string, task int, partial string, pages long"
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held = TaskContext.get().partitionId(), {}
-        made = lambda: pd.DataFrame([(h, task, p.dump()) for h, p in held.items()], columns=["host", "task", "partial"])
+        task, held, count = TaskContext.get().partitionId(), {}, Counter()
+        made = lambda: pd.DataFrame([(h, task, w.dump(), count[h]) for h, w in held.items()], columns=["host", "task", "partial", "pages"])
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                held.setdefault(host, Partial()).add(page)
+                held.setdefault(host, Wrapper()).add(page)
+                count[host] += 1
             if len(held) > OPEN_HOSTS:
                 yield made()
                 held.clear()
+                count.clear()
         yield made()
 
-    def merged(pdf: pd.DataFrame) -> Partial:
-        out = Partial()
-        for text in sorted(pdf["partial"]):
-            out.merge(Partial.load(text))
-        return out
-
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN_IN], "partial": [merged(pdf).dump()]})
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        wrapper = {k: v for k, v in merged(pdf).wrapper().items() if k != "expression"}
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
+        out = Wrapper()
+        for text in sorted(pdf["partial"]):
+            out.merge(Wrapper.load(text))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN_IN], "partial": [out.dump()], "pages": [pdf["pages"].sum()]})
 
-    found, tasks = rows.mapInPandas(begin, "host string, task int, partial string"), rows.rdd.getNumPartitions()
-    while tasks > FAN_IN:
-        found = found.groupBy("host", F.floor(F.col("task") / FAN_IN).alias("next")).applyInPandas(join, "host string, task int, partial string")
+    found, tasks = rows.mapInPandas(begin, schema), rows.rdd.getNumPartitions()
+    while True:
+        found = found.groupBy("host", F.floor(F.col("task") / FAN_IN).alias("next")).applyInPandas(join, schema)
+        if tasks <= FAN_IN:
+            return found.select("host", F.col("partial").alias("wrapper"), "pages")
         tasks = -(-tasks // FAN_IN)
-    return found.groupBy("host").applyInPandas(finish, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``out``: the main text of each page, empty if it has none.
 
     A null page counts as empty; a null or odd address as one host of its own.
-    Rows may repeat.  A column already named like the output is replaced.
+    Rows may repeat, nest to any depth and be of any length.  A column already
+    named like the output is replaced.  Where all wrappers together are small
+    (``broadcast_bytes``), every task gets them; otherwise pages are dealt to
+    the wrapper of their host, those of a large host over many tasks.
     """
-    small_batches(pages.sparkSession)
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql.types import StringType
-
-    from tarn.session import materialize
-
+    spark = pages.sparkSession
+    small_batches(spark)
     keep = carried(pages, [out])
     wrappers = materialize(learn_wrappers(pages, url, html), "wrappers")
-    rows = pages.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("__tarn_host"))
-    met = rows.join(wrappers.withColumnRenamed("host", "__tarn_host").withColumnRenamed("wrapper", "__tarn_wrapper"), "__tarn_host", "left")
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, dict] = {}
-        for texts, found in batches:
-            if len(known) > 1000:
-                known.clear()
-            result = []
-            for page, wrapper in zip(texts, found, strict=True):
-                if wrapper is not None and wrapper not in known:
-                    known[wrapper] = json.loads(wrapper)
-                result.append(extract(page, known.get(wrapper)) if page else "")
-            yield pd.Series(result, dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return met.select(*keep, pandas_udf(run, StringType())(F.col(html), F.col("__tarn_wrapper")).alias(out))
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host")).alias("n"), F.sum("pages").alias("pages")).first()
+    kinds = {f.name: f.dataType for f in pages.schema}
+    result = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in keep), f"`{out}` string"])
+    if (size.n or 0) <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.select("host", "wrapper").collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known: dict[str, Wrapper] = {}
+            for pdf in batches:
+                texts = []
+                for host, page in zip(pdf["__tarn_host"], pdf["__tarn_html"], strict=True):
+                    if host not in known:
+                        known[host] = Wrapper.load(shared.value[host]).decide()
+                    texts.append(extract(page, known[host]) if page else "")
+                yield pdf[keep].assign(**{out: texts})
+
+        rows = pages.select(*keep, host_of(F.col(url)).alias("__tarn_host"), F.col(html).alias("__tarn_html"))
+        return rows.mapInPandas(run, result)
+
+    hot = max(HOT_LEAST, size.pages // HOT_SHARE)
+    salts = wrappers.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("pages") / hot)).cast("int"))
+    large = F.broadcast(salts.where("salts > 1").select("host", "salts"))  # fewer than HOT_SHARE hosts
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.struct(*keep).alias("row"), F.col(html).alias("html"))
+    salt = F.pmod(F.xxhash64("html"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    rows = rows.join(large, "host", "left").select("host", salt, F.lit(1).alias("kind"), "html", "row")
+    first = salts.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("wrapper").alias("html"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(rows, allowMissingColumns=True).repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "kind")
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A host's wrapper comes right before its pages."""
+        wrapper = None
+        for pdf in batches:
+            made = []
+            for kind, page, row in zip(pdf["kind"], pdf["html"], pdf["row"], strict=True):
+                if kind == 0:
+                    wrapper = Wrapper.load(page).decide()
+                else:
+                    made.append((*[row[c] for c in keep], extract(page, wrapper) if page else ""))
+            yield pd.DataFrame(made, columns=[*keep, out])
+
+    return dealt.mapInPandas(follow, result)

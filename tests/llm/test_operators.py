@@ -349,8 +349,3 @@ def test_main_text(spark):
     assert got[12] == "Body 2 is here and long enough\nMore of 2"
     assert got[20] == got[21] == "" and got[22] == "only text <b>" and got[23] == "Body 7 is here and long enough\nMore of 7"
     assert html_main.main_text(pages.limit(0)).count() == 0
-
-
-def test_wrapper_is_a_union_free_expression():
-    wrapper = html_main.infer([f"<body><ul>{'<li>x</li>' * n}</ul>{'<hr>' * (n % 2)}<article><p>{n}</p></article></body>" for n in (1, 2, 3)])
-    assert wrapper["paths"] == [["body", "article"]] and wrapper["expression"] == "<body><ul>(<li>x</li>)+</ul> (<hr></hr>)? <article><p>#PCDATA</p></article></body>"

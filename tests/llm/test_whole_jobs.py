@@ -26,7 +26,7 @@ def test_wrappers_are_learnt_from_all_pages(spark):
 
 def test_numbered_classes_are_one_place():
     found = html_main.infer([f"<body><article class='post-{i}'><p>{i}</p></article></body>" for i in range(300)])
-    assert found["paths"] == [["body", "article.post-#"]]
+    assert found.main_paths() == [["body", "article.post-#"]]
 
 
 def test_wrapper_decides_inside_the_article(spark):
