@@ -1,21 +1,31 @@
 """Byte-level BPE as a tree reduction.
 
 A text is encoded by halves, recursively, down to short leaves.  Two
-neighbours are joined by encoding a window around their border again.  The
-window grows, on either side, to the nearest place that is a border between
-matches of the split pattern whatever stands further away: a space or line feed
-after a character that is no white space.  No match of the pattern holds white
-space after anything else, so a match ends there and the next one begins there,
-in the window, in either half and in the whole text alike; tokens never cross
-matches; hence all tokens outside the window stand.  A half without such a
-place is taken into the window whole, so any text is encoded right.
-
+neighbours are joined by encoding a window around their border again, which
+grows until the tokens outside of it are proven to stand.  There are two proofs.
+
+* A space or line feed after a character that is no white space begins a match
+  of the split pattern, whatever stands further away, and so does an apostrophe
+  after a letter or digit of ASCII: no match holds the one after the other.
+  Tokens never cross matches, so a window between two such places is encoded on
+  its own.
+* Where such places are far, as in base64, Chinese or Thai, the window grows by
+  tokens.  A sequence of tokens is the encoding of its bytes if and only if each
+  two neighbours are the encoding of theirs: the first merge across any border
+  would happen in those two alone as well.  So once the window's outermost tokens
+  come back unchanged, each of them still has the neighbour that it had before,
+  and all tokens outside stand.  The stretch in which the window grows has no
+  white space and no apostrophe: there, matches are runs of one class of
+  characters, wherever the text is cut.
+
+Both rest on the form of the split pattern, so other patterns are refused.
 Decoding joins the tokens' bytes up the same kind of tree.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +40,11 @@ from tarn.llm._common import carried, small_batches
 
 LEAF_CHARS = 512
 LEAF_IDS = 1024
+#: Tokens on either side that a growing window begins with.
+FIRST_TOKENS = 8
+#: Fixed value: the split pattern for which the proofs hold.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BORDER, _BREAK = re.compile(r"(?<=\S)[ \n]|(?<=[A-Za-z0-9])'"), re.compile(r"[\s']")
 
 
 def load_ranks(path: str) -> bytes:
@@ -44,6 +59,8 @@ class TreeCodec:
     def __init__(self, ranks: bytes, pattern: str, leaf: int = LEAF_CHARS):
         import tiktoken
 
+        if pattern != PATTERN:
+            raise ValueError(f"windows are proven for the split pattern {PATTERN} only")
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self._leaf_encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self._bytes = [b""] * (max(table.values()) + 1)
@@ -63,6 +80,10 @@ class TreeCodec:
 
     def _join(self, left: list[int], right: list[int], text: str, low: int, mid: int, high: int) -> list[int]:
         start, end = _border_before(text, low, mid), _border_from(text, mid, high)
+        if end - start > self._leaf:
+            grown = self._grow(left, right, text, start, mid, end)
+            if grown is not None:
+                return grown
         drop = self._tokens(reversed(left), len(text[start:mid].encode()))
         skip = self._tokens(right, len(text[mid:end].encode()))
         del left[len(left) - drop :]
@@ -70,6 +91,33 @@ class TreeCodec:
         left += right[skip:]
         return left
 
+    def _grow(self, left: list[int], right: list[int], text: str, start: int, mid: int, end: int) -> list[int] | None:
+        """The two halves joined inside a stretch without white space and apostrophes; None if that is too short."""
+        if _BREAK.search(text, max(start, mid - 3), mid + 1):
+            return None
+        found = _BREAK.search(text, mid, end)
+        stop = found.start() if found else end
+        # up to two letters after an apostrophe may belong to it
+        since = max((m.end() + 2 for m in _BREAK.finditer(text, start, mid)), default=start)
+        i, j = FIRST_TOKENS, FIRST_TOKENS
+        while True:
+            # outer borders must be borders of characters, too
+            while i < len(left) and self._bytes[left[-i]][0] & 0xC0 == 0x80:
+                i += 1
+            while j < len(right) and self._bytes[right[j]][0] & 0xC0 == 0x80:
+                j += 1
+            i, j = min(i, len(left)), min(j, len(right))
+            a = mid - len(self.decode(left[len(left) - i :]).decode())
+            b = mid + len(self.decode(right[:j]).decode())
+            if a < since or b > stop:
+                return None
+            window = self._leaf_encode(text[a:b])
+            same_left = i == len(left) or window[0] == left[-i]
+            same_right = j == len(right) or window[-1] == right[j - 1]
+            if same_left and same_right:
+                return left[: len(left) - i] + window + right[j:]
+            i, j = i if same_left else 2 * i, j if same_right else 2 * j
+
     def _tokens(self, ids, n_bytes: int) -> int:
         """How many tokens make up exactly ``n_bytes``."""
         count = 0
@@ -92,18 +140,17 @@ class TreeCodec:
 
 def _border_before(text: str, low: int, mid: int) -> int:
     """The last border in (low, mid), else low."""
-    for at in range(mid - 1, low, -1):
-        if text[at] in " \n" and not text[at - 1].isspace():
+    at = mid
+    while (at := max(text.rfind(sign, low + 1, at) for sign in " \n'")) > low:
+        if _BORDER.match(text, at):
             return at
     return low
 
 
 def _border_from(text: str, mid: int, high: int) -> int:
     """The first border in [mid, high), else high."""
-    for at in range(mid, high):
-        if text[at] in " \n" and not text[at - 1].isspace():
-            return at
-    return high
+    found = _BORDER.search(text, mid, high)
+    return found.start() if found else high
 
 
 @lru_cache(maxsize=4)
