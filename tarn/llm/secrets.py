@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -115,10 +117,12 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
 def all_spans(text: str, ratios: np.ndarray, margin: float = MARGIN) -> list[tuple[str, int, int]]:
     """The patterns' spans, and runs that overlap none of them and look random."""
     base = base_spans(text)
+    starts, reach = [x for _, x, _ in base], list(accumulate((y for _, _, y in base), max))
     found = list(base)
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for _, x, y in base):
+        before = bisect_left(starts, b)  # spans that begin before the run ends; one of them may reach into it
+        if before and reach[before - 1] > a:
             continue
         if float(ratios[_steps(m.group())].sum()) > margin:
             found.append(("markov", a, b))
