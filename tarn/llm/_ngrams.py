@@ -19,10 +19,8 @@ from tarn.llm import _words
 
 BUCKETS = 1 << 17
 TARGET_DOCS = 40_000
-#: Added to both counts of a bucket.
-SMOOTHING = 8.0
-#: Ratios within this are taken for chance.
-DEAD_ZONE = float(np.log(3.0))
+#: Added to both counts of a bucket, as if each side had met it so often: what is rare says little.
+SMOOTHING = 32.0
 _SIDE = np.zeros(256, dtype=np.uint8)  # 0 white space, 1 word, otherwise the character itself
 _SIDE[:] = np.arange(256)
 _SIDE[[0x20, *range(0x09, 0x0E)]] = 0
@@ -97,8 +95,8 @@ def count_ngrams(docs: DataFrame, target_ids: DataFrame, id_col: str, text: str)
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING, dead_zone: float = DEAD_ZONE) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw), shrunk towards 0 by ``dead_zone``; single tokens and pairs each have their own models.
+def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | raw); single tokens and pairs each have their own models.
 
     The raw counts are first scaled to the target's mass, so that smoothing
     weighs on both alike and a rare bucket says little.
@@ -108,8 +106,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
     for part in (slice(0, half), slice(half, None)):
         r, t = raw[part], target[part]
         if t.sum() and r.sum():
-            ratio = np.log((t + smoothing) / (r * (t.sum() / r.sum()) + smoothing))
-            out[part] = np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - dead_zone)
+            out[part] = np.log((t + smoothing) / (r * (t.sum() / r.sum()) + smoothing))
     return out
 
 

@@ -21,8 +21,6 @@ from tarn.llm._common import hash60, small_batches
 from tarn.llm.sharding import K1, K2, SIZE, find_splitters
 from tarn.session import materialize
 
-#: The sample is as large as the number of documents whose log weight is at least this.
-LEAST_WEIGHT = -10.0
 SEED = 41
 #: Keys are told apart within this of 0.
 _FAR = 1 << 33
@@ -48,6 +46,12 @@ def _place(key: Column, tie: Column) -> dict[str, Column]:
     }
 
 
+def good_share(labels: DataFrame) -> float:
+    """How large a part of the labelled rows is of good quality; 1 without labels."""
+    found = labels.where("quality IS NOT NULL").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return 1.0 if found is None else found
+
+
 def resample(
     df: DataFrame,
     labels: DataFrame,
@@ -62,11 +66,13 @@ def resample(
 
     ``labels`` (id, quality, toxic) names trusted rows, of which about
     ``target_docs`` are learnt from.  A log weight is the sum of the log ratios of
-    all n-grams of a text.  ``k`` rows are kept, or that ``share`` of all rows,
-    by default as many as have a log weight of ``LEAST_WEIGHT`` or more.  Noise depends on seed
-    and identifier, so reruns agree; equal keys are told apart by position.  A
-    text without n-grams (null, empty) has log weight 0.  Without trusted rows
-    all log weights are 0.  An empty table gives none.
+    all n-grams of a text.  ``k`` rows are kept, or that ``share`` of all rows, by
+    default the share that good rows have among those with a label of quality
+    (null labels say nothing, repeated ones count as often as they stand), and
+    all rows where no row has one.  Noise depends on seed and identifier, so
+    reruns agree; equal keys are told apart by their place in the one scan that
+    weighs them.  A text without n-grams (null, empty) has log weight 0.  Without
+    trusted rows all log weights are 0.  An empty table gives none.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -83,10 +89,8 @@ def resample(
     weighed = rows.mapInPandas(weigh, f"rid long, id {kind}, n_ngrams long, log_weight double")
     weighed = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     n = weighed.count()
-    if k is None and share is not None:
-        k = round(share * n)
     if k is None:
-        k = weighed.where(F.col("log_weight") >= LEAST_WEIGHT).count()
+        k = round((good_share(labels) if share is None else share) * n)
     # ascending, so that the k first keys are the k largest sums
     keyed = weighed.withColumns({**_place(F.col("gumbel_key"), F.col("rid")), SIZE: F.lit(1)})
     cut = find_splitters(keyed.select(K1, K2, SIZE), [k / n]) if 0 < k < n else []
