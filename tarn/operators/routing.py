@@ -34,11 +34,22 @@ SUMMARY_REQUEST = (
 )
 REFERENCE = r"(?i)\b(itu|tersebut|tadi|sebelumnya|kalau|bagaimana dengan|yang (?:pertama|kedua|ketiga|terakhir|lain)|lainnya|that|those|it|them)\b"
 FOLLOW_UP_WORDS = 6
-CAPABILITIES = {
-    "knowledge_query": ("query", "rag", "ask"),
-    "knowledge_search": ("search", "retrieve"),
-    "knowledge_extract": ("extract", "structured"),
-    "knowledge_summary": ("summary", "summarize", "summarise"),
+#: The names of capabilities and what else routers call them.
+ALIASES = {
+    "knowledge_query": "knowledge_query",
+    "query": "knowledge_query",
+    "rag": "knowledge_query",
+    "ask": "knowledge_query",
+    "knowledge_search": "knowledge_search",
+    "search": "knowledge_search",
+    "retrieve": "knowledge_search",
+    "knowledge_extract": "knowledge_extract",
+    "extract": "knowledge_extract",
+    "structured": "knowledge_extract",
+    "knowledge_summary": "knowledge_summary",
+    "summary": "knowledge_summary",
+    "summarize": "knowledge_summary",
+    "summarise": "knowledge_summary",
 }
 
 
@@ -61,7 +72,7 @@ def route(query: Column) -> Column:
 def capability(value: Column) -> Column:
     """The capability that a router's answer names, or null."""
     name = F.regexp_replace(F.lower(F.trim(value)), "[- ]", "_")
-    return F.coalesce(*[F.when(name.isin(c, *aliases), c) for c, aliases in CAPABILITIES.items()])
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), name)
 
 
 def intents(query: Column) -> Column:
