@@ -7,6 +7,7 @@ distinct word: callers take the vocabulary, stem it and join it back.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,6 +68,7 @@ def _without_prefix(word: str) -> list[str]:
     return []
 
 
+@lru_cache(maxsize=1 << 17)
 def stem_forms(word: str) -> list[str]:
     """The word, then every stem it may have."""
     if len(word) < 5 or not word.isalpha():

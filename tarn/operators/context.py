@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.providers import completed
+
+#: How many documents of a query are completed, and how far summaries go.
+EXPANDED_DOCUMENTS = 4
+SUMMARY_PARTS, SUMMARY_STAGES = 400, 12
 #: Budgets in tokens.
 SUMMARY_LEAST, SUMMARY_SHARE, SUMMARY_MOST = 400, 0.25, 4000
 FULL_DOCUMENT_TOKENS = 3000
@@ -84,51 +88,98 @@ def pack_contexts(rows: DataFrame, budget: int, most: int = 8) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, key string, number int")
 
 
-def expand(hits: list[tuple[str, int]], parts: list[tuple[int, int]], spent: int, budget: int, n: int, full: bool) -> tuple[list[int], int]:
-    """Places added to a document's hits (key, place), of its ``parts`` (place, tokens), and the new total.
+def expanded(hits: DataFrame, chunks: DataFrame, budget: int, n: int, whole: str | None = None, most_documents: int = EXPANDED_DOCUMENTS) -> DataFrame:
+    """What a query's documents add to its hits: chunks with ``upto``, the tokens spent once each is added.
 
-    A whole document stops at the first part that does not fit; neighbours,
-    nearest first, skip it and go on.
+    ``hits`` and ``chunks`` (query_id, document_id, chunk_index, rank, tokens,
+    content).  A query's first documents by best hit take their turns: small
+    ones, or those for which column ``whole`` of ``hits`` asks it, are added
+    whole up to the first chunk that does not fit; others get the chunks within
+    ``n`` places of a hit, nearest first, and one that does not fit is skipped.
+    Neighbours are found by an equi-join; only chunks that are wanted, of
+    ``most_documents`` documents a query, meet in a query's group.
     """
-    mine = {place for _, place in hits}
-    whole = full or sum(t for _, t in parts) <= FULL_DOCUMENT_TOKENS
-    near = [(min(abs(p - h) for h in mine), p, t) for p, t in parts] if mine else []
-    wanted = [(p, t) for p, t in sorted(parts)] if whole else [(p, t) for gap, p, t in sorted(near) if gap <= n]
-    added = []
-    for place, tokens in wanted:
-        if place in mine:
-            continue
-        if spent + tokens > budget:
-            if whole:
-                break
-            continue
-        added.append(place)
-        spent += tokens
-    return added, spent
-
-
-def overview(chunks: DataFrame, picked: DataFrame, budget: int, document: str = "document_id", index: str = "chunk_index", tokens: str = "tokens") -> DataFrame:
-    """Leading chunks of each picked document within its share of the budget."""
-    share = picked.agg(F.greatest(F.lit(400), F.floor(F.lit(budget) / F.greatest(F.count("*"), F.lit(1)))).alias("share"))
-    run = F.sum(tokens).over(Window.partitionBy(document).orderBy(index))
-    return chunks.join(picked, document, "left_semi").withColumn("upto", run).crossJoin(F.broadcast(share)).where(F.col("upto") <= F.col("share")).drop("share")
-
-
-def summary_groups(parts: Iterable[int], window: int, most_parts: int = 400, most_groups: int = 12) -> list[list[int]]:
-    """Places of parts (given by their tokens) in groups that fit a window; what the limits leave out is not summarised."""
-    groups: list[list[int]] = []
-    room = 0
-    for place, tokens in enumerate(itertools.islice(parts, most_parts)):
-        if not groups or tokens > room and groups[-1]:
-            groups.append([])
-            room = window
-        groups[-1].append(place)
-        room -= tokens
-    return groups[:most_groups]
-
-
-def attach_summaries(hits: DataFrame, summaries: DataFrame, most: int = 3, document: str = "document_id", rank: str = "rank") -> DataFrame:
-    """Summaries of the first ``most`` documents among the hits."""
-    first = hits.groupBy(document).agg(F.min(rank).alias("first")).orderBy("first", document).limit(most)
-    return summaries.join(F.broadcast(first), document)  # ``most`` rows
+    asks = F.coalesce(F.max(F.col(whole).cast("boolean")), F.lit(False)) if whole else F.lit(False)
+    best = hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("best"), asks.alias("asked"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("best", "document_id"))
+    first = best.withColumn("place", place).where(F.col("place") <= most_documents)
+    size = chunks.groupBy("query_id", "document_id").agg(F.sum("tokens").alias("size"))
+    turn = first.join(size, ["query_id", "document_id"]).select("query_id", "document_id", "place", (F.col("asked") | (F.col("size") <= FULL_DOCUMENT_TOKENS)).alias("whole"))
+    key = ["query_id", "document_id", "chunk_index"]
+    around = hits.select("query_id", "document_id", F.col("chunk_index").alias("hit"), F.explode(F.sequence(F.col("chunk_index") - n, F.col("chunk_index") + n)).alias("chunk_index"))
+    near = around.groupBy(*key).agg(F.min(F.abs(F.col("chunk_index") - F.col("hit"))).alias("gap"))
+    open_ = chunks.where(F.trim(F.regexp_replace("content", r"\s", "")) != "").join(hits.select(*key), key, "left_anti").select(*key, "tokens")
+    wanted = open_.join(turn, ["query_id", "document_id"]).join(near, key, "left").where(F.col("whole") | F.col("gap").isNotNull())
+    spent = hits.groupBy("query_id").agg(F.sum(F.col("tokens") + HIT_OVERHEAD).alias("spent"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, stopped, out = int(pdf["spent"].iloc[0]), None, []
+        pdf = pdf.assign(gap=pdf["gap"].where(~pdf["whole"], 0)).sort_values(["place", "gap", "chunk_index"])
+        for r in pdf.itertuples(index=False):
+            if r.place == stopped:
+                continue
+            if total + r.tokens > budget:
+                stopped = r.place if r.whole else stopped
+                continue
+            total += int(r.tokens)
+            out.append((r.query_id, r.document_id, r.chunk_index, total))
+        return pd.DataFrame(out, columns=[*key, "upto"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
+    return wanted.join(spent, "query_id").groupBy("query_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in key) + ", upto long")
+
+
+def overview(chunks: DataFrame, picked: DataFrame, budget: int, document: str = "document_id", index: str = "chunk_index", tokens: str = "tokens", query: str | None = None) -> DataFrame:
+    """Leading chunks of each picked document within its share of the budget (of its ``query``, if one is named)."""
+    per = [query] if query else []
+    share = F.greatest(F.lit(400), F.floor(F.lit(budget) / F.greatest(F.count("*"), F.lit(1)))).alias("share")
+    shares = picked.groupBy(*per).agg(share) if per else picked.agg(share)
+    run = F.sum(tokens).over(Window.partitionBy(*per, document).orderBy(index))
+    rows = chunks.join(picked, [*per, document], "left_semi").withColumn("upto", run)
+    met = rows.join(shares, per) if per else rows.crossJoin(F.broadcast(shares))
+    return met.where(F.col("upto") <= F.col("share")).drop("share")
+
 
+def grouped(chunks: DataFrame, window: int, most_parts: int = SUMMARY_PARTS, most_stages: int = SUMMARY_STAGES, document: str = "document_id", index: str = "chunk_index") -> DataFrame:
+    """``chunks`` (with ``tokens``) with ``stage``, the group that each is summarised in, and ``covered``.
+
+    A document's chunks fill one group after another, each as far as the window
+    goes.  Summaries stop at ``most_parts`` chunks and ``most_stages`` groups;
+    what lies beyond is flagged, not dropped, so raising the limits covers it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(index)
+        stage, room, stages = 0, window, []
+        for i, tokens in enumerate(pdf["tokens"]):
+            if i and tokens > room:
+                stage, room = stage + 1, window
+            stages.append(stage)
+            room -= tokens
+        pdf = pdf.assign(stage=stages)
+        return pdf.assign(covered=(pdf["stage"] < most_stages) & (pd.Series(range(len(pdf)), index=pdf.index) < most_parts))
+
+    rows = chunks.select(document, index, "tokens")
+    return rows.groupBy(document).applyInPandas(run, f"{document} {kinds[document]}, {index} {kinds[index]}, tokens {kinds['tokens']}, stage int, covered boolean")
+
+
+def summarised(parts: DataFrame, model, document: str = "document_id", index: str = "chunk_index", content: str = "content") -> DataFrame:
+    """(document, summary, partial) of covered, grouped chunks: each stage is summarised by the model, then the stages' summaries together."""
+    texts = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "piece"))), lambda x: x["piece"]), "\n")
+    partial = parts.groupBy(document).agg(F.max(~F.col("covered")).alias("partial"), F.max(F.when(F.col("covered"), F.col("stage"))).alias("last"))
+    stages = parts.where("covered").withColumn("piece", F.col(content)).groupBy(document, "stage").agg(texts(index).alias("prompt"))
+    pieces = completed(stages, "prompt", model, "piece")
+    joined = pieces.groupBy(document).agg(texts("stage").alias("prompt")).join(partial, document)
+    single = joined.where("last = 0").withColumn("summary", F.col("prompt"))
+    return single.unionByName(completed(joined.where("last > 0"), "prompt", model, "summary")).select(document, "summary", "partial")
+
+
+def attach_summaries(hits: DataFrame, summaries: DataFrame, most: int = 3, document: str = "document_id", rank: str = "rank", query: str | None = None) -> DataFrame:
+    """Summaries of the first ``most`` documents among the hits (of each ``query``, if one is named)."""
+    if query is None:
+        first = hits.groupBy(document).agg(F.min(rank).alias("first")).orderBy("first", document).limit(most)
+        return summaries.join(F.broadcast(first), document)  # ``most`` rows
+    first = hits.groupBy(query, document).agg(F.min(rank).alias("first"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("first", document))
+    return summaries.join(first.withColumn("place", place).where(F.col("place") <= most).drop("place"), document)

@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def holding(docs: DataFrame, key: str, items: DataFrame, item_key: str, text: str = "text", window: int = 8) -> DataFrame:
+    """(item_key, key): documents that hold all words of an item in a row.
+
+    Items are found by an equi-join on their first ``window`` words (fewer, if
+    they have fewer), then compared whole; no item meets every document.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    asked = items.select(item_key, words.alias("sought")).where(F.size("sought") > 0)
+    asked = asked.withColumn("n", F.least(F.size("sought"), F.lit(window))).withColumn("at", F.xxhash64("n", F.slice("sought", 1, F.col("n"))))
+    lengths = asked.select("n").distinct()  # ``window`` rows at most
+    have = docs.select(key, words.alias("words")).join(F.broadcast(lengths), F.size("words") >= F.col("n"))
+    places = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.xxhash64("n", F.slice("words", i, F.col("n"))))
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    met = have.select(key, "n", F.explode(F.array_distinct(places)).alias("at")).join(asked.select(item_key, "n", "at"), ["n", "at"]).select(key, item_key)
+    whole = met.join(docs.select(key, line(words).alias("line")), key).join(asked.select(item_key, line("sought").alias("piece")), item_key)
+    return whole.where(F.contains("line", F.col("piece"))).select(item_key, key).distinct()
+
+
 def per_query(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """recall, precision (by distinct documents) and reciprocal rank of each query.
 

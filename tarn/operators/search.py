@@ -6,8 +6,12 @@ rows that are left.  Every order ends in the key, so results are stable.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,26 +70,6 @@ def bm25_scan(docs: DataFrame, key: str, tokens: str, terms: list[str], top_k: i
     return scored.orderBy(place_of(F.col("score")).desc(), key).limit(top_k) if top_k else scored
 
 
-def postings(docs: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    """(keys, term, tf, dl): the inverted index as a table."""
-    return docs.select(*keys, F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-
-
-def bm25_index(index: DataFrame, stats: DataFrame, queries: DataFrame, key: str, top_k: int) -> DataFrame:
-    """(query_id, key, score, rank) for many queries at once over a postings table.
-
-    ``stats`` has one row (n, total); ``queries`` has (query_id, term), distinct.
-    Only postings of asked terms are read further.
-    """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n"), F.col("df")))
-    hits = index.join(asked, "term")
-    part = bm25_term(F.col("tf"), F.col("dl"), F.col("total") / F.col("n"), F.col("idf"))
-    scores = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("score")).desc(), key))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= top_k)
-
-
 def normalised(scores: DataFrame, score: str = "score") -> DataFrame:
     """Scores over the best one."""
     best = scores.agg(F.max(score).alias("best"))
@@ -97,6 +81,37 @@ def dense_search(vectors: DataFrame, key: str, vector: str, query: DataFrame, to
     return vectors.crossJoin(F.broadcast(query)).select(key, dot(F.col(vector), F.col("query_vector")).alias("score")).orderBy(F.desc("score"), key).limit(top_k)
 
 
+def dense_many(vectors: DataFrame, key: str, vector: str, asked: DataFrame, top_k: int, block: int = 1024) -> DataFrame:
+    """(query_id, key, score, rank): exact nearest rows, other than itself, of each of ``asked`` (query_id, query_vector).
+
+    The asking side goes in blocks of about ``block`` vectors, which every task
+    gets; a task sends the best rows of each of its batches only.
+    """
+    blocks = max(1, math.ceil(asked.count() / block))
+    kinds = asked.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    found = []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # about ``block`` rows
+        held = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.query_vector for r in rows], dtype=np.float64)))
+
+        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, sought = held.value
+            for pdf in batches:
+                if not len(pdf) or not ids:
+                    continue
+                scores = np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ sought.T
+                keys = pdf["key"].to_numpy()
+                scores[keys[:, None] == np.array(ids)[None, :]] = -np.inf
+                least = np.partition(scores, -min(top_k, len(pdf)), axis=0)[-min(top_k, len(pdf))]
+                at, of = np.nonzero((scores >= least[None, :]) & (scores > -np.inf))
+                yield pd.DataFrame({"query_id": np.array(ids)[of], "key": keys[at], "score": scores[at, of]})
+
+        found.append(vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInPandas(best, f"query_id {kinds[0]}, key {kinds[1]}, score double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    met = reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return met.select("query_id", F.col("key").alias(key), "score", "rank")
+
+
 def ranked(hits: DataFrame, key: str, score: str = "score", rank: str = "rank") -> DataFrame:
     """Ranks from 0. For lists that a limit has cut already."""
     return hits.withColumn(rank, F.row_number().over(Window.orderBy(place_of(F.col(score)).desc(), key)) - 1)
@@ -120,8 +135,8 @@ def blended(lexical: Column, semantic: Column, floor: float = SEMANTIC_FLOOR, sp
 
 
 def dedupe_content(rows: DataFrame, content: str, *order: Column) -> DataFrame:
-    """The first row of each fingerprint."""
-    first = F.row_number().over(Window.partitionBy(F.xxhash64(fingerprint(F.col(content))), fingerprint(F.col(content))).orderBy(*order))
+    """The first row of each fingerprint, told by its digest of 256 bits: texts themselves are not shuffled by."""
+    first = F.row_number().over(Window.partitionBy(F.sha2(fingerprint(F.col(content)), 256)).orderBy(*order))
     return rows.withColumn("__first", first).where("__first = 1").drop("__first")
 
 

@@ -56,7 +56,7 @@ def _chunks(spark, d):
     lines = lines.withColumn("chunk_id", F.format_string("chunk_%04d", "chunk_index")).withColumn("is_summary", F.lit(None).cast("boolean"))
     summaries = docs.where("doc_id % 7 = 0").select(
         F.col("source").alias("organization_id"), F.col("lang").alias("knowledge_base_id"), F.col("doc_id").alias("document_id"), F.lit(-1).alias("chunk_index"),
-        F.substring("text", 1, 50).alias("content"), F.lit("chunk_summary").alias("chunk_id"), F.lit(True).alias("is_summary"),
+        F.col("text").alias("content"), F.lit("chunk_summary").alias("chunk_id"), F.lit(True).alias("is_summary"),
     )
     return lines.unionByName(summaries)
 
@@ -116,7 +116,7 @@ def chunk_scan(spark, d):
 
 def chunks_by_keys(spark, d):
     chunks = _chunks(spark, d)
-    keys = chunks.where("document_id % 100 = 1 AND chunk_index < 3").select("document_id", "chunk_id")
+    keys = chunks.where("document_id % 100 = 0").select("document_id", "chunk_id")  # the asked keys
     return catalog.by_keys(chunks, keys).select("document_id", "chunk_id", F.md5("content").alias("digest"))
 
 
@@ -127,53 +127,63 @@ def tenant_scope(spark, d):
 
 def neighbour_expansion(spark, d):
     chunks = scope.without_summaries(_chunks(spark, d))
-    hits = chunks.where("document_id % 10 = 0 AND chunk_index % 5 = 2")
+    hits = chunks.where("chunk_index % 5 = 2")
     return context.neighbours(hits, chunks, 2).select("document_id", "chunk_index", "distance")
 
 
 def document_coverage(spark, d):
     chunks = _chunks(spark, d)
-    included = chunks.where("(document_id % 10 = 0 AND chunk_index BETWEEN 0 AND 4) OR (is_summary AND document_id % 20 = 7)")
+    included = chunks.where("is_summary OR (chunk_index BETWEEN 0 AND 4 AND document_id % 7 <> 0)")  # where there is a summary, it alone
     return context.coverage(included, chunks)
 
 
-def _ranked(chunks):
-    rows = chunks.withColumn("rank", F.pmod(F.col("document_id") * 31 + F.col("chunk_index") * 17, F.lit(101)) * 1000 + F.col("document_id") * 10 + F.col("chunk_index"))
-    return rows.withColumn("document_order", F.col("chunk_index"))
-
-
 def _candidates(spark, d):
-    return _ranked(_chunks(spark, d).where("document_id < 40 AND chunk_index < 3"))
+    """All chunks of all documents as ranked candidates: each forty documents in a row belong to one query."""
+    place = F.pmod(F.col("document_id") * 31 + F.col("chunk_index") * 17, F.lit(101)) * 1_000_000 + F.col("document_id") % 40 * 10_000 + F.col("chunk_index")
+    return _chunks(spark, d).withColumns({"rank": place, "document_order": F.col("chunk_index"), "query_id": F.floor(F.col("document_id") / 40).cast("long")})
 
 
 def context_order(spark, d):
-    return context.ordered(_candidates(spark, d)).select("position", "document_id", "chunk_id")
+    return context.ordered(_candidates(spark, d), query="query_id").select("query_id", "position", "document_id", "chunk_id")
 
 
 def context_union(spark, d):
     rows = _candidates(spark, d)
-    hits, extras = rows.where("chunk_index = 1"), rows.where("document_id < 20")
-    return context.merged(hits, extras, ["document_id", "chunk_id"]).select("document_id", "chunk_id", "expanded")
+    hits, extras = rows.where("chunk_index % 3 = 1"), rows.where("chunk_index % 2 = 0")
+    return context.merged(hits, extras, ["query_id", "document_id", "chunk_id"]).select("document_id", "chunk_id", "expanded")
+
+
+def _priced(spark, d):
+    return _candidates(spark, d).withColumn("tokens", text.estimate_tokens(F.col("content")))
 
 
 def context_pack(spark, d):
-    """All chunks of all documents: each forty documents in a row are the candidates of one query."""
-    asked = _ranked(_chunks(spark, d)).withColumn("query_id", F.floor(F.col("document_id") / 40).cast("long"))
-    rows = context.ordered(asked, query="query_id").withColumn("tokens", text.estimate_tokens(F.col("content")))
+    rows = context.ordered(_priced(spark, d), query="query_id")
     made = rows.select("query_id", F.concat_ws("::", F.col("document_id").cast("string"), "chunk_id").alias("key"), "tokens", F.coalesce("is_summary", F.lit(False)).alias("is_summary"), "position")
     return context.pack_contexts(made, 600, 12)
 
 
 def overview_material(spark, d):
-    chunks = scope.without_summaries(_chunks(spark, d)).withColumn("tokens", text.estimate_tokens(F.col("content")))
-    picked = chunks.where("document_id < 12").select("document_id").distinct()
-    return context.overview(chunks, picked, 6000).select("document_id", "chunk_index", "upto")
+    rows = scope.without_summaries(_priced(spark, d))
+    return context.overview(rows, rows.select("query_id", "document_id").distinct(), 24_000, query="query_id").select("document_id", "chunk_index", "upto")
 
 
 def summary_attach(spark, d):
     rows = _candidates(spark, d)
-    found = context.attach_summaries(rows.where("chunk_index >= 0"), _chunks(spark, d).where("is_summary"))
-    return found.select("document_id", "first")
+    found = context.attach_summaries(rows.where("chunk_index >= 0"), _chunks(spark, d).where("is_summary"), query="query_id")
+    return found.select("query_id", "document_id", "first")
+
+
+def document_expansion(spark, d):
+    """Every query's hits with what its documents have around them: small documents whole, neighbours in large ones, within a budget."""
+    rows = scope.without_summaries(_priced(spark, d))
+    return context.expanded(rows.where("chunk_index = 2"), rows, 12_000, 1).select("query_id", "document_id", "chunk_index", "upto")
+
+
+def summary_stages(spark, d):
+    """Every document's chunks in groups that fit a model's window."""
+    rows = scope.without_summaries(_priced(spark, d))
+    return context.grouped(rows, 60).select("document_id", "chunk_index", "stage", "covered")
 
 
 def eval_recall_precision_mrr(spark, d):
@@ -183,10 +193,10 @@ def eval_recall_precision_mrr(spark, d):
     from pyspark.sql import Window
 
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")))
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    items = spark.read.parquet(f"{d}/benchmark.parquet")
-    # an item's documents are those that hold its whole text
-    expected = docs.join(F.broadcast(items), F.contains(docs["text"], items["text"])).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    # an item's documents are those that hold all of its words in a row
+    expected = evaluate.holding(docs, "doc_id", items, "query_id").select("query_id", F.col("doc_id").alias("document_id"))
     return evaluate.summary(evaluate.per_query(ranked, expected, 5))
 
 
@@ -208,11 +218,11 @@ def most_concurrent(spark, d):
 
 
 C = r"""WITH c AS (SELECT source AS organization_id, lang AS knowledge_base_id, doc_id AS document_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS chunk_index, unnest(string_split(text, chr(10))) AS content, false AS is_summary FROM documents
-UNION ALL SELECT source, lang, doc_id, -1, substr(text, 1, 50), true FROM documents WHERE doc_id % 7 = 0),
+UNION ALL SELECT source, lang, doc_id, -1, text, true FROM documents WHERE doc_id % 7 = 0),
 ch AS (SELECT *, CASE WHEN is_summary THEN 'chunk_summary' ELSE printf('chunk_%04d', chunk_index) END AS chunk_id FROM c),
 j AS (SELECT source AS organization_id, lang AS knowledge_base_id, doc_id AS document_id, n_chars AS tokens, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 13 = 0 THEN 'deleted' ELSE 'completed' END AS status, doc_id * 10 + 2 AS updated_at FROM documents WHERE doc_id % 11 <> 0),
 n AS (SELECT organization_id, knowledge_base_id, document_id, count(*) AS chunks FROM ch WHERE NOT is_summary GROUP BY ALL),
-cand AS (SELECT *, ((document_id * 31 + chunk_index * 17) % 101 + 101) % 101 * 1000 + document_id * 10 + chunk_index AS rank FROM ch WHERE document_id < 40 AND chunk_index < 3)
+cand AS (SELECT *, ((document_id * 31 + chunk_index * 17) % 101 + 101) % 101 * 1000000 + document_id % 40 * 10000 + chunk_index AS rank, document_id // 40 AS query_id FROM ch)
 """
 VISIT = r"regexp_replace(regexp_replace({u}, '#.*$', ''), '/+(\?|$)', '\1')"
 ROOT = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
@@ -226,11 +236,14 @@ QUERIES = {
     for f in (
         html_title, html_links, url_normalize, canonical, sniffed_types, crawl_reach, html_text, latest_job, job_status_counts, document_list, jobs_without_index,
         kb_catalogue, replace_document, delete_document, upsert_chunks, migration_missing, chunk_scan, chunks_by_keys, tenant_scope, neighbour_expansion,
-        document_coverage, context_order, context_union, context_pack, overview_material, summary_attach, eval_recall_precision_mrr, eval_rates,
-        rate_limit_replay, most_concurrent,
+        document_coverage, context_order, context_union, context_pack, overview_material, summary_attach, document_expansion, summary_stages,
+        eval_recall_precision_mrr, eval_rates, rate_limit_replay, most_concurrent,
     )
 }
 TOK = r"CASE WHEN content = '' THEN 0 ELSE greatest(1, ceil(greatest(len(regexp_extract_all(content, '[^\s\x1c-\x1f\x{85}\x{a0}]+')) * 1.34::DOUBLE, length(content) / 6.0::DOUBLE)))::INT END"
+ORDERED = C.rstrip() + """, f AS (SELECT *, CASE WHEN is_summary THEN rank ELSE min(CASE WHEN NOT is_summary THEN rank END) OVER (PARTITION BY query_id, document_id) END AS first FROM cand),
+o AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY is_summary DESC, first, CASE WHEN is_summary THEN 0 ELSE chunk_index END, rank))::INT AS position FROM f)
+"""
 ORACLE_SQL = {
     "html_title": r"SELECT page_id, CASE WHEN t <> '' THEN t ELSE url END AS title FROM (SELECT page_id, url, substr(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 120) AS t FROM pages)",
     "html_links": LINKS + "SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS place, link FROM l",
@@ -253,17 +266,41 @@ FROM b LEFT JOIN a USING (organization_id, knowledge_base_id)""",
     "upsert_chunks": C + "SELECT knowledge_base_id, count(*) AS n, count(*) FILTER (WHERE chunk_index = 1) AS fresh FROM ch GROUP BY 1",
     "migration_missing": C + "SELECT organization_id, count(*) AS n FROM ch WHERE document_id % 2 = 1 GROUP BY 1",
     "chunk_scan": C + "SELECT document_id, chunk_id, md5(content) AS digest FROM ch WHERE document_id = 7 AND NOT is_summary",
-    "chunks_by_keys": C + "SELECT document_id, chunk_id, md5(content) AS digest FROM ch WHERE document_id % 100 = 1 AND chunk_index < 3",
+    "chunks_by_keys": C + "SELECT document_id, chunk_id, md5(content) AS digest FROM ch WHERE document_id % 100 = 0",
     "tenant_scope": C + "SELECT knowledge_base_id, count(*) AS n, count(DISTINCT document_id) AS documents FROM ch WHERE organization_id = 'src3' AND knowledge_base_id IN ('en', 'fr') AND NOT is_summary GROUP BY 1",
-    "neighbour_expansion": C + "SELECT b.document_id, b.chunk_index, min(abs(a.chunk_index - b.chunk_index)) AS distance FROM ch a JOIN ch b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) <= 2 WHERE a.document_id % 10 = 0 AND a.chunk_index % 5 = 2 AND NOT a.is_summary AND NOT b.is_summary GROUP BY ALL",
-    "document_coverage": C + """, i AS (SELECT * FROM ch WHERE (document_id % 10 = 0 AND chunk_index BETWEEN 0 AND 4) OR (is_summary AND document_id % 20 = 7)),
+    "neighbour_expansion": C + "SELECT b.document_id, b.chunk_index, min(abs(a.chunk_index - b.chunk_index)) AS distance FROM ch a JOIN ch b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) <= 2 WHERE a.chunk_index % 5 = 2 AND NOT a.is_summary AND NOT b.is_summary GROUP BY ALL",
+    "document_coverage": C + """, i AS (SELECT * FROM ch WHERE is_summary OR (chunk_index BETWEEN 0 AND 4 AND document_id % 7 <> 0)),
 g AS (SELECT document_id, count(*) FILTER (WHERE NOT is_summary) AS inc, bool_or(is_summary) AS s FROM i GROUP BY 1)
 SELECT document_id, CASE WHEN inc = 0 THEN 1 ELSE inc END AS included, CASE WHEN inc = 0 THEN 1 ELSE n.chunks END AS total, CASE WHEN inc = 0 THEN true ELSE inc >= n.chunks END AS complete, inc = 0 AND s AS via_summary FROM g JOIN n USING (document_id)""",
-    "context_order": C + """, f AS (SELECT *, CASE WHEN is_summary THEN rank ELSE min(CASE WHEN NOT is_summary THEN rank END) OVER (PARTITION BY document_id) END AS first FROM cand)
-SELECT (row_number() OVER (ORDER BY is_summary DESC, first, CASE WHEN is_summary THEN 0 ELSE chunk_index END, rank))::INT AS position, document_id, chunk_id FROM f""",
-    "context_union": C + "SELECT document_id, chunk_id, chunk_index <> 1 AS expanded FROM cand WHERE chunk_index = 1 OR document_id < 20",
-    "overview_material": C + f"SELECT * FROM (SELECT document_id, chunk_index, sum({TOK}) OVER (PARTITION BY document_id ORDER BY chunk_index)::BIGINT AS upto FROM ch WHERE document_id < 12 AND NOT is_summary) WHERE upto <= 500",
-    "summary_attach": C + "SELECT document_id, first FROM (SELECT document_id, min(rank) AS first FROM cand WHERE NOT is_summary GROUP BY 1 ORDER BY first, document_id LIMIT 3) WHERE document_id % 7 = 0",
+    "context_order": ORDERED + "SELECT query_id, position, document_id, chunk_id FROM o",
+    "context_union": C + "SELECT document_id, chunk_id, chunk_index % 3 <> 1 AS expanded FROM cand WHERE chunk_index % 3 = 1 OR chunk_index % 2 = 0",
+    # items in their order, content before summaries; each step takes the next item of every query
+    "context_pack": "WITH RECURSIVE " + ORDERED.removeprefix("WITH ") + f""", p AS (SELECT query_id, document_id || '::' || chunk_id AS key, {TOK} AS tokens, is_summary, position, row_number() OVER (PARTITION BY query_id ORDER BY is_summary, position) AS k FROM o),
+r(query_id, k, taken, content, spent, share) AS (SELECT DISTINCT query_id, 0::BIGINT, false, 0::BIGINT, 0::BIGINT, 400::BIGINT FROM p
+UNION ALL SELECT p.query_id, p.k,
+  CASE WHEN p.is_summary THEN p.tokens <= r.share AND (r.content = 0 AND r.spent = 0 OR r.spent + p.tokens <= 600) ELSE r.content < 12 AND (r.content = 0 OR r.spent + p.tokens <= 600) END AS t,
+  r.content + (t AND NOT p.is_summary)::INT, r.spent + CASE WHEN t THEN p.tokens ELSE 0 END, r.share - CASE WHEN t AND p.is_summary THEN p.tokens ELSE 0 END
+  FROM r JOIN p ON p.query_id = r.query_id AND p.k = r.k + 1)
+SELECT query_id, key, (row_number() OVER (PARTITION BY query_id ORDER BY position))::INT AS number FROM r JOIN p USING (query_id, k) WHERE taken""",
+    "overview_material": C + f"""SELECT document_id, chunk_index, upto FROM (SELECT document_id, chunk_index, query_id, sum({TOK}) OVER (PARTITION BY document_id ORDER BY chunk_index)::BIGINT AS upto FROM cand WHERE NOT is_summary)
+JOIN (SELECT query_id, greatest(400, floor(24000 / count(DISTINCT document_id))) AS share FROM cand WHERE NOT is_summary GROUP BY 1) USING (query_id) WHERE upto <= share""",
+    "summary_attach": C + """SELECT query_id, document_id, first FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, document_id) AS place FROM
+(SELECT query_id, document_id, min(rank) AS first FROM cand WHERE NOT is_summary GROUP BY ALL)) WHERE place <= 3 AND document_id % 7 = 0""",
+    # documents of a query by their best hit; small ones whole, others with neighbours, nearest first; a whole one stops where the budget ends, neighbours are skipped
+    "document_expansion": "WITH RECURSIVE " + C.removeprefix("WITH ") + f""", x AS (SELECT query_id, document_id, chunk_index, rank, content, {TOK} AS tokens, chunk_index = 2 AS hit FROM cand WHERE NOT is_summary),
+b AS (SELECT query_id, document_id, min(rank) FILTER (WHERE hit) AS best, sum(tokens) <= 3000 AS whole FROM x GROUP BY ALL),
+dd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, document_id) AS place FROM b WHERE best IS NOT NULL),
+g AS (SELECT x.*, dd.place, dd.whole, (SELECT min(abs(h.chunk_index - x.chunk_index)) FROM x h WHERE h.hit AND h.document_id = x.document_id) AS gap FROM x JOIN dd USING (query_id, document_id) WHERE dd.place <= 4),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, CASE WHEN whole THEN 0 ELSE gap END, chunk_index) AS k FROM g WHERE NOT hit AND trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND (whole OR gap <= 1)),
+s0 AS (SELECT query_id, sum(tokens + 60)::BIGINT AS spent FROM x WHERE hit GROUP BY 1),
+r(query_id, k, place, taken, spent, stopped) AS (SELECT query_id, 0::BIGINT, 0::BIGINT, false, spent, false FROM s0
+UNION ALL SELECT w.query_id, w.k, w.place, (NOT (r.stopped AND r.place = w.place)) AND r.spent + w.tokens <= 12000 AS t, r.spent + CASE WHEN t THEN w.tokens ELSE 0 END,
+  (r.stopped AND r.place = w.place) OR (w.whole AND r.spent + w.tokens > 12000) FROM r JOIN w ON w.query_id = r.query_id AND w.k = r.k + 1)
+SELECT r.query_id, w.document_id, w.chunk_index, r.spent AS upto FROM r JOIN w USING (query_id, k) WHERE r.taken""",
+    "summary_stages": "WITH RECURSIVE " + C.removeprefix("WITH ") + f""", x AS (SELECT document_id, chunk_index, {TOK} AS tokens, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS k FROM ch WHERE NOT is_summary),
+r(document_id, k, stage, room) AS (SELECT document_id, 1::BIGINT, 0::BIGINT, (60 - tokens)::BIGINT FROM x WHERE k = 1
+UNION ALL SELECT x.document_id, x.k, CASE WHEN x.tokens > r.room THEN r.stage + 1 ELSE r.stage END, CASE WHEN x.tokens > r.room THEN 60 - x.tokens ELSE r.room - x.tokens END FROM r JOIN x ON x.document_id = r.document_id AND x.k = r.k + 1)
+SELECT x.document_id, x.chunk_index, r.stage::INT AS stage, r.stage < 12 AND x.k <= 400 AS covered FROM r JOIN x USING (document_id, k)""",
     "eval_rates": "SELECT round(avg(CASE WHEN quality <> 1 THEN (doc_id % 4 = 0)::INT END), 4) AS refusal_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN (toxic = 0)::INT END), 4) AS grounded_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 3 = 0)::INT END), 4) AS citation_rate FROM labels",
     "most_concurrent": """WITH s AS (SELECT event_type AS identity, epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + 900000000, -1 FROM events),
 r AS (SELECT identity, sum(d) OVER (PARTITION BY identity ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS o FROM s) SELECT identity, max(o)::BIGINT AS most_open FROM r GROUP BY 1""",

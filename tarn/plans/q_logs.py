@@ -80,7 +80,7 @@ def _asked(spark, d):
     return c.select(
         F.lit("org").alias("organization_id"),
         F.concat(F.lit("kb"), (F.col("conv_id") % 3).cast("string")).alias("knowledge_base_id"),
-        F.substring("text", 1, 12).alias("query"),
+        F.col("text").alias("query"),
         F.when(F.col("turn") == 0, "no_candidates").otherwise("below_min_relevance").alias("reason"),
         (F.col("turn") / 10.0).alias("best_score"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn")).alias("ts"),
@@ -113,10 +113,10 @@ def unanswered_purge(spark, d):
     return unanswered.purge(unanswered.upsert(_asked(spark, d)), datetime.datetime(2024, 1, 1, 1), 40).select("knowledge_base_id", "query_key")
 
 
-ASKED = r"""WITH a AS (SELECT 'kb' || (conv_id % 3) AS knowledge_base_id, substr(text, 1, 12) AS query, CASE WHEN turn = 0 THEN 'no_candidates' ELSE 'below_min_relevance' END AS reason,
+ASKED = r"""WITH a AS (SELECT 'kb' || (conv_id % 3) AS knowledge_base_id, text AS query, CASE WHEN turn = 0 THEN 'no_candidates' ELSE 'below_min_relevance' END AS reason,
   round(turn / 10.0::DOUBLE, 4) AS best_score, conv_id * 100 + turn AS seq, conv_id * 60 + turn AS t FROM conversations WHERE role = 'user'),
-k AS (SELECT *, regexp_replace(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS query_key FROM a),
-u AS (SELECT knowledge_base_id, query_key, trim(arg_max(query, t * 100000 + seq)) AS query, arg_max(reason, t * 100000 + seq) AS reason, arg_max(best_score, t * 100000 + seq) AS best_score,
+k AS (SELECT *, substr(regexp_replace(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), 1, 500) AS query_key FROM a),
+u AS (SELECT knowledge_base_id, query_key, substr(trim(arg_max(query, t * 100000 + seq)), 1, 2000) AS query, arg_max(reason, t * 100000 + seq) AS reason, arg_max(best_score, t * 100000 + seq) AS best_score,
   count(*) AS count, 'open' AS status, max(t) AS last_seen FROM k WHERE query_key <> '' GROUP BY ALL)
 """
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.embed import hash_embedding
 from tarn.functions.text import estimate_tokens, fingerprint, plain_tokens
 from tarn.operators import search
+from tarn.operators.lexical_index import LexicalIndex
+from tarn.session import hadoop_path
 
 TERMS = ["the", "that", "thand", "worthless"]
 
@@ -20,32 +22,71 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", "lang", "source", plain_tokens(F.col("text")).alias("tokens"))
 
 
+_BUILT: dict[tuple[str, str], tuple[tuple, LexicalIndex]] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> LexicalIndex:
+    """The stored index of a ``documents`` table, built when it is first asked for and whenever its files changed."""
+    files, at = hadoop_path(spark, f"{d}/documents.parquet")
+    listed = [files.getFileStatus(at)] if files.getFileStatus(at).isFile() else list(files.listStatus(at))
+    seen = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT or _BUILT[key][0] != seen:
+        _BUILT[key] = seen, LexicalIndex(spark).build(_docs(spark, d), "doc_id", "tokens", ["lang", "source"])
+    return _BUILT[key][1]
+
+
+def _hits(spark, d, top_k=None, within=None) -> DataFrame:
+    return index_of(spark, d).search(TERMS, top_k, within).withColumnRenamed("key", "doc_id")
+
+
 def bm25_search(spark, d):
-    return search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
+    return _hits(spark, d, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_document_filter_keeps_idf(spark, d):
-    hits = search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS, within=F.col("lang") == "en", hidden=F.col("source") == "src3")
+    hits = _hits(spark, d, within=(F.col("lang") == "en") & (F.col("source") != "src3"))
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def bm25_scan(spark, d):
+    """The same search without an index, straight from the texts: for scopes too small or too short-lived to index."""
+    return search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def bm25_scope_stats(spark, d):
     docs = _docs(spark, d)
     return docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total_len"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
 
 
 def bm25_postings(spark, d):
-    index = search.postings(_docs(spark, d), ["doc_id"], "tokens")
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return index_of(spark, d).live().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def bm25_batch(spark, d):
-    docs = _docs(spark, d)
-    index = search.postings(docs, ["doc_id"], "tokens")
-    stats = docs.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
     asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(plain_tokens(F.col("text")))).alias("term"))
-    found = search.bm25_index(index, stats, asked, "doc_id", 5)
-    return found.select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    found = index_of(spark, d).search_many(asked, 5)
+    return found.select("query_id", F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+def _changed(spark, d) -> LexicalIndex:
+    """An index of its own after every tenth document got more words and every tenth other one went."""
+    docs = _read(spark, d, "documents")
+    made = lambda df: df.select("doc_id", "lang", "source", plain_tokens(F.col("text")).alias("tokens"))
+    index = LexicalIndex(spark).build(made(docs), "doc_id", "tokens", ["lang", "source"])
+    index.upsert(made(docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("worthless the thand "), "text"))), "doc_id", "tokens", ["lang", "source"])
+    index.remove(docs.where("doc_id % 10 = 7").select("doc_id"), "doc_id")
+    return index
+
+
+def bm25_after_changes(spark, d):
+    return _changed(spark, d).search(TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_after_compaction(spark, d):
+    index = _changed(spark, d)
+    index.compact()
+    return index.search(TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 BM25 = r"""
@@ -78,20 +119,16 @@ def dense_search(spark, d):
 
 
 def dense_batch_queries(spark, d):
-    """Every hundredth vector asks, all vectors answer; the asking side is a stated query set."""
+    """Every hundredth vector asks, all vectors answer; the asking side is a stated query set, in blocks."""
     e = _read(spark, d, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = e.join(asked, F.col("vec_id") != F.col("query_id"))
-    from tarn.functions.embed import dot
-
-    scored = pairs.select("query_id", "vec_id", dot(F.col("embedding"), F.col("query_vector")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    found = search.dense_many(e, "vec_id", "embedding", asked, 5)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _lists(spark, d):
     dense = search.ranked(search.dense_search(_read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _query_vector(spark, d), 50), "doc_id")
-    sparse = search.ranked(search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS, 50), "doc_id")
+    sparse = search.ranked(_hits(spark, d, 50), "doc_id")
     return dense, sparse
 
 
@@ -103,7 +140,10 @@ def rrf_fusion(spark, d):
 def _pool(spark, d):
     dense, sparse = _lists(spark, d)
     fused = search.rrf(dense, sparse, "doc_id", dense_weight=search.HASH_DENSE_WEIGHT).orderBy(F.desc("score"), "doc_id").limit(search.POOL)
-    return _read(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(fused), "doc_id")  # POOL rows at most
+    rows = fused.collect()  # POOL rows at most: their keys reach the scan
+    kept = spark.createDataFrame(rows, fused.schema)
+    docs = _read(spark, d, "documents").where(F.col("doc_id").isin([r.doc_id for r in rows]))
+    return docs.select("doc_id", "source", "text").join(F.broadcast(kept), "doc_id")
 
 
 def hybrid_pool_dedupe(spark, d):
@@ -119,7 +159,7 @@ def document_focus(spark, d):
 
 
 def blended_score(spark, d):
-    hits = search.normalised(search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS)).withColumnRenamed("score", "lexical")
+    hits = search.normalised(_hits(spark, d)).withColumnRenamed("score", "lexical")
     semantic = _read(spark, d, "embeddings").crossJoin(F.broadcast(_query_vector(spark, d)))
     from tarn.functions.embed import dot
 
@@ -128,17 +168,17 @@ def blended_score(spark, d):
 
 
 def relative_threshold(spark, d):
-    hits = search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS)
+    hits = _hits(spark, d)
     return search.relative_threshold(hits, "score").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def relevance_gate(spark, d):
-    hits = search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS)
+    hits = _hits(spark, d)
     return search.relevance_gate(hits, "score").select(F.round("best_score", 6).alias("best_score"), "relevant", "gate")
 
 
 def noop_rerank(spark, d):
-    hits = search.ranked(search.bm25_scan(_docs(spark, d), "doc_id", "tokens", TERMS, 20), "doc_id")
+    hits = search.ranked(_hits(spark, d, 20), "doc_id")
     return hits.select("doc_id", F.round(1 - F.col("rank") / F.lit(20.0), 6).alias("score"))
 
 
@@ -157,6 +197,7 @@ def token_estimates(spark, d):
     return _read(spark, d, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
+CHANGED = BM25.replace("lower(text)", "lower(CASE WHEN doc_id % 10 = 3 THEN 'worthless the thand ' || text ELSE text END)").replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 7)") + "SELECT doc_id, round(score, 6) AS score FROM h"
 DENSE = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 LISTS = BM25.rstrip() + f""",
 dn AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM
@@ -172,13 +213,16 @@ FP = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_document_filter_keeps_idf, bm25_scope_stats, bm25_postings, bm25_batch, dense_search, dense_batch_queries, rrf_fusion,
+        bm25_search, bm25_document_filter_keeps_idf, bm25_scan, bm25_scope_stats, bm25_postings, bm25_batch, bm25_after_changes, bm25_after_compaction, dense_search, dense_batch_queries, rrf_fusion,
         hybrid_pool_dedupe, per_document_cap, document_focus, blended_score, relative_threshold, relevance_gate, noop_rerank, hash_embedding_norms,
         fingerprint_dedupe, token_estimates,
     )
 }
 ORACLE_SQL = {
     "bm25_search": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h ORDER BY round(h.score, 9) DESC, doc_id LIMIT 20",
+    "bm25_scan": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h ORDER BY round(h.score, 9) DESC, doc_id LIMIT 20",
+    "bm25_after_changes": CHANGED,
+    "bm25_after_compaction": CHANGED,
     "bm25_document_filter_keeps_idf": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h WHERE lang = 'en' AND source <> 'src3'",
     "bm25_scope_stats": r"""SELECT source, lang, count(*) AS n, sum(dl)::BIGINT AS total_len, round(avg(dl), 6) AS avgdl
 FROM (SELECT source, lang, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS dl FROM documents) GROUP BY ALL""",

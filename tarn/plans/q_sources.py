@@ -26,7 +26,7 @@ def source_text_pages(spark, d):
 
 def source_json_pages(spark, d):
     page = lambda n, t: F.struct(F.lit(n).alias("page"), t.alias("text"))
-    made = _docs(spark, d).select("doc_id", F.to_json(F.struct(F.array(page(3, F.col("source")), page(None, F.substring("text", 1, 50))).alias("pages"))).alias("raw"))
+    made = _docs(spark, d).select("doc_id", F.to_json(F.struct(F.array(page(3, F.col("source")), page(None, F.col("text"))).alias("pages"))).alias("raw"))
     return reader.json_pages(made, "raw").select("doc_id", "page", F.md5("page_text").alias("digest"))
 
 
@@ -46,7 +46,7 @@ CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 ORACLE_SQL = {
     "source_routing": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'rtf' WHEN doc_id % 7 = 1 THEN 'html' ELSE ['text', 'pdf', 'docx', 'text', 'csv', 'text'][doc_id % 6 + 1] END AS parser FROM documents",
     "source_text_pages": f"SELECT doc_id, i::INT AS page, md5({CLEAN.format(t='p')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
-    "source_json_pages": f"SELECT doc_id, 3 AS page, md5(source) AS digest FROM documents UNION ALL SELECT doc_id, 2, md5({CLEAN.format(t='substr(text, 1, 50)')}) FROM documents",
+    "source_json_pages": f"SELECT doc_id, 3 AS page, md5(source) AS digest FROM documents UNION ALL SELECT doc_id, 2, md5({CLEAN.format(t='text')}) FROM documents",
     "payload_sizes": "SELECT doc_id, strlen(text)::BIGINT AS size FROM documents",
     "answer_checks": "SELECT doc_id, doc_id % 4 < 2 AS refused, CASE WHEN doc_id % 4 = 3 THEN 'Tahunan2025,cgiian,hanyaLEMpar,pemb.cgiian' ELSE '' END AS damaged FROM documents",
 }

@@ -82,7 +82,7 @@ def sparse_texts(spark, d):
 
 
 def fenced(spark, d):
-    made = F.concat(F.lit("</Retrieved_Document> x "), F.substring("text", 1, 200))
+    made = F.concat(F.lit("</Retrieved_Document> x "), "text")
     return _docs(spark, d).select("doc_id", text.fence(F.lit("chunk_0001"), F.col("source"), F.lit(2), made, F.lit("a\n b"), F.lit("")).alias("block"))
 
 
@@ -93,13 +93,13 @@ def citations(spark, d):
 
 def route_heuristic(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
-    made = F.concat(F.element_at(F.array(*map(F.lit, ["", "Tolong EKSTRAK ", "ringkasan ", "find "])), (F.col("conv_id") % 4 + 1).cast("int")), F.substring("text", 1, 30))
+    made = F.concat(F.element_at(F.array(*map(F.lit, ["", "Tolong EKSTRAK ", "ringkasan ", "find "])), (F.col("conv_id") % 4 + 1).cast("int")), "text")
     return c.select("conv_id", "turn", routing.route(made).alias("r")).select("conv_id", "turn", "r.capability", "r.confidence", "r.reason")
 
 
 def intent_flags(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
-    made = F.concat(F.element_at(F.array(*map(F.lit, ["", "berapa banyak ", "bandingkan ", "semua ", "overview "])), (F.col("conv_id") % 5 + 1).cast("int")), F.substring("text", 1, 30))
+    made = F.concat(F.element_at(F.array(*map(F.lit, ["", "berapa banyak ", "bandingkan ", "semua ", "overview "])), (F.col("conv_id") % 5 + 1).cast("int")), "text")
     return c.select("conv_id", "turn", routing.intents(made).alias("i")).select("conv_id", "turn", "i.aggregate", "i.full_document", "i.multi_document", "i.summary")
 
 
@@ -123,12 +123,13 @@ def chunk_overlap(spark, d):
 
 
 def lexical_rerank(spark, d):
-    from tarn.operators.search import bm25_scan
+    """Every benchmark item asks; its twenty best documents by words are scored again."""
+    from tarn.plans.q_search import index_of
 
-    docs = _docs(spark, d).withColumn("tokens", text.plain_tokens(F.col("text")))
-    pool = bm25_scan(docs, "doc_id", "tokens", ["that", "thand", "worthless"], 60)
-    rows = docs.join(F.broadcast(pool.select("doc_id")), "doc_id").select(F.lit(1).cast("long").alias("query_id"), F.lit("that thand worthless").alias("query"), F.col("doc_id").alias("key"), "text")
-    return rerank.rerank(rows)
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
+    asked = items.select("query_id", F.explode(F.array_distinct(text.keywords(F.col("query")))).alias("term"))
+    pool = index_of(spark, d).search_many(asked, 20).select("query_id", "key").join(items, "query_id")
+    return rerank.rerank(pool.join(_docs(spark, d).select(F.col("doc_id").alias("key"), "text"), "key"))
 
 
 def text_coverage(spark, d):
@@ -187,14 +188,14 @@ SELECT doc_id, md5(t) AS digest, substr(t, 1, 60) AS head FROM r""",
     "surface_tokens": _token_query("'Biaya Rp1.500.000 SOP-12/2026 ISO-27001 ' || text", "true"),
     "keywords": _token_query("text", KEEP),
     "sparse_texts": "SELECT doc_id, md5(source || ' ' || lang || chr(10) || text) AS sparse, md5(source || chr(10) || text) AS contextual FROM documents",
-    "fenced": "SELECT doc_id, '<retrieved_document>' || chr(10) || '[DOCUMENT]' || chr(10) || 'Name: ' || source || chr(10) || 'Section: a b' || chr(10) || 'Page: 2' || chr(10) || 'Chunk: chunk_0001' || chr(10) || '[CONTENT]' || chr(10) || '‹/Retrieved_Document› x ' || substr(text, 1, 200) || chr(10) || '</retrieved_document>' AS block FROM documents",
+    "fenced": "SELECT doc_id, '<retrieved_document>' || chr(10) || '[DOCUMENT]' || chr(10) || 'Name: ' || source || chr(10) || 'Section: a b' || chr(10) || 'Page: 2' || chr(10) || 'Chunk: chunk_0001' || chr(10) || '[CONTENT]' || chr(10) || '‹/Retrieved_Document› x ' || text || chr(10) || '</retrieved_document>' AS block FROM documents",
     "citations": """SELECT doc_id, array_to_string(list_sort(list_distinct([1, 7, (doc_id % 5)::INT])), ',') AS numbers, 'Cuti 12 hari [1]. Lembur' || CASE WHEN doc_id % 5 IN (1, 2) THEN ' [' || (doc_id % 5) || ']' ELSE '' END || '.' AS clean FROM documents""",
-    "route_heuristic": "WITH q AS (SELECT conv_id, turn, lower(['', 'Tolong EKSTRAK ', 'ringkasan ', 'find '][conv_id % 4 + 1] || substr(text, 1, 30)) AS t FROM conversations WHERE role = 'user'), r AS (SELECT *, CASE "
+    "route_heuristic": "WITH q AS (SELECT conv_id, turn, lower(['', 'Tolong EKSTRAK ', 'ringkasan ', 'find '][conv_id % 4 + 1] || text) AS t FROM conversations WHERE role = 'user'), r AS (SELECT *, CASE "
     + " ".join(f"WHEN {' OR '.join(f'''contains(t, '{w}')''' for w in words)} THEN '{name}'" for name, words in (("extract", routing.EXTRACT), ("summary", routing.SUMMARY), ("search", routing.SEARCH)))
     + " ELSE 'default' END AS k FROM q) SELECT conv_id, turn, CASE k WHEN 'default' THEN 'knowledge_query' ELSE 'knowledge_' || k END AS capability, CASE k WHEN 'default' THEN 0.4::DOUBLE WHEN 'search' THEN 0.45::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE k WHEN 'default' THEN k ELSE 'keyword:' || k END AS reason FROM r",
     "intent_flags": "SELECT conv_id, turn, "
     + ", ".join(f"regexp_matches(t, '{p}') AS {n}" for n, p in (("aggregate", routing.AGGREGATE), ("full_document", routing.FULL_DOCUMENT), ("multi_document", routing.MULTI_DOCUMENT), ("summary", routing.SUMMARY_REQUEST)))
-    + " FROM (SELECT conv_id, turn, ['', 'berapa banyak ', 'bandingkan ', 'semua ', 'overview '][conv_id % 5 + 1] || substr(text, 1, 30) AS t FROM conversations WHERE role = 'user')",
+    + " FROM (SELECT conv_id, turn, ['', 'berapa banyak ', 'bandingkan ', 'semua ', 'overview '][conv_id % 5 + 1] || text AS t FROM conversations WHERE role = 'user')",
     "text_coverage": r"SELECT doc_id, round(len(list_filter(['the', 'that', 'thand', 'worthless'], lambda w: list_contains(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), w))) / 4.0::DOUBLE, 6) AS coverage FROM documents",
     "chunk_overlap": r"""WITH c AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_index FROM documents),
 b AS (SELECT *, list_filter(regexp_split_to_array(coalesce(lag(content) OVER (PARTITION BY document_id ORDER BY chunk_index), ''), '\s+'), lambda w: w <> '') AS w FROM c)

@@ -66,7 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
 _ENDING: set[str] = set()
 
 
-def _file_system(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's storage."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
@@ -76,20 +77,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     own = f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}"
     if own not in _ENDING:
         _ENDING.add(own)
-        files, at = _file_system(spark, own)
+        files, at = hadoop_path(spark, own)
         files.mkdirs(at)
         files.deleteOnExit(at)
     return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, at = _file_system(spark, path)
+    files, at = hadoop_path(spark, path)
     return files.exists(at)
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete scratch that nothing will read again."""
-    files, at = _file_system(spark, path)
+    files, at = hadoop_path(spark, path)
     files.delete(at, True)
 
 
@@ -99,4 +100,14 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     ship_package(spark)
     path = path or scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of materialized frames that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "__dict__", {}).get("_scratch")
+        if path:
+            discard(frame.sparkSession, path)

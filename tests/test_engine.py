@@ -115,13 +115,69 @@ def test_chunks_keep_everything():
     assert len(lapped) == len(found) and lapped[1]["content"] != found[1]["content"]
 
 
+def _chunk_rows(spark, tokens, hits=(), query=1):
+    rows = [(query, "x", i, i, t, "text", i in hits) for i, t in enumerate(tokens)]
+    return spark.createDataFrame(rows, "query_id long, document_id string, chunk_index int, rank int, tokens int, content string, hit boolean")
+
+
+def test_expansion(spark):
+    def expand(tokens, hits, budget, n, whole=None):
+        rows = _chunk_rows(spark, tokens, hits)
+        found = context.expanded(rows.where("hit"), rows, budget + len(hits) * context.HIT_OVERHEAD + sum(tokens[i] for i in hits), n, whole)
+        return [(r.chunk_index, r.upto) for r in found.orderBy("upto").collect()]
+
+    # a large document: neighbours, nearest first; one that does not fit is skipped
+    assert [i for i, _ in expand([2000] * 10, (5,), 5000, 1)] == [4, 6]
+    assert [i for i, _ in expand([2000, 2000, 10, 9000, 10, 2000], (2,), 4010, 2)] == [1, 0]
+    # a small one, or one that is asked for: whole, up to the first part that does not fit
+    assert [i for i, _ in expand([10, 10, 10], (1,), 15, 0)] == [0]
+    assert [i for i, _ in expand([10, 50, 10, 10], (0,), 45, 0)] == []
+    assert [i for i, _ in expand([2000] * 5, (3,), 6000, 0, "hit")] == [0, 1, 2]
+    assert expand([10], (0,), 100, 1) == []
+
+
+def test_summary_stages(spark):
+    rows = _chunk_rows(spark, [5, 5, 5, 20, 1])
+    got = context.grouped(rows, 10, most_parts=4).orderBy("chunk_index").collect()
+    assert [(r.stage, r.covered) for r in got] == [(0, True), (0, True), (1, True), (2, True), (3, False)]
+
+    class Lengths:
+        def complete(self, prompt: str) -> str:
+            return f"<{prompt}>"
+
+    staged = rows.join(context.grouped(rows, 10, most_parts=4).select("chunk_index", "stage", "covered"), "chunk_index").withColumn("content", F.col("chunk_index").cast("string"))
+    assert [tuple(r) for r in context.summarised(staged, Lengths()).collect()] == [("x", "<<0\n1>\n<2>\n<3>>", True)]
+    one = staged.where("stage = 0")
+    assert [tuple(r) for r in context.summarised(one, Lengths()).collect()] == [("x", "<0\n1>", False)]
+
+
+def test_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "xa b c d e f g h i"), (3, "c\nd"), (4, None), (5, "c d c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b  c d e f g h i j"), (2, "c d"), (3, ""), (4, "d e f g h i j z"), (5, None)], "item_id long, text string")
+    got = sorted(map(tuple, evaluate.holding(docs, "doc_id", items, "item_id").collect()))
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 5)]
+
+
+def test_limits_of_busy_identities(spark):
+    times = [("a", i, float(t)) for i, t in enumerate([0, 1, 2, 59, 61, 62, 300, 301, 302, 303, 3600])] + [("b", 100 + i, 30.0 * i) for i in range(40)]
+    rows = spark.createDataFrame(times, "identity string, id long, seconds double").repartition(5)
+    got = {r.id: r.passed for r in ratelimit.replay(rows, 2).collect()}
+    for who in "ab":
+        mine = [x for x in times if x[0] == who]
+        assert [got[i] for _, i, _ in mine] == ratelimit.decide([t for _, _, t in mine], 2)
+    spans = spark.createDataFrame([("a", 0, 50), ("a", 10, 2_000), ("a", 1_990, 2_500), ("a", 1_995, 1_999), ("b", 5, 5)], "identity string, start long, end long")
+    assert {r.identity: r.most_open for r in ratelimit.concurrent(spans, 1000).collect()} == {"a": 3, "b": 0}
+
+
+def test_router_names(spark):
+    rows = spark.createDataFrame([(" RAG ",), ("knowledge-extract",), ("Summarise",), ("dance",), (None,)], "name string")
+    assert [r[0] for r in rows.select(routing.capability(F.col("name"))).collect()] == ["knowledge_query", "knowledge_extract", "knowledge_summary", None, None]
+
+
 def test_packing():
     items = [("a", 50, False), ("b", 80, False), ("c", 20, False), ("s", 30, True)]
     assert context.pack(items, 100, 8) == ["a", "c", "s"]
     assert context.pack([("a", 500, False), ("b", 1, False)], 100) == ["a"]
-    assert context.summary_groups([5, 5, 5, 20, 1], 10) == [[0, 1], [2], [3], [4]]
-    assert context.expand([("x", 5)], [(i, 2000) for i in range(10)], 0, 5000, 1, False) == ([4, 6], 4000)
-    assert context.expand([("x", 1)], [(0, 10), (1, 10), (2, 10)], 0, 15, 0, False) == ([0], 10)
     assert ratelimit.decide([0, 1, 2, 59, 61, 62], 2) == [True, True, False, False, True, True]
 
 
