@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.skew import HOT_LEAST, HOT_SHARE, join_hot
 from tarn.session import materialize, ship_package
 
+__all__ = ["BATCH_ROWS", "HOT_LEAST", "HOT_SHARE", "RID", "SPACE_CLASS", "WORD_CLASS", "carried", "hash60", "join_hot", "numbered", "read", "small_batches"]
+
 #: The white space of every contract here: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -14,9 +18,9 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 #: A row's number in a table that was written once.
 RID = "__tarn_rid"
-#: A key is hot when it holds over 1/HOT_SHARE of all rows (and over HOT_LEAST), so there are fewer than HOT_SHARE of them.
-HOT_SHARE, HOT_LEAST = 2000, 256
-_SALTS, _SALT = "__tarn_salts", "__tarn_salt"
+_FILE, _ROW, _NO = "__tarn_file", "__tarn_row", "__tarn_no"
+#: Files have fewer rows than 2 ** ROW_BITS; up to so many files are broadcast.
+ROW_BITS, BROADCAST_FILES = 40, 100_000
 
 
 def carried(df: DataFrame, made: list[str]) -> list[str]:
@@ -25,31 +29,32 @@ def carried(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once with a number for each row, ``__tarn_rid``.
+def numbered(df: DataFrame, name: str, scanned: bool = False) -> DataFrame:
+    """``df`` with a number for each row, ``__tarn_rid``, that is the same however often it is read.
 
     Numbers that a scan hands out depend on its splits, and those on how many
-    executors there are; so rows are numbered once, and all later steps read
-    the numbers from the written table.
+    executors there are.  So rows are numbered once, in a written copy.  Where
+    ``df`` is a plain read of files (``scanned``), no copy is needed: a row's
+    number is made of its file's and its place in the file, which splits don't
+    change.
     """
     names = carried(df, [RID])
-    return materialize(df.select(F.monotonically_increasing_id().alias(RID), *names), name)
-
-
-def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], copies: str, total: int, spread_by: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner or left) with ``side``, which has one row a key and says in ``copies`` how many of ``rows`` carry it.
-
-    The rows of a hot key are dealt over salts by a hash of ``spread_by``, and
-    its row of ``side`` is repeated for each salt, so no task meets more than
-    about ``total / HOT_SHARE`` rows of one key.  ``copies`` is dropped.
-    """
-    hot_from = max(HOT_LEAST, total // HOT_SHARE)
-    salts = F.when(F.col(copies) > hot_from, F.ceil(F.col(copies) / hot_from)).otherwise(1).cast("int")
-    side = side.withColumn(_SALTS, salts).drop(copies)
-    hot = F.broadcast(side.where(F.col(_SALTS) > 1).select(*keys, _SALTS))  # fewer than HOT_SHARE rows
-    salted = rows.join(hot, keys, "left").withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col(_SALTS), F.lit(1))).cast("int")).drop(_SALTS)
-    spread = side.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_SALTS) - 1))).drop(_SALTS)
-    return salted.join(spread, [*keys, _SALT], how).drop(_SALT)
+    files = _files(df) if scanned else None
+    if files is None:
+        return materialize(df.select(F.monotonically_increasing_id().alias(RID), *names), name)
+    told = df.select(*names, F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+    met = told.join(F.broadcast(files) if files.count() <= BROADCAST_FILES else files, _FILE)
+    return met.select((F.shiftleft(_NO, ROW_BITS) + F.col(_ROW)).alias(RID), *names)
+
+
+def _files(df: DataFrame) -> DataFrame | None:
+    """(file, number) of the files that ``df`` reads; None if it reads none."""
+    try:
+        found = df.select(F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index")).select(_FILE).distinct()
+    except AnalysisException:
+        return None
+    at = Window.orderBy(_FILE)  # one row a file
+    return materialize(found.withColumn(_NO, F.row_number().over(at).cast("long") - 1), "files")
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

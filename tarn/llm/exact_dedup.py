@@ -158,8 +158,8 @@ def decide(
     )
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` without the rows that :func:`decide` drops, columns unchanged. Rows are numbered in a written copy, so ``df`` may be any DataFrame."""
-    rows = numbered(df, "dedup-rows")
-    dropped = decide(rows, id_col, text, rid=RID, **options).where(~F.col("kept")).select(RID)
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", scanned: bool = False, **options) -> DataFrame:
+    """``df`` without the rows that :func:`decide` drops, columns unchanged. ``scanned``: it is a plain read of files, so no numbered copy is needed."""
+    rows = numbered(df, "dedup-rows", scanned)
+    dropped = materialize(decide(rows, id_col, text, rid=RID, **options).where(~F.col("kept")).select(RID), "dedup-dropped")
     return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))

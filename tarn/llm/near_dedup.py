@@ -34,7 +34,7 @@ from pyspark.sql.types import BooleanType
 from tarn.llm import _words
 from tarn.llm._common import RID, carried, join_hot, numbered, small_batches
 from tarn.llm.components import components
-from tarn.session import materialize
+from tarn.session import materialize, release
 
 BANDS, ROWS = 28, 4
 SHINGLE = 4
@@ -171,23 +171,22 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None, scanned: bool = False) -> DataFrame:
     """One row per row of ``df``: its number ``__tarn_rid``, ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     A row without words has no shingles, is linked with nothing and stays.  Of
     a component, the row with the smallest identifier stays; where several rows
     carry it, one of them.  Rows without identifier take part; a component of
     such rows alone has a null ``component_id`` and keeps its first row.  An
-    empty table gives none.  ``rid`` names a column that numbers the rows of a
-    written table; without it ``df`` is written once, with numbers.
+    empty table gives none.  ``rid`` names a column that numbers the rows,
+    whenever they are read; without it ``df`` is written once, with numbers,
+    unless it is a plain read of files (``scanned``).
     """
     spark = df.sparkSession
     small_batches(spark)
     if rid is None:
-        df, rid = numbered(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "near-rows"), RID
-        source = df.select(F.col(rid).alias("rid"), "id", "text")
-    else:
-        source = df.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+        df, rid = numbered(df if scanned else df.select(id_col, text), "near-rows", scanned), RID
+    source = df.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     signed = materialize(source.mapInPandas(_sign, f"rid long, id {id_type}, n long, digest binary, bands array<long>"), "near-signed")
 
@@ -200,7 +199,8 @@ def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str |
     members = materialize(members.select("node", "n", "band", F.xxhash64("band", "key").alias("bucket")), "near-bands")
     buckets = members.groupBy("bucket").agg(F.count("*").alias("copies"), F.min("node").alias("pivot")).where("copies > 1")
     buckets = materialize(buckets.withColumn("size", F.col("copies")), "near-buckets")
-    members = materialize(join_hot(members, buckets, ["bucket"], "copies", members.count(), ["node"]), "near-members")
+    bands, members = members, materialize(join_hot(members, buckets, ["bucket"], "copies", members.count(), ["node"]), "near-members")
+    release(bands)
 
     nodes = members.select("node").distinct()
     chosen = source.join(nodes.withColumnRenamed("node", "rid"), "rid").select(F.col("rid").alias("node"), "text")
@@ -217,7 +217,10 @@ def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str |
     apart = materialize(apart.join(first, ["u", "v"], "left_anti"), "near-apart")
     labels = _relabelled(labels, _verify(apart, sets))
 
-    labels = _relabelled(labels, _units(_labelled(members.where("size > 2"), labels), signed, sets))
+    told = materialize(_labelled(members.where("size > 2"), labels), "near-told")
+    release(members, buckets, first, apart)
+    labels = _relabelled(labels, _units(told, signed, sets))
+    release(told, sets)
     return _assign(signed, classes, labels, id_col)
 
 
@@ -227,13 +230,15 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is not None:
         if links.isEmpty():
             return labels
-        links = links.union(labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")))
-    return materialize(components(links), "near-labels")
+        found = materialize(components(links.union(labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")))), "near-labels")
+    else:
+        found = materialize(components(links), "near-labels")
+    release(links, labels)
+    return found
 
 
 def _units(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links inside bands that still hold several components."""
-    members = materialize(members, "near-told")
     counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
     blocks = lambda rows, shingles, most: F.ceil(F.greatest(rows / most, shingles / BLOCK_SHINGLES)).cast("int")
     open_ = (
@@ -265,6 +270,7 @@ def _assign(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: st
     """Every row with its component; rows of large classes, and classes of large components, are salted before they meet their head."""
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "near-named")
+    release(classes, labels)
     heads = named.groupBy("label").agg(F.min("best").alias("head"), F.count("*").alias("members"))
     named = join_hot(named, heads, ["label"], "members", named.count(), ["node"])
     rows = signed.select("rid", "id", "n", "digest").where("n > 0")
@@ -275,8 +281,8 @@ def _assign(signed: DataFrame, classes: DataFrame, labels: DataFrame, id_col: st
     return some.union(none)
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each component, columns unchanged; ``df`` may be any DataFrame."""
-    rows = numbered(df, "near-input")
-    dropped = decide(rows, id_col, text, rid=RID).where(~F.col("kept")).select(RID)
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", scanned: bool = False) -> DataFrame:
+    """``df`` with one row of each component, columns unchanged. ``scanned``: it is a plain read of files, so no numbered copy is needed."""
+    rows = numbered(df, "near-input", scanned)
+    dropped = materialize(decide(rows, id_col, text, rid=RID).where(~F.col("kept")).select(RID), "near-dropped")
     return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))

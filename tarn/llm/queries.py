@@ -15,7 +15,7 @@ SHARDS = 40
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.sharding import histogram_shards
 
-    placed = histogram_shards(read(spark, sf_dir, "documents"), SHARDS, ["doc_id"])
+    placed = histogram_shards(read(spark, sf_dir, "documents"), SHARDS, ["doc_id"], scanned=True)
     return placed.select(
         "doc_id",
         "size",
@@ -58,7 +58,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.near_dedup import decide
 
-    return decide(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return decide(read(spark, sf_dir, "documents"), scanned=True).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

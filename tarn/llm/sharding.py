@@ -2,8 +2,7 @@
 
 Rows are ordered by a 120-bit key: 60 hashed bits of the key columns, then 60
 bits of the row's number, which only matter between rows whose key columns are
-equal.  Keys are written once, with the rows; counts and the exchange read them
-from there.  Splitters between shards are found by counting exact
+equal.  Splitters between shards are found by counting exact
 bytes: a round counts the bytes that lie between evenly spaced probes inside
 every open bracket, keeps a probe that is near enough to its target, and opens
 the narrower bracket around each other target.  Only bracket counts reach the
@@ -18,11 +17,12 @@ bins' exact counts give each bin's first slot.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm._common import carried, hash60
+from tarn.llm._common import RID, carried, hash60, numbered
 from tarn.session import materialize
 
 DIGIT = 12
@@ -121,21 +121,24 @@ def shard_of(splitters: list[tuple[int, int]], low: int, high: int) -> Column:
     return F.when(below, shard_of(splitters, low, mid)).otherwise(shard_of(splitters, mid + 1, high))
 
 
-def _bins(keyed: DataFrame, bin_bytes: int) -> tuple[DataFrame, list[str]]:
-    """``keyed`` with bins of about ``bin_bytes``: ranges of the key, cut again by the second number where one range holds far more (equal keys)."""
+def _bins(keyed: DataFrame, bin_bytes: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds to rows with keys their bins of about ``bin_bytes``: ranges of the key, cut again by the second number where one range holds far more (equal keys)."""
     total = keyed.agg(F.sum(SIZE)).first()[0] or 0
     bits = min(40, max(0, math.ceil(math.log2(max(1, total / bin_bytes)))))
-    coarse = keyed.withColumn(BIN, F.shiftrightunsigned(K1, 60 - bits))
-    mass = coarse.groupBy(BIN).agg(F.sum(SIZE).alias("bytes"), F.count("*").alias("rows"))
+    coarse = lambda df: df.withColumn(BIN, F.shiftrightunsigned(K1, 60 - bits))
+    mass = coarse(keyed).groupBy(BIN).agg(F.sum(SIZE).alias("bytes"), F.count("*").alias("rows"))
     # a range of a hashed key holds one bin's bytes, give or take: what holds 8 times that in more than one row has equal keys or long rows
     large = mass.where((F.col("bytes") > 8 * bin_bytes) & (F.col("rows") > 1))
     large = materialize(large.select(BIN, F.ceil(F.log2(F.col("bytes") / bin_bytes)).cast("int").alias("cut")), "shard-large-bins")
-    if large.isEmpty():
-        return coarse.withColumn(PART, F.lit(0).cast("long")), [BIN, PART]
-    # fewer than total / (8 * bin_bytes) of 2 ** bits ranges, and of those with equal keys only
-    cut = coarse.join(F.broadcast(large), BIN, "left") if large.count() <= BROADCAST_BINS else coarse.join(large, BIN, "left")
+    n = large.count()
     part = F.when(F.col("cut").isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned({K2}, 60 - cut)"))
-    return cut.withColumn(PART, part).drop("cut"), [BIN, PART]
+
+    def cut(df: DataFrame) -> DataFrame:
+        if not n:
+            return coarse(df).withColumn(PART, F.lit(0).cast("long"))
+        return coarse(df).join(F.broadcast(large) if n <= BROADCAST_BINS else large, BIN, "left").withColumn(PART, part).drop("cut")
+
+    return cut
 
 
 def histogram_shards(
@@ -146,6 +149,7 @@ def histogram_shards(
     overhead: int = 16,
     tolerance: float = 0.002,
     bin_bytes: int = 1 << 20,
+    scanned: bool = False,
 ) -> DataFrame:
     """``df`` with ``size`` (UTF-8 bytes of ``text`` plus ``overhead``), ``shard`` and ``slot``, in shards of nearly equal bytes.
 
@@ -153,7 +157,8 @@ def histogram_shards(
     equal keys, nulls among them, are told apart by the number they get when
     they are written, so even one key that holds a third of all rows is spread
     over shards and bins; such rows' own slots depend on how the input is laid
-    out, all others' do not.  ``df`` may be any DataFrame.
+    out, all others' do not.  ``df`` may be any DataFrame; if it is a plain read
+    of files (``scanned``), it is not copied first.
 
     A null text has no bytes.  An empty table gives an empty result.  Input
     columns named like an output are replaced.
@@ -161,14 +166,15 @@ def histogram_shards(
     keys = keys or ["doc_id"]
     keep = carried(df, ["size", "shard", "slot"])
     size = F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0)) + F.lit(overhead)
-    at = hash60(F.monotonically_increasing_id(), F.lit(n_shards))
-    rows = materialize(df.select(*[F.col(c) for c in keep], size.alias(SIZE), hash60(*[F.col(c) for c in keys]).alias(K1), at.alias(K2)), "shard-rows")
-    splitters = find_splitters(rows.select(K1, K2, SIZE), [i / n_shards for i in range(1, n_shards)], tolerance / n_shards)
+    rows = numbered(df, "shard-rows", scanned).select(*keep, RID, size.alias(SIZE), hash60(*[F.col(c) for c in keys]).alias(K1), hash60(F.col(RID), F.lit(n_shards)).alias(K2))
+    keyed = materialize(rows.select(RID, K1, K2, SIZE), "shard-keys")
+    splitters = find_splitters(keyed, [i / n_shards for i in range(1, n_shards)], tolerance / n_shards)
 
-    binned, bins = _bins(rows, bin_bytes)
-    placed = binned.withColumn("shard", shard_of(splitters, 0, len(splitters)))
+    cut, bins = _bins(keyed, bin_bytes), [BIN, PART]
+    placed = lambda df: cut(df).withColumn("shard", shard_of(splitters, 0, len(splitters)))
     before = Window.partitionBy("shard").orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    first = placed.groupBy("shard", *bins).count().select("shard", *bins, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__tarn_first"))
-    inside = Window.partitionBy("shard", *bins).orderBy(K1, K2)
+    counts = placed(keyed).groupBy("shard", *bins).count()
+    first = counts.select("shard", *bins, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__tarn_first"))
+    inside = Window.partitionBy("shard", *bins).orderBy(K1, K2, RID)
     slot = F.col("__tarn_first") + F.row_number().over(inside) - 1
-    return placed.join(first, ["shard", *bins]).select(*keep, F.col(SIZE).alias("size"), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed(rows).join(first, ["shard", *bins]).select(*keep, F.col(SIZE).alias("size"), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))

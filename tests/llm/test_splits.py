@@ -57,6 +57,8 @@ def test_dedup_whatever_the_splits(spark, docs, monkeypatch):
         "op5": lambda: _rows(near_dedup.decide(read()), "doc_id", "n_shingles", "component_id", "kept"),
         "exact": lambda: _rows(exact_dedup.drop_copies(joined()), "text"),
         "near": lambda: _rows(near_dedup.drop_near_copies(joined()), "text"),
+        "exact, scanned": lambda: _rows(exact_dedup.drop_copies(read(), scanned=True), "text"),
+        "near, scanned": lambda: _rows(near_dedup.drop_near_copies(read(), scanned=True), "text"),
     }
     for name, job in jobs.items():
         want = job()
@@ -65,15 +67,17 @@ def test_dedup_whatever_the_splits(spark, docs, monkeypatch):
             assert turn[0] > 1
 
 
-def test_mix_and_shards_whatever_the_splits(spark, docs, monkeypatch):
+@pytest.mark.parametrize("scanned", [False, True])
+def test_mix_and_shards_whatever_the_splits(spark, docs, monkeypatch, scanned):
     read = lambda: spark.read.parquet(docs)
     known = F.col("doc_id").isNotNull()
-    want, sizes = _rows(mixing.mix_sources(read()).where(known), "doc_id", "text"), mixing.mix_sources(read()).count()
-    shards = _rows(sharding.histogram_shards(read(), 7).where("doc_id IS NOT NULL AND doc_id <> 7"), "doc_id", "shard")
+    mix, place = lambda: mixing.mix_sources(read(), scanned=scanned), lambda: sharding.histogram_shards(read(), 7, scanned=scanned)
+    want, sizes = _rows(mix().where(known), "doc_id", "text"), mix().count()
+    shards = _rows(place().where("doc_id IS NOT NULL AND doc_id <> 7"), "doc_id", "shard")
     with changing(spark, monkeypatch):
-        mixed = mixing.mix_sources(read())
+        mixed = mix()
         assert mixed.count() == sizes and _rows(mixed.where(known), "doc_id", "text") == want
-        placed = sharding.histogram_shards(read(), 7).select("doc_id", "shard", "slot").collect()
+        placed = place().select("doc_id", "shard", "slot").collect()
     assert len(placed) == 1002
     for shard in range(7):
         mine = sorted(r.slot for r in placed if r.shard == shard)
