@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage
 before it kept.  All but the last return the columns of ``documents``.  Between
 stages rows are written as Parquet and read again, so each stage starts from a
-table: a lost executor never costs more than the stage it was lost in.
+table: a lost executor never costs more than the stage it was lost in, and rows
+are told by their file and place in it.
 
 The mix may take a document up to three times; such rows repeat from there on.
 """
@@ -22,24 +23,28 @@ from tarn.session import materialize
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+#: The least score of a language that a document is kept with.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    return language.keep_known(docs)
+    return language.keep_known(docs, least=LEAST_LANGUAGE_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(docs, scanned=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, scanned=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(docs, scanned=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
