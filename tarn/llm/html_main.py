@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -105,14 +106,18 @@ class Node:
 def parse(page: str) -> Node:
     """The page as a tree, with the end tags that authors leave out."""
     root = Node("#root", "#root")
-    stack, at, open_ = [root], 0, Counter()
+    stack, at, open_ = [root], 0, {}
 
     def cut(i: int) -> None:
-        open_.subtract(x.tag for x in stack[i:])
+        for x in stack[i:]:
+            open_[x.tag] -= 1
         del stack[i:]
 
     def close(tags: set[str]) -> None:
-        if not any(open_[t] for t in tags):
+        for t in tags:
+            if open_.get(t):
+                break
+        else:
             return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
@@ -124,7 +129,7 @@ def parse(page: str) -> Node:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].add_text(entities.unescape(text))
+            stack[-1].add_text(entities.unescape(text) if "&" in text else text)
         if not m:
             return root
         at = m.end()
@@ -134,7 +139,7 @@ def parse(page: str) -> Node:
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
                     cut(i)
                     break
@@ -145,12 +150,7 @@ def parse(page: str) -> Node:
             close({"p"})
         if tag in CLOSES:
             close(CLOSES[tag])
-        attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m.group(3))} if m.group(3) else {}
-        marks = " ".join(attrs[a] for a in ("class", "id", "role", "itemprop") if attrs.get(a))
-        shape = tag + "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(attrs.get("class", "").split())) + (f"@{attrs['role']}" if attrs.get("role") else "")
-        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-            shape += "!hidden"
-        node = Node(tag, shape, bool(marks) and tag not in ("html", "body", "main", "article") and bool(MARKS.search(marks)))
+        node = Node(tag, *_shape(tag, m.group(3))) if m.group(3) else Node(tag, tag)
         stack[-1].parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag in RAW:
             continue
@@ -160,7 +160,18 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         stack.append(node)
-        open_[tag] += 1
+        open_[tag] = open_.get(tag, 0) + 1
+
+
+@lru_cache(maxsize=1 << 14)
+def _shape(tag: str, written: str) -> tuple[str, bool]:
+    """An element's shape, and whether its names tell of furniture."""
+    attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(written)}
+    marks = " ".join(attrs[a] for a in ("class", "id", "role", "itemprop") if attrs.get(a))
+    shape = tag + "".join(f".{_DIGITS.sub('#', c)}" for c in sorted(attrs.get("class", "").split())) + (f"@{attrs['role']}" if attrs.get("role") else "")
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        shape += "!hidden"
+    return shape, bool(marks) and tag not in ("html", "body", "main", "article") and bool(MARKS.search(marks))
 
 
 # ---- wrappers
@@ -168,7 +179,7 @@ def parse(page: str) -> Node:
 TEXT = "#text"
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Part:
     """A piece of a wrapper, or of one page.
 
@@ -194,12 +205,17 @@ class Part:
 
     @property
     def tag(self) -> str:
-        return re.match(r"[^.@!]*", self.shape).group()
+        return _tag(self.shape)
 
     def row(self) -> list:
         return [self.shape, self.marked, self.value, self.count, self.seen, self.repeated, self.mass]
 
 
+@lru_cache(maxsize=1 << 14)
+def _tag(shape: str) -> str:
+    return re.match(r"[^.@!]*", shape).group()
+
+
 def is_furniture(tag: str, shape: str) -> bool:
     """Whether HTML itself says that an element is no text to read."""
     return tag in FURNITURE or shape.endswith("!hidden")
@@ -239,8 +255,11 @@ def grouped(parts: list[Part]) -> list:
     if len(parts) < 2 * TANDEM:
         return parts
     keys, out, i = [p.key for p in parts], [], 0
+    last = len(parts) - 2 * TANDEM
     while i < len(parts):
-        for period in range(2, PERIOD + 1):
+        for period in range(2, PERIOD + 1) if i <= last and keys[i] != keys[i + 1] else ():
+            if keys[i] != keys[i + period]:
+                continue
             end = i + period
             while end + period <= len(keys) and all(keys[end + k] == keys[i + k] for k in range(period)):
                 end += period
@@ -354,6 +373,8 @@ def _one_by_one(a: list, b: list) -> bool:
 
 def _level(a: list[Part], b: list[Part], todo: _Pending) -> list[Part]:
     """Two sequences of siblings as one; what is inside them is left to ``todo``."""
+    if len(a) == len(b) <= RUN and all(x.shape == y.shape and x.marked == y.marked and not x.repeated and not y.repeated for x, y in zip(a, b, strict=True)):
+        return [_meet(x, y, todo) for x, y in zip(a, b, strict=True)]
     left, right = _runs(a), _runs(b)
     out, i, j = [], 0, 0
     for p, q in [*pairs([k for k, _ in left], [k for k, _ in right]), (len(left), len(right))]:
@@ -405,6 +426,8 @@ def folded(top: Part) -> Part:
     stack = [top]
     while stack:
         part, todo = stack.pop(), _Pending()
+        if not part.body:
+            continue
         part.body = [p for _, run in _runs(part.body) for p in _settled(run, todo)]
         _settle(part, todo)
         stack += part.body
@@ -580,6 +603,8 @@ def infer(pages: list[str]) -> Wrapper:
 
 def _matched(wrapper: list[Part], page: list[Part]) -> dict[int, Part]:
     """The part of a wrapper's body that each part of a page's body falls on, by ``id``."""
+    if len(wrapper) == len(page) <= RUN and all(p.shape == q.shape and p.marked == q.marked and not p.repeated for p, q in zip(wrapper, page, strict=True)):
+        return {id(q): p for p, q in zip(wrapper, page, strict=True)}
     out: dict[int, Part] = {}
     left = []
     for p in wrapper:
