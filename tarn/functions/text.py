@@ -229,3 +229,12 @@ def fence(chunk_id: Column, name: Column, page: Column, content: Column, section
         F.nullif(note, F.lit("")),
     )
     return F.concat(F.lit("<retrieved_document>\n[DOCUMENT]\n"), head, F.lit("\n[CONTENT]\n"), inert, F.lit("\n</retrieved_document>"))
+
+
+def json_in(text: Column) -> Column:
+    """The JSON that a model's answer holds: all of it, fences aside, or else from the first opening to the last closing brace; null if neither parses."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    bare = F.when(F.startswith(trimmed, F.lit("```")), F.trim(F.rtrim(F.trim(F.regexp_replace(trimmed, "^```[a-zA-Z]*", ""), F.lit(" \t\r\n")), F.lit("`")), F.lit(" \t\r\n"))).otherwise(trimmed)
+    inner = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    parses = lambda c: F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull()
+    return F.when(parses(bare), bare).when(parses(inner), inner)

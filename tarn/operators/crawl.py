@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.urls import canonical, for_visit, host, links
@@ -47,3 +47,30 @@ def reach(links_: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, fetched:
 def first_pages(visited: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """The pages that a crawl keeps: by depth, then address."""
     return visited.orderBy("depth", "url").limit(most)
+
+
+def robot_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, place, allow, prefix) of robots files (host, body): the rules of the group that names the agent, else of the one for all."""
+    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
+    lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("place", "raw")).select("host", "place", line.alias("line")).where("line <> ''")
+    name, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    said = lines.where(F.contains("line", F.lit(":"))).select("host", "place", name.alias("name"), value.alias("value"))
+    order = Window.partitionBy("host").orderBy("place")
+    # agents named one after another share the rules that follow
+    begins = ((F.col("name") == "user-agent") & (F.coalesce(F.lag("name").over(order), F.lit("")) != "user-agent")).cast("int")
+    grouped = said.withColumn("begins", begins).withColumn("group", F.sum("begins").over(order))
+    agents = grouped.where("name = 'user-agent'").select("host", "group", F.lower("value").alias("agent"))
+    fits = F.when((F.col("agent") != "*") & F.contains(F.lit(agent.lower()), F.col("agent")), 0).when(F.col("agent") == "*", 1)
+    chosen = agents.withColumn("fit", fits).where("fit IS NOT NULL").groupBy("host").agg(F.min(F.struct("fit", "group")).alias("best")).select("host", F.col("best.group").alias("group"))
+    rules = grouped.where("name IN ('allow', 'disallow')").join(chosen, ["host", "group"])
+    # an empty Disallow allows all
+    return rules.select("host", "place", ((F.col("name") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("prefix"))
+
+
+def allowed(addresses: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """``addresses`` with ``allowed``: the first rule of their host that their path begins with decides; without one they are."""
+    path = F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
+    by_host = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "allow", "prefix"))).alias("rules"))  # one robots file a host
+    met = addresses.withColumns({"host": host(F.col(url)), "__path": path}).join(by_host, "host", "left")
+    fits = F.filter(F.coalesce("rules", F.array().cast("array<struct<place:int,allow:boolean,prefix:string>>")), lambda r: F.startswith(F.col("__path"), r["prefix"]))
+    return met.withColumn("allowed", F.coalesce(F.try_element_at(fits, F.lit(1))["allow"], F.lit(True))).drop("__path", "rules", "host")

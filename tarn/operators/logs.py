@@ -138,3 +138,12 @@ def retained(log: DataFrame, since, newest: int) -> DataFrame:
 def with_labels(log: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row with its key's label, if it has one."""
     return log.join(labels, "key_id", "left")
+
+
+def recorded(requests: DataFrame, skipped: tuple[str, ...] = (), own: str = "/logs") -> DataFrame:
+    """Requests that a log keeps: none to a skipped path or below one, none to the log's own pages (by their prefix)."""
+    path = F.col("path")
+    found = ~F.startswith(path, F.lit(own))
+    for item in (s.strip() for s in skipped if s.strip()):
+        found &= ~((path == item) | F.startswith(path, F.lit(item.rstrip("/") + "/")))
+    return requests.where(found)

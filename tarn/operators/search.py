@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.embed import dot
-from tarn.functions.text import fingerprint
+from tarn.functions.text import fingerprint, garbage_reason
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -160,6 +160,11 @@ def relative_threshold(rows: DataFrame, score: str, share: float = RELATIVE_THRE
     return rows.crossJoin(F.broadcast(best)).where((F.col("__best") > 0) & (F.col(score) >= F.col("__best") * share)).drop("__best")
 
 
+def readable(rows: DataFrame, content: str) -> DataFrame:
+    """Candidates whose text does not read like a binary file."""
+    return rows.where(garbage_reason(F.col(content)).isNull())
+
+
 def relevance_gate(rows: DataFrame, score: str, reranked: bool = True, minimum: float = MIN_RELEVANCE, semantic: bool = False) -> DataFrame:
     """One row: best_score, relevant, gate."""
     stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(score), F.lit(0.0)).alias("best_score"))

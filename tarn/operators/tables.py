@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.numbers import format_number, is_numeric_cell, numeric_ratio, parse_number
+from tarn.functions.text import keywords
 
 #: The operations, those that need numbers, and the limits of the plan language.
 OPERATIONS = ("sum", "avg", "min", "max", "count", "count_distinct", "top_n", "list_rows", "none")
@@ -171,6 +172,41 @@ def facts(plan: Plan, table: DataFrame, order: str, scope: str = "") -> dict:
     }
 
 
+def choose(questions: DataFrame, tables: DataFrame, most: int = 1) -> DataFrame:
+    """(query_id, table_id, overlap, place): for each question (query_id, query) the tables (table_id, document_name, sheet, headers) whose description shares most key words with it.
+
+    Shared words are found by an equi-join; a question that shares none with
+    any table gets the first tables by id, with an overlap of 0.
+    """
+    described = F.concat_ws(" ", "document_name", "sheet", F.array_join("headers", " "))
+    words = lambda c: F.explode(F.array_distinct(keywords(c))).alias("word")
+    asked = questions.select("query_id", words(F.col("query")))
+    known = tables.select("table_id", words(described))
+    shared = asked.join(known, "word").groupBy("query_id", "table_id").agg(F.count("*").alias("overlap"))
+    first = tables.select("table_id").orderBy("table_id").limit(most)  # ``most`` rows
+    default = questions.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("overlap", F.lit(0).cast("long"))
+    met = shared.unionByName(default).groupBy("query_id", "table_id").agg(F.max("overlap").alias("overlap"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "table_id"))
+    return met.withColumn("place", place).where(F.col("place") <= most)
+
+
+#: Words in the names of date columns, their form, and how many cells are looked at.
+DATE_NAMES = ("tanggal", "tgl", "date", "waktu", "time", "periode")
+DATE_FORM = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?$"
+DATE_CELLS, DATE_SHARE = 50, 0.6
+
+
+def date_columns(table: DataFrame, order: str) -> DataFrame:
+    """(column, is_date): columns named like dates whose first cells, those not blank of fifty, mostly are."""
+    headers = [h for h in table.columns if h != order]
+    first = table.orderBy(order).limit(DATE_CELLS)
+    filled = lambda h: F.coalesce(F.col(f"`{h}`").cast("string"), F.lit("")) != ""
+    share = lambda h: F.coalesce(F.avg(F.when(filled(h), F.col(f"`{h}`").rlike(DATE_FORM).cast("double"))), F.lit(0.0))
+    named = {h: any(w in h.strip().lower() for w in DATE_NAMES) for h in headers}
+    told = first.agg(*[(F.lit(named[h]) & (share(h) >= DATE_SHARE)).alias(f"c{i}") for i, h in enumerate(headers)])
+    return told.select(F.explode(F.array(*[F.struct(F.lit(h).alias("column"), F.col(f"c{i}").alias("is_date")) for i, h in enumerate(headers)])).alias("x")).select("x.column", "x.is_date")
+
+
 def clean_headers(headers: list[str], longest: int = 80) -> list[str]:
     """Headers trimmed, blank ones named by place, repeats numbered."""
     out: list[str] = []
@@ -183,4 +219,4 @@ def clean_headers(headers: list[str], longest: int = 80) -> list[str]:
     return out
 
 
-__all__ = ["Plan", "PlanError", "Where", "bind", "clean_headers", "condition", "execute", "facts", "is_numeric_cell", "plan_from_json", "resolve_column", "run"]
+__all__ = ["Plan", "PlanError", "Where", "bind", "choose", "clean_headers", "condition", "date_columns", "execute", "facts", "is_numeric_cell", "plan_from_json", "resolve_column", "run"]

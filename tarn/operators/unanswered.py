@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tarn.functions.text import query_key
 
 KEYS = ["organization_id", "knowledge_base_id", "query_key"]
+#: Fixed values.
+STATUSES = ("open", "resolved")
 
 
 def upsert(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -59,3 +61,17 @@ def purge(table: DataFrame, since, newest: int) -> DataFrame:
     """Rows seen since then, the ``newest`` of each organisation."""
     place = F.row_number().over(Window.partitionBy("organization_id").orderBy(F.desc("last_seen"), *KEYS))
     return table.where(F.col("last_seen") >= F.lit(since)).withColumn("__place", place).where(F.col("__place") <= newest).drop("__place")
+
+
+def filtered(table: DataFrame, organization_id: str, knowledge_base_id: str | None = None, allowed: tuple[str, ...] = (), status: str | None = None, search: str = "") -> DataFrame:
+    """One organisation's questions, narrowed by knowledge base, by what the caller may see, by status and by words of the question; an unknown status is ignored."""
+    found = table.where(F.col("organization_id") == organization_id)
+    if knowledge_base_id:
+        found = found.where(F.col("knowledge_base_id") == knowledge_base_id)
+    if allowed:
+        found = found.where(F.col("knowledge_base_id").isin(*allowed))
+    if status in STATUSES:
+        found = found.where(F.col("status") == status)
+    if search:
+        found = found.where(F.contains("query_key", F.regexp_replace(query_key(F.lit(search)), "[%_]", "")))
+    return found

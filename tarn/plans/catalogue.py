@@ -1,8 +1,8 @@
 """The registered queries of the engine proper, with their SQL."""
 
-from tarn.plans import q_catalog, q_logs, q_search, q_sources, q_tables, q_text
+from tarn.plans import q_catalog, q_checks, q_logs, q_search, q_sources, q_tables, q_text
 
-MODULES = [q_search, q_tables, q_logs, q_text, q_catalog, q_sources]
+MODULES = [q_search, q_tables, q_logs, q_text, q_catalog, q_sources, q_checks]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text, urls
 from tarn.operators import catalog, context, crawl, evaluate, ratelimit, scope
+from tarn.plans.q_search import BM25_BATCH
 from tarn.sources.html import html_to_text
 
 
@@ -44,7 +45,7 @@ def crawl_reach(spark, d):
 
 
 def html_text(spark, d):
-    return html_to_text(_pages(spark, d).select("page_id", "html"), "html", "text").select("page_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+    return html_to_text(_pages(spark, d).select("page_id", "html"), "html", "text").select("page_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
 def _chunks(spark, d):
@@ -252,7 +253,16 @@ CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) || '&' ELS
     "canonical": f"SELECT page_id, {ROOT} || '/c/' || page_id AS canonical FROM pages",
     "sniffed_types": "SELECT page_id, ['application/pdf', 'application/rtf', 'text/html'][page_id % 3 + 1] AS kind FROM pages",
     "crawl_reach": LINKS + f""", s AS (SELECT DISTINCT {VISIT.format(u='url')} AS url FROM pages), e AS (SELECT DISTINCT {VISIT.format(u='url')} AS src, {VISIT.format(u='link')} AS dst FROM l),
-f AS (SELECT DISTINCT dst AS url FROM e JOIN s ON e.src = s.url WHERE src <> dst AND dst NOT IN (SELECT url FROM s)) SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM f""",
+f AS (SELECT DISTINCT dst AS url FROM e JOIN s ON e.src = s.url WHERE src <> dst AND dst NOT IN (SELECT url FROM s)),
+g2 AS (SELECT DISTINCT dst AS url FROM e JOIN f ON e.src = f.url WHERE src <> dst AND dst NOT IN (SELECT url FROM s) AND dst NOT IN (SELECT url FROM f))
+SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM f UNION ALL SELECT url, 2 FROM g2""",
+    "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|article|h1|li)>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\x{a0}]+', ' ', 'g'), '[ \t]*\|[ \t]*(?:\|[ \t]*)*', ' | ', 'g'), ' *\n *', chr(10), 'g') AS t FROM c),
+g AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?m)^[ \t]*\|[ \t]*|[ \t]*\|[ \t]*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM e),
+h AS (SELECT page_id, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS t FROM g)
+SELECT page_id, md5(t) AS digest, length(t) AS n FROM h""",
     "latest_job": C + "SELECT document_id, status, updated_at FROM j WHERE status <> 'deleted'",
     "job_status_counts": C + "SELECT status, count(*) AS count FROM j GROUP BY status",
     "document_list": C + "SELECT document_id, status, n.chunks AS vectors_in_store FROM j JOIN n USING (document_id) WHERE status <> 'deleted' UNION ALL SELECT document_id, 'completed', chunks FROM n WHERE document_id % 11 = 0",
@@ -301,6 +311,20 @@ SELECT r.query_id, w.document_id, w.chunk_index, r.spent AS upto FROM r JOIN w U
 r(document_id, k, stage, room) AS (SELECT document_id, 1::BIGINT, 0::BIGINT, (60 - tokens)::BIGINT FROM x WHERE k = 1
 UNION ALL SELECT x.document_id, x.k, CASE WHEN x.tokens > r.room THEN r.stage + 1 ELSE r.stage END, CASE WHEN x.tokens > r.room THEN 60 - x.tokens ELSE r.room - x.tokens END FROM r JOIN x ON x.document_id = r.document_id AND x.k = r.k + 1)
 SELECT x.document_id, x.chunk_index, r.stage::INT AS stage, r.stage < 12 AND x.k <= 400 AS covered FROM r JOIN x USING (document_id, k)""",
+    "eval_recall_precision_mrr": BM25_BATCH + r""", k AS (SELECT query_id, doc_id AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS rank FROM r WHERE rank <= 5),
+x AS (SELECT b.item_id AS query_id, o.doc_id AS document_id FROM documents o JOIN benchmark b ON contains(' ' || trim(regexp_replace(o.text, '\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(b.text, '\s+', ' ', 'g')) || ' ')),
+a AS (SELECT query_id FROM k UNION SELECT query_id FROM x),
+m AS (SELECT a.query_id, (SELECT count(*) FROM k WHERE k.query_id = a.query_id) AS shown, (SELECT count(*) FROM x WHERE x.query_id = a.query_id) AS wanted,
+  (SELECT count(*) FROM k JOIN x USING (query_id, document_id) WHERE k.query_id = a.query_id) AS hits, (SELECT min(rank) FROM k JOIN x USING (query_id, document_id) WHERE k.query_id = a.query_id) AS first FROM a),
+s2 AS (SELECT CASE WHEN wanted = 0 THEN 1.0::DOUBLE ELSE hits / wanted END AS recall, CASE WHEN shown = 0 THEN 0.0::DOUBLE ELSE hits / shown END AS precision, coalesce(1.0::DOUBLE / first, 0.0) AS rr FROM m)
+SELECT round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(rr), 4) AS mrr, round(avg((recall > 0)::INT), 4) AS hit_rate, count(*) AS queries FROM s2""",
+    # each identity's requests one after another; what passed in the last minute is carried along
+    "rate_limit_replay": """WITH RECURSIVE e AS (SELECT event_type AS identity, event_id AS id, epoch_us(ts) / 1e6::DOUBLE AS seconds, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS k FROM events),
+r(identity, k, id, seconds, passed, recent) AS (SELECT identity, k, id, seconds, true, [seconds] FROM e WHERE k = 1
+UNION ALL SELECT e.identity, e.k, e.id, e.seconds, len(list_filter(r.recent, lambda x: x >= e.seconds - 60)) < 2,
+  CASE WHEN len(list_filter(r.recent, lambda x: x >= e.seconds - 60)) < 2 THEN list_filter(r.recent, lambda x: x >= e.seconds - 60) || [e.seconds] ELSE list_filter(r.recent, lambda x: x >= e.seconds - 60) END
+  FROM r JOIN e ON e.identity = r.identity AND e.k = r.k + 1)
+SELECT identity, id, seconds, passed FROM r""",
     "eval_rates": "SELECT round(avg(CASE WHEN quality <> 1 THEN (doc_id % 4 = 0)::INT END), 4) AS refusal_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN (toxic = 0)::INT END), 4) AS grounded_rate, round(avg(CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 3 = 0)::INT END), 4) AS citation_rate FROM labels",
     "most_concurrent": """WITH s AS (SELECT event_type AS identity, epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + 900000000, -1 FROM events),
 r AS (SELECT identity, sum(d) OVER (PARTITION BY identity ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS o FROM s) SELECT identity, max(o)::BIGINT AS most_open FROM r GROUP BY 1""",

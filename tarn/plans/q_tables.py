@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.numbers import excel_serial, format_number, is_numeric_cell, numeric_ratio, parse_number
 from tarn.operators import tables
+from tarn.operators.skew import join_hot
 from tarn.operators.tables import Plan, Where
 
 
@@ -47,8 +48,12 @@ SELECT {of}({metric}) AS v, count({metric}) AS n, count(*) AS rows_matched, coun
 
 
 def number_parsing(spark, d):
-    rows = _items(spark, d).select("row_index", F.explode(F.array("Harga", "Jumlah Barang", "Tanggal", "Flag")).alias("cell"))
-    return rows.select("row_index", "cell", parse_number(F.col("cell")).alias("number"), is_numeric_cell(F.col("cell")).alias("numeric")).distinct()
+    """Every distinct cell is read once, however many rows hold it."""
+    rows = _items(spark, d).select("row_index", F.explode(F.array_distinct(F.array("Harga", "Jumlah Barang", "Tanggal", "Flag"))).alias("cell")).distinct()
+    cells = rows.select("cell").distinct()
+    read = cells.select("cell", parse_number(F.col("cell")).alias("number"), is_numeric_cell(F.col("cell")).alias("numeric"))
+    often = rows.groupBy("cell").agg(F.count("*").alias("copies"))
+    return join_hot(rows, read.join(often, "cell"), ["cell"], "copies", rows.count(), ["row_index"]).select("row_index", "cell", "number", "numeric")
 
 
 def number_ratio(spark, d):
@@ -67,11 +72,19 @@ def excel_dates(spark, d):
     return o.select("o_orderkey", excel_serial(serial).alias("day"), excel_serial(serial + 0.5).alias("noon"))
 
 
-def date_columns(spark, d):
-    """Columns that hold dates: a name that hints at it, and ISO dates in most cells."""
-    t = _items(spark, d)
-    iso = lambda c: F.avg(F.when(tables.cell(c) != "", tables.cell(c).rlike(r"^\d{4}-\d{2}-\d{2}").cast("double")))
-    return t.agg(F.coalesce(iso("Tanggal"), F.lit(0.0)).alias("a"), F.coalesce(iso("Flag"), F.lit(0.0)).alias("b")).select((F.col("a") >= 0.6).alias("tanggal"), (F.col("b") >= 0.6).alias("flag"))
+#: Cells as people write them, and the numbers they hold.
+WRITTEN = {
+    "18000": 18000, "18.000": 18000, "1.234,56": 1234.56, "1,234.56": 1234.56, "Rp 25.000": 25000, "(1.500)": -1500, "-12": -12, "15%": 15, "2026-08-02": None,
+    "PRD-001": None, "": None, "tidak ada data": None, "30,5": 30.5, "1234.567": 1234567, "1,234,567": None, "Rp1.500": None, " 7 ": 7, "12.345.678": 12345678, "0,5": 0.5,
+    "1,234": 1234, "USD 1,000.50": 1000.5, "-1.5": -1.5, "3 juta": None, "10:30": 1030, "12/05/2024": None,
+}
+
+
+def number_forms(spark, d):
+    """Every form of number, beside every order."""
+    forms = F.explode(F.array(*map(F.lit, WRITTEN))).alias("cell")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", forms)
+    return rows.groupBy("cell", parse_number(F.col("cell")).alias("number")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -93,7 +106,7 @@ QUERIES = {
     "number_ratio": number_ratio,
     "number_format": number_format,
     "excel_dates": excel_dates,
-    "date_columns": date_columns,
+    "number_forms": number_forms,
 }
 ORACLE_SQL = {
     "table_sum": _number("v", "sum"),
@@ -117,5 +130,5 @@ regexp_matches(cell, '^[0-9]+([.][0-9]+)?$') AS numeric FROM (SELECT row_index,
     "number_ratio": SHEET + "SELECT flag AS \"Flag\", round(avg(CASE WHEN trim(harga) <> '' THEN (v IS NOT NULL)::INT END), 6) AS harga, 0.0::DOUBLE AS status FROM n GROUP BY flag",
     "number_format": f"SELECT o_orderkey, (SELECT {SHOWN} FROM (SELECT round(o_totalprice, 2) AS v)) AS shown, (SELECT {SHOWN} FROM (SELECT floor(o_totalprice)::DOUBLE AS v)) AS whole FROM orders",
     "excel_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' AS noon FROM orders",
-    "date_columns": "SELECT true AS tanggal, false AS flag",
+    "number_forms": "SELECT cell, number::DOUBLE AS number, (SELECT count(*) FROM orders) AS n FROM (VALUES " + ", ".join(f"('{c}', {'NULL' if v is None else v})" for c, v in WRITTEN.items()) + ") AS t(cell, number)",
 }

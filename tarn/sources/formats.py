@@ -73,3 +73,39 @@ def parser_column(name: Column, head: Column, mime: Column) -> Column:
         .when(html, "html")
         .otherwise(F.coalesce(by_name, by_mime, F.lit("")))
     )
+
+
+#: Names of one media type.
+MEDIA_ALIASES = {"application/x-pdf": "application/pdf", "text/xml": "application/xml"}
+LONGEST_NAME = 180
+
+
+def suffix_of(name: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"[^./\\](\.[^./\\]+)$", 1))
+
+
+def safe_name(name: Column) -> Column:
+    """A file's name without folders, every other sign an underscore, none at either end."""
+    base = F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit("document")), r"^.*/(?=[^/])|/+$", "")
+    clean = F.trim(F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_"), F.lit("._"))
+    return F.substring(F.coalesce(F.nullif(clean, F.lit("")), F.lit("document")), 1, LONGEST_NAME)
+
+
+def upload_refusal(name: Column, head: Column, size: Column, mime: Column, most_bytes: int, suffixes: tuple[str, ...] | None = None) -> Column:
+    """Why an upload is refused before anything is stored, or null."""
+    known = suffixes or tuple(sorted(_BY_EXTENSION))
+    low = F.lower(F.coalesce(mime, F.lit("")))
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MEDIA_ALIASES.items() for x in pair]), low), low)
+    typed = F.coalesce(*[F.when(F.contains(named, F.lit(part)), F.lit(True)) for part in MEDIA], F.lit(False))
+    return (
+        F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
+        .when(size > most_bytes, "too_large")
+        .when(~suffix_of(name).isin(*known) & ~typed, "unsupported")
+        .when(F.startswith(F.hex(head), F.lit("25504446")) & (suffix_of(name) != ".pdf"), "not_named_pdf")
+    )
+
+
+def label_refused(label: Column, suffixes: tuple[str, ...] | None = None) -> Column:
+    """Whether a document's label claims a type that is not stored; a label needs no extension."""
+    suffix = suffix_of(label)
+    return (suffix != "") & ~suffix.isin(*(suffixes or tuple(sorted(_BY_EXTENSION))))
