@@ -20,13 +20,16 @@ def source_routing(spark, d):
 
 
 def source_text_pages(spark, d):
-    made = _docs(spark, d).select("doc_id", F.regexp_replace("text", "\n", "\f").alias("raw"))
+    """Line by line as pages: by form feeds, by numbered lines, or not at all."""
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda t, i: F.concat(F.lit("[Page "), (i + 7).cast("string"), F.lit("]\n"), t)), "\n")
+    made = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", "\n", "\f")).when(F.col("doc_id") % 3 == 1, numbered).otherwise(F.col("text")).alias("raw"))
     return reader.text_pages(made, "raw").select("doc_id", "page", F.md5("page_text").alias("digest"))
 
 
 def source_json_pages(spark, d):
+    """Pages with and without numbers; a document without pages is one page."""
     page = lambda n, t: F.struct(F.lit(n).alias("page"), t.alias("text"))
-    made = _docs(spark, d).select("doc_id", F.to_json(F.struct(F.array(page(3, F.col("source")), page(None, F.col("text"))).alias("pages"))).alias("raw"))
+    made = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 4 == 3, '{"title": "none"}').otherwise(F.to_json(F.struct(F.array(page(3, F.col("source")), page(None, F.col("text"))).alias("pages")))).alias("raw"))
     return reader.json_pages(made, "raw").select("doc_id", "page", F.md5("page_text").alias("digest"))
 
 
@@ -45,8 +48,10 @@ QUERIES = {f.__name__: f for f in (source_routing, source_text_pages, source_jso
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+', ''), '\s+$', '')"
 ORACLE_SQL = {
     "source_routing": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'rtf' WHEN doc_id % 7 = 1 THEN 'html' ELSE ['text', 'pdf', 'docx', 'text', 'csv', 'text'][doc_id % 6 + 1] END AS parser FROM documents",
-    "source_text_pages": f"SELECT doc_id, i::INT AS page, md5({CLEAN.format(t='p')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
-    "source_json_pages": f"SELECT doc_id, 3 AS page, md5(source) AS digest FROM documents UNION ALL SELECT doc_id, 2, md5({CLEAN.format(t='text')}) FROM documents",
+    "source_text_pages": f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i, text FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN i + 6 WHEN doc_id % 3 = 0 THEN i ELSE 1 END::INT AS page, md5({CLEAN.format(t='CASE WHEN doc_id % 3 = 2 THEN text ELSE p END')}) AS digest FROM p WHERE doc_id % 3 < 2 OR i = 1""",
+    "source_json_pages": f"""SELECT doc_id, 3 AS page, md5(source) AS digest FROM documents WHERE doc_id % 4 <> 3 UNION ALL SELECT doc_id, 2, md5({CLEAN.format(t='text')}) FROM documents WHERE doc_id % 4 <> 3
+UNION ALL SELECT doc_id, 1, md5('{{"title": "none"}}') FROM documents WHERE doc_id % 4 = 3""",
     "payload_sizes": "SELECT doc_id, strlen(text)::BIGINT AS size FROM documents",
     "answer_checks": "SELECT doc_id, doc_id % 4 < 2 AS refused, CASE WHEN doc_id % 4 = 3 THEN 'Tahunan2025,cgiian,hanyaLEMpar,pemb.cgiian' ELSE '' END AS damaged FROM documents",
 }

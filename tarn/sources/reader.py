@@ -80,16 +80,27 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", encodin
 
 
 def json_pages(df: DataFrame, raw: str) -> DataFrame:
-    """(page, text) rows of JSON documents ``{"pages": [{"page", "text"}]}``."""
-    parsed = F.from_json(F.col(raw), "pages array<struct<page:int,text:string>>")
-    rows = df.select(*df.columns, F.posexplode(parsed["pages"]).alias("__at", "__p"))
+    """(page, text) rows of JSON documents ``{"pages": [{"page", "text"}]}``; a document without pages is one page, its own text."""
+    parsed = F.from_json(F.col(raw), "pages array<struct<page:int,text:string>>")["pages"]
+    whole = F.array(F.struct(F.lit(1).alias("page"), F.col(raw).alias("text")))
+    rows = df.select(*df.columns, F.posexplode(F.coalesce(parsed, whole)).alias("__at", "__p"))
     return rows.select(*df.columns, F.coalesce("__p.page", F.col("__at") + 1).alias("page"), clean_text(F.col("__p.text")).alias("page_text"))
 
 
+#: Fixed value: a line that numbers the page after it.
+PAGE_LINE = r"(?im)^\s*\[page\s+(\d+)\]\s*$"
+
+
 def text_pages(df: DataFrame, raw: str) -> DataFrame:
-    """(page, text) rows of texts with form feeds."""
-    rows = df.select(*df.columns, F.posexplode(F.split(F.col(raw), "\f")).alias("__at", "page_text"))
-    return rows.select(*df.columns, (F.col("__at") + 1).alias("page"), clean_text(F.col("page_text")).alias("page_text"))
+    """(page, text) rows of texts: parted by form feeds, else by ``[page N]`` lines (what stands before the first belongs to none), else one page."""
+    numbers = F.regexp_extract_all(raw, F.lit(PAGE_LINE), F.lit(1))
+    parts = F.split(F.col(raw), PAGE_LINE)
+    page = lambda n, t: F.struct(n.cast("int").alias("page"), t.alias("text"))
+    fed = F.transform(F.split(F.col(raw), "\f"), lambda t, i: page(i + 1, t))
+    marked = F.transform(numbers, lambda n, i: page(n, F.element_at(parts, i + 2)))
+    found = F.when(F.contains(F.col(raw), F.lit("\f")), fed).when(F.size(numbers) > 0, marked).otherwise(F.array(page(F.lit(1), F.col(raw))))
+    rows = df.select(*df.columns, F.explode(found).alias("__p"))
+    return rows.select(*df.columns, "__p.page", clean_text(F.col("__p.text")).alias("page_text"))
 
 
 def log_summary(spark: SparkSession, path: str) -> DataFrame:
