@@ -25,6 +25,8 @@ from tarn.llm._common import carried, small_batches
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 2000
+#: Languages that a model may tell apart.
+MOST_LANGS = 500
 SWITCH_PENALTY = 12.0
 WORD_LIMIT = 6.0
 UNDETERMINED = "und"
@@ -177,10 +179,17 @@ def held_out(id_: Column) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model | None:
-    """A model from rows with a language that are not held out; None if there are none."""
+    """A model from rows with a language that are not held out; None if there are none.
+
+    Rows without identifier are not learnt from: nobody can tell whether they
+    are held out.  More than ``MOST_LANGS`` languages are refused: such a column
+    does not hold languages.
+    """
     small_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull() & F.coalesce(~held_out(F.col(id_col)), F.lit(False)))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"{lang!r} has more than {MOST_LANGS} values")
     if not counts:
         return None
     langs = sorted(counts)

@@ -394,6 +394,21 @@ def test_language_and_spans(spark, empty):
     assert language.keep_known(docs).columns == docs.columns
 
 
+def test_language_of_odd_rows(spark):
+    long = "kato meno tika loma " * 60_000
+    rows = [(1, long, "aa", "x", "y"), (1, long, "aa", "x", "y"), (2, "schtr pflug", "bb", "x", "y"), (None, "stuhl krumm", "bb", "x", "y"), (3, None, None, "x", "y"), *[(10 + i, w * 20, k, "x", "y") for i in range(30) for w, k in (("kato meno ", "aa"), ("schtr pflug ", "bb"))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, SCORE string, Spans string")
+    model = language.train(docs)
+    found = language.identify(docs, model)
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score", "spans"]
+    got = found.collect()
+    assert len(got) == len(rows) and all(r.lang_pred == (r.lang or "und") for r in got)
+    assert [(s.start, s.end) for r in got if r.doc_id == 1 for s in r.spans] == [(0, len(long) - 1)] * 2
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language.train(many)
+
+
 def test_keeping_known_languages_takes_odd_rows(docs):
     kept = language.keep_known(docs)
     assert kept.columns == docs.columns
