@@ -34,3 +34,8 @@ def scoped(df: DataFrame, scope: Scope) -> DataFrame:
 def without_summaries(df: DataFrame) -> DataFrame:
     """Content chunks; a missing flag means content."""
     return df.where(~F.coalesce(F.col("is_summary"), F.lit(False)))
+
+
+def attached(hits: DataFrame, payloads: DataFrame, keys: list[str], scope: Scope) -> DataFrame:
+    """Hits with their stored rows. Tenancy is checked again on what is stored: a hit whose row is another tenant's is dropped."""
+    return hits.join(scoped(payloads, scope), keys)

@@ -172,6 +172,16 @@ def facts(plan: Plan, table: DataFrame, order: str, scope: str = "") -> dict:
     }
 
 
+def header_names(cells: DataFrame, longest: int = 80) -> DataFrame:
+    """(table_id, place, header) of header cells (table_id, place from 1, cell): trimmed, blank ones named by place, repeats numbered in order."""
+    name = F.trim(F.regexp_replace(F.coalesce("cell", F.lit("")), r"\s+", " "))
+    named = cells.select("table_id", "place", F.when(name == "", F.concat(F.lit("kolom_"), F.col("place").cast("string"))).otherwise(name).alias("name"))
+    again = F.row_number().over(Window.partitionBy("table_id", "name").orderBy("place"))
+    numbered = named.withColumn("n", again)
+    shown = F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("n").cast("string")))
+    return numbered.select("table_id", "place", F.substring(shown, 1, longest).alias("header"))
+
+
 def choose(questions: DataFrame, tables: DataFrame, most: int = 1) -> DataFrame:
     """(query_id, table_id, overlap, place): for each question (query_id, query) the tables (table_id, document_name, sheet, headers) whose description shares most key words with it.
 

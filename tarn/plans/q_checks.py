@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import text, urls
-from tarn.operators import crawl, logs, scope, search, tables, unanswered
+from tarn.operators import chunker, crawl, logs, scope, search, tables, unanswered
 from tarn.plans.q_catalog import C, _chunks
 from tarn.plans.q_logs import ASKED, LOG, _asked, _log
 from tarn.plans.q_tables import SHEET, _items
@@ -145,11 +145,23 @@ def source_csv_tables(spark, d):
     return cells.groupBy("Flag").agg(F.count("*").alias("n"), F.sum(F.col("Jumlah Barang").cast("double")).alias("quantity"), F.min("Tanggal").alias("first"), F.sum((F.col("Status") != "").cast("long")).alias("filled"))
 
 
+def text_shapes(spark, d):
+    made = F.when(F.col("doc_id") % 4 == 1, F.regexp_replace("text", r" +(\S+) +", " | $1 | ")).when(F.col("doc_id") % 4 == 2, F.regexp_replace("text", r"[.] ", ".\n")).otherwise(F.col("text"))
+    return _read(spark, d, "documents").select("doc_id", chunker.shape(made).alias("shape"))
+
+
+def sheet_headers(spark, d):
+    """The first line of each document as a sheet's header."""
+    first = F.split(F.element_at(F.split("text", "\n"), 1), " ")
+    cells = _read(spark, d, "documents").select(F.col("doc_id").alias("table_id"), F.posexplode(first).alias("at", "cell"))
+    return tables.header_names(cells.select("table_id", (F.col("at") + 1).alias("place"), F.when(F.col("at") % 5 == 3, "  ").otherwise(F.col("cell")).alias("cell")), 12)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         unanswered_filtered, unanswered_status_change, garbage_candidates, log_skip_paths, tolerant_json, upload_checks, safe_names, table_listing,
-        table_row_scan, table_choice, date_columns, robots_allowed, scope_documents, source_log_files, source_csv_tables,
+        table_row_scan, table_choice, date_columns, robots_allowed, scope_documents, source_log_files, source_csv_tables, text_shapes, sheet_headers,
     )
 }
 SUFFIXES = ", ".join(f"'{e}'" for es in formats.EXTENSIONS.values() for e in es)
@@ -185,5 +197,14 @@ SELECT query_id, table_id, overlap, place FROM r WHERE place <= 2""",
 SELECT page_id, CASE WHEN h LIKE '%.net' THEN true WHEN h LIKE '%.org' THEN NOT starts_with(p, '/de') WHEN starts_with(p, '/en/7') THEN false WHEN starts_with(p, '/en') THEN true ELSE NOT starts_with(p, '/fr') END AS allowed FROM p""",
     "scope_documents": C + "SELECT document_id, count(*) AS n FROM ch WHERE organization_id = 'src3' AND knowledge_base_id IN ('en', 'de') AND document_id % 3 = 0 AND document_id < 2000 GROUP BY 1",
     "source_log_files": """SELECT CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS logger, count(*) AS count, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS first, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last FROM events WHERE event_id % 7 <> 0 GROUP BY ALL""",
+    "text_shapes": r"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN regexp_replace(text, ' +(\S+) +', ' | \1 | ', 'g') WHEN 2 THEN regexp_replace(text, '[.] ', '.' || chr(10), 'g') ELSE text END AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM m),
+c AS (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '^\s*\|.*\|\s*$|^[^\n\t]*\t[^\n\t]*\t|^\s*[^\n|]+\s\|\s[^\n|]+'))) AS r, list_sort(list_transform(l, lambda x: length(x))) AS s FROM l)
+SELECT doc_id, CASE WHEN n > 0 AND r >= greatest(1, floor(n * 0.6::DOUBLE)) THEN 'table' WHEN n >= 8 AND s[n // 2 + 1] <= 120 THEN 'lines' ELSE 'prose' END AS shape FROM c""",
+    "sheet_headers": r"""WITH a AS (SELECT doc_id AS table_id, string_split(string_split(text, chr(10))[1], ' ') AS c FROM documents),
+b AS (SELECT table_id, unnest(c) AS cell, generate_subscripts(c, 1)::INT AS place FROM a),
+e AS (SELECT table_id, place, CASE WHEN place % 5 = 4 OR trim(regexp_replace(cell, '\s+', ' ', 'g')) = '' THEN 'kolom_' || place ELSE trim(regexp_replace(cell, '\s+', ' ', 'g')) END AS name FROM b),
+g AS (SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY place) AS n FROM e)
+SELECT table_id, place, substr(CASE WHEN n = 1 THEN name ELSE name || '_' || n END, 1, 12) AS header FROM g""",
     "source_csv_tables": SHEET + "SELECT trim(flag) AS \"Flag\", count(*) AS n, sum(q) AS quantity, min(tanggal) AS first, count(*) FILTER (WHERE trim(status) <> '') AS filled FROM n GROUP BY 1",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.embed import hash_embedding
 from tarn.functions.text import estimate_tokens, fingerprint, plain_tokens
-from tarn.operators import search
+from tarn.operators import scope, search
 from tarn.operators.lexical_index import LexicalIndex
 from tarn.session import hadoop_path
 
@@ -177,6 +179,23 @@ def relevance_gate(spark, d):
     return search.relevance_gate(hits, "score").select(F.round("best_score", 6).alias("best_score"), "relevant", "gate")
 
 
+def relevance_gates(spark, d):
+    """Every way that the gate may go, over the same hits."""
+    hits = _hits(spark, d)
+    ways = {
+        "lexical": {}, "semantic": {"semantic": True}, "high": {"minimum": 1e9}, "off": {"minimum": 0.0}, "unranked": {"reranked": False},
+    }
+    cases = [search.relevance_gate(hits, "score", **how).withColumn("way", F.lit(way)) for way, how in ways.items()]
+    cases.append(search.relevance_gate(hits.where("score < 0"), "score").withColumn("way", F.lit("none")))
+    return reduce(DataFrame.unionByName, cases).select("way", F.round("best_score", 6).alias("best_score"), "relevant", "gate")
+
+
+def payload_tenant_check(spark, d):
+    """Stored rows of hits from the whole index, for one tenant."""
+    stored = _read(spark, d, "documents").select("doc_id", F.col("source").alias("organization_id"), F.col("lang").alias("knowledge_base_id"), F.col("doc_id").alias("document_id"), F.md5("text").alias("digest"))
+    return scope.attached(_hits(spark, d, 100).select("doc_id"), stored, ["doc_id"], scope.Scope("src3", ("en", "de"))).select("doc_id", "digest")
+
+
 def noop_rerank(spark, d):
     hits = search.ranked(_hits(spark, d, 20), "doc_id")
     return hits.select("doc_id", F.round(1 - F.col("rank") / F.lit(20.0), 6).alias("score"))
@@ -214,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, bm25_document_filter_keeps_idf, bm25_scan, bm25_scope_stats, bm25_postings, bm25_batch, bm25_after_changes, bm25_after_compaction, dense_search, dense_batch_queries, rrf_fusion,
-        hybrid_pool_dedupe, per_document_cap, document_focus, blended_score, relative_threshold, relevance_gate, noop_rerank, hash_embedding_norms,
+        hybrid_pool_dedupe, per_document_cap, document_focus, blended_score, relative_threshold, relevance_gate, relevance_gates, payload_tenant_check, noop_rerank, hash_embedding_norms,
         fingerprint_dedupe, token_estimates,
     )
 }
@@ -246,6 +265,11 @@ SELECT n.doc_id, round(CASE WHEN v.semantic IS NULL THEN n.lexical ELSE round(0.
 FROM n LEFT JOIN v USING (doc_id)""",
     "relative_threshold": BM25 + "SELECT doc_id, round(score, 6) AS score FROM h WHERE score >= 0.35::DOUBLE * (SELECT max(score) FROM h)",
     "relevance_gate": BM25 + "SELECT round(max(score), 6) AS best_score, max(score) >= 0.28 AS relevant, CASE WHEN max(score) >= 0.28 THEN 'lexical' ELSE 'below_min_relevance' END AS gate FROM h",
+    "relevance_gates": BM25 + """, m AS (SELECT max(score) AS s FROM h) SELECT way, CASE way WHEN 'none' THEN 0.0 ELSE round(s, 6) END AS best_score,
+CASE way WHEN 'none' THEN false WHEN 'high' THEN false WHEN 'off' THEN true WHEN 'unranked' THEN true ELSE s >= 0.28 END AS relevant,
+CASE way WHEN 'none' THEN 'no_candidates' WHEN 'high' THEN 'below_min_relevance' WHEN 'off' THEN 'gate_off' WHEN 'unranked' THEN 'reranker_off' ELSE CASE WHEN s >= 0.28 THEN way ELSE 'below_min_relevance' END END AS gate
+FROM m, (VALUES ('lexical'), ('semantic'), ('high'), ('off'), ('unranked'), ('none')) AS w(way)""",
+    "payload_tenant_check": BM25 + "SELECT k.doc_id, md5(o.text) AS digest FROM (SELECT doc_id FROM h ORDER BY round(h.score, 9) DESC, doc_id LIMIT 100) k JOIN documents o USING (doc_id) WHERE o.source = 'src3' AND o.lang IN ('en', 'de')",
     "noop_rerank": BM25 + """SELECT doc_id, round(1 - (row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1) / 20.0::DOUBLE, 6) AS score FROM
 (SELECT doc_id, score FROM h ORDER BY round(score, 9) DESC, doc_id LIMIT 20)""",
     "fingerprint_dedupe": f"SELECT md5(fp) AS fp, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {FP} AS fp FROM documents) GROUP BY ALL",
