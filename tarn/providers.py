@@ -13,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from tarn.functions.embed import hash_vector
 from tarn.operators.answers import REFUSALS
@@ -56,7 +57,7 @@ class EchoModel:
 
 def embedded(rows: DataFrame, text: str, provider: Embedder) -> DataFrame:
     """``rows`` with ``embedding``."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,7 +74,7 @@ def migrate(source: DataFrame, target: DataFrame, text: str, provider: Embedder)
 
 
 def completed(prompts: DataFrame, prompt: str, model: LanguageModel, out: str = "answer") -> DataFrame:
-    schema = prompts.schema.add(out, "string")
+    schema = StructType([*prompts.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

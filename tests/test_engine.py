@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import numbers, stem, text, urls
 from tarn.functions.embed import hash_vector
-from tarn.operators import chunker, context, ratelimit, rerank, search, tables
+from tarn.operators import chunker, context, evaluate, ratelimit, rerank, routing, search, tables
 from tarn.plans import catalogue
 from tarn.sources import formats, legacy, parsers, sheets
 from tarn.sources.archive import Archive, Unreadable
@@ -128,7 +128,8 @@ def test_expansion(spark):
 
     # a large document: neighbours, nearest first; one that does not fit is skipped
     assert [i for i, _ in expand([2000] * 10, (5,), 5000, 1)] == [4, 6]
-    assert [i for i, _ in expand([2000, 2000, 10, 9000, 10, 2000], (2,), 4010, 2)] == [1, 0]
+    assert [i for i, _ in expand([2000, 2000, 10, 9000, 10, 2000], (2,), 4010, 2)] == [1, 0, 4]
+    assert [i for i, _ in expand([2000, 2000, 10, 9000, 10, 2000], (2,), 4009, 2)] == [1, 0]
     # a small one, or one that is asked for: whole, up to the first part that does not fit
     assert [i for i, _ in expand([10, 10, 10], (1,), 15, 0)] == [0]
     assert [i for i, _ in expand([10, 50, 10, 10], (0,), 45, 0)] == []

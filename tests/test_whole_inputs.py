@@ -34,11 +34,11 @@ def test_context_pack_takes_all_chunks_of_all_documents(spark, tables):
         parts = []
         for i, body, *_ in docs:
             if i // 40 == q:
-                rank = {k: (i * 31 + k * 17) % 101 * 1000 + i * 10 + k for k in range(6)}
+                rank = {k: (i * 31 + k * 17) % 101 * 1_000_000 + i % 40 * 10_000 + k for k in range(6)}
                 tokens = {k: max(1, -(-max(len(x.split()) * 134, len(x) * 100 / 6) // 100)) for k, x in enumerate(body.split("\n"))}
                 parts += [((1, min(rank.values()), k), f"{i}::chunk_{k:04d}", tokens[k], False) for k in range(6)]
                 if i % 7 == 0:
-                    parts.append(((0, (i * 31 - 17) % 101 * 1000 + i * 10 - 1, 0), f"{i}::chunk_summary", max(1, -(-max(len(body[:50].split()) * 134, 50 * 100 / 6) // 100)), True))
+                    parts.append(((0, (i * 31 - 17) % 101 * 1_000_000 + i % 40 * 10_000 - 1, 0), f"{i}::chunk_summary", max(1, -(-max(len(body.split()) * 134, len(body) * 100 / 6) // 100)), True))
         want[q] = dict(enumerate(context.pack([p[1:] for p in sorted(parts)], 600, 12), 1))
     assert dict(got) == want
 
