@@ -14,8 +14,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: A batch is cut into pieces of about this many bytes, to bound the arrays.
-PIECE_BYTES = 1 << 22
+#: A batch is cut into pieces of about this many bytes, to bound the arrays: some fifty bytes for each.
+PIECE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

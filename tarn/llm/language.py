@@ -218,7 +218,7 @@ def _predict(model: Model | None):
         for column in batches:
             out = []
             texts = column.fillna("").tolist()
-            step = max(1, len(texts) // max(1, sum(map(len, texts)) >> 21)) if texts else 1
+            step = max(1, len(texts) // max(1, sum(map(len, texts)) >> 19)) if texts else 1
             for i in range(0, len(texts), step):
                 out += _label(model, texts[i : i + step])
             yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
