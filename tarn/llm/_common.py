@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tarn.operators.skew import HOT_LEAST, HOT_SHARE, join_hot
 from tarn.session import materialize, ship_package
 
-__all__ = ["BATCH_ROWS", "HOT_LEAST", "HOT_SHARE", "RID", "SPACE_CLASS", "WORD_CLASS", "carried", "hash60", "join_hot", "numbered", "read", "small_batches"]
+__all__ = ["BATCH_ROWS", "HOT_LEAST", "HOT_SHARE", "RID", "SPACE_CLASS", "WORD_CLASS", "carried", "hash60", "join_hot", "numbered", "read", "small_batches", "without"]
 
 #: The white space of every contract here: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,6 +19,8 @@ BATCH_ROWS = 256
 #: A row's number in a table that was written once.
 RID = "__tarn_rid"
 _FILE, _ROW, _NO = "__tarn_file", "__tarn_row", "__tarn_no"
+#: Up to so many row numbers are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Files have fewer rows than 2 ** ROW_BITS; up to so many files are broadcast.
 ROW_BITS, BROADCAST_FILES = 40, 100_000
 
@@ -57,6 +59,12 @@ def _files(df: DataFrame) -> DataFrame | None:
     return materialize(found.withColumn(_NO, F.row_number().over(at).cast("long") - 1), "files")
 
 
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``rows`` but for those whose number is in ``dropped`` (written already): by broadcast where they are few, so that texts stay where they are."""
+    few = dropped.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if few else dropped, RID, "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Make ready for Python workers: bound what one Arrow batch holds, unless the session asks for less, and send them this package."""
     ship_package(spark)

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import RID, SPACE_CLASS, carried, join_hot, numbered
+from tarn.llm._common import RID, SPACE_CLASS, carried, join_hot, numbered, without
 from tarn.session import materialize, scratch_path
 
 ID, DIGEST, POINTS, VARIANT = "__tarn_id", "__tarn_digest", "__tarn_points", "__tarn_variant"
@@ -162,4 +162,4 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", scann
     """``df`` without the rows that :func:`decide` drops, columns unchanged. ``scanned``: it is a plain read of files, so no numbered copy is needed."""
     rows = numbered(df, "dedup-rows", scanned)
     dropped = materialize(decide(rows, id_col, text, rid=RID, **options).where(~F.col("kept")).select(RID), "dedup-dropped")
-    return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))
+    return without(rows, dropped).select(*carried(df, [RID]))

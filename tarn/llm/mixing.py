@@ -195,5 +195,6 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", scann
     """``df`` as mixed: each row as often as the mix takes it, columns unchanged; rows of size 0 go. ``scanned``: a plain read of files, so no numbered copy is needed."""
     rows = numbered(df, "mix-input", scanned)
     taken = decide(rows, id_col, text, rid=RID, **options).where("taken > 0").select(RID, F.expr("cast(taken div size as int)").alias("__tarn_copies"))
-    met = rows.join(materialize(taken, "mix-taken"), RID).withColumn("__tarn_copy", F.explode(F.sequence(F.lit(1), F.col("__tarn_copies"))))
+    # most rows are taken, so their numbers are never few: one and the same join at every size
+    met = rows.join(materialize(taken, "mix-taken").hint("merge"), RID).withColumn("__tarn_copy", F.explode(F.sequence(F.lit(1), F.col("__tarn_copies"))))
     return met.select(*carried(df, [RID]))

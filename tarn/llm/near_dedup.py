@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from tarn.llm import _words
-from tarn.llm._common import RID, carried, join_hot, numbered, small_batches
+from tarn.llm._common import RID, carried, join_hot, numbered, small_batches, without
 from tarn.llm.components import components
 from tarn.session import materialize, release
 
@@ -285,4 +285,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``df`` with one row of each component, columns unchanged. ``scanned``: it is a plain read of files, so no numbered copy is needed."""
     rows = numbered(df, "near-input", scanned)
     dropped = materialize(decide(rows, id_col, text, rid=RID).where(~F.col("kept")).select(RID), "near-dropped")
-    return rows.join(dropped, RID, "left_anti").select(*carried(df, [RID]))
+    return without(rows, dropped).select(*carried(df, [RID]))
