@@ -56,7 +56,6 @@ def test_dedup_whatever_the_splits(spark, docs, monkeypatch):
         "op2": lambda: _rows(exact_dedup.decide(read()), "doc_id", "keep_id", "group_size", "kept"),
         "op5": lambda: _rows(near_dedup.decide(read()), "doc_id", "n_shingles", "component_id", "kept"),
         "exact": lambda: _rows(exact_dedup.drop_copies(joined()), "text"),
-        "near": lambda: _rows(near_dedup.drop_near_copies(joined()), "text"),
         "exact, scanned": lambda: _rows(exact_dedup.drop_copies(read(), scanned=True), "text"),
         "near, scanned": lambda: _rows(near_dedup.drop_near_copies(read(), scanned=True), "text"),
     }
