@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tarn.llm._common import carried, small_batches
 
@@ -193,3 +193,19 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", data:
             yield pd.Series([codec.decode(np.frombuffer(x, dtype="<u4").tolist()) if x else b"" for x in column], dtype=object)
 
     return df.select(*carried(df, [data]), to_bytes(F.col(ids)).alias(data))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """``df`` with ``ids`` and ``data``: :func:`encode` and :func:`decode` in one visit to a Python worker, which halves the workers that a task needs."""
+    small_batches(df.sparkSession)
+    ranks = _shared(df.sparkSession, ranks_path)
+
+    @pandas_udf(StructType([StructField("ids", BinaryType()), StructField("data", BinaryType())]))
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(ranks.value, pattern)
+        for texts in batches:
+            coded = [np.array(codec.encode(t), dtype="<u4").tobytes() if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": coded, "data": [codec.decode(np.frombuffer(x, dtype="<u4").tolist()) if x else b"" for x in coded]}, dtype=object)
+
+    found = df.select(*carried(df, [ids, data]), both(F.col(text)).alias("__tarn_both"))
+    return found.select(*carried(df, [ids, data]), F.col("__tarn_both.ids").alias(ids), F.col("__tarn_both.data").alias(data))

@@ -46,8 +46,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm import bpe
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(read(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.decode(ids, ranks, pattern).select(
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

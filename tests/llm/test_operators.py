@@ -182,7 +182,9 @@ def test_bpe_equals_the_library_and_round_trips(docs, empty):
     for r in coded.select("text", "ids", "decoded").collect():
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == encoding.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
-    assert bpe.encode(empty, path, pattern).count() == 0
+    once = bpe.round_trip(docs, path, pattern)
+    assert once.columns == coded.columns and sorted(map(repr, once.collect())) == sorted(map(repr, coded.collect()))
+    assert bpe.encode(empty, path, pattern).count() == bpe.round_trip(empty, path, pattern).count() == 0
 
 
 def test_bpe_tree_joins_any_text():
