@@ -51,7 +51,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), ranks, pattern), ranks, pattern)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), ranks, pattern)
     return coded.select(
         "doc_id",
         "source",
