@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tarn.llm import language, mixing
+from tarn.llm import language
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,6 +35,19 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 4]) for k in range(len(words) - 3)) if len(words) > 3 else frozenset([tuple(words)] if words else [])
 
 
+def _fit_targets(sizes, weights, most=3):
+    """Water filling, source by source."""
+    targets, free, left = [0.0] * len(sizes), list(range(len(sizes))), sum(sizes)
+    while free:
+        weight = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / weight > most * sizes[i]]
+        for i in over or free:
+            targets[i] = most * sizes[i] if over else left * weights[i] / weight
+        left -= sum(targets[i] for i in over)
+        free = [i for i in free if over and i not in over]
+    return targets
+
+
 def components(texts):
     sets = {i: shingles(t) for i, t in texts.items()}
     label = {i: i for i in sets}
@@ -72,7 +85,7 @@ def test_pipeline_equals_brute_force(spark, docs):
     sizes = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
     sources = sorted({docs[i].source for i in texts}, key=lambda s: (s is None, (s or "").encode()))
     whole = [sum(n for i, n in sizes.items() if docs[i].source == s) for s in sources]
-    targets = dict(zip(sources, mixing.fit_targets(whole, [(5, 2, 1)[k % 3] for k in range(len(sources))]), strict=True))
+    targets = dict(zip(sources, _fit_targets(whole, [(5, 2, 1)[k % 3] for k in range(len(sources))]), strict=True))
 
     got = corpus_pipeline.run(spark, SMALL).collect()
     copies = Counter(r.doc_id for r in got)
