@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import clustering
 from tarn.llm._common import read
 
 SHARDS = 40
@@ -117,9 +118,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_spans": op9_language_spans,
     "op10_quality_rules": op10_quality_rules,
+    "op11_kdtree_clusters": clustering.op11_kdtree_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_kdtree_clusters": clustering.ORACLE_SQL,
     "op2_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
