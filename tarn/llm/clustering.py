@@ -36,20 +36,20 @@ LARGEST = 1 << 27
 _EXACT = 1 << 53
 #: Bytes of trees in one Arrow batch.
 BATCH_BYTES = 32 << 20
-TREES = "ids array<{id}>, vectors binary, nodes binary"
+TREES = "ids array<string>, vectors binary, nodes binary"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector: str, dims: int = DIMS, scale: int = SCALE) -> DataFrame:
-    """(id, vector array<int>): floor(scale * x) of the vectors with exactly ``dims`` components, none null or non-finite."""
+    """(id as a string, which pandas leaves as it is, vector array<int>): floor(scale * x) of the vectors with exactly ``dims`` components, none null or non-finite."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     whole = F.transform(x, lambda v: F.floor(F.greatest(F.lit(float(-LARGEST)), F.least(F.lit(float(LARGEST)), v * F.lit(float(scale))))).cast("int"))
-    return df.where(F.coalesce(F.size(x) == dims, F.lit(False))).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), whole.alias("vector"))
+    return df.where(F.coalesce(F.size(x) == dims, F.lit(False))).where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("string").alias("id"), whole.alias("vector"))
 
 
 def first_centroids(vectors: DataFrame, clusters: int) -> np.ndarray:
     """The vectors whose ``1:<id>`` has the smallest sha256; without identifier they come last, equal hashes go by the vector."""
-    place = F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")).cast("binary"), 256)
+    place = F.sha2(F.concat(F.lit("1:"), F.col("id")).cast("binary"), 256)
     rows = vectors.select(place.alias("place"), "vector").orderBy(F.col("place").asc_nulls_last(), "vector").limit(clusters).collect()  # k rows
     return np.array([r.vector for r in rows], dtype=np.int64)
 
@@ -207,7 +207,7 @@ def plant_trees(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
             return pd.DataFrame({"ids": [mine], "vectors": [packed], "nodes": [nodes]})
 
         for pdf in batches:
-            ids += pdf["id"].astype(object).where(pdf["id"].notna(), None).tolist()
+            ids += pdf["id"].tolist()
             rows += pdf["vector"].tolist()
             while len(rows) >= TREE_ROWS:
                 yield grown(TREE_ROWS)
@@ -215,7 +215,7 @@ def plant_trees(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
             yield grown(len(rows))
 
     small_batches(vectors.sparkSession)
-    return vectors.mapInPandas(run, TREES.format(id=vectors.schema["id"].dataType.simpleString()))
+    return vectors.mapInPandas(run, TREES)
 
 
 def moved(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -229,7 +229,8 @@ def moved(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 n, s = Filter(Tree.load(vectors, nodes, dims), centroids).sums()
                 count, total = count + n, total + s
         got = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": got.astype(np.int32), "n": count[got], "total": [total[c] for c in got]})
+        if len(got):
+            yield pd.DataFrame({"cluster": got.astype(np.int32), "n": count[got], "total": [total[c] for c in got]})
 
     parts = trees.select("vectors", "nodes").mapInPandas(run, "cluster int, n long, total array<long>")
     each = parts.select("cluster", "n", F.posexplode("total").alias("at", "part"))
@@ -242,7 +243,7 @@ def moved(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
 def assign(trees: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(id, cluster, distance) of every vector."""
-    dims, id_type = centroids.shape[1], trees.schema["ids"].dataType.elementType.simpleString()
+    dims = centroids.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -250,7 +251,7 @@ def assign(trees: DataFrame, centroids: np.ndarray) -> DataFrame:
                 near, far = Filter(Tree.load(vectors, nodes, dims), centroids).assigned()
                 yield pd.DataFrame({"id": pd.Series(list(ids), dtype=object), "cluster": near.astype(np.int32), "distance": far})
 
-    return trees.mapInPandas(run, f"id {id_type}, cluster int, distance long")
+    return trees.mapInPandas(run, "id string, cluster int, distance long")
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", vector: str = "embedding", clusters: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE) -> DataFrame:
@@ -270,7 +271,7 @@ def cluster(df: DataFrame, id_col: str = "doc_id", vector: str = "embedding", cl
     trees = materialize(plant_trees(vectors, dims), "kd-trees")
     now = first_centroids(vectors, clusters)
     if not len(now):
-        none = vectors.select(F.col("id").alias(id_col), F.lit(0).alias("cluster"), *(F.lit(0).cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")))
+        none = vectors.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.lit(0).alias("cluster"), *(F.lit(0).cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")))
         return none.withColumn("centroid", F.array().cast("array<long>")).limit(0)
     for _ in range(rounds):
         now = moved(trees, now)
@@ -281,7 +282,7 @@ def cluster(df: DataFrame, id_col: str = "doc_id", vector: str = "embedding", cl
     held = lambda n: min(n, (1 << 63) - 1)
     told = [(c, held(inertia[c]), held(sum(inertia.values())), now[c].tolist()) for c in sorted(inertia)]
     heads = spark.createDataFrame(told, "cluster int, cluster_inertia long, inertia long, centroid array<long>")
-    return found.join(F.broadcast(heads), "cluster").select(F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid")
+    return found.join(F.broadcast(heads), "cluster").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid")
 
 
 def centroid_sha256(centroid: Column) -> Column:
