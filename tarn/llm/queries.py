@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import clustering, conversations
+from tarn.llm import clustering, conversations, ngram_join
 from tarn.llm._common import read
 
 SHARDS = 40
@@ -119,11 +119,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_spans": op9_language_spans,
     "op10_quality_rules": op10_quality_rules,
     "op11_kdtree_clusters": clustering.op11_kdtree_clusters,
+    "op12_count_rtree_join": ngram_join.op12_count_rtree_join,
     "op13_trie_repair": conversations.op13_trie_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_kdtree_clusters": clustering.ORACLE_SQL,
+    "op12_count_rtree_join": ngram_join.ORACLE_SQL,
     "op13_trie_repair": conversations.ORACLE_SQL,
     "op2_exact_dedup": r"""
 WITH d AS (

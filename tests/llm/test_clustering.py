@@ -52,7 +52,7 @@ def test_odd_tables(spark):
     assert one([]).collect() == [] and one([]).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid"]
     assert one([(1, None, None, None), (None, [None, None], None, None)]).collect() == []
     huge = one([(1, [3e38, -3e38], None, None), (2, [0.0, 0.0], None, None)]).collect()
-    assert [(r.vec_id, r.distance) for r in huge] == [(1, 0), (2, 0)] and max(max(r.centroid) for r in huge) == clustering.LARGEST
+    assert sorted((r.vec_id, r.distance) for r in huge) == [(1, 0), (2, 0)] and max(max(r.centroid) for r in huge) == clustering.LARGEST
 
 
 @pytest.mark.parametrize("size", [3, 1 << 12, 1 << 26])
