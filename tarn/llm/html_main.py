@@ -8,18 +8,20 @@ a sequence that recurs many times becomes a repeated group of its own; what one
 side lacks becomes optional, and texts that differ become slots.
 
 A host's wrapper decides what its pages say.  Its main part is the article (or
-main element), or else the part that holds most of what varies from page to
-page.  Inside it, texts that are the same wherever they stand are furniture, and
-so are the elements that HTML has for menus, asides, forms and the like.  Names
-of classes are weak evidence: they take a part out only if enough is left.
-Each page is then matched with its host's wrapper, and the texts that fall on
-its kept slots are the page's text.
-
-Wrappers are learnt from all pages: each task folds its own into one partial
-wrapper a host, and the partial wrappers of a host are aligned in a tree.  A
-page in which the wrapper finds no main part is read by a wrapper of its own.
-All walks use lists for stacks, so pages may be nested to any depth, and long
-sequences are aligned inside a band, so the work grows with a page's length.
+main element); nothing inside one goes for being the same on other pages.  Where
+a host has none, the main part is the smallest that holds every sentence and
+heading that varies from page to page; inside it, a text that all of the host's
+pages have, word for word, is furniture, unless it is a heading or a label of
+what varies.  Elements that HTML has for menus, asides, forms and the like are
+furniture everywhere.  Names of classes are weak evidence: they take a part out
+only if enough is left.  Each page is then matched with its host's wrapper, and
+the texts that fall on its kept slots are the page's text.
+
+Wrappers are learnt from all distinct pages: each task folds its own into one
+partial wrapper a host, and the partial wrappers of a host are aligned in a tree.
+A page in which the wrapper finds no main part is read by a wrapper of its own.
+All walks use lists for stacks, so pages may be nested to any depth; sequences
+are aligned exactly at any length, by longest common subsequences in bit vectors.
 """
 
 from __future__ import annotations
@@ -28,29 +30,32 @@ import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._common import HOT_LEAST, HOT_SHARE, carried, small_batches
-from tarn.session import materialize
+from tarn.llm._common import HOT_LEAST, HOT_SHARE, carried, join_hot, small_batches
+from tarn.session import materialize, release
 
-#: From this many distinct pages on, what never varies is furniture: outside of articles, and inside them.
-FEW_PAGES, LEAST_PAGES = 3, 12
-#: Partial wrappers that meet in one group of a tree's level, and hosts that a task holds at once.
+#: From this many distinct pages on it can be told what never varies.
+FEW_PAGES = 3
+#: Partial wrappers that meet in one group of a tree's level, and hosts that a task holds at once; of more, the half that was met longest ago is handed on.
 FAN_IN, OPEN_HOSTS = 16, 1000
-#: A part is the main one if it holds this share of its surroundings' text.
-MAIN_SHARE = 0.6
+#: Characters on average from which a text is a sentence, and tags whose texts name what comes after them.
+SENTENCE, LABELS = 25, {"h1", "h2", "h3", "h4", "h5", "h6", "dt", "th", "legend", "caption", "figcaption"}
 #: Where parts whose class names tell of furniture hold this share of the text, the heaviest of them stays; repeated articles with less than the other share are teasers.
 MARKED_SHARE, TEASER_SHARE = 0.8, 0.3
-#: Siblings of one shape that are one group at sight, recurrences of a sequence (of at most so many parts) that are, and how far alignment strays from the diagonal.
-RUN, TANDEM, PERIOD, BAND, CELLS = 16, 8, 4, 64, 20_000
+#: Siblings of one shape that are one group at sight, and recurrences of a sequence (of at most so many parts) that are.
+RUN, TANDEM, PERIOD = 16, 8, 16
+#: Bits that an alignment holds at once; a longer one is halved first.
+ALIGN_BITS = 1 << 27
+#: Up to so many repeated pages are broadcast by their digest; more are joined by a shuffle.
+BROADCAST_REPEATS = 1_000_000
 #: Up to this size, all wrappers are broadcast; beyond, pages are dealt to them.
 BROADCAST_BYTES = 16 << 20
 
@@ -258,7 +263,7 @@ def grouped(parts: list[Part]) -> list:
     last = len(parts) - 2 * TANDEM
     while i < len(parts):
         for period in range(2, PERIOD + 1) if i <= last and keys[i] != keys[i + 1] else ():
-            if keys[i] != keys[i + period]:
+            if i + TANDEM * period > len(keys) or keys[i] != keys[i + period]:
                 continue
             end = i + period
             while end + period <= len(keys) and all(keys[end + k] == keys[i + k] for k in range(period)):
@@ -290,35 +295,69 @@ def _group_shape(parts: list[Part]) -> str:
 
 
 def pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of keys: their common head and tail, and between them the best inside a band."""
+    """A longest common subsequence of two lists of keys, as places in both."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    n, m = len(a) - head - tail, len(b) - head - tail
     found = [(i, i) for i in range(head)]
-    if n and m:
-        wide = m if n * m <= CELLS else BAND
-        low = lambda i: max(0, i * m // n - wide)
-        best = [{} for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(min(m, (i + 1) * m // n + wide) - 1, low(i) - 1, -1):
-                row[j] = below.get(j + 1, 0) + 1 if a[head + i] == b[head + j] else max(below.get(j, 0), row.get(j + 1, 0))
-        i = j = 0
-        while i < n and j < m:
-            if a[head + i] == b[head + j] and j in best[i]:
-                found.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1].get(j, 0) >= best[i].get(j + 1, 0):
-                i += 1
-            else:
-                j += 1
+    stack = [(head, len(a) - tail, head, len(b) - tail)]
+    while stack:
+        i, k, j, m = stack.pop()
+        if i == k or j == m:
+            continue
+        if (k - i) * (m - j) > ALIGN_BITS and k - i > 1:
+            half = (i + k) // 2
+            front = _lengths(list(_rows(a[i:half], b[j:m]))[-1], m - j)
+            back = _lengths(list(_rows(a[half:k][::-1], b[j:m][::-1]))[-1], m - j)[::-1]
+            cut = j + int((front + back).argmax())
+            stack += [(half, k, cut, m), (i, half, j, cut)]
+        else:
+            found += [(i + x, j + y) for x, y in _common(a[i:k], b[j:m])]
     return found + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each head of ``a``, a bit vector over ``b``: bit j is 0 where its longest common subsequence with b[:j + 1] is longer than with b[:j]."""
+    at: dict = {}
+    for j, key in enumerate(b):
+        at[key] = at.get(key, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for key in a:
+        met = row & at.get(key, 0)
+        row = ((row + met) | (row - met)) & full
+        yield row
+
+
+def _bits(row: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(row.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little")[:n]
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Lengths of the longest common subsequence with each head of b, from the empty one on."""
+    return np.concatenate([[0], np.cumsum(_bits(row, n) == 0)])
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists; of several the one met first from their heads."""
+    n, width = len(b), -(-len(b) // 8)
+    rows = [r.to_bytes(width, "little") for r in _rows(a[::-1], b[::-1])][::-1]  # row i: of a[i:] with the tails of b
+    i = j = 0
+    found = []
+    while i < len(a) and j < n:
+        if a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i][(n - 1 - j) >> 3] >> ((n - 1 - j) & 7) & 1:
+            j += 1  # as long without b[j]
+        else:
+            i += 1
+    return found
+
+
 class _Pending:
     """Bodies that still have to be aligned with the body of a part."""
 
@@ -450,19 +489,16 @@ def expression(top: Part) -> str:
 
 @dataclass
 class Wrapper:
-    """A wrapper of some pages of a host. ``every``: digests of distinct pages; ``LEAST_PAGES`` say enough."""
+    """A wrapper of some distinct pages of a host."""
 
     top: Part | None = None
-    every: set[str] = field(default_factory=set)
 
     def add(self, page: str) -> None:
-        digest = hashlib.md5(page.encode("utf-8", "surrogatepass")).hexdigest()
-        self.merge(Wrapper(folded(page_parts(parse(page))), {digest}))
+        self.merge(Wrapper(folded(page_parts(parse(page)))))
 
     def merge(self, other: Wrapper) -> None:
         if other.top is not None:
             self.top = other.top if self.top is None else merge(self.top, other.top)
-        self.every = set(sorted(self.every | other.every)[:LEAST_PAGES])
 
     def dump(self) -> str:
         rows, stack = [], [(self.top, 0)] if self.top else []
@@ -470,24 +506,23 @@ class Wrapper:
             part, depth = stack.pop()
             rows.append([depth, *part.row()])
             stack += [(p, depth + 1) for p in reversed(part.body)]
-        return json.dumps([rows, sorted(self.every)])
+        return json.dumps(rows)
 
     @staticmethod
     def load(text: str) -> Wrapper:
-        rows, every = json.loads(text)
         path: list[Part] = []
-        for depth, *row in rows:
+        for depth, *row in json.loads(text):
             part = Part(*row)
             del path[depth:]
             if path:
                 path[-1].body.append(part)
             path.append(part)
-        return Wrapper(path[0] if path else None, set(every))
+        return Wrapper(path[0] if path else None)
 
     def decide(self) -> Wrapper:
         """Give parts their roles: ``main``, ``out`` (furniture, with all inside) and ``fixed`` (a text that never varies)."""
         if self.top is not None:
-            _decide(self.top, len(self.every))
+            _decide(self.top)
         return self
 
     def main_paths(self) -> list[list[str]]:
@@ -510,48 +545,99 @@ def _preorder(top: Part) -> list[Part]:
     return out
 
 
-def _decide(top: Part, pages: int) -> None:
-    order = _preorder(top)
+def _decide(top: Part) -> None:
+    order, pages = _preorder(top), top.count
     for p in order:
         p.role = "out" if p.shape != TEXT and is_furniture(p.tag, p.shape) else ""
-    weigh = lambda least: _weights(order, pages, least)
-    weight = weigh(FEW_PAGES)
-    _drop_marked(top, weight)
-    weight = weigh(FEW_PAGES)
+    _drop_marked(top, _weights(order, pages))
+    weight = _weights(order, pages)
     mains = _outermost(top, {"article"})
     if mains and all(p.repeated for p in mains) and sum(weight[id(p)] for p in mains) < TEASER_SHARE * weight[id(top)]:
+        for p in mains:
+            p.role = "out"
         mains = []
     mains = mains or _outermost(top, {"main"}) or [p for p in order if p.shape.endswith("@main") and p.role != "out"]
-    least = LEAST_PAGES if mains else FEW_PAGES
-    for main in mains or [_densest(top, weight)]:
+    for main in mains:
         main.role = "main"
-        inside = _preorder(main)
-        weight = _weights(inside, pages, least)
+        weight = _weights(_preorder(main), 0)  # what other pages say doesn't count here
         nested = _outermost(main, {"article"})  # what readers say about an article is often an article inside it
         for p in nested if 2 * sum(weight[id(p)] for p in nested) < weight[id(main)] else []:
             p.role = "out"
         _drop_marked(main, weight)
-        if pages >= least and weight[id(main)]:
-            for p in inside:
-                if p.shape == TEXT and p.value is not None and p.seen >= least:
-                    p.role = "fixed"
+    if not mains:
+        main = _holder(top, weight, pages)
+        main.role = "main"
+        _drop_marked(main, _weights(_preorder(main), pages))
+        for p in _preorder(main):
+            if p is not main and p.role != "out" and _only_links(p):
+                p.role = "out"
+        if pages >= FEW_PAGES:
+            _fix(main)
+
+
+def _only_links(p: Part) -> bool:
+    return bool(p.body) and p.tag in ("li", "div", "ul", "span", "td") and all(q.tag == "a" for q in p.body)
+
 
+def _varies(p: Part, pages: int) -> bool:
+    """Whether a text is not one and the same on several pages; where there are too few pages to tell, every text may vary."""
+    return pages < FEW_PAGES or p.value is None or p.seen < FEW_PAGES
 
-def _weights(order: list[Part], pages: int, least: int) -> dict[int, int]:
-    """Characters inside each part: those that vary, where there are pages enough to tell; what is out, and text of links outside of sentences, does not count."""
+
+def _weights(order: list[Part], pages: int) -> dict[int, int]:
+    """Characters inside each part: those that vary; what is out, and text of links outside of sentences, does not count."""
     weight: dict[int, int] = {}
     for p in reversed(order):
         if p.role == "out":
             weight[id(p)] = 0
         elif p.shape == TEXT:
-            weight[id(p)] = 0 if pages >= least and p.value is not None and p.count >= least else p.mass
+            weight[id(p)] = p.mass if _varies(p, pages) else 0
         else:
-            inner = sum(weight.get(id(q), 0) for q in p.body)
-            alone = p.body and all(q.tag == "a" for q in p.body)
-            weight[id(p)] = 0 if alone and p.tag in ("li", "div", "ul", "span", "td") else inner
+            weight[id(p)] = 0 if _only_links(p) else sum(weight.get(id(q), 0) for q in p.body)
     return weight
 
 
+def _holder(top: Part, weight: dict[int, int], pages: int) -> Part:
+    """The smallest part that holds every sentence and heading that varies; lists, tables, paragraphs and what recurs are taken with their surroundings."""
+    wanted: dict[int, int] = {}
+    for p in reversed(_preorder(top)):
+        if p.role == "out" or p.shape != TEXT and not weight[id(p)]:
+            wanted[id(p)] = 0
+        elif p.shape == TEXT:
+            wanted[id(p)] = int(_varies(p, pages) and p.mass >= SENTENCE * p.count)
+        else:
+            wanted[id(p)] = 1 if p.tag in LABELS else sum(wanted[id(q)] for q in p.body)
+    while True:
+        inner = next((q for q in top.body if wanted[id(q)] and wanted[id(q)] == wanted[id(top)]), None)
+        if inner is None or inner.shape == TEXT or inner.repeated or inner.tag in LABELS or inner.tag in ("p", "b", "span", "ul", "ol", "dl", "table", "tr", "pre", "blockquote"):
+            return top
+        top = inner
+
+
+def _fix(main: Part) -> None:
+    """Texts that every page has, and all alike, are ``fixed``, but for labels that stand before a text that varies."""
+    texts: list[tuple[Part, bool, int | None]] = []  # (a text, whether it is constant and never missing, its label's number)
+    stack: list[tuple[Part, bool, int | None]] = [(p, True, None) for p in reversed(main.body)]
+    while stack:
+        p, always, label = stack.pop()
+        if p.role == "out":
+            continue
+        always = always and not p.repeated and p.seen == p.count == main.count
+        if p.shape == TEXT:
+            texts.append((p, always and p.value is not None, label))
+        else:
+            label = id(p) if p.tag in LABELS else label
+            stack += [(q, always, label) for q in reversed(p.body)]
+    after: tuple[bool, int | None] = (True, None)  # whether the text after is constant, and its label
+    varies_after = False
+    for p, constant, label in reversed(texts):
+        if label is None or label != after[1]:
+            varies_after = not after[0]
+        if constant and not (label is not None and varies_after):
+            p.role = "fixed"
+        after = (constant, label)
+
+
 def _drop_marked(top: Part, weight: dict[int, int]) -> None:
     """Parts whose names tell of furniture go; where little would be left, the heaviest stays, and is looked into."""
     while top is not None:
@@ -583,16 +669,6 @@ def _outermost(top: Part, tags: set[str]) -> list[Part]:
     return out
 
 
-def _densest(top: Part, weight: dict[int, int]) -> Part:
-    """Down to the part that holds most of what varies, as long as one does."""
-    while True:
-        inner = [p for p in top.body if p.shape != TEXT and p.role != "out" and p.tag != "header"]
-        best = max(inner, key=lambda p: weight[id(p)], default=None)
-        if best is None or not weight[id(top)] or best.repeated or weight[id(best)] < MAIN_SHARE * weight[id(top)] or best.tag in ("p", "b", "span", "ul", "ol", "table"):
-            return top
-        top = best
-
-
 def infer(pages: list[str]) -> Wrapper:
     """The wrapper of a host's pages."""
     found = Wrapper()
@@ -695,44 +771,61 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """``rows`` (host, html) without repeats; only repeated pages are shuffled, combined before."""
+    keyed = rows.withColumn("key", F.xxhash64("host", "html"))
+    repeats = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-pages")
+    side = F.broadcast(repeats) if repeats.count() <= BROADCAST_REPEATS else repeats
+    again = keyed.join(side, "key", "left_semi").groupBy("host", "html").agg(F.lit(1).alias("one"))
+    return keyed.join(side, "key", "left_anti").select("host", "html").union(again.select("host", "html"))
+
+
 def learn_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper as JSON, pages), from all pages: partial wrappers by task, then aligned ``FAN_IN`` at a time."""
+    """(host, wrapper as JSON, pages), from all distinct pages: partial wrappers by task, then aligned about ``FAN_IN`` at a time."""
     small_batches(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"))
-    schema = "host string, task int, partial string, pages long"
+    rows = distinct_pages(pages.select(host_of(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html")))
+    schema = "host string, partial string, pages long"
+
+    def frame(found: list[tuple[str, Wrapper]]) -> pd.DataFrame:
+        return pd.DataFrame([(h, w.dump(), w.top.count) for h, w in found], columns=["host", "partial", "pages"])
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, held, count = TaskContext.get().partitionId(), {}, Counter()
-        made = lambda: pd.DataFrame([(h, task, w.dump(), count[h]) for h, w in held.items()], columns=["host", "task", "partial", "pages"])
+        held: dict[str, Wrapper] = {}  # the host met last stands last
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                held.setdefault(host, Wrapper()).add(page)
-                count[host] += 1
-            if len(held) > OPEN_HOSTS:
-                yield made()
-                held.clear()
-                count.clear()
-        yield made()
+                held[host] = held.pop(host, None) or Wrapper()
+                held[host].add(page)
+                if len(held) > OPEN_HOSTS:
+                    cold = list(held)[: OPEN_HOSTS // 2]
+                    yield frame([(h, held.pop(h)) for h in cold])
+        yield frame(list(held.items()))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = Wrapper()
         for text in sorted(pdf["partial"]):
             out.merge(Wrapper.load(text))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "task": [pdf["task"].iloc[0] // FAN_IN], "partial": [out.dump()], "pages": [pdf["pages"].sum()]})
+        return frame([(pdf["host"].iloc[0], out)])
 
-    found, tasks = rows.mapInPandas(begin, schema), rows.rdd.getNumPartitions()
+    found = materialize(rows.mapInPandas(begin, schema), "wrappers")
     while True:
-        found = found.groupBy("host", F.floor(F.col("task") / FAN_IN).alias("next")).applyInPandas(join, schema)
-        if tasks <= FAN_IN:
+        held = found.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+        most = held.agg(F.max("n")).first()[0]
+        if most is None:
             return found.select("host", F.col("partial").alias("wrapper"), "pages")
-        tasks = -(-tasks // FAN_IN)
+        # a host with many partial wrappers deals them to groups that meet next
+        told = join_hot(found, held.withColumn("copies", F.col("n")), ["host"], "copies", found.count(), ["partial"], "left")
+        slot = F.pmod(F.xxhash64("partial"), F.ceil(F.col("n") / FAN_IN)).alias("slot")
+        met = told.where("n > 1").groupBy("host", slot).applyInPandas(join, schema)
+        found, before = materialize(told.where("n IS NULL").select("host", "partial", "pages").union(met), "wrappers"), found
+        release(before)
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``out``: the main text of each page, empty if it has none.
 
     A null page counts as empty; a null or odd address as one host of its own.
-    Rows may repeat, nest to any depth and be of any length.  A column already
+    Rows may repeat (a repeated page reads as if it stood once), nest to any
+    depth and be of any length.  An empty table gives no rows.  A column already
     named like the output is replaced.  Where all wrappers together are small
     (``broadcast_bytes``), every task gets them; otherwise pages are dealt to
     the wrapper of their host, those of a large host over many tasks.
@@ -740,7 +833,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     spark = pages.sparkSession
     small_batches(spark)
     keep = carried(pages, [out])
-    wrappers = materialize(learn_wrappers(pages, url, html), "wrappers")
+    wrappers = learn_wrappers(pages, url, html)
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host")).alias("n"), F.sum("pages").alias("pages")).first()
     kinds = {f.name: f.dataType for f in pages.schema}
     result = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in keep), f"`{out}` string"])

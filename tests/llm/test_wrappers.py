@@ -54,6 +54,77 @@ def test_teasers_and_nested_articles():
     assert extract(page(3), infer([page(i) for i in range(30)])) == "3\nThe text of page 3, which is long enough to be one."
 
 
+def _recipe(i, quote=""):
+    return f"<body><nav>n</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>Take {i} eggs and stir them for a while.</p>{quote}<h2>Method</h2><p>Cook it {i} times, then eat.</p></article><footer>f</footer></body>"
+
+
+def _recipe_text(i, quote=""):
+    return "\n".join(x for x in (f"Dish {i}", "Ingredients", f"Take {i} eggs and stir them for a while.", quote, "Method", f"Cook it {i} times, then eat.") if x)
+
+
+@pytest.mark.parametrize("n", [1, 2, 11, 12, 20, 500])
+def test_constant_text_of_an_article_stays(n):
+    found = infer([_recipe(i) for i in range(n)])
+    assert all(extract(_recipe(i), found) == _recipe_text(i) for i in range(0, n, 7))
+
+
+def test_what_few_articles_have_stays():
+    pages = [_recipe(i, "<blockquote>As my aunt used to say.</blockquote>" * (i % 16 == 0)) for i in range(200)]
+    found = infer(pages)
+    assert all(extract(p, found) == _recipe_text(i, "As my aunt used to say." * (i % 16 == 0)) for i, p in enumerate(pages))
+
+
+def test_a_repeated_page_reads_as_if_it_stood_once(spark):
+    odd = "<body><div><h1>Title A</h1><p>Words A of the first part, which are many.</p><blockquote>Quoted words of A.</blockquote><p>Words A of the last part, which are many.</p></div><div>All rights kept</div></body>"
+    other = lambda i: f"<body><div><h1>Title {i}</h1><p>Words {i} of the first part, which are many.</p></div><div>All rights kept</div></body>"
+    once = _read(spark, [odd, *map(other, range(12))])
+    assert once[0] == "Title A\nWords A of the first part, which are many.\nQuoted words of A.\nWords A of the last part, which are many."
+    for parts in (1, 6):
+        often = _read(spark, [odd] * 12 + [other(i) for i in range(12)], parts)
+        assert all(often[k] == once[0] for k in range(12)) and all(often[12 + i] == once[1 + i] for i in range(12))
+
+
+def test_all_blocks_with_sentences_stay_without_an_article():
+    page = lambda i: f"<body><div>Our site of news</div><div><div><h2>Part one</h2><p>First sentence of page {i}, long enough.</p></div><div><h2>Part two</h2><p>Second block of page {i}, quite as long as the first.</p></div><div>Tell a friend</div></div><div>All rights kept</div></body>"
+    found = infer([page(i) for i in range(20)])
+    assert extract(page(4), found) == "Part one\nFirst sentence of page 4, long enough.\nPart two\nSecond block of page 4, quite as long as the first."
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = _next(row, x, b)
+    return row[-1]
+
+
+def _next(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(out[j], row[j + 1]))
+    return out
+
+
+@pytest.mark.parametrize("bits", [html_main.ALIGN_BITS, 64])
+def test_alignments_are_longest(monkeypatch, bits):
+    monkeypatch.setattr(html_main, "ALIGN_BITS", bits)
+    draw = random.Random(9)
+    for _ in range(150):
+        a, b = ([draw.choice("pqrs") for _ in range(draw.randint(0, 40))] for _ in range(2))
+        found = html_main.pairs(a, b)
+        assert found == sorted(found) and all(a[i] == b[j] for i, j in found) and len({i for i, _ in found}) == len({j for _, j in found}) == len(found) == _longest(a, b)
+
+
+def test_hot_and_many_hosts_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(html_main, "OPEN_HOSTS", 3)
+    monkeypatch.setattr(html_main, "FAN_IN", 2)
+    hosts = ["hot"] * 40 + [f"h{i}" for i in range(30)]
+    rows = [(k, f"http://{h}.example/{k}", _recipe(k)) for k, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    wrappers = {r.host: r.pages for r in html_main.learn_wrappers(pages).collect()}
+    assert wrappers.pop("hot.example") == 40 and set(wrappers.values()) == {1} and len(wrappers) == 30
+    assert all(r.text == _recipe_text(r.page_id) for r in html_main.main_text(pages).collect())
+
+
 def test_any_depth_and_length(spark):
     text = lambda i: f"Words at the bottom of page {i}"
     deep = lambda i, tag="div": f"<body><nav>n</nav>{f'<{tag}>' * 5000}{text(i)}{f'</{tag}>' * 5000}<footer>f</footer></body>"
