@@ -1,7 +1,7 @@
 """Exact deduplication over a log-structured merge index of digests.
 
-An entry is (digest, best row, count).  The input is dealt to memtables, about
-log2 of its rows of them; each flushes one run: its entries, combined per digest,
+An entry is (digest, best row, count).  Rows are dealt to memtables by a hash of
+their number, about log2 of their count of them; each flushes one run: its entries, combined per digest,
 sorted, and beside it a blocked Bloom filter, one 64-bit word for every few
 digests.  A flushed entry is a hit if its own run met the digest twice, or if
 the filter of another run may hold it.  All other entries are final as they
@@ -55,7 +55,7 @@ class DigestIndex:
         n = rows.count()
         self.memtables = memtables or max(1, math.ceil(math.log2(max(1, n / MEMTABLE_ROWS))))
         self._words = max(1, n // (self.memtables * WORD_KEYS))
-        dealt = rows.withColumn("run", F.pmod(F.shiftright(F.col(RID), 33), F.lit(self.memtables)).cast("int"))
+        dealt = rows.withColumn("run", F.pmod(F.xxhash64(F.col(RID)), F.lit(self.memtables)).cast("int"))
         entries = dealt.groupBy("run", *KEY).agg(F.min(_best()).alias("best"), F.count("*").alias("n"))
         self._path, self._schema = scratch_path(rows.sparkSession, "digest-runs"), entries.schema
         entries.sortWithinPartitions("run", *KEY).write.partitionBy("run").parquet(self._path)

@@ -25,7 +25,7 @@ from tarn.llm._common import carried, small_batches
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 2000
-#: Languages that a model may tell apart.
+#: Languages that a model tells apart: the most frequent ones of more.
 MOST_LANGS = 500
 SWITCH_PENALTY = 12.0
 WORD_LIMIT = 6.0
@@ -178,18 +178,17 @@ def held_out(id_: Column) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model | None:
+def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, most_langs: int = MOST_LANGS) -> Model | None:
     """A model from rows with a language that are not held out; None if there are none.
 
     Rows without identifier are not learnt from: nobody can tell whether they
-    are held out.  More than ``MOST_LANGS`` languages are refused: such a column
-    does not hold languages.
+    are held out.  Of more than ``most_langs`` languages the most frequent ones
+    are learnt (of equally frequent ones the first by name), as a model's size
+    grows with their number.  Repeated rows count as often as they stand.
     """
     small_batches(df.sparkSession)
     rows = df.where(F.col(lang).isNotNull() & F.coalesce(~held_out(F.col(id_col)), F.lit(False)))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"{lang!r} has more than {MOST_LANGS} values")
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()}  # ``most_langs`` rows
     if not counts:
         return None
     langs = sorted(counts)

@@ -407,8 +407,26 @@ def test_language_of_odd_rows(spark):
     assert len(got) == len(rows) and all(r.lang_pred == (r.lang or "und") for r in got)
     assert [(s.start, s.end) for r in got if r.doc_id == 1 for s in r.spans] == [(0, len(long) - 1)] * 2
     many = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError):
-        language.train(many)
+    more = many.union(many.where("doc_id < 900").withColumn("doc_id", F.col("doc_id") + 5000))
+    assert language.train(more, most_langs=4).langs == sorted(language.train(more, most_langs=4).langs)
+    often = {r.lang for r in more.where(~language.held_out(F.col("doc_id"))).groupBy("lang").count().where("count > 1").collect()}
+    assert len(language.train(more, most_langs=40).langs) == 40 and set(language.train(more, most_langs=40).langs) <= often
+
+
+@pytest.mark.parametrize("files", [1, 30])
+def test_memtables_of_a_plain_read_are_all_filled(spark, tmp_path, files):
+    """The pipeline's stage numbers rows by file and place; hits are found by the filters of other runs."""
+    rows = [(i, f"text {i % 2700}") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(files).write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    told = exact_dedup.numbered(read, "rows", True)
+    log = exact_dedup._write_log(told, "doc_id", "text", exact_dedup.sha256_hex, exact_dedup.RID)
+    index = exact_dedup.DigestIndex(log, 6)
+    runs = {r["run"]: r["count"] for r in index.entries().groupBy("run").count().collect()}
+    assert set(runs) == set(range(6)) and min(runs.values()) > 300
+    assert index.hits().where("n = 1").count() >= 400  # most of the 300 pairs lie in two runs
+    kept = exact_dedup.drop_copies(read, scanned=True, memtables=6)
+    assert kept.count() == 2700 and kept.select("text").distinct().count() == 2700
 
 
 def test_keeping_known_languages_takes_odd_rows(docs):
