@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 #: What no honest document packs.
@@ -47,6 +48,56 @@ class Archive:
             return None
         return tree(self.bytes(name))
 
+    def _events(self, name: str) -> Iterator[tuple[str, ElementTree.Element, list]]:
+        """(start or end, element, the elements around it) as a member is unpacked. Names lose their namespaces; document type declarations are refused."""
+        if name not in self.names:
+            return
+        with self._zip.open(name) as member:
+            if b"<!DOCTYPE" in member.peek(4096)[:4096]:
+                raise Unreadable("declares a document type")
+            around: list[ElementTree.Element] = []
+            try:
+                for event, node in ElementTree.iterparse(member, ("start", "end")):
+                    if event == "start":
+                        node.tag = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+                        node.attrib = {k.rpartition("}")[2]: v for k, v in node.attrib.items()}
+                        yield event, node, around
+                        around.append(node)
+                    else:
+                        around.pop()
+                        yield event, node, around
+            except ElementTree.ParseError as e:
+                raise Unreadable(f"malformed XML: {e}") from e
+
+    def elements(self, name: str, tag: str) -> Iterator[ElementTree.Element]:
+        """The elements of one tag, one at a time; each is let go when the next is asked for."""
+        for event, node, around in self._events(name):
+            if event == "end" and node.tag == tag:
+                yield node
+                if around:
+                    around[-1].clear()
+
+    def attribute_of(self, name: str, tag: str, attribute: str) -> list[str]:
+        """An attribute of every element of one tag; what is inside them is let go."""
+        found = []
+        for event, node, around in self._events(name):
+            if event == "start" and node.tag == tag:
+                found.append(node.get(attribute) or "")
+            elif event == "end" and any(x.tag == tag for x in around):
+                around[-1].clear()
+        return found
+
+    def sheet_rows(self, name: str, number: int) -> Iterator[ElementTree.Element]:
+        """The rows of the table of that number, from 0."""
+        at = -1
+        for event, node, around in self._events(name):
+            if event == "start":
+                at += node.tag == "table"
+            elif node.tag == "table-row":
+                if at == number:
+                    yield node
+                around[-1].clear()
+
 
 def tree(raw: bytes) -> ElementTree.Element:
     if b"<!ENTITY" in raw or b"<!DOCTYPE" in raw[:2048] and b"[" in raw[:4096].partition(b"<!DOCTYPE")[2].partition(b">")[0]:

@@ -26,6 +26,20 @@ def parse_text(content: bytes, name: str = "") -> Pages:
     return [(int(n), tidy(t)) for n, t in zip(marked[1::2], marked[2::2], strict=True)] or [(1, tidy(text))]
 
 
+def _single(text: str) -> str:
+    """The text with single blanks, indents included, and one empty line at most in a row."""
+    lines = re.sub(r"[ \t\xa0]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
+
+
+def _page_number(given, place: int) -> int:
+    """The number that a page says it has; its place where it says none, or nothing that is a number."""
+    try:
+        return int(given) if given is not None else place
+    except (TypeError, ValueError):
+        return place
+
+
 def parse_json(content: bytes, name: str = "") -> Pages:
     try:
         data = json.loads(content.decode("utf-8", "ignore"))
@@ -33,8 +47,8 @@ def parse_json(content: bytes, name: str = "") -> Pages:
         raise Unreadable(f"invalid JSON: {e}") from e
     if isinstance(data, dict) and isinstance(data.get("pages"), list):
         pages = [p if isinstance(p, dict) else {"text": p} for p in data["pages"]]
-        return [(int(p.get("page", i)), tidy(str(p.get("text", "")))) for i, p in enumerate(pages, 1)]
-    return [(1, tidy(json.dumps(data, ensure_ascii=False, indent=2)))]
+        return [(_page_number(p.get("page"), i), _single(str(p.get("text", "")))) for i, p in enumerate(pages, 1)]
+    return [(1, _single(json.dumps(data, ensure_ascii=False, indent=2)))]
 
 
 def parse_csv(content: bytes, name: str = "") -> Pages:

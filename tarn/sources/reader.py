@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.text import clean_text, detect_language, garbage_reason
+from tarn.session import hadoop_path
 
 PAGES = "path string, parser string, page int, text string, error string"
 ROWS = "path string, table_id string, sheet string, headers array<string>, notes array<string>, truncated boolean, row_index long, values array<string>, error string"
@@ -45,28 +48,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("language", F.when(F.col("text").isNotNull(), detect_language(F.col("text")))).where("error IS NOT NULL OR text <> ''")
 
 
-def _table_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from tarn.sources.formats import parser_for
-    from tarn.sources.sheets import tables_of
+#: Rows of a sheet that are handed on at once.
+SHEET_ROWS = 5000
 
+
+def read_tables(spark: SparkSession, path: str, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Rows of every table in spreadsheet files, values as text by position; all rows and columns, unless the caller sets a limit (``truncated`` and ``notes`` say so then)."""
     columns = [c.split()[0] for c in ROWS.split(", ")]
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            name, data = path.rsplit("/", 1)[-1], bytes(content)
-            try:
-                tables = tables_of(parser_for(name, data), name, data)
-            except Exception as e:  # a broken file must not stop the others
-                yield pd.DataFrame([(path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=columns)
-                continue
-            for n, t in enumerate(tables):
-                for at in range(0, len(t.rows), 5000):
-                    part = t.rows[at : at + 5000]
-                    yield pd.DataFrame([(path, f"{name}#{n}", t.sheet, t.headers, t.notes, t.truncated, at + i, r, None) for i, r in enumerate(part)], columns=columns)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tarn.sources.formats import parser_for
+        from tarn.sources.sheets import tables_of
+
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                name, data = file.rsplit("/", 1)[-1], bytes(content)
+                try:
+                    for n, (told, rows) in enumerate(tables_of(parser_for(name, data), name, data, max_rows, max_columns)):
+                        places = itertools.count()
+                        while part := list(itertools.islice(rows, SHEET_ROWS)):
+                            yield pd.DataFrame([(file, f"{name}#{n}", told.sheet, told.headers, told.notes, told.truncated, i, r, None) for r, i in zip(part, places, strict=False)], columns=columns)
+                except Exception as e:  # a broken file must not stop the others
+                    yield pd.DataFrame([(file, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=columns)
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every table in spreadsheet files, values as text by position."""
-    return _files(spark, path).mapInPandas(_table_rows, ROWS)
+    return _files(spark, path).mapInPandas(run, ROWS)
 
 
 def as_table(rows: DataFrame, headers: list[str]) -> DataFrame:
@@ -74,17 +79,51 @@ def as_table(rows: DataFrame, headers: list[str]) -> DataFrame:
     return rows.select("row_index", *[F.element_at("values", i).alias(h) for i, h in enumerate(headers, 1)])
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A large delimited file through Spark's own splittable reader, all cells as text."""
+def sniffed(spark: SparkSession, path: str, size: int = 1 << 16) -> tuple[str, str]:
+    """(separator, encoding) of delimited text, told by the first ``size`` bytes of the first file."""
+    from tarn.sources.sheets import dialect_of, encoding_of
+
+    files, at = hadoop_path(spark, path)
+    if files.getFileStatus(at).isDirectory():
+        at = min((f.getPath() for f in files.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))), key=lambda p: p.getName())
+    stream = files.open(at)
+    head = bytes(stream.readNBytes(size))
+    stream.close()
+    cut = head[: head.rfind(b"\n") + 1] or head  # no character is cut in two
+    encoding = encoding_of(cut)
+    return dialect_of(cut.decode(encoding)).delimiter, {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252"}.get(encoding, "ISO-8859-1")
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Delimited files of any size through Spark's own splittable reader, all cells as text; separator and encoding are told by the head if they aren't given."""
+    if separator is None or encoding is None:
+        told = sniffed(spark, path)
+        separator, encoding = separator or told[0], encoding or told[1]
     return spark.read.option("header", "true").option("sep", separator).option("encoding", encoding).option("inferSchema", "false").csv(path)
 
 
 def json_pages(df: DataFrame, raw: str) -> DataFrame:
-    """(page, text) rows of JSON documents ``{"pages": [{"page", "text"}]}``; a document without pages is one page, its own text."""
-    parsed = F.from_json(F.col(raw), "pages array<struct<page:int,text:string>>")["pages"]
-    whole = F.array(F.struct(F.lit(1).alias("page"), F.col(raw).alias("text")))
-    rows = df.select(*df.columns, F.posexplode(F.coalesce(parsed, whole)).alias("__at", "__p"))
-    return rows.select(*df.columns, F.coalesce("__p.page", F.col("__at") + 1).alias("page"), clean_text(F.col("__p.text")).alias("page_text"))
+    """(page, text, error) rows of JSON documents, read as files of that format are.
+
+    Pages are objects with ``page`` and ``text``, or plain values; a document
+    without pages is one page, printed with indents.  What is no JSON, null
+    included, is one row with its error.
+    """
+    rows = df.select(*df.columns, F.explode(_json_pages(F.col(raw))).alias("__p"))
+    return rows.select(*df.columns, "__p.page", F.when(F.col("__p.error").isNull(), clean_text(F.col("__p.text"))).alias("page_text"), F.col("__p.error").alias("page_error"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])))
+def _json_pages(raw: pd.Series) -> pd.Series:
+    from tarn.sources.parsers import Unreadable, parse_json
+
+    def one(text: str | None) -> list[dict]:
+        try:
+            return [{"page": n, "text": t, "error": None} for n, t in parse_json((text or "").encode("utf-8", "surrogatepass"))]
+        except Unreadable as e:
+            return [{"page": None, "text": None, "error": str(e)}]
+
+    return raw.map(one)
 
 
 #: Fixed value: a line that numbers the page after it.

@@ -13,7 +13,7 @@ from tarn.functions import numbers, stem, text, urls
 from tarn.functions.embed import hash_vector
 from tarn.operators import chunker, context, evaluate, ratelimit, rerank, routing, search, tables
 from tarn.plans import catalogue
-from tarn.sources import formats, legacy, parsers, sheets
+from tarn.sources import formats, legacy, parsers, reader, sheets
 from tarn.sources.archive import Archive, Unreadable
 from tarn.sources.html import reading_text
 
@@ -204,6 +204,10 @@ def zipped(**members):
     return out.getvalue()
 
 
+def _tables(parser, name, data, **limits):
+    return [sheets.Table(t.sheet, t.headers, list(rows), t.truncated, t.notes) for t, rows in sheets.tables_of(parser, name, data, **limits)]
+
+
 def test_office_files():
     docx = zipped(word__document_DOT_xml="<w:document xmlns:w='w'><w:body><w:p><w:r><w:t>Halo</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>",
                   word__header1_DOT_xml="<w:hdr xmlns:w='w'><w:p><w:r><w:t>Kop</w:t></w:r></w:p></w:hdr>")
@@ -213,13 +217,13 @@ def test_office_files():
     sheet = "<worksheet><sheetData>" + row(1, s("A1", 0), i("B1", "Kategori"), i("C1", "Jumlah"), i("D1", "Harga")) + row(2, i("A2", "Ayam Geprek"), n("C2", 25), n("D2", 25000)) + row(3, i("A3", "Teh"), i("B3", "Minuman"), n("C3", 3), n("D3", 5000)) + "</sheetData></worksheet>"
     xlsx = zipped(xl__workbook_DOT_xml="<workbook xmlns:r='r'><sheets><sheet name='Penjualan' r:id='rId1'/></sheets></workbook>", xl___rels__workbook_DOT_xml_DOT_rels="<x><Relationship Id='rId1' Target='worksheets/sheet1.xml'/></x>",
                   xl__sharedStrings_DOT_xml="<sst><si><t>Produk</t></si></sst>", xl__worksheets__sheet1_DOT_xml=sheet)
-    table = sheets.xlsx_tables(xlsx)[0]
+    table = _tables("xlsx", "b.xlsx", xlsx)[0]
     assert table.sheet == "Penjualan" and table.headers == ["Produk", "Kategori", "Jumlah", "Harga"] and table.rows[0] == ["Ayam Geprek", "", "25", "25000"]
     assert parsers.parse("b.xlsx", xlsx)[1][0][1].split("\n")[2] == "baris 2: A=Ayam Geprek | C=25 | D=25000"
     pptx = zipped(ppt__slides__slide2_DOT_xml="<s xmlns:a='a'><a:p><a:r><a:t>dua</a:t></a:r></a:p></s>", ppt__slides__slide1_DOT_xml="<s xmlns:a='a'><a:p><a:r><a:t>satu</a:t></a:r></a:p></s>")
     assert parsers.parse("c.pptx", pptx)[1] == [(1, "satu"), (2, "dua")]
     ods = zipped(content_DOT_xml="<o xmlns:t='t' xmlns:o='o'><t:table t:name='S'><t:table-row><t:table-cell><p>A</p></t:table-cell><t:table-cell><p>B</p></t:table-cell></t:table-row><t:table-row><t:table-cell o:value='3'/><t:table-cell o:date-value='2026-01-02'/></t:table-row></t:table></o>")
-    assert sheets.ods_tables(ods)[0].rows == [["3", "2026-01-02"]] and parsers.parse("d.ods", ods)[1] == [(1, "A | B\n3 | 2026-01-02")]
+    assert _tables("odf", "d.ods", ods)[0].rows == [["3", "2026-01-02"]] and parsers.parse("d.ods", ods)[1] == [(1, "A | B\n3 | 2026-01-02")]
     epub = zipped(**{"META-INF__container_DOT_xml": "<c><rootfile full-path='O/c.opf'/></c>", "O__c_DOT_opf": "<p><item id='a' href='a.xhtml'/><item id='n' href='n.xhtml' properties='nav'/><itemref idref='n'/><itemref idref='a'/></p>", "O__a_DOT_xhtml": "<p>Bab</p>", "O__n_DOT_xhtml": "<p>nav</p>"})
     assert parsers.parse("e.epub", epub)[1] == [(1, "Bab")]
     with pytest.raises(Unreadable):
@@ -234,7 +238,7 @@ def test_plain_files():
     assert parsers.parse_rtf(rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Satu\par Dua \'e9\parKuota {\*\generator x}}") == [(1, "Satu\nDua é\nKuota")]
     mail = b"From: a@b.c\nSubject: Hai\nContent-Type: text/html\n\n<p>isi</p>"
     assert parsers.parse_eml(mail) == [(1, "From: a@b.c\n\nSubject: Hai\n\nisi")] or "isi" in parsers.parse_eml(mail)[0][1]
-    assert sheets.build("s", sheets.delimited_rows("﻿Produk;Jumlah\nA;1\nB;2\n".encode())).headers == ["Produk", "Jumlah"]
+    assert sheets.build("s", list(sheets.delimited_rows("﻿Produk;Jumlah\nA;1\nB;2\n".encode()))).headers == ["Produk", "Jumlah"]
     titled = sheets.build("s", [["Ringkasan"], ["A", "B", "C"], ["1", "2", "3"]])
     assert titled.headers == ["A", "B", "C"] and "judul lembar" in titled.notes[0]
     ragged = sheets.build("s", [["A", "B"], ["1"], ["1", "2", "3"]])
@@ -245,6 +249,33 @@ def test_plain_files():
     assert formats.parser_for("x.doc", b"{\\rtf1 x}") == "rtf" and formats.parser_for("x", b"", "text/plain") == "text" and formats.parser_for("x.xyz") == ""
 
 
+def test_sheets_arrive_whole(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("Kode;Nilai\n" + "".join(f"k{i};{i * 7}\n" for i in range(300_000)))
+    (tmp_path / "wide.csv").write_text("\n".join(",".join(f"{r}.{c}" for c in range(80)) for r in range(4)))
+    cell = lambda r, c, v: f"<c r='{c}{r}' t='inlineStr'><is><t>{v}</t></is></c>"
+    with zipfile.ZipFile(tmp_path / "long.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        rows = "".join(f"<row r='{r}'>{cell(r, 'A', f'x{r * r % 99991}')}{cell(r, 'B', f'y{r * 31 % 77777}')}</row>" for r in range(1, 210_002))
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{rows}</sheetData></worksheet>")
+    filler = "<table-cell n='{n}' number-columns-repeated='16000'/>"
+    with zipfile.ZipFile(tmp_path / "odd.ods", "w") as z:
+        z.writestr("content.xml", "<d><table name='one'><table-row><table-cell><p>A</p></table-cell><table-cell><p>B</p></table-cell>" + filler + "</table-row><table-row number-rows-repeated='3'><table-cell value='1' number-columns-repeated='2'/></table-row>"
+                   "<table-row number-rows-repeated='1000000'><table-cell number-columns-repeated='16000'/></table-row></table><table name='two'><table-row><table-cell><p>C</p></table-cell><table-cell/><table-cell><p>D</p></table-cell></table-row><table-row><table-cell value='5'/><table-cell/><table-cell value='6'/></table-row></table></d>")
+    found = reader.read_tables(spark, str(tmp_path)).where("error IS NULL").cache()
+    counts = {(r.name, r.sheet): (r.n, r.w, r.top, r.cut) for r in found.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "sheet").agg(F.count("*").alias("n"), F.max(F.size("values")).alias("w"), F.max("row_index").alias("top"), F.bool_or("truncated").alias("cut")).collect()}
+    assert counts == {("long.csv", "long"): (300_000, 2, 299_999, False), ("wide.csv", "wide"): (3, 80, 2, False), ("long.xlsx", "sheet1"): (210_000, 2, 209_999, False), ("odd.ods", "one"): (3, 2, 2, False), ("odd.ods", "two"): (1, 2, 0, False)}
+    assert found.where("path LIKE '%long.csv'").agg(F.sum(F.element_at("values", 2).cast("long"))).first()[0] == 7 * 299_999 * 300_000 // 2
+    found.unpersist()
+    some = reader.read_tables(spark, str(tmp_path / "long.csv"), max_rows=10).select("truncated", F.array_join("notes", " ").alias("notes")).collect()
+    assert len(some) == 10 and all(r.truncated and "10 baris pertama dari 300000 baris" in r.notes for r in some)
+    narrow = reader.read_tables(spark, str(tmp_path / "wide.csv"), max_columns=64).first()
+    assert len(narrow["values"]) == 64 and "aslinya 80" in narrow.notes[0]
+    split = reader.read_delimited(spark, str(tmp_path / "long.csv"))
+    assert split.columns == ["Kode", "Nilai"] and split.count() == 300_000
+    (tmp_path / "latin").mkdir()
+    (tmp_path / "latin" / "a.csv").write_bytes("Café\tPrix\ncrème\t5\n".encode("cp1252") * 2)
+    assert reader.sniffed(spark, str(tmp_path / "latin")) == ("\t", "windows-1252") and reader.read_delimited(spark, str(tmp_path / "latin")).columns == ["Café", "Prix"]
+
+
 def compound(**streams):
     """A compound file with streams above the size of the mini stream."""
     import struct
