@@ -53,7 +53,6 @@ ENGLISH_HINTS = [" the ", " and ", " is ", " for ", " with ", " not "]
 SECRET_PATTERNS = [
     (r"(?i)(authorization\s*[:=]\s*)(bearer\s+)?[A-Za-z0-9._\-]{8,}", "$1***"),
     (r"(?i)(api[_-]?key\"?\s*[:=]\s*\"?)[A-Za-z0-9._\-]{8,}", "$1***"),
-    (r"jev_[A-Za-z0-9_]{10,}", "***"),
     (r"sk-[A-Za-z0-9]{10,}", "***"),
 ]
 INJECTION_MARKERS = [
@@ -202,9 +201,10 @@ def clean_citations(text: Column, count: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[ \t]{2,}", " "), r"\s+([.,;:!?])", "$1"))
 
 
-def redact(text: Column) -> Column:
-    """Masks credentials."""
-    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), SECRET_PATTERNS, text)
+def redact(text: Column, key_prefixes: tuple[str, ...] = ()) -> Column:
+    """Masks credentials, and words that begin like the caller's own keys."""
+    own = [(rf"\Q{p}\E[A-Za-z0-9_]{{10,}}", "***") for p in key_prefixes]
+    return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), [*own, *SECRET_PATTERNS], text)
 
 
 def injection_markers(text: Column) -> Column:

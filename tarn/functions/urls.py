@@ -6,8 +6,10 @@ import ipaddress
 from functools import reduce
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Links that never lead to text, and addresses that are never fetched.
 SKIP_SCHEMES = ("mailto:", "tel:", "javascript:", "data:", "sms:", "whatsapp:", "blob:")
@@ -115,3 +117,9 @@ def refusal(url: str) -> str | None:
         return None
     blocked = any(address in ipaddress.ip_network(n) for n in BLOCKED_NETWORKS)
     return "address" if blocked or not address.is_global or address.is_multicast else None
+
+
+@F.pandas_udf(StringType())
+def refusal_of(url: pd.Series) -> pd.Series:
+    """:func:`refusal` over a column; an empty or null address is refused by its scheme."""
+    return url.map(lambda u: refusal(u or "")).astype(object)

@@ -89,6 +89,18 @@ def document_chunks(chunks: DataFrame, document_id, include_summary: bool = Fals
     return rows.orderBy(place, "chunk_id")
 
 
+#: Fixed value: the namespace of addresses in name-based identifiers.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def point_id(*path: Column, prefix: str = "") -> Column:
+    """A stable identifier of a chunk: a name-based UUID (version 5) of its tenant, knowledge base, document and own name; nulls count as empty."""
+    name = F.concat(F.lit(prefix), F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in path]))
+    made = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), name.cast("binary")))
+    variant = F.translate(F.substring(made, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")  # its two highest bits are 1 and 0
+    return F.concat_ws("-", F.substring(made, 1, 8), F.substring(made, 9, 4), F.concat(F.lit("5"), F.substring(made, 14, 3)), F.concat(variant, F.substring(made, 18, 3)), F.substring(made, 21, 12))
+
+
 def by_keys(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """Late materialisation: whole rows of (document_id, chunk_id) keys; the first of each key."""
     asked = keys.select("document_id", "chunk_id").distinct()

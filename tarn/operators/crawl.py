@@ -24,7 +24,7 @@ def edges(pages: DataFrame, url: str = "url", html: str = "html", same_host: boo
 def reach(links_: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, fetched: DataFrame | None = None) -> DataFrame:
     """(url, depth): what is visited from ``starts`` (url), each at its least depth.
 
-    One join and one anti-join a level, at most ``MAX_DEPTH`` levels; every
+    One join and one anti-join a level, ``depth`` levels at most; every
     level is written, so plans stay short.  With ``fetched`` (url), only pages
     that exist are visited.
     """
@@ -33,7 +33,7 @@ def reach(links_: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, fetched:
         front = front.join(fetched.select("url").distinct(), "url", "left_semi")
     seen = materialize(front.withColumn("depth", F.lit(0)), "crawl")
     front = seen
-    for level in range(1, min(depth, MAX_DEPTH) + 1):
+    for level in range(1, depth + 1):
         step = front.join(links_, front["url"] == links_["src"]).select(F.col("dst").alias("url")).distinct()
         if fetched is not None:
             step = step.join(fetched.select("url").distinct(), "url", "left_semi")

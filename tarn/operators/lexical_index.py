@@ -2,7 +2,14 @@
 
 Postings lie in buckets by a hash of the term, sorted by term inside each file,
 so a search opens the buckets of its terms and skips row groups by statistics.
-Document frequencies and lengths are kept beside them.  An upsert or a removal
+A document's own row (its lengths) lies in a bucket apart, written in the same
+pass.  Document frequencies are kept beside them, and for each block of keys and
+term the largest frequency and the least length: no document of the block can
+score more with that term, so a search for the best few skips whole blocks.
+
+An index of forms (``forms``) takes key words, stems each, and files a document
+under every form of its words, with their places, so that nearness and phrases
+can be told without the text.  An upsert or a removal
 writes a journal entry: the new postings, the keys that are gone, and what the
 statistics change by.  Compaction writes a new base from what is alive.
 
@@ -13,21 +20,31 @@ Readers see the base and the journal as of the last commit.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarn.functions.stem import stem_forms
 from tarn.operators.search import bm25_term, idf, place_of
 from tarn.operators.skew import join_hot
-from tarn.session import discard, exists, hadoop_path, scratch_path
+from tarn.session import discard, exists, hadoop_path, materialize, scratch_path, ship_package
 
 #: Postings that a bucket holds about, and files that a bucket is spread over for each so many of them.
 BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 200_000, 2_000_000, 4096
+#: Postings that a document has about, until they are counted; documents that a block of keys has about.
+DOC_POSTINGS, BLOCK_DOCS = 150, 64
+#: Journal entries before an index is compacted.
+MOST_ENTRIES = 64
+#: The bucket of documents' own rows.
+DOCS = -1
 #: Queries that are scored at once; more go block by block.
 BLOCK_QUERIES = 10_000
 
@@ -44,6 +61,8 @@ class State:
     base: str = ""
     buckets: int = 1
     schema: dict = field(default_factory=dict)
+    blocks: int = 1
+    forms: bool = False
     journal: list[str] = field(default_factory=list)
 
     @property
@@ -52,10 +71,13 @@ class State:
 
 
 class LexicalIndex:
-    """An index over rows with one key, a token array, and columns that searches may filter by (``fields``)."""
+    """An index over rows with one key, a token array, and columns that searches may filter by (``fields``).
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, (root or scratch_path(spark, "lexical-index")).rstrip("/")
+    After ``most_entries`` journal entries a change compacts the index.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, most_entries: int = MOST_ENTRIES):
+        self.spark, self.root, self.most_entries = spark, (root or scratch_path(spark, "lexical-index")).rstrip("/"), most_entries
 
     # ---- commits
 
@@ -66,17 +88,22 @@ class LexicalIndex:
             return found
         names = sorted(f.getPath().getName() for f in files.listStatus(at))
         for name in (n for n in names if n.isdigit()):
-            _, one = hadoop_path(self.spark, f"{self.root}/commits/{name}")
-            stream = files.open(one)
-            said = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            stream.close()
+            said = self._said(name)
             found.number = int(name)
             if said["kind"] == "base":
                 found.base, found.buckets, found.schema, found.journal = said["path"], said["buckets"], said["schema"], []
+                found.blocks, found.forms = said["blocks"], said["forms"]
             else:
                 found.journal.append(said["path"])
         return found
 
+    def _said(self, name: str) -> dict:
+        files, one = hadoop_path(self.spark, f"{self.root}/commits/{name}")
+        stream = files.open(one)
+        said = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        return said
+
     def _commit(self, seen: State, said: dict) -> None:
         """Make ``said`` the commit that follows what was seen, or drop it if something else did."""
         files, at = hadoop_path(self.spark, f"{self.root}/commits/{seen.number + 1:012d}")
@@ -90,37 +117,39 @@ class LexicalIndex:
 
     # ---- writing
 
-    def _write(self, postings: DataFrame, buckets: int, path: str) -> dict:
-        rows = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-        spread = max(1, math.ceil(postings.count() / FILE_ROWS / buckets))
-        parts = min(buckets * spread, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    def _write(self, postings: DataFrame, docs: int, buckets: int, blocks: int, path: str) -> dict:
+        """Write postings and documents' rows in one pass, then what is told by counting terms."""
+        bucket = F.when(F.col("term").isNull(), DOCS).otherwise(_bucket(F.col("term"), buckets))
+        rows = postings.withColumns({"bucket": bucket, "block": _block(F.col("key"), blocks)})
+        spread = max(1, math.ceil(docs * DOC_POSTINGS / FILE_ROWS / buckets))
+        parts = min((buckets + 1) * spread, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4))
         dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(spread)))
-        dealt.sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
+        dealt.sortWithinPartitions("bucket", "term", "block", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
         written = self.spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        written.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+        best = written.where(F.col("bucket") != DOCS).groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        best.sortWithinPartitions("bucket", "term", "block").write.parquet(f"{path}/blocks")
+        told = self.spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+        told.sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
         return json.loads(rows.schema.json())
 
-    def _write_docs(self, rows: DataFrame, path: str) -> None:
-        rows.select("key", F.size("tokens").alias("dl")).write.parquet(f"{path}/docs")
-
     def _lengths(self, docs: DataFrame) -> DataFrame:
         return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
 
-    def build(self, docs: DataFrame, key: str, tokens: str, fields: list[str] | None = None) -> LexicalIndex:
-        """Write the base of all ``docs``."""
+    def _new(self, kind: str) -> str:
+        return f"{self.root}/{kind}-{scratch_path(self.spark, 'x').rsplit('-', 1)[-1]}"
+
+    def _base(self, postings: DataFrame, docs: int, forms: bool, seen: State) -> None:
+        path = self._new("base")
+        buckets = 2 ** max(0, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, docs * DOC_POSTINGS / BUCKET_ROWS)))))
+        blocks = max(1, math.ceil(docs / BLOCK_DOCS))
+        schema = self._write(postings, docs, buckets, blocks, path)
+        self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{path}/postings").where(F.col("bucket") == DOCS).transform(self._lengths).write.parquet(f"{path}/lengths")
+        self._commit(seen, {"kind": "base", "path": path, "buckets": buckets, "blocks": blocks, "forms": forms, "schema": schema})
+
+    def build(self, docs: DataFrame, key: str, tokens: str, fields: list[str] | None = None, forms: bool = False) -> LexicalIndex:
+        """Write the base of all ``docs``. ``forms``: ``tokens`` are key words, and every form of a word is filed, with its places."""
         rows = _rows(docs, key, tokens, fields or [])
-        path = f"{self.root}/base-{scratch_path(self.spark, 'x').rsplit('-', 1)[-1]}"
-        self._write_docs(rows, path)
-        self.spark.read.parquet(f"{path}/docs").transform(self._lengths).write.parquet(f"{path}/lengths")
-        postings = _postings(rows)
-        kept = f"{path}/unsorted"
-        postings.write.parquet(kept)
-        postings = self.spark.read.parquet(kept)
-        buckets = 2 ** max(0, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, postings.count() / BUCKET_ROWS)))))
-        schema = self._write(postings, buckets, path)
-        discard(self.spark, kept)
-        seen = self.state()
-        self._commit(seen, {"kind": "base", "path": path, "buckets": buckets, "schema": schema})
+        self._base(_postings(rows, forms), docs.count(), forms, self.state())
         return self
 
     def upsert(self, docs: DataFrame, key: str, tokens: str, fields: list[str] | None = None) -> None:
@@ -134,57 +163,77 @@ class LexicalIndex:
 
     def _journal(self, gone: DataFrame, rows: DataFrame | None) -> None:
         seen = self.state()
-        path = f"{self.root}/journal-{scratch_path(self.spark, 'x').rsplit('-', 1)[-1]}"
+        path = self._new("journal")
         gone.distinct().write.parquet(f"{path}/gone")
         gone = self.spark.read.parquet(f"{path}/gone")
         terms = [self.live(seen).join(gone, "key", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))]
         lengths = [self.docs(seen).join(gone, "key", "left_semi").transform(self._lengths).select((-F.col("n")).alias("n"), (-F.col("total")).alias("total"))]
         if rows is not None:
-            self._write(_postings(rows), seen.buckets, f"{path}/new")
-            self._write_docs(rows, f"{path}/new")
+            self._write(_postings(rows, seen.forms), gone.count(), seen.buckets, seen.blocks, f"{path}/new")
             terms.append(self.spark.read.parquet(f"{path}/new/terms").select("term", "df"))
-            lengths.append(self.spark.read.parquet(f"{path}/new/docs").transform(self._lengths))
+            new = self.spark.read.schema(StructType.fromJson(seen.schema)).parquet(f"{path}/new/postings")
+            lengths.append(new.where(F.col("bucket") == DOCS).transform(self._lengths))
         reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", _bucket(F.col("term"), seen.buckets)).write.parquet(f"{path}/terms")
         reduce(DataFrame.unionByName, lengths).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).write.parquet(f"{path}/lengths")
         self._commit(seen, {"kind": "journal", "path": path})
+        if len(seen.journal) + 1 >= self.most_entries:
+            with contextlib.suppress(StaleIndex):  # the change stands; another writer is at work, and will compact in turn
+                self.compact()
 
     def compact(self) -> None:
-        """Write what is alive as a new base; StaleIndex if the index changed meanwhile."""
+        """Write what is alive as a new base; StaleIndex if the index changed meanwhile. What no reader of the new state needs is left to :meth:`vacuum`."""
         seen = self.state()
-        path = f"{self.root}/base-{scratch_path(self.spark, 'x').rsplit('-', 1)[-1]}"
-        self.lengths(seen).write.parquet(f"{path}/lengths")
-        self.docs(seen).write.parquet(f"{path}/docs")
-        alive = self.live(seen)
-        buckets = 2 ** max(0, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, alive.count() / BUCKET_ROWS)))))
-        schema = self._write(alive, buckets, path)
-        self._commit(seen, {"kind": "base", "path": path, "buckets": buckets, "schema": schema})
+        n = self.lengths(seen).first().n or 0
+        self._base(self._alive(seen).drop("bucket", "block"), n, seen.forms, seen)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete folders that only states before the last ``keep`` bases refer to, and their commits; the paths deleted. Readers of an older state must be done."""
+        files, at = hadoop_path(self.spark, f"{self.root}/commits")
+        said = {int(n): self._said(n) for n in sorted(f.getPath().getName() for f in files.listStatus(at)) if n.isdigit()}
+        bases = [n for n, s in said.items() if s["kind"] == "base"]
+        old = [n for n in said if bases and n < bases[-min(keep, len(bases))]]
+        for n in old:
+            discard(self.spark, said[n]["path"])
+            discard(self.spark, f"{self.root}/commits/{n:012d}")
+        return [said[n]["path"] for n in old]
 
     # ---- reading
 
     def live(self, seen: State | None = None, terms: list[str] | None = None) -> DataFrame:
-        """(key, dl, term, tf, fields): postings that no later entry replaced; of a few terms only, if they are named."""
+        """(key, dl, words, term, tf, block, fields, places if forms are filed): postings that no later entry replaced; of a few terms only, if they are named."""
         seen = seen or self.state()
         if terms is None:
-            return self._alive(seen, "postings").drop("bucket")
+            return self._alive(seen, F.col("bucket") != DOCS).drop("bucket")
         buckets = sorted({bucket_of(t, seen.buckets) for t in terms})
-        return self._alive(seen, "postings", F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+        return self._alive(seen, F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+
+    def _shown(self, seen: State, within: Column | None) -> DataFrame:
+        rows = self.live(seen)
+        return rows if within is None else rows.where(within)
 
     def docs(self, seen: State | None = None) -> DataFrame:
-        """(key, dl) of all documents, those without tokens too."""
-        return self._alive(seen or self.state(), "docs")
+        """(key, dl, words) of all documents, those without tokens too."""
+        return self._alive(seen or self.state(), F.col("bucket") == DOCS).select("key", "dl", "words")
 
-    def _alive(self, seen: State, what: str, wanted: Column | None = None) -> DataFrame:
+    def _alive(self, seen: State, wanted: Column | None = None, what: str = "postings") -> DataFrame:
         folders = [f"{seen.base}/{what}", *(f"{p}/new/{what}" for p in seen.journal)]
         held = [(i, f) for i, f in enumerate(folders) if exists(self.spark, f)]
-        reader = self.spark.read.schema(StructType.fromJson(seen.schema)) if what == "postings" else self.spark.read
+        reader = self.spark.read.schema(StructType.fromJson(seen.schema))
         rows = [reader.parquet(f).where(F.lit(True) if wanted is None else wanted).withColumn("entry", F.lit(i)) for i, f in held]
-        found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        found = reduce(DataFrame.unionByName, rows)
         if seen.journal:
             gone = [self.spark.read.parquet(f"{p}/gone").withColumn("gone", F.lit(i)) for i, p in enumerate(seen.journal, 1)]
             last = reduce(DataFrame.union, gone).groupBy("key").agg(F.max("gone").alias("gone"))
             found = found.join(last, "key", "left").where("gone IS NULL OR gone <= entry").drop("gone")
         return found.drop("entry")
 
+    def blocks(self, seen: State | None = None) -> DataFrame:
+        """(term, block, n, max_tf, min_dl) over base and journal: what is gone may still count, so bounds hold but may be loose."""
+        seen = seen or self.state()
+        held = [f for f in (f"{seen.base}/blocks", *(f"{p}/new/blocks" for p in seen.journal)) if exists(self.spark, f)]
+        rows = [self.spark.read.parquet(f).drop("bucket") for f in held]
+        return rows[0] if len(rows) == 1 else reduce(DataFrame.union, rows).groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+
     def lengths(self, seen: State | None = None) -> DataFrame:
         """One row (n, total): documents and their tokens."""
         seen = seen or self.state()
@@ -212,18 +261,18 @@ class LexicalIndex:
         scored = rows.groupBy("key").agg(F.sum(part).alias("score"))
         return scored.orderBy(place_of(F.col("score")).desc(), "key").limit(top_k) if top_k else scored
 
-    def search_many(self, queries: DataFrame, top_k: int) -> DataFrame:
+    def search_many(self, queries: DataFrame, top_k: int, within: Column | None = None) -> DataFrame:
         """(query_id, key, score, rank) of many queries (query_id, term), distinct.
 
         A term's postings meet the list of queries that ask for it; terms with
         many postings are dealt over salts.  Queries go in blocks, so a list
-        has ``BLOCK_QUERIES`` entries at most.
+        has ``BLOCK_QUERIES`` entries at most.  ``within`` narrows what is scored, by fields.
         """
         seen = self.state()
         sizes = self.lengths(seen).first()
         n, average = sizes.n or 0, (sizes.total or 0) / max(1, sizes.n or 0)
         blocks = max(1, math.ceil(queries.select("query_id").distinct().count() / BLOCK_QUERIES))
-        rows, df = self.live(seen).select("key", "term", "tf", "dl"), self.frequencies(seen)
+        rows, df = self._shown(seen, within).select("key", "term", "tf", "dl"), self.frequencies(seen)
         total = df.agg(F.sum("df")).first()[0] or 0
         found = []
         for block in range(blocks):
@@ -236,6 +285,56 @@ class LexicalIndex:
         return reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
+    def search_best(self, queries: DataFrame, top_k: int, within: Column | None = None) -> DataFrame:
+        """The same rows as :meth:`search_many`, without scoring blocks of keys that can't hold any of them.
+
+        A query's blocks are bounded by what their best document could score.
+        The ``top_k`` blocks with the highest bounds are scored; of the others,
+        those whose bound reaches the score then found at ``top_k`` (all of them
+        if fewer were found).  A block meets only the
+        queries that need it.  ``within`` narrows what is scored, by fields.
+        """
+        seen = self.state()
+        asked = self._weighted(queries, seen)
+        bounds = materialize(self._bounds(asked, seen), "block-bounds")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+        first = materialize(bounds.withColumn("place", place).where(F.col("place") <= top_k).select("query_id", "block"), "blocks-first")
+        scored = materialize(self._scored(asked, first, seen, within), "scores-first")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        least = scored.withColumn("rank", rank).where(F.col("rank") == top_k).select("query_id", F.col("score").alias("least"))
+        more = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+        both = scored.union(self._scored(asked, materialize(more.select("query_id", "block"), "blocks-more"), seen, within))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("score")).desc(), "key"))
+        return both.withColumn("rank", best).where(F.col("rank") <= top_k)
+
+    def _weighted(self, queries: DataFrame, seen: State) -> DataFrame:
+        """(query_id, term, idf, average, df) of the terms that any document has, written."""
+        sizes = self.lengths(seen).first()
+        n, average = sizes.n or 0, (sizes.total or 0) / max(1, sizes.n or 0)
+        known = queries.join(self.frequencies(seen), "term")
+        return materialize(known.select("query_id", "term", idf(F.lit(n), F.col("df")).alias("idf"), F.lit(average).alias("average"), "df"), "weighted-terms")
+
+    def _bounds(self, asked: DataFrame, seen: State) -> DataFrame:
+        """(query_id, block, bound): the most that a document of the block may score."""
+        blocks = self.blocks(seen)
+        side = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf", "average")).alias("asks"), F.max("df").alias("df"))
+        met = join_hot(blocks, side, ["term"], "df", asked.agg(F.sum("df")).first()[0] or 0, ["block"])
+        each = met.select("block", "max_tf", "min_dl", F.explode("asks").alias("a"))
+        part = bm25_term(F.col("max_tf"), F.col("min_dl"), F.col("a.average"), F.col("a.idf"))
+        return each.groupBy(F.col("a.query_id").alias("query_id"), "block").agg(F.sum(part).alias("bound"))
+
+    def _scored(self, asked: DataFrame, needed: DataFrame, seen: State, within: Column | None) -> DataFrame:
+        """(query_id, key, score) of the blocks that each query needs."""
+        terms = asked.join(needed, "query_id").groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf", "average")).alias("asks"))
+        met = self._shown(seen, within).select("key", "term", "block", "tf", "dl").join(terms, ["term", "block"]).select("key", "tf", "dl", F.explode("asks").alias("a"))
+        part = bm25_term(F.col("tf"), F.col("dl"), F.col("a.average"), F.col("a.idf"))
+        return met.groupBy(F.col("a.query_id").alias("query_id"), "key").agg(F.sum(part).alias("score"))
+
+
+#: Bounds and scores are sums in different orders.
+SLACK = 1e-6
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
@@ -250,7 +349,39 @@ def _rows(docs: DataFrame, key: str, tokens: str, fields: list[str]) -> DataFram
     return docs.select(F.col(key).alias("key"), *fields, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
 
 
-def _postings(rows: DataFrame) -> DataFrame:
+def _postings(rows: DataFrame, forms: bool) -> DataFrame:
+    """(key, fields, dl, words, term, tf, places): a row for each term of a document, and one without term for the document itself.
+
+    Documents are independent, so nothing is shuffled.  ``dl`` is what all
+    ``tf`` add up to; ``words`` is how many tokens there are.
+    """
     fields = [c for c in rows.columns if c not in ("key", "tokens")]
-    spread = rows.select("key", *fields, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return spread.groupBy("key", *fields, "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["key", *fields])
+    made = ["dl", "words", "term", "tf", *(["places"] if forms else [])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, dl, words, terms, tf, places = [], [], [], [], [], []
+            for i, tokens in enumerate(pdf["tokens"]):
+                table: dict[str, list[int]] = {}
+                for place, word in enumerate(tokens):
+                    for form in stem_forms(word) if forms else (word,):
+                        table.setdefault(form, []).append(place)
+                size = sum(map(len, table.values()))
+                n = len(table) + 1
+                at += [i] * n
+                dl += [size] * n
+                words += [len(tokens)] * n
+                terms += [None, *table]
+                tf += [0, *map(len, table.values())]
+                places += [None, *table.values()]
+            out = pdf.drop(columns="tokens").iloc[at].reset_index(drop=True).assign(dl=dl, words=words, term=terms, tf=tf)
+            yield out.assign(places=places) if forms else out
+
+    ship_package(rows.sparkSession)
+    found = rows.select("key", *fields, "tokens").mapInPandas(run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
+    return found.select("key", *fields, *made)
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

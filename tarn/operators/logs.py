@@ -1,4 +1,4 @@
-"""Request-log analytics. Columns: id, ts (timestamp), status, latency_ms, method, path, client_ip, key_id, application_id, user_id, credential, knowledge_base_id, country, user_agent, origin, referer."""
+"""Request-log analytics. Columns: id, ts (timestamp), status, latency_ms, method, path, client_ip, key_id, application_id, user_id, credential, knowledge_base_id, country, host, user_agent, origin, referer, query, request_id, detail, error_code."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A chart's minutes and the width of its bars in seconds.
+#: The columns that a free search looks at; a chart's minutes and the width of its bars in seconds.
 BUCKETS = ((15, 15), (60, 60), (360, 300), (1440, 1800), (10080, 10800))
 WIDEST = 21600
-SEARCHED = ("path", "client_ip", "key_id", "application_id", "user_id", "credential", "method", "knowledge_base_id", "country", "user_agent", "origin", "referer")
+SEARCHED = (
+    "path", "query", "client_ip", "origin", "referer", "user_agent", "application_id", "user_id", "key_id", "knowledge_base_id", "request_id", "detail", "error_code", "host",
+)
 
 
 def bucket_seconds(minutes: int) -> int:

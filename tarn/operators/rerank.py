@@ -8,9 +8,13 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tarn.functions.stem import stem_forms
+from tarn.functions.stem import stem_forms, with_stems
 from tarn.functions.text import STOPWORDS
+from tarn.operators.lexical_index import LexicalIndex
+from tarn.session import materialize
 
 #: The parts' weights, a stem's strength, and the least weight of a word.
 COVERAGE, PROXIMITY, PHRASE, DENSITY = 0.6, 0.15, 0.15, 0.10
@@ -72,28 +76,77 @@ def lexical_scores(query: str, texts: list[str], idf: Callable[[str], float] | N
 
 
 def _score(asked: list[str], forms: dict, weight: dict, table: dict, length: int) -> float:
-    hit: dict[str, list[int]] = {}
+    hit: dict[int, list[int]] = {}
     covered = 0.0
-    for w in asked:
+    for i, w in enumerate(asked):
         if w in table:
-            hit[w], strength = table[w], 1.0
+            hit[i], strength = table[w], 1.0
         elif places := sorted({p for f in forms[w][1:] for p in table.get(f, ())}):
-            hit[w], strength = places, STEM_STRENGTH
+            hit[i], strength = places, STEM_STRENGTH
         else:
             continue
         covered += weight[w] * strength
+    return _whole(len(asked), hit, covered / (sum(weight.values()) or 1.0), length)
+
+
+def _whole(asked: int, hit: dict[int, list[int]], coverage: float, length: int) -> float:
+    """The score of a text that has the words ``hit``, by their number in the question, at these places."""
     if not hit:
         return 0.0
-    if len(asked) == 1:
+    if asked == 1:
         near = phrase = 1.0
     else:
         near = min(1.0, len(hit) / max(1, shortest_span(list(hit.values())))) if len(hit) > 1 else 0.0
-        pairs = list(zip(asked, asked[1:], strict=False))
         close = lambda a, b: any(p + gap in b for p in a for gap in (1, 2))
-        phrase = sum(a in hit and b in hit and close(hit[a], set(hit[b])) for a, b in pairs) / len(pairs)
+        phrase = sum(i + 1 in hit and close(hit[i], set(hit[i + 1])) for i in hit) / (asked - 1)
     density = min(1.0, sum(map(len, hit.values())) / length * DENSITY_SCALE)
-    whole = COVERAGE * covered / (sum(weight.values()) or 1.0) + PROXIMITY * near + PHRASE * phrase + DENSITY * density
-    return round(min(1.0, whole), 6)
+    return round(min(1.0, COVERAGE * coverage + PROXIMITY * near + PHRASE * phrase + DENSITY * density), 6)
+
+
+def asked_forms(questions: DataFrame) -> DataFrame:
+    """(query_id, at, form, exact): the forms of each distinct key word of ``questions`` (query_id, words), ``at`` its number."""
+    words = questions.select("query_id", F.posexplode(F.array_distinct("words")).alias("at", "word"))
+    stems = with_stems(words).withColumnRenamed("word", "w")  # a question's words are few
+    met = words.join(stems, F.col("word") == F.col("w")).select("query_id", "at", "word", F.explode("forms").alias("form"))
+    return met.select("query_id", "at", "form", (F.col("form") == F.col("word")).alias("exact"))
+
+
+#: Up to so many (question, form, candidate) rows are broadcast to the postings; more are joined by a shuffle.
+BROADCAST_ASKED = 500_000
+
+
+def rerank_from_index(index: LexicalIndex, questions: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, key, score) of a pool (query_id, key) for ``questions`` (query_id, words): the lexical score by places from an index of forms, with the corpus' idf.
+
+    No text is read and no word of a text is stemmed again: the postings of the
+    questions' forms are met by the pool's keys.  A candidate without any word
+    of its question scores 0, and so does every candidate of a question without
+    key words.
+    """
+    seen = index.state()
+    n = index.lengths(seen).first().n or 0
+    forms = materialize(asked_forms(questions), "asked-forms")
+    rare = F.log(1 + (F.lit(n) - F.coalesce("df", F.lit(0)) + 0.5) / (F.coalesce("df", F.lit(0)) + 0.5))
+    weights = forms.join(index.frequencies(seen).withColumnRenamed("term", "form"), "form", "left").groupBy("query_id", "at").agg(F.greatest(F.lit(LEAST_WEIGHT), F.min(rare)).alias("weight"))
+    totals = weights.groupBy("query_id").agg(F.sum("weight").alias("total"), F.count("*").alias("asked"))
+    wanted = materialize(pool.select("query_id", "key").distinct().join(forms, "query_id").withColumnRenamed("form", "term"), "wanted-postings")
+    few = wanted.count() <= BROADCAST_ASKED
+    found = index.live(seen).select("key", "term", "words", "places").join(F.broadcast(wanted) if few else wanted, ["term", "key"])
+    exact = F.col("exact")
+    hits = found.groupBy("query_id", "key", "at").agg(
+        F.first("words").alias("words"),
+        F.flatten(F.collect_list(F.when(exact, F.col("places")))).alias("same"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~exact, F.col("places")))))).alias("alike"),
+    )
+    hits = hits.withColumns({"places": F.when(F.size("same") > 0, F.col("same")).otherwise(F.col("alike")), "strength": F.when(F.size("same") > 0, 1.0).otherwise(STEM_STRENGTH)}).join(weights, ["query_id", "at"])
+    rows = hits.groupBy("query_id", "key").agg(F.first("words").alias("words"), F.sum(F.col("weight") * F.col("strength")).alias("covered"), F.array_sort(F.collect_list(F.struct("at", "places"))).alias("hit"))
+    rows = rows.join(totals, "query_id").select("query_id", "key", _scored(F.col("asked"), F.col("hit"), F.col("covered") / F.col("total"), F.col("words")).alias("score"))
+    return pool.select("query_id", "key").distinct().join(rows, ["query_id", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+@F.pandas_udf(DoubleType())
+def _scored(asked: pd.Series, hit: pd.Series, coverage: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([_whole(int(n), {r["at"]: list(r["places"]) for r in h}, c, max(1, int(w))) for n, h, c, w in zip(asked, hit, coverage, words, strict=True)], dtype=float)
 
 
 def rerank(pool: DataFrame) -> DataFrame:

@@ -32,6 +32,25 @@ SUMMARY_REQUEST = (
     r"garis besar|poin(?:-poin)? (?:utama|penting|kunci)|pokok-pokok|gambaran umum|"
     r"summar\w*|recap|overview|key points|main points|tl;?dr)\b"
 )
+#: Fixed value: words that say what form a summary has, not what it is about.
+SUMMARY_FORM = tuple(
+    """
+    buat buatkan bikin bikinkan tolong mohon coba minta berikan beri kasih tuliskan tulis jelaskan
+    sajikan susun susunkan tampilkan sebutkan dong ya saja aja kah
+    ringkas ringkasan ringkaskan meringkas rangkum rangkuman rangkumkan merangkum ikhtisar intisari
+    resume rekap rekapan simpulkan kesimpulan garis besar inti pokok gambaran umum overview
+    summary summarize summarise summarized recap outline tldr
+    poin point points butir hal utama penting kunci key main highlight highlights
+    singkat singkatnya padat jelas lengkap detail secara bentuk format bullet list daftar nomor
+    paragraf kalimat kata
+    isi konten dokumen dokumennya document documents file files berkas berkasnya materi knowledge
+    upload unggah unggahan diunggah diupload semua seluruh keseluruhan ketiga kedua keempat
+    kelima masing tiap setiap ini itu tersebut tadi di atas atas
+    dari dan atau yang untuk dalam tentang ke dengan saya aku kami kita user pengguna
+    the a an of all each every these those this that for in into on about me us please give make
+    write create my our
+    """.split()
+)
 REFERENCE = r"(?i)\b(itu|tersebut|tadi|sebelumnya|kalau|bagaimana dengan|yang (?:pertama|kedua|ketiga|terakhir|lain)|lainnya|that|those|it|them)\b"
 FOLLOW_UP_WORDS = 6
 #: The names of capabilities and what else routers call them.
@@ -86,6 +105,12 @@ def intents(query: Column) -> Column:
     )
 
 
+def generic_summary(query: Column) -> Column:
+    """Whether a request for a summary names no topic: nothing but numbers and words of form is left of it."""
+    form = F.array(*[F.lit(w) for w in sorted(set(SUMMARY_FORM))])
+    return F.size(F.filter(keywords(F.coalesce(query, F.lit(""))), lambda w: ~F.array_contains(form, w) & ~w.rlike(r"^\p{Nd}+$"))) == 0
+
+
 def retrieval_query(query: Column, previous: Column) -> Column:
     """A short question together with the one before it."""
     short = (F.size(keywords(query)) <= FOLLOW_UP_WORDS) & (F.coalesce(previous, F.lit("")) != "")

@@ -21,9 +21,11 @@ from tarn.functions.text import fingerprint, garbage_reason
 K1, B = 1.2, 0.75
 RRF_K = 60
 HASH_DENSE_WEIGHT = 0.25
-POOL = 120
+POOL, POOL_SHARE = 120, 3
 MAX_PER_DOCUMENT = 8
 FOCUS_RATIO, FOCUS_DOCUMENTS = 0.8, 3
+#: For questions that compare documents: of the usual share, and documents at least.
+COMPARED_SHARE, COMPARED_DOCUMENTS = 0.6, 6
 RELATIVE_THRESHOLD = 0.35
 MIN_RELEVANCE = 0.28
 SEMANTIC_FLOOR, SEMANTIC_SPAN, SEMANTIC_WEIGHT = 0.25, 0.55, 0.6
@@ -154,6 +156,25 @@ def focus_documents(rows: DataFrame, document: str, score: str, ratio: float = F
     return rows.join(F.broadcast(kept), document, "left_semi")  # ``most`` rows at most
 
 
+def focus_many(rows: DataFrame, document: str, score: str, comparison: Column, ratio: float = FOCUS_RATIO, most: int = FOCUS_DOCUMENTS) -> DataFrame:
+    """``focus_documents`` for each ``query_id`` of ``rows``; a question that compares is answered from more documents, and from weaker ones.
+
+    Candidates are few for each question; questions are dealt over all tasks.
+    """
+    best = rows.groupBy("query_id", document).agg(F.max(score).alias("__best"), F.bool_or(comparison).alias("__wide"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("__best"), document))
+    top = F.max("__best").over(Window.partitionBy("query_id"))
+    least = F.when(F.col("__wide"), F.lit(ratio * COMPARED_SHARE)).otherwise(F.lit(ratio))
+    room = F.when(F.col("__wide"), F.lit(max(most, COMPARED_DOCUMENTS))).otherwise(F.lit(max(1, most)))
+    kept = best.withColumns({"__place": place, "__top": top}).where((F.col("__place") <= room) & (F.col("__best") >= F.col("__top") * least))
+    return rows.join(kept.select("query_id", document), ["query_id", document], "left_semi")
+
+
+def pool_size(k: int) -> int:
+    """Candidates that are gathered for ``k`` answers."""
+    return max(POOL, POOL_SHARE * k)
+
+
 def relative_threshold(rows: DataFrame, score: str, share: float = RELATIVE_THRESHOLD) -> DataFrame:
     """Rows that reach a share of the best score; none if the best is not above 0."""
     best = rows.agg(F.max(score).alias("__best"))

@@ -24,20 +24,25 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", "lang", "source", plain_tokens(F.col("text")).alias("tokens"))
 
 
-_BUILT: dict[tuple[str, str], tuple[tuple, LexicalIndex]] = {}
+_BUILT: dict[tuple[str, str, str], tuple[tuple, LexicalIndex]] = {}
 
 
-def index_of(spark: SparkSession, d: str) -> LexicalIndex:
-    """The stored index of a ``documents`` table, built when it is first asked for and whenever its files changed."""
+def stored(spark: SparkSession, d: str, name: str, build) -> LexicalIndex:
+    """The stored index of that name of a ``documents`` table, built when it is first asked for and whenever the table's files changed."""
     files, at = hadoop_path(spark, f"{d}/documents.parquet")
     listed = [files.getFileStatus(at)] if files.getFileStatus(at).isFile() else list(files.listStatus(at))
     seen = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in listed))
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, name)
     if key not in _BUILT or _BUILT[key][0] != seen:
-        _BUILT[key] = seen, LexicalIndex(spark).build(_docs(spark, d), "doc_id", "tokens", ["lang", "source"])
+        _BUILT[key] = seen, build()
     return _BUILT[key][1]
 
 
+def index_of(spark: SparkSession, d: str) -> LexicalIndex:
+    """The index of plain tokens."""
+    return stored(spark, d, "plain", lambda: LexicalIndex(spark).build(_docs(spark, d), "doc_id", "tokens", ["lang", "source"]))
+
+
 def _hits(spark, d, top_k=None, within=None) -> DataFrame:
     return index_of(spark, d).search(TERMS, top_k, within).withColumnRenamed("key", "doc_id")
 

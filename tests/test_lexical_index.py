@@ -1,11 +1,13 @@
 """The stored index: the same scores as a scan, whatever happened to it before."""
 
+import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import search
+from tarn.operators import rerank, search
 from tarn.operators.lexical_index import LexicalIndex, StaleIndex, bucket_of
 
 TERMS = ["cuti", "gaji", "w3", "absent"]
@@ -27,6 +29,8 @@ def _same(index, spark, rows, within=None):
     assert got == want
     many = index.search_many(spark.createDataFrame([(q, t) for q in (1, 2) for t in TERMS], "query_id int, term string"), 5)
     top = sorted(((-s, k) for k, s in want.items()))[:5] if not within else None
+    best = index.search_best(spark.createDataFrame([(q, t) for q in (1, 2) for t in TERMS], "query_id int, term string"), 5)
+    assert sorted((r.query_id, r.key, r.rank) for r in best.collect()) == sorted((r.query_id, r.key, r.rank) for r in many.collect())
     for q in (1, 2) if top is not None else ():
         assert sorted((-round(r.score, 9), r.key) for r in many.where(F.col("query_id") == q).collect()) == top
 
@@ -78,3 +82,50 @@ def test_hot_terms_and_no_documents(spark):
     import zlib
 
     assert bucket_of("é", 16) == zlib.crc32("é".encode()) % 16
+
+
+def _formed(spark, rows):
+    return spark.createDataFrame([(k, t.split()) for k, t in rows], "k long, t array<string>")
+
+
+def test_forms_and_places(spark):
+    """Words are found by any of their forms, and reranked by places as they are from the texts."""
+    texts = {1: "pengajuan cuti tahunan pegawai", 2: "diajukan kemarin cuti besar kantor tahunan", 3: "gaji pokok", 4: "cuti cuti cuti", 5: "mengajukan lembur"}
+    index = LexicalIndex(spark).build(_formed(spark, texts.items()), "k", "t", forms=True)
+    questions = _formed(spark, [(1, "mengajukan cuti tahunan"), (2, "gaji"), (3, "absen")]).toDF("query_id", "words")
+    pool = spark.createDataFrame([(q, k) for q in (1, 2, 3) for k in texts], "query_id long, key long")
+    n, df = 5, {r.term: r.df for r in index.frequencies().collect()}
+    idf = lambda t: math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
+    got = {(r.query_id, r.key): r.score for r in rerank.rerank_from_index(index, questions, pool).collect()}
+    for q, asked in ((1, "mengajukan cuti tahunan"), (2, "gaji"), (3, "absen")):
+        assert [got[q, k] for k in texts] == rerank.lexical_scores(asked, list(texts.values()), idf)
+    assert got[1, 1] > got[1, 4] > 0 and got[3, 1] == 0
+    index.upsert(_formed(spark, [(3, "pengajuan gaji")]), "k", "t")
+    assert {r.key for r in index.search(["aju"]).collect()} == {1, 2, 3, 5}
+    assert rerank.rerank_from_index(index, questions.limit(0), pool.limit(0)).count() == 0
+
+
+def test_blocks_that_cannot_matter_are_not_scored(spark):
+    """Equal rows, and most postings are never scored."""
+    docs = spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.array(F.lit("the")), F.array_repeat(F.lit("of"), (F.col("id") % 5).cast("int")), F.when(F.col("id") % 997 == 5, F.array(F.lit("rare"))).otherwise(F.array(F.lit("plain")))).alias("t"))
+    index = LexicalIndex(spark).build(docs, "k", "t")
+    asked = spark.createDataFrame([(1, "the"), (1, "rare"), (2, "rare"), (2, "of"), (3, "absent")], "query_id int, term string")
+    seen = index.state()
+    read = []
+    whole = index._scored
+    index._scored = lambda asked, needed, *rest: read.append(index.live(seen).join(asked.join(needed, "query_id").select("term", "block").distinct(), ["term", "block"], "left_semi").count()) or whole(asked, needed, *rest)
+    best = sorted(map(tuple, index.search_best(asked, 4).select("query_id", "key", "rank").collect()))
+    assert best == sorted(map(tuple, index.search_many(asked, 4).select("query_id", "key", "rank").collect())) and len(best) == 8
+    assert sum(read) < 0.2 * index.live(seen).where("term IN ('the', 'of', 'rare')").count()
+
+
+def test_entries_are_compacted_and_old_files_go(spark, tmp_path):
+    index = LexicalIndex(spark, str(tmp_path / "index"), most_entries=3).build(_docs(spark, [(i, "a", "cuti") for i in range(4)]), "k", "t", ["f"])
+    for i in range(3):
+        index.remove(spark.createDataFrame([(i,)], "k long"), "k")
+    assert index.state().journal == [] and [r.key for r in index.search(["cuti"]).collect()] == [3]
+    gone = index.vacuum()
+    assert len(gone) == 4 and not any(os.path.exists(p) for p in gone)
+    assert [r.key for r in index.search(["cuti"]).collect()] == [3] and index.state().number == 5
+    index.upsert(_docs(spark, [(9, "a", "cuti")]), "k", "t", ["f"])
+    assert {r.key for r in index.search(["cuti"]).collect()} == {3, 9}
