@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators import logs, unanswered
 
 SINCE = datetime.datetime(2024, 1, 10)
+SEARCHES = ["E_li", "REQ-1", "page for user 1", "h2.EXAMPLE", '"k": 8', "10.0.0.7", "kb3", "key_", "cred1", "post", "%", "x_y"]
 
 
 def _log(spark, d):
@@ -24,12 +27,21 @@ def _log(spark, d):
         F.concat(F.lit("10.0.0."), user.cast("string")).alias("client_ip"),
         F.when(user % 3 != 0, F.concat(F.lit("key"), (user % 7).cast("string"))).alias("key_id"),
         F.when(user % 5 != 0, F.concat(F.lit("kb"), (user % 4).cast("string"))).alias("knowledge_base_id"),
+        F.col("props").alias("query"),
+        F.concat(F.lit("req-"), F.hex("event_id")).alias("request_id"),
+        F.when(F.col("event_id") % 10 == 3, "E_LIMIT").when(kind == "error", "E_SERVER").alias("error_code"),
+        F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("No page for user "), user.cast("string"))).alias("detail"),
+        F.concat(F.lit("h"), (user % 3).cast("string"), F.lit(".example")).alias("host"),
+        F.concat(F.lit("cred"), (user % 2).cast("string")).alias("credential"),
+        F.when(user % 2 == 0, "ID").otherwise("NL").alias("country"),
     )
 
 
 LOG = """WITH l AS (SELECT event_id AS id, ts, CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 10 = 3 THEN 429 WHEN event_id % 17 = 0 THEN 404 ELSE 200 END AS status,
   value AS latency_ms, 'POST' AS method, '/' || event_type AS path, '10.0.0.' || user_id AS client_ip, CASE WHEN user_id % 3 <> 0 THEN 'key' || (user_id % 7) END AS key_id,
-  CASE WHEN user_id % 5 <> 0 THEN 'kb' || (user_id % 4) END AS knowledge_base_id FROM events)
+  CASE WHEN user_id % 5 <> 0 THEN 'kb' || (user_id % 4) END AS knowledge_base_id,
+  props AS query, 'req-' || hex(event_id) AS request_id, CASE WHEN event_id % 10 = 3 THEN 'E_LIMIT' WHEN event_type = 'error' THEN 'E_SERVER' END AS error_code,
+  CASE WHEN event_id % 17 = 0 THEN 'No page for user ' || user_id END AS detail, 'h' || (user_id % 3) || '.example' AS host, 'cred' || (user_id % 2) AS credential, CASE WHEN user_id % 2 = 0 THEN 'ID' ELSE 'NL' END AS country FROM events)
 """
 COUNTS = "count(*) AS count, count(*) FILTER (WHERE status = 429) AS rate_limited, count(*) FILTER (WHERE status >= 400 AND status <> 429) AS errors"
 
@@ -42,6 +54,12 @@ def log_filter(spark, d):
     return logs.filtered(_log(spark, d), since=SINCE, status="errors", search="Y3", method="POST").select("id", "status", "path")
 
 
+def log_search(spark, d):
+    """A free search in each of the columns that it looks at, and in two that it doesn't."""
+    found = [logs.filtered(_log(spark, d), search=s).groupBy().agg(F.count("*").alias("count"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids")).withColumn("search", F.lit(s)) for s in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def log_by_source(spark, d):
     return logs.by_source(_log(spark, d), 15).select("client_ip", "key_id", "count", "rate_limited", "errors", "avg_latency_ms")
 
@@ -130,7 +148,7 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            log_filter, log_by_source, log_by_knowledge_base, log_labels, log_retention, log_windows, rolling_minute, unanswered_upsert, unanswered_frequent,
+            log_filter, log_search, log_by_source, log_by_knowledge_base, log_labels, log_retention, log_windows, rolling_minute, unanswered_upsert, unanswered_frequent,
             unanswered_recent, unanswered_status_counts, unanswered_purge,
         )
     },
@@ -144,7 +162,8 @@ count(*) FILTER (WHERE status >= 500) AS server_errors, round(avg(latency_ms), 2
     "metrics_snapshot": LOG + """, v AS (SELECT list_sort(list(latency_ms)) AS v FROM (SELECT latency_ms FROM l ORDER BY ts DESC, id DESC LIMIT 2048))
 SELECT round(list_sum(v) / len(v), 4) AS avg, round(v[round(0.95 * len(v))::INT], 4) AS p95, round(v[round(0.99 * len(v))::INT], 4) AS p99, round(v[-1], 4) AS max FROM v""",
     "log_page": LOG + "SELECT * FROM l WHERE id > 100 ORDER BY id DESC LIMIT 20 OFFSET 40",
-    "log_filter": LOG + "SELECT id, status, path FROM l WHERE ts >= TIMESTAMP '2024-01-10' AND status >= 400 AND (path ILIKE '%y3%' OR client_ip ILIKE '%y3%' OR coalesce(key_id ILIKE '%y3%', false) OR coalesce(knowledge_base_id ILIKE '%y3%', false))",
+    "log_filter": LOG + "SELECT id, status, path FROM l WHERE ts >= TIMESTAMP '2024-01-10' AND status >= 400 AND (path ILIKE '%y3%' OR client_ip ILIKE '%y3%' OR coalesce(key_id ILIKE '%y3%', false) OR coalesce(knowledge_base_id ILIKE '%y3%', false) OR coalesce(query ILIKE '%y3%', false) OR request_id ILIKE '%y3%' OR coalesce(detail ILIKE '%y3%', false) OR coalesce(error_code ILIKE '%y3%', false) OR host ILIKE '%y3%')",
+    "log_search": LOG + " UNION ALL ".join(f"SELECT '{x}' AS search, count(*) AS count, coalesce(sum(id), 0)::BIGINT AS ids FROM l WHERE contains(lower(concat_ws(chr(1), path, query, client_ip, key_id, knowledge_base_id, request_id, detail, error_code, host)), lower('{x}'))" for x in SEARCHES),
     "log_by_source": LOG + f"SELECT client_ip, key_id, {COUNTS}, round(avg(latency_ms), 2) AS avg_latency_ms FROM l GROUP BY ALL ORDER BY count DESC, client_ip, key_id LIMIT 15",
     "log_by_knowledge_base": LOG + "SELECT knowledge_base_id, count(*) AS count, count(DISTINCT coalesce(key_id, '') || '|' || client_ip) AS callers, count(*) FILTER (WHERE status >= 400 AND status <> 429) AS errors FROM l WHERE knowledge_base_id IS NOT NULL GROUP BY 1",
     "log_labels": LOG + "SELECT CASE key_id WHEN 'key1' THEN 'app one' WHEN 'key2' THEN 'app two' END AS label, count(*) AS count FROM l GROUP BY 1",
