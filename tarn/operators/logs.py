@@ -137,6 +137,20 @@ def retained(log: DataFrame, since, newest: int) -> DataFrame:
     return young.crossJoin(F.broadcast(least)).where(F.col("id") >= F.col("least")).drop("least")
 
 
+def in_last(log: DataFrame, by: str, seconds: int, out: str = "in_last") -> DataFrame:
+    """Each request with how many of the same ``by`` came in the ``seconds`` up to it.
+
+    Time is cut into slices of that width; a request counts in its own slice
+    and the next one, so a busy caller is spread over slices.
+    """
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = log.withColumn("__at", at).withColumn("__own", F.floor(F.col("__at") / width))
+    both = rows.withColumn("__slice", F.explode(F.array("__own", F.col("__own") + 1)))
+    window = Window.partitionBy(by, "__slice").orderBy("__at").rangeBetween(-width, 0)
+    return both.withColumn(out, F.count("*").over(window)).where("__slice = __own").drop("__at", "__own", "__slice")
+
+
 def with_labels(log: DataFrame, labels: DataFrame) -> DataFrame:
     """Each row with its key's label, if it has one."""
     return log.join(labels, "key_id", "left")

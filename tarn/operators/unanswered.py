@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import query_key
+from tarn.operators.skew import join_hot
 
 KEYS = ["organization_id", "knowledge_base_id", "query_key"]
+#: Pieces that an organisation's time is cut into when its oldest questions go.
+PARTS = 1024
 #: Fixed values.
 STATUSES = ("open", "resolved")
 
@@ -58,9 +61,25 @@ def without(table: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def purge(table: DataFrame, since, newest: int) -> DataFrame:
-    """Rows seen since then, the ``newest`` of each organisation."""
-    place = F.row_number().over(Window.partitionBy("organization_id").orderBy(F.desc("last_seen"), *KEYS))
-    return table.where(F.col("last_seen") >= F.lit(since)).withColumn("__place", place).where(F.col("__place") <= newest).drop("__place")
+    """Rows seen since then, the ``newest`` of each organisation.
+
+    An organisation's time is cut into ``PARTS``; counts tell which parts are
+    kept whole and in which one the cut lies, so only that part is sorted.
+    """
+    org, at = "organization_id", F.unix_micros(F.col("last_seen").cast("timestamp"))
+    young = table.where(F.col("last_seen") >= F.lit(since))
+    ends = young.groupBy(org).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.count("*").alias("__n"))
+    ends = ends.withColumn("__all", F.col("__n"))
+    told = join_hot(young, ends, [org], "__n", young.count(), KEYS)
+    part = F.floor((F.col("__last") - at) / (F.col("__last") - F.col("__first") + 1) * PARTS).cast("int")
+    told = told.withColumn("__part", part)
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(org).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = told.groupBy(org, "__part").agg(F.count("*").alias("__n")).withColumn("__before", before)  # PARTS rows an organisation
+    parts = parts.where(F.col("__before") < newest).withColumn("__cut", F.col("__before") + F.col("__n") > newest)
+    met = told.join(parts.drop("__n"), [org, "__part"])
+    place = F.row_number().over(Window.partitionBy(org, "__part").orderBy(F.desc("last_seen"), *KEYS)) + F.col("__before")
+    kept = met.where("NOT __cut").unionByName(met.where("__cut").withColumn("__place", place).where(F.col("__place") <= newest).drop("__place"))
+    return kept.select(*table.columns)
 
 
 def filtered(table: DataFrame, organization_id: str, knowledge_base_id: str | None = None, allowed: tuple[str, ...] = (), status: str | None = None, search: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text, urls
 from tarn.operators import catalog, context, crawl, evaluate, ratelimit, scope
+from tarn.operators.chunk_store import ChunkStore
 from tarn.plans.q_search import BM25_BATCH
 from tarn.sources.html import html_to_text
 
@@ -34,14 +35,15 @@ def canonical(spark, d):
 
 
 def sniffed_types(spark, d):
-    head = F.when(F.col("page_id") % 3 == 0, F.lit("%PDF-1.7")).when(F.col("page_id") % 3 == 1, F.lit("{\\rtf1")).otherwise(F.substring("html", 1, 20)).cast("binary")
+    before = F.when(F.col("page_id") % 3 == 0, F.lit("%PDF-1.7")).when(F.col("page_id") % 3 == 1, F.lit("{\\rtf1")).otherwise(F.lit(""))
+    head = F.substring(F.concat(before, "html"), 1, 200).cast("binary")
     return _pages(spark, d).select("page_id", urls.sniffed_type(head, F.lit("text/html")).alias("kind"))
 
 
 def crawl_reach(spark, d):
-    """From every page, over links within its host, whether fetched or not."""
+    """From every tenth page, over links within its host, whether fetched or not, as deep as crawls go."""
     p = _pages(spark, d)
-    return crawl.reach(crawl.edges(p), p.select("url"), 2)
+    return crawl.reach(crawl.edges(p), p.where("page_id % 10 = 0").select("url"))
 
 
 def html_text(spark, d):
@@ -100,6 +102,17 @@ def delete_document(spark, d):
     return catalog.delete_documents(chunks, chunks.where("document_id % 3 = 0"), ["document_id"]).groupBy("organization_id").agg(F.count("*").alias("n"))
 
 
+def chunk_store_changes(spark, d):
+    """A stored table of all chunks after documents were replaced, chunks changed and documents deleted."""
+    chunks = _chunks(spark, d)
+    store = ChunkStore(spark).create(chunks, 32)
+    store.replace_documents(chunks.where("document_id % 10 = 3 AND chunk_index = 0").withColumn("content", F.upper("content")))
+    store.upsert(chunks.where("document_id % 10 = 1 AND chunk_index = 0").withColumn("content", F.lit("new")))
+    store.delete_documents(chunks.where("document_id % 10 = 7"))
+    found = store.read().groupBy("organization_id", "knowledge_base_id")
+    return found.agg(F.count("*").alias("n"), F.sum((F.col("content") == "new").cast("long")).alias("fresh"), F.sum(F.length("content")).alias("chars"), F.max(F.md5("content")).alias("digest"))
+
+
 def upsert_chunks(spark, d):
     chunks = _chunks(spark, d)
     new = chunks.where("chunk_index = 1").withColumn("content", F.lit("new"))
@@ -236,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         html_title, html_links, url_normalize, canonical, sniffed_types, crawl_reach, html_text, latest_job, job_status_counts, document_list, jobs_without_index,
-        kb_catalogue, replace_document, delete_document, upsert_chunks, migration_missing, chunk_scan, chunks_by_keys, tenant_scope, neighbour_expansion,
+        kb_catalogue, replace_document, delete_document, upsert_chunks, chunk_store_changes, migration_missing, chunk_scan, chunks_by_keys, tenant_scope, neighbour_expansion,
         document_coverage, context_order, context_union, context_pack, overview_material, summary_attach, document_expansion, summary_stages,
         eval_recall_precision_mrr, eval_rates, rate_limit_replay, most_concurrent,
     )
@@ -252,10 +265,9 @@ ORACLE_SQL = {
 CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) || '&' ELSE '' END || 'api_key=***' AS query FROM pages""",
     "canonical": f"SELECT page_id, {ROOT} || '/c/' || page_id AS canonical FROM pages",
     "sniffed_types": "SELECT page_id, ['application/pdf', 'application/rtf', 'text/html'][page_id % 3 + 1] AS kind FROM pages",
-    "crawl_reach": LINKS + f""", s AS (SELECT DISTINCT {VISIT.format(u='url')} AS url FROM pages), e AS (SELECT DISTINCT {VISIT.format(u='url')} AS src, {VISIT.format(u='link')} AS dst FROM l),
-f AS (SELECT DISTINCT dst AS url FROM e JOIN s ON e.src = s.url WHERE src <> dst AND dst NOT IN (SELECT url FROM s)),
-g2 AS (SELECT DISTINCT dst AS url FROM e JOIN f ON e.src = f.url WHERE src <> dst AND dst NOT IN (SELECT url FROM s) AND dst NOT IN (SELECT url FROM f))
-SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM f UNION ALL SELECT url, 2 FROM g2""",
+    "crawl_reach": LINKS + f""", s AS (SELECT DISTINCT {VISIT.format(u='url')} AS url FROM pages WHERE page_id % 10 = 0), e AS (SELECT DISTINCT {VISIT.format(u='url')} AS src, {VISIT.format(u='link')} AS dst FROM l),
+reach(url, depth) AS (SELECT url, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN e ON e.src = r.url WHERE e.src <> e.dst AND r.depth < 5)
+SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url""".replace("WITH ", "WITH RECURSIVE ", 1),
     "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|article|h1|li)>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b),
@@ -273,6 +285,9 @@ SELECT b.organization_id, b.knowledge_base_id, greatest(coalesce(jd, 0), sd) AS
 FROM b LEFT JOIN a USING (organization_id, knowledge_base_id)""",
     "replace_document": C + "SELECT document_id, count(*) AS n, max(md5(CASE WHEN document_id % 50 = 0 THEN upper(content) ELSE content END)) AS digest FROM ch WHERE document_id % 50 <> 0 OR chunk_index = 0 GROUP BY 1",
     "delete_document": C + "SELECT organization_id, count(*) AS n FROM ch WHERE document_id % 3 <> 0 GROUP BY 1",
+    "chunk_store_changes": C + """, x AS (SELECT organization_id, knowledge_base_id, CASE WHEN document_id % 10 = 3 THEN upper(content) WHEN document_id % 10 = 1 AND chunk_index = 0 THEN 'new' ELSE content END AS content
+FROM ch WHERE document_id % 10 <> 7 AND (document_id % 10 <> 3 OR chunk_index = 0))
+SELECT organization_id, knowledge_base_id, count(*) AS n, count(*) FILTER (WHERE content = 'new') AS fresh, sum(length(content))::BIGINT AS chars, max(md5(content)) AS digest FROM x GROUP BY 1, 2""",
     "upsert_chunks": C + "SELECT knowledge_base_id, count(*) AS n, count(*) FILTER (WHERE chunk_index = 1) AS fresh FROM ch GROUP BY 1",
     "migration_missing": C + "SELECT organization_id, count(*) AS n FROM ch WHERE document_id % 2 = 1 GROUP BY 1",
     "chunk_scan": C + "SELECT document_id, chunk_id, md5(content) AS digest FROM ch WHERE document_id = 7 AND NOT is_summary",

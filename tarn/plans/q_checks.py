@@ -69,28 +69,22 @@ def safe_names(spark, d):
 def _stored(spark, d) -> str:
     """Nations, regions and suppliers as stored sheets."""
 
-    def sheet(table, document, title, headers, *columns):
-        order = F.row_number().over(_by(columns[0])) - 1
+    def sheet(table, document, title, headers, first, *columns):
+        order = F.col(columns[0]).cast("int") - first  # keys count rows, from the first one on
         rows = _read(spark, d, table).select(order.alias("row_index"), F.array(*[F.col(c).cast("string") for c in columns]).alias("values"))
         about = {"organization_id": "org", "knowledge_base_id": "kb", "document_id": document, "document_name": f"{document}.xlsx", "table_id": f"{document}#0", "sheet": title}
         return rows.withColumns({k: F.lit(v) for k, v in about.items()} | {"headers": F.array(*map(F.lit, headers)), "notes": F.array().cast("array<string>"), "truncated": F.lit(False)})
 
     made = [
-        sheet("nation", "negara", "Negara", ["Kunci", "Nama Negara"], "n_nationkey", "n_name"),
-        sheet("region", "wilayah", "Wilayah", ["Kunci", "Nama Wilayah"], "r_regionkey", "r_name"),
-        sheet("supplier", "pemasok", "Pemasok", ["Kunci", "Nama Pemasok", "Saldo"], "s_suppkey", "s_name", "s_acctbal"),
+        sheet("nation", "negara", "Negara", ["Kunci", "Nama Negara"], 0, "n_nationkey", "n_name"),
+        sheet("region", "wilayah", "Wilayah", ["Kunci", "Nama Wilayah"], 0, "r_regionkey", "r_name"),
+        sheet("supplier", "pemasok", "Pemasok", ["Kunci", "Nama Pemasok", "Saldo"], 1, "s_suppkey", "s_name", "s_acctbal"),
     ]
     path = scratch_path(spark, "tables")
     table_store.write(reduce(DataFrame.unionByName, made), path)
     return path
 
 
-def _by(column):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def table_listing(spark, d):
     found = table_store.listed(spark, _stored(spark, d), scope.Scope("org", ("kb",), ("negara", "pemasok")))
     return found.select("document_id", "table_id", "sheet", F.array_join("headers", "|").alias("headers"), "rows")

@@ -86,11 +86,7 @@ def log_windows(spark, d):
 
 def rolling_minute(spark, d):
     """For each request, how many its client sent in the 60 seconds up to it."""
-    from pyspark.sql import Window
-
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("client_ip").orderBy(t).rangeBetween(-60_000_000, 0)
-    return _log(spark, d).select("id", F.count("*").over(w).alias("in_minute"))
+    return logs.in_last(_log(spark, d), "client_ip", 60, "in_minute").select("id", "in_minute")
 
 
 def _asked(spark, d):
