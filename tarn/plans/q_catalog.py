@@ -106,7 +106,7 @@ def chunk_store_changes(spark, d):
     """A stored table of all chunks after documents were replaced, chunks changed and documents deleted."""
     chunks = _chunks(spark, d)
     store = ChunkStore(spark).create(chunks, 32)
-    store.replace_documents(chunks.where("document_id % 10 = 3 AND chunk_index = 0").withColumn("content", F.upper("content")))
+    store.replace_documents(chunks.where("document_id % 10 = 3 AND chunk_index = 0").withColumn("content", F.concat(F.lit("first: "), "content")))
     store.upsert(chunks.where("document_id % 10 = 1 AND chunk_index = 0").withColumn("content", F.lit("new")))
     store.delete_documents(chunks.where("document_id % 10 = 7"))
     found = store.read().groupBy("organization_id", "knowledge_base_id")
@@ -265,9 +265,9 @@ ORACLE_SQL = {
 CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) || '&' ELSE '' END || 'api_key=***' AS query FROM pages""",
     "canonical": f"SELECT page_id, {ROOT} || '/c/' || page_id AS canonical FROM pages",
     "sniffed_types": "SELECT page_id, ['application/pdf', 'application/rtf', 'text/html'][page_id % 3 + 1] AS kind FROM pages",
-    "crawl_reach": LINKS + f""", s AS (SELECT DISTINCT {VISIT.format(u='url')} AS url FROM pages WHERE page_id % 10 = 0), e AS (SELECT DISTINCT {VISIT.format(u='url')} AS src, {VISIT.format(u='link')} AS dst FROM l),
+    "crawl_reach": LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT DISTINCT {VISIT.format(u='url')} AS url FROM pages WHERE page_id % 10 = 0), e AS (SELECT DISTINCT {VISIT.format(u='url')} AS src, {VISIT.format(u='link')} AS dst FROM l),
 reach(url, depth) AS (SELECT url, 0 FROM s UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN e ON e.src = r.url WHERE e.src <> e.dst AND r.depth < 5)
-SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url""".replace("WITH ", "WITH RECURSIVE ", 1),
+SELECT url, min(depth)::INT AS depth FROM reach GROUP BY url""",
     "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(p|div|article|h1|li)>', chr(10), 'g'), '(?s)<[^>]+>', '', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b),
@@ -285,7 +285,7 @@ SELECT b.organization_id, b.knowledge_base_id, greatest(coalesce(jd, 0), sd) AS
 FROM b LEFT JOIN a USING (organization_id, knowledge_base_id)""",
     "replace_document": C + "SELECT document_id, count(*) AS n, max(md5(CASE WHEN document_id % 50 = 0 THEN upper(content) ELSE content END)) AS digest FROM ch WHERE document_id % 50 <> 0 OR chunk_index = 0 GROUP BY 1",
     "delete_document": C + "SELECT organization_id, count(*) AS n FROM ch WHERE document_id % 3 <> 0 GROUP BY 1",
-    "chunk_store_changes": C + """, x AS (SELECT organization_id, knowledge_base_id, CASE WHEN document_id % 10 = 3 THEN upper(content) WHEN document_id % 10 = 1 AND chunk_index = 0 THEN 'new' ELSE content END AS content
+    "chunk_store_changes": C + """, x AS (SELECT organization_id, knowledge_base_id, CASE WHEN document_id % 10 = 3 THEN 'first: ' || content WHEN document_id % 10 = 1 AND chunk_index = 0 THEN 'new' ELSE content END AS content
 FROM ch WHERE document_id % 10 <> 7 AND (document_id % 10 <> 3 OR chunk_index = 0))
 SELECT organization_id, knowledge_base_id, count(*) AS n, count(*) FILTER (WHERE content = 'new') AS fresh, sum(length(content))::BIGINT AS chars, max(md5(content)) AS digest FROM x GROUP BY 1, 2""",
     "upsert_chunks": C + "SELECT knowledge_base_id, count(*) AS n, count(*) FILTER (WHERE chunk_index = 1) AS fresh FROM ch GROUP BY 1",
