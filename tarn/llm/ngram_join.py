@@ -17,12 +17,14 @@ many documents have rarely decide who meets whom.
 Sets that are equal are one class from the start.  In a dense group pairs need not
 all be looked at, as components are asked for:
 
-1. every class is verified against the smallest class that it meets;
+1. every class is bounded, and if that lets it through verified, against the smallest class that it meets;
 2. in trees that still hold several components, members outside the largest search
    the tree for the point with the highest bound in another component; those pairs
    are verified, many at once;
-3. members that survived a search and are still apart are searched again, with
-   their sets beside them, and every surviving pair is verified inside its task.
+3. whoever survived a search with each other is one group, found as components of
+   spanning forests, so no pair leaves a task for it; groups that still hold
+   several components are searched again, with their sets beside them, and every
+   surviving pair is verified inside its task.
 
 A tree with many members is cut into blocks of bounded size; rows of hot shingles,
 classes and components are salted.  Nothing is capped.
@@ -44,20 +46,25 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from tarn.llm import _words
-from tarn.llm._common import RID, join_hot, numbered, read, small_batches
+from tarn.llm._common import BROADCAST_ROWS, RID, join_hot, numbered, read, small_batches
+from tarn.llm.components import components
 from tarn.llm.near_dedup import _assign, _relabelled, shingle_sets
 from tarn.session import materialize, release
 
 SHINGLE = 3
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 90
-GROUPS = 128
+GROUPS = 64
 #: Cells of the table of counts (its size is fixed: one byte a cell when it is broadcast), and pieces that it is added up in.
-CELL_BITS, PIECES = 20, 256
-#: A shingle is common if its cell holds over so many times what a cell holds on average; each doubling beyond is a class of its own.
-COMMON = 4
+CELL_BITS, PIECES = 22, 256
+#: A shingle is common if its cell holds more than chance explains: over the average by so many of its roots. Each doubling of that is a class of its own.
+COMMON = 3
 #: Points in a leaf, children of a node.
 LEAF, FAN_OUT = 16, 8
+#: Trees of up to so many points are one leaf; rows and pairs that are held at once.
+ONE_LEAF, GATHERED, PAIRS = 64, 4096, 20_000
+#: Sides of a unit that a row is on.
+LEFT, BOTH, RIGHT = range(3)
 #: Members of one block on either side, and shingles of either, where sets are beside them.
 BLOCK_A, BLOCK_B, BLOCK_SHINGLES = 1024, 2048, 4_000_000
 
@@ -83,6 +90,15 @@ def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((_words.mix(shingles) % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point in one byte a coordinate where that is enough, else in four."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    return np.array([np.frombuffer(p, dtype="u1" if len(p) == groups else "<u4") for p in points], dtype=np.uint32).reshape(len(points), groups)
+
+
 # ---- which shingles are common
 
 
@@ -108,16 +124,17 @@ def common_classes(source: DataFrame, cell_bits: int = CELL_BITS) -> np.ndarray:
                 part = np.frombuffer(zlib.decompress(packed), dtype="<i8")
                 held[k] = held[k] + part if k in held else part
         for k, part in held.items():  # PIECES of them at most
-            yield pd.DataFrame({"piece": [k], "counts": [part.tobytes()]})
+            yield pd.DataFrame({"piece": [k], "counts": [zlib.compress(part.tobytes(), 1)]})
 
     counted = source.select("text").mapInPandas(count, "piece int, task int, counts binary")
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     added = counted.repartition(parts, "piece").select("piece", "counts").mapInPandas(add, "piece int, counts binary")
     total = np.zeros((PIECES, width), np.int64)
     for r in added.toLocalIterator():  # the table itself, of fixed size
-        total[r.piece] = np.frombuffer(bytes(r.counts), dtype="<i8")
-    usual = COMMON * (total.sum() / cells + COMMON)
-    return np.ceil(np.log2(np.maximum(1.0, total.reshape(-1) / usual))).astype(np.uint8)
+        total[r.piece] = np.frombuffer(zlib.decompress(bytes(r.counts)), dtype="<i8")
+    usual = total.sum() / cells
+    more = (total.reshape(-1) - usual) / (COMMON * (1 + np.sqrt(usual)))
+    return np.ceil(np.log2(np.maximum(0.5, more)) + 1).astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -134,7 +151,7 @@ def _sign(classes: np.ndarray):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first.append(prefix(s, classes).view(np.int64))
-                points.append(zlib.compress(point(s).tobytes(), 1))
+                points.append(packed(point(s)))
             yield pd.DataFrame({"rid": pdf["rid"], "id": pdf["id"], "n": n, "digest": digest, "first": first, "point": points})
 
     return run
@@ -196,74 +213,122 @@ class RTree:
         return fits & (bound > 0) & ((100 + PERCENT) * bound >= PERCENT * (n + low)), bound
 
 
-def _points(packed) -> np.ndarray:
-    return np.array([np.frombuffer(zlib.decompress(p), dtype="<u4") for p in packed])
-
-
-def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one unit (bucket, i, j) after another; units arrive together."""
-    held: list[pd.DataFrame] = []
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole units, about ``GATHERED`` rows of them at a time (a row for each 8 KB of sets, too); units arrive together, sorted by (bucket, i, j, side)."""
+    held, n = [], 0
     for pdf in batches:
-        for _, part in pdf.groupby(["bucket", "i", "j"], sort=False):
-            key = tuple(part[["bucket", "i", "j"]].iloc[0])
-            if held and tuple(held[0][["bucket", "i", "j"]].iloc[0]) != key:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
+        held.append(pdf)
+        n += len(pdf) + (int(pdf["shingles"].str.len().sum()) >> 13 if "shingles" in pdf else 0)
+        if n < GATHERED:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        starts = _starts(rows)
+        if len(starts) > 1:  # the last unit may go on
+            yield rows.iloc[: starts[-1]]
+            rows = rows.iloc[starts[-1] :]
+        held, n = [rows], len(rows) if len(starts) > 1 else 0
     if held:
-        yield pd.concat(held)
-
-
-def _sides(unit: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    side = unit["side"].to_numpy()
-    return unit[side == 0], unit[side == 1].reset_index(drop=True)
-
-
-def _hits(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple]:
-    """(a left row, places of the right that may be linked with it and are of another component, bounds)."""
-    tree = RTree.pack(_points(right["point"]))
-    node, label, minor = (right[c].to_numpy() for c in ("node", "label", "minor"))
-    for r, q in zip(left.itertuples(index=False), _points(left["point"]), strict=True):
-        at, bound = tree.search(q)
-        # a pair of members outside the main component is met from both sides: once is enough
-        fit = (label[at] != r.label) & (~minor[at] | (node[at] < r.node))
-        if fit.any():
-            yield r, at[fit], bound[fit]
+        yield pd.concat(held, ignore_index=True)
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    """Where each unit begins."""
+    key = rows[["bucket", "i", "j"]].to_numpy()
+    return np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))]) if len(rows) else np.zeros(0, np.int64)
+
+
+def _hits(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of left rows, places of right rows, bounds): pairs of a unit, of different components, that may be linked; by left row."""
+    node, label, minor, side, rest = (rows[c].to_numpy() for c in ("node", "label", "minor", "side", "rest"))
+    points = unpacked(rows["point"].tolist())
+    sizes = points.sum(axis=1, dtype=np.int64)
+    starts = _starts(rows)
+    ends = np.append(starts[1:], len(rows))
+    upto = lambda most: starts + np.add.reduceat(side <= most, starts)
+    lefts, rights = (upto(BOTH), upto(LEFT)) if len(starts) else (starts, starts)
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Where components differ and enough of both sets comes after the shingle that they meet by.  A pair of members outside the main component is met from both sides: once is enough."""
+        apart = (label[x] != label[y]) & (~minor[y] | (node[y] < node[x]))
+        return apart & ((100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (sizes[x] + sizes[y]))
+
+    found = []
+    small = ends - rights <= ONE_LEAF
+    for x, y in _products(starts[small], lefts[small], rights[small], ends[small]):
+        ok = fits(x, y)
+        x, y = x[ok], y[ok]
+        found += [_bounded(points, sizes, x[k : k + PAIRS], y[k : k + PAIRS]) for k in range(0, len(x), PAIRS)]
+    for start, left, right, end in zip(starts[~small], lefts[~small], rights[~small], ends[~small], strict=True):
+        tree = RTree.pack(points[right:end])
+        for x in range(start, left):
+            at, bound = tree.search(points[x])
+            ok = fits(np.full(len(at), x), at + right)
+            found.append((np.full(int(ok.sum()), x), at[ok] + right, bound[ok]))
+    x, y, bound = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((y, -bound, x))
+    return x[order], y[order], bound[order]
+
+
+def _products(starts: np.ndarray, lefts: np.ndarray, rights: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of left and right rows of all pairs of small units, about ``PAIRS`` at a time."""
+    left, right = lefts - starts, np.maximum(1, ends - rights)
+    n = left * (ends - rights)
+    for units in np.array_split(np.arange(len(starts)), max(1, int(n.sum()) // PAIRS)):
+        unit = np.repeat(units, n[units])
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(n[units]) - n[units], n[units])
+        yield starts[unit] + at // right[unit], rights[unit] + at % right[unit]
+
+
+def _bounded(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of these pairs, those that the bound of one leaf lets through."""
+    near = (PERCENT * sizes[y] <= 100 * sizes[x]) & (100 * sizes[y] >= PERCENT * sizes[x])
+    x, y = x[near], y[near]
+    bound = np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64)
+    may = (bound > 0) & ((100 + PERCENT) * bound >= PERCENT * (sizes[x] + sizes[y]))
+    return x[may], y[may], bound[may]
 
 
 def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(bucket, node, v): members that survive, a left one with the right one of the highest bound."""
-    for unit in _units_of(batches):
-        left, right = _sides(unit)
-        if not len(left) or not len(right):
-            continue
-        bucket, node = unit["bucket"].iloc[0], right["node"].to_numpy()
-        rows, met = [], np.zeros(len(right), dtype=bool)
-        for r, at, bound in _hits(left, right):
-            rows.append((bucket, r.node, int(node[at[bound.argmax()]])))
-            met[at] = True
-        rows += [(bucket, int(x), None) for x in node[met]]
-        yield pd.DataFrame(rows, columns=["bucket", "node", "v"]).astype({"v": "Int64"})
+    """(u, v, nearest): for each left member the right one of the highest bound, and a spanning forest of all pairs that survive."""
+    for rows in _gathered(batches):
+        x, y, _ = _hits(rows)
+        node = rows["node"].to_numpy()
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        tree = _forest(node[x].tolist(), node[y].tolist())
+        yield pd.DataFrame({"u": node[x[first]], "v": node[y[first]], "nearest": True})
+        yield pd.DataFrame(tree, columns=["u", "v"], dtype="int64").assign(nearest=False)
+
+
+def _forest(u: list[int], v: list[int]) -> list[tuple[int, int]]:
+    """Of these edges, as many as connect whatever they connect."""
+    above: dict[int, int] = {}
+
+    def root(a: int) -> int:
+        while (b := above.get(a, a)) != a:
+            above[a] = a = above.get(b, b)
+        return a
+
+    out = []
+    for a, b in zip(u, v, strict=True):
+        p, q = root(a), root(b)
+        if p != q:
+            above[p] = q
+            out.append((a, b))
+    return out
 
 
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (u, v) of a unit's surviving pairs, one for each left member and component; a pair is looked at where it first meets."""
+    """Links (u, v) of surviving pairs, one for each left member and component."""
     view = lambda x: np.frombuffer(x, dtype=np.uint64)
-    for unit in _units_of(batches):
-        left, right = _sides(unit)
-        if not len(left) or not len(right):
-            continue
-        token = np.int64(unit["token"].iloc[0])
-        sets, firsts = [view(x) for x in right["shingles"]], list(right["first"])
-        node, label = right["node"].to_numpy(), right["label"].to_numpy()
-        links = []
-        for r, at, bound in _hits(left, right):
-            mine, first, done = view(r.shingles), np.asarray(r.first), set()
-            for k in at[np.argsort(-bound, kind="stable")]:
-                other = firsts[k]
-                if label[k] not in done and other[np.isin(other, first).argmax()] == token and linked(mine, sets[k]):
-                    done.add(label[k])
-                    links.append((int(r.node), int(node[k])))
+    for rows in _gathered(batches):
+        node, label, shingles = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["shingles"].tolist()
+        links, left, done = [], None, set()
+        for x, y, _ in zip(*(v.tolist() for v in _hits(rows)), strict=True):
+            if x != left:
+                left, done = x, set()
+            if label[y] not in done and linked(view(shingles[x]), view(shingles[y])):
+                done.add(label[y])
+                links.append((int(node[x]), int(node[y])))
         yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
@@ -276,11 +341,37 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([linked(view(x), view(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v), written already, whose full sets are linked; many may share one v."""
-    with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    often = pairs.groupBy("v").agg(F.count("*").alias("copies")).join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return join_hot(with_u, often, ["v"], "copies", pairs.count(), ["u"]).where(_linked("a", "b")).select("u", "v")
+@pandas_udf(BooleanType())
+def _may_be_linked(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = unpacked(a.tolist()), unpacked(b.tolist())
+    at = np.arange(len(x))
+    ok = _bounded(np.concatenate([x, y]), np.concatenate([x, y]).sum(axis=1, dtype=np.int64), at, at + len(x))[0]
+    return pd.Series(np.isin(at, ok))
+
+
+def _beside(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (u, v), written already, with ``a`` and ``b``: what ``side`` (node, value) has for both; many may share one v."""
+    with_u = pairs.join(side.select(F.col("node").alias("u"), F.col(value).alias("a")), "u")
+    often = pairs.groupBy("v").agg(F.count("*").alias("copies")).join(side.select(F.col("node").alias("v"), F.col(value).alias("b")), "v")
+    return join_hot(with_u, often, ["v"], "copies", pairs.count(), ["u"])
+
+
+def _sets_of(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of these nodes, written already."""
+    few = nodes.count() <= BROADCAST_ROWS
+    nodes = nodes.withColumnRenamed("node", "rid")
+    chosen = source.join(F.broadcast(nodes) if few else nodes, "rid", "left_semi").select(F.col("rid").alias("node"), "text")
+    return materialize(chosen.mapInPandas(_sets, "node long, shingles binary"), "join-sets")
+
+
+def _verify(pairs: DataFrame, points: DataFrame, source: DataFrame) -> DataFrame:
+    """The pairs (u, v), written already, whose bound lets them through and whose full sets are linked; written."""
+    may = materialize(_beside(pairs, points, "point").where(_may_be_linked("a", "b")).select("u", "v"), "join-may")
+    nodes = materialize(may.select(F.col("u").alias("node")).union(may.select("v")).distinct(), "join-nodes")
+    sets = _sets_of(source, nodes)
+    links = materialize(_beside(may, sets, "shingles").where(_linked("a", "b")).select("u", "v"), "join-links")
+    release(may, nodes, sets)
+    return links
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,18 +391,21 @@ def _open(members: DataFrame, labels: DataFrame, name: str, shingles: bool) -> D
         .where("labels > 1")
         .select("bucket", "copies", F.col("top.label").alias("main"), blocks(F.col("copies") - F.col("top.n"), BLOCK_A, weight("shingles")).alias("blocks_a"), blocks(F.col("copies"), BLOCK_B, weight("shingles")).alias("blocks_b"))
     )
-    return materialize(join_hot(told, trees, ["bucket"], "copies", told.count(), ["node"]).withColumn("minor", F.col("label") != F.col("main")), name)
+    out = materialize(join_hot(told, trees, ["bucket"], "copies", told.count(), ["node"]).withColumn("minor", F.col("label") != F.col("main")), name)
+    release(told)
+    return out
 
 
 def _dealt(inside: DataFrame, beside: DataFrame) -> DataFrame:
     """Units of open trees: each block of members outside the main component with each block of all, what is ``beside`` a node joined to it."""
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    plain = ["bucket", "node", "label", "minor"]
-    a = inside.where("minor").select(*plain, F.lit(0).alias("side"), block("blocks_a").alias("i"), every("blocks_b").alias("j"))
-    b = inside.select(*plain, F.lit(1).alias("side"), every("blocks_a").alias("i"), block("blocks_b").alias("j"))
+    plain = ["bucket", "node", "rest", "label", "minor"]
+    whole = F.col("blocks_a") * F.col("blocks_b") == 1  # a tree in one block has its members once
+    a = inside.where(F.col("minor") & ~whole).select(*plain, F.lit(LEFT).alias("side"), block("blocks_a").alias("i"), every("blocks_b").alias("j"))
+    b = inside.select(*plain, F.when(whole & F.col("minor"), BOTH).otherwise(RIGHT).alias("side"), every("blocks_a").alias("i"), block("blocks_b").alias("j"))
     parts = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return a.union(b).withColumn("token", F.col("bucket")).join(beside, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return a.union(b).join(beside, "node").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
 
 def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", scanned: bool = False) -> DataFrame:
@@ -337,31 +431,33 @@ def decide(df: DataFrame, id_col: str = "doc_id", text: str = "text", scanned: b
     classes = materialize(classes.select("digest", "best", F.col("best.rid").alias("node"), "copies"), "join-classes")
 
     heads = signed.join(classes.select(F.col("node").alias("rid")), "rid")
-    members = materialize(heads.select(F.col("rid").alias("node"), "n", F.explode("first").alias("bucket")), "join-first")
+    # ``rest``: how much of the set comes from this shingle on
+    members = materialize(heads.select(F.col("rid").alias("node"), "n", F.posexplode("first").alias("at", "bucket")).select("node", "n", (F.col("n") - F.col("at")).alias("rest"), "bucket"), "join-first")
     trees = members.groupBy("bucket").agg(F.count("*").alias("copies"), F.min("node").alias("pivot")).where("copies > 1")
     trees = materialize(trees, "join-trees")
     spread, members = members, materialize(join_hot(members, trees, ["bucket"], "copies", members.count(), ["node"]), "join-members")
     release(spread, trees)
 
-    nodes = materialize(members.select("node").distinct(), "join-nodes")
-    chosen = source.join(nodes.withColumnRenamed("node", "rid"), "rid").select(F.col("rid").alias("node"), "text")
-    sets = materialize(chosen.mapInPandas(_sets, "node long, shingles binary"), "join-sets")
-    points = signed.join(nodes.withColumnRenamed("node", "rid"), "rid").select(F.col("rid").alias("node"), "point", "first")
-
+    nodes = members.select(F.col("node").alias("rid")).distinct()
+    points = materialize(signed.join(nodes, "rid").select(F.col("rid").alias("node"), "n", "point"), "join-points")
     pivots = materialize(members.groupBy("node").agg(F.min("pivot").alias("v")).where("v <> node").select(F.col("node").alias("u"), "v"), "join-pivots")
-    labels = _relabelled(None, _verify(pivots, sets))
+    labels = _relabelled(None, _verify(pivots, points, source))
 
     inside = _open(members.drop("pivot"), labels, "join-open", False)
-    survived = materialize(_dealt(inside, points.select("node", "point")).mapInPandas(_best, "bucket long, node long, v long"), "join-survived")
-    nearest = materialize(survived.where("v IS NOT NULL").select(F.col("node").alias("u"), "v").distinct().join(pivots, ["u", "v"], "left_anti"), "join-nearest")
-    labels = _relabelled(labels, _verify(nearest, sets))
-    release(inside, pivots, nearest)
-
-    again = survived.select("bucket", "node").distinct().join(members.select("bucket", "node", "n"), ["bucket", "node"])
+    survived = materialize(_dealt(inside, points.select("node", "point")).mapInPandas(_best, "u long, v long, nearest boolean"), "join-survived")
+    release(inside, members)
+    nearest = materialize(survived.where("nearest").select("u", "v").distinct().join(pivots, ["u", "v"], "left_anti"), "join-nearest")
+    labels = _relabelled(labels, _verify(nearest, points, source))
+    groups = materialize(components(survived.where("NOT nearest").select("u", "v")), "join-groups")
+    release(pivots, nearest, survived)
+
+    again = groups.withColumnRenamed("label", "bucket").join(points.select("node", "n", F.col("n").alias("rest")), "node")
     inside = _open(again, labels, "join-again", True)
-    links = _dealt(inside, points.join(sets, "node")).mapInPandas(_exact, "u long, v long")
+    nodes = materialize(inside.select("node").distinct(), "join-nodes")
+    sets = _sets_of(source, nodes)
+    links = _dealt(inside, points.select("node", "point").join(sets, "node")).mapInPandas(_exact, "u long, v long")
     labels = _relabelled(labels, links)
-    release(members, survived, inside, sets, nodes)
+    release(groups, inside, sets, nodes, points)
     return _assign(signed, classes, labels, id_col)
 
 
