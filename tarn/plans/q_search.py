@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions.embed import hash_embedding
 from tarn.functions.text import estimate_tokens, fingerprint, plain_tokens
 from tarn.operators import scope, search
+from tarn.operators.ball_index import BallIndex
 from tarn.operators.lexical_index import LexicalIndex
 from tarn.session import hadoop_path
 
@@ -133,6 +134,14 @@ def dense_batch_queries(spark, d):
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def dense_ball(spark, d):
+    """The same questions and answers by an index of balls, which skips cells that can't hold any of them."""
+    e = _read(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = BallIndex(spark).build(e, "vec_id", "embedding").search_many(asked, 5)
+    return found.select("query_id", F.col("key").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 def _lists(spark, d):
     dense = search.ranked(search.dense_search(_read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", _query_vector(spark, d), 50), "doc_id")
     sparse = search.ranked(_hits(spark, d, 50), "doc_id")
@@ -237,7 +246,7 @@ FP = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_search, bm25_document_filter_keeps_idf, bm25_scan, bm25_scope_stats, bm25_postings, bm25_batch, bm25_after_changes, bm25_after_compaction, dense_search, dense_batch_queries, rrf_fusion,
+        bm25_search, bm25_document_filter_keeps_idf, bm25_scan, bm25_scope_stats, bm25_postings, bm25_batch, bm25_after_changes, bm25_after_compaction, dense_search, dense_batch_queries, dense_ball, rrf_fusion,
         hybrid_pool_dedupe, per_document_cap, document_focus, blended_score, relative_threshold, relevance_gate, relevance_gates, payload_tenant_check, noop_rerank, hash_embedding_norms,
         fingerprint_dedupe, token_estimates,
     )
@@ -256,6 +265,9 @@ SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf)::INT AS max_tf FROM
     "dense_search": f"SELECT e.vec_id, round({DENSE}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY {DENSE} DESC, e.vec_id LIMIT 20",
     "dense_batch_queries": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {DENSE} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
+    "dense_ball": f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {DENSE} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
     "rrf_fusion": LISTS + "SELECT doc_id, round(score, 6) AS score FROM fs",
     "hybrid_pool_dedupe": LISTS + f"""SELECT doc_id, source, round(score, 6) AS score FROM

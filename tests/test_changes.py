@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.operators import crawl, logs, unanswered
+from tarn.operators.ball_index import BallIndex
 from tarn.operators.chunk_store import ChunkStore
 
 CHUNKS = "organization_id string, knowledge_base_id string, document_id string, chunk_id string, content string"
@@ -85,3 +87,24 @@ def test_a_search_looks_at_fourteen_columns(spark):
     assert len(logs.SEARCHED) == 14
     assert {r.id for r in logs.filtered(log, search="NEEDLE_").collect()} == set(range(14))
     assert logs.filtered(log, search="needleX1").count() == 0 and logs.filtered(log.where(F.lit(False)), search="x").count() == 0
+
+
+def test_balls_skip_cells_and_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    spots = rng.normal(0, 10, (12, 6))
+    vectors = [(i, (spots[i % 12] + rng.normal(0, 0.3, 6)).tolist()) for i in range(1200)] + [(5000, None), (5001, [0.0] * 6), (5002, [0.0] * 6)]
+    table = spark.createDataFrame(vectors, "k long, v array<double>")
+    asked = table.where("k % 40 = 0 AND v IS NOT NULL").toDF("query_id", "query_vector")
+    stats = {}
+    got = BallIndex(spark).build(table, "k", "v", 24).search_many(asked, 7, stats)
+    kept = [(k, np.array(v)) for k, v in vectors if v is not None]
+    want = []
+    for q, x in kept:
+        if q % 40 == 0:
+            order = sorted((-float(v @ x), k) for k, v in kept if k != q)[:7]
+            want += [(q, k, n) for n, (_, k) in enumerate(order, 1)]
+    assert sorted((r.query_id, r.key, r["rank"]) for r in got.collect()) == sorted(want)
+    assert stats["read"] < 0.5 * stats["all"]
+    few = BallIndex(spark).build(table.where("k < 3"), "k", "v")
+    assert few.search_many(asked.where("query_id = 0"), 7).count() == 2
+    assert BallIndex(spark).build(table.limit(0), "k", "v").search_many(asked, 7).count() == 0
