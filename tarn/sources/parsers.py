@@ -271,7 +271,8 @@ def parse_rtf(content: bytes, name: str = "") -> Pages:
         elif text:
             out.append(text[1:] if skip and text.startswith("?") else text)
             skip = 0
-    return [(1, tidy("".join(out)))]
+    # characters beyond the first plane are written as two units
+    return [(1, tidy("".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")))]
 
 
 def parse_eml(content: bytes, name: str = "") -> Pages:

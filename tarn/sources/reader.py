@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.text import clean_text, detect_language, garbage_reason
-from tarn.session import hadoop_path
+from tarn.session import hadoop_path, ship_package
 
 PAGES = "path string, parser string, page int, text string, error string"
 ROWS = "path string, table_id string, sheet string, headers array<string>, notes array<string>, truncated boolean, row_index long, values array<string>, error string"
@@ -40,9 +40,15 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "parser", "page", "text", "error"])
 
 
+def pages_of(files: DataFrame) -> DataFrame:
+    """(path, parser, page, text, error): the pages of files (path, content) of any known format; a file that can't be read is one row with its error."""
+    ship_package(files.sparkSession)
+    return files.select("path", "content").mapInPandas(_pages, PAGES)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, parser, page, text, language, error): cleaned pages; a file that can't be read, or reads like a binary one, is one row with its error."""
-    found = _files(spark, path).mapInPandas(_pages, PAGES).withColumn("text", F.when(F.col("text").isNotNull(), clean_text(F.col("text"))))
+    found = pages_of(_files(spark, path)).withColumn("text", F.when(F.col("text").isNotNull(), clean_text(F.col("text"))))
     bad = garbage_reason(F.col("text"))
     found = found.withColumn("error", F.coalesce("error", F.when(bad.isNotNull(), F.concat(F.lit("binary: "), bad))))
     return found.withColumn("language", F.when(F.col("text").isNotNull(), detect_language(F.col("text")))).where("error IS NOT NULL OR text <> ''")
@@ -52,8 +58,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 SHEET_ROWS = 5000
 
 
+def tables_in(files: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Rows of every table in spreadsheet files (path, content), as :func:`read_tables` gives them."""
+    ship_package(files.sparkSession)
+    return _table_rows(files.select("path", "content"), max_rows, max_columns)
+
+
 def read_tables(spark: SparkSession, path: str, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
     """Rows of every table in spreadsheet files, values as text by position; all rows and columns, unless the caller sets a limit (``truncated`` and ``notes`` say so then)."""
+    return _table_rows(_files(spark, path), max_rows, max_columns)
+
+
+def _table_rows(files: DataFrame, max_rows: int | None, max_columns: int | None) -> DataFrame:
     columns = [c.split()[0] for c in ROWS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +87,7 @@ def read_tables(spark: SparkSession, path: str, max_rows: int | None = None, max
                 except Exception as e:  # a broken file must not stop the others
                     yield pd.DataFrame([(file, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=columns)
 
-    return _files(spark, path).mapInPandas(run, ROWS)
+    return files.mapInPandas(run, ROWS)
 
 
 def as_table(rows: DataFrame, headers: list[str]) -> DataFrame:
