@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.embed import dot
 from tarn.functions.text import fingerprint, garbage_reason
+from tarn.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -51,8 +52,9 @@ def _equals(word: str):
 def bm25_scan(docs: DataFrame, key: str, tokens: str, terms: list[str], top_k: int | None = None, within: Column | None = None, hidden: Column | None = None) -> DataFrame:
     """(key, score): BM25 of a few terms straight from token arrays.
 
-    One pass gathers the statistics of the whole scope as a single row, another
-    scores; nothing is shuffled but partial sums and the top rows of each task.
+    Texts are counted in one pass that writes a few numbers a document; what
+    gathers the statistics, as a single row, and what scores reads those.
+    Nothing is shuffled but partial sums and the top rows of each task.
     ``within`` narrows what is scored, ``hidden`` rows are never scored; both
     still count in the statistics.
     """
@@ -60,6 +62,7 @@ def bm25_scan(docs: DataFrame, key: str, tokens: str, terms: list[str], top_k: i
     tf = [F.size(F.filter(F.col(tokens), _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     keep = (within if within is not None else F.lit(True)) & (~F.coalesce(hidden, F.lit(False)) if hidden is not None else F.lit(True))
     rows = docs.select(F.col(key), F.size(tokens).alias("dl"), keep.alias("keep"), *tf)
+    rows = materialize(rows, "term-counts")
     counts = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
     stats = rows.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *counts)  # one row
     any_hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))

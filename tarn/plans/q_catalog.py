@@ -8,6 +8,7 @@ from tarn.functions import text, urls
 from tarn.operators import catalog, context, crawl, evaluate, ratelimit, scope
 from tarn.operators.chunk_store import ChunkStore
 from tarn.plans.q_search import BM25_BATCH
+from tarn.session import materialize
 from tarn.sources.html import html_to_text
 
 
@@ -190,7 +191,7 @@ def summary_attach(spark, d):
 
 def document_expansion(spark, d):
     """Every query's hits with what its documents have around them: small documents whole, neighbours in large ones, within a budget."""
-    rows = scope.without_summaries(_priced(spark, d))
+    rows = materialize(scope.without_summaries(_priced(spark, d)).select("query_id", "document_id", "chunk_index", "rank", "tokens", "content"), "priced-chunks")
     return context.expanded(rows.where("chunk_index = 2"), rows, 12_000, 1).select("query_id", "document_id", "chunk_index", "upto")
 
 

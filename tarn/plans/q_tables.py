@@ -8,6 +8,7 @@ from tarn.functions.numbers import excel_serial, format_number, is_numeric_cell,
 from tarn.operators import tables
 from tarn.operators.skew import join_hot
 from tarn.operators.tables import Plan, Where
+from tarn.session import materialize
 
 
 def _items(spark, d):
@@ -50,6 +51,7 @@ SELECT {of}({metric}) AS v, count({metric}) AS n, count(*) AS rows_matched, coun
 def number_parsing(spark, d):
     """Every distinct cell is read once, however many rows hold it."""
     rows = _items(spark, d).select("row_index", F.explode(F.array_distinct(F.array("Harga", "Jumlah Barang", "Tanggal", "Flag"))).alias("cell")).distinct()
+    rows = materialize(rows, "cells")  # three steps read it
     cells = rows.select("cell").distinct()
     read = cells.select("cell", parse_number(F.col("cell")).alias("number"), is_numeric_cell(F.col("cell")).alias("numeric"))
     often = rows.groupBy("cell").agg(F.count("*").alias("copies"))

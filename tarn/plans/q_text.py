@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text
 from tarn.operators import chunker, rerank, routing
+from tarn.session import materialize
+
+#: Up to so many keys of candidates are broadcast to the scan of texts.
+BROADCAST_KEYS = 1_000_000
 
 
 def _docs(spark, d):
@@ -123,8 +127,11 @@ def lexical_rerank(spark, d):
 
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
     asked = items.select("query_id", F.explode(F.array_distinct(text.keywords(F.col("query")))).alias("term"))
-    pool = index_of(spark, d).search_many(asked, 20).select("query_id", "key").join(items, "query_id")
-    return rerank.rerank(pool.join(_docs(spark, d).select(F.col("doc_id").alias("key"), "text"), "key"))
+    pool = materialize(index_of(spark, d).search_many(asked, 20).select("query_id", "key"), "pool")
+    docs, keys = _docs(spark, d).select(F.col("doc_id").alias("key"), "text"), pool.select("key").distinct()
+    few = keys.count() <= BROADCAST_KEYS  # then texts stay where they are, but for those that are wanted
+    wanted = docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    return rerank.rerank(pool.join(items, "query_id").join(wanted, "key"))
 
 
 def text_coverage(spark, d):
