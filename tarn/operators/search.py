@@ -165,7 +165,7 @@ def focus_many(rows: DataFrame, document: str, score: str, comparison: Column, r
     Candidates are few for each question; questions are dealt over all tasks.
     """
     best = rows.groupBy("query_id", document).agg(F.max(score).alias("__best"), F.bool_or(comparison).alias("__wide"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("__best"), document))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("__best")).desc(), document))
     top = F.max("__best").over(Window.partitionBy("query_id"))
     least = F.when(F.col("__wide"), F.lit(ratio * COMPARED_SHARE)).otherwise(F.lit(ratio))
     room = F.when(F.col("__wide"), F.lit(max(most, COMPARED_DOCUMENTS))).otherwise(F.lit(max(1, most)))

@@ -63,7 +63,7 @@ SELECT conv_id, turn, regexp_matches({ASKED}, '{routing.SUMMARY_REQUEST}') AS su
     + f""", p2 AS (SELECT r.query_id, r.doc_id, r.score, d2.source FROM r JOIN documents d2 USING (doc_id) WHERE r.rank <= 120),
 w AS (SELECT item_id AS query_id, regexp_matches(CASE WHEN item_id % 3 = 0 THEN 'bandingkan ' || text ELSE text END, '{routing.MULTI_DOCUMENT}') AS wide FROM benchmark),
 bs AS (SELECT query_id, source, max(score) AS best FROM p2 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, source) AS place, max(best) OVER (PARTITION BY query_id) AS top FROM bs JOIN w USING (query_id))
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(best, 9) DESC, source) AS place, max(best) OVER (PARTITION BY query_id) AS top FROM bs JOIN w USING (query_id))
 SELECT p2.query_id, p2.doc_id, p2.source FROM p2 JOIN k USING (query_id, source)
 WHERE k.place <= CASE WHEN k.wide THEN 6 ELSE 3 END AND k.best >= k.top * CASE WHEN k.wide THEN 0.8::DOUBLE * 0.6::DOUBLE ELSE 0.8::DOUBLE END""",
 }

@@ -115,6 +115,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     if separator is None or encoding is None:
         told = sniffed(spark, path)
         separator, encoding = separator or told[0], encoding or told[1]
+    if encoding.lower().startswith("windows-"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark reads such texts only if it is told that it may
     return spark.read.option("header", "true").option("sep", separator).option("encoding", encoding).option("inferSchema", "false").csv(path)
 
 

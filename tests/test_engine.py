@@ -274,6 +274,7 @@ def test_sheets_arrive_whole(spark, tmp_path):
     (tmp_path / "latin").mkdir()
     (tmp_path / "latin" / "a.csv").write_bytes("Café\tPrix\ncrème\t5\n".encode("cp1252") * 2)
     assert reader.sniffed(spark, str(tmp_path / "latin")) == ("\t", "windows-1252") and reader.read_delimited(spark, str(tmp_path / "latin")).columns == ["Café", "Prix"]
+    assert reader.read_delimited(spark, str(tmp_path / "latin")).first().asDict() == {"Café": "crème", "Prix": "5"}
 
 
 def compound(**streams):
