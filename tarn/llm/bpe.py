@@ -196,7 +196,12 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", data:
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
-    """``df`` with ``ids`` and ``data``: :func:`encode` and :func:`decode` in one visit to a Python worker, which halves the workers that a task needs."""
+    """``df`` with ``ids`` and ``data``: :func:`encode` and :func:`decode` in one visit to a Python worker, which halves the workers that a task needs.
+
+    A null or empty text has empty ids and data.  Repeated rows get the same ids,
+    texts of any length are encoded whole, an empty table gives no rows; columns
+    already named like the outputs are replaced.
+    """
     small_batches(df.sparkSession)
     ranks = _shared(df.sparkSession, ranks_path)
 

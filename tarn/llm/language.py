@@ -281,7 +281,10 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 def keep_known(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.2) -> DataFrame:
     """``df`` without rows whose language is undetermined or has a score under ``least``; columns unchanged.
 
-    Texts in two or three languages stay: the least score is below the share that the main one has in them.
+    Texts in two or three languages stay: the least score is below the share that
+    the main one has in them.  Null texts and texts without letters go, and all
+    do where no language could be learnt.  Repeated rows stay or go together;
+    columns keep their names, whatever those are; an empty table gives no rows.
     """
     model = train(df, id_col, text, lang)
     tagged = identify(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(df.columns)], F.col(text).alias("__tarn_text")), model, "__tarn_text")

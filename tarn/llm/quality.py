@@ -75,7 +75,10 @@ def judge(
     ``labels`` (id, quality, toxic) names trusted rows, of which about
     ``target_docs`` are learnt from; the raw model counts every row.  A text
     without n-grams has ratio 0 (and fails the base, as it has no words).
-    Without trusted rows all ratios are 0 and the base alone decides.
+    Without trusted rows all ratios are 0 and the base alone decides.  Repeated
+    rows get the same verdict and count as often as they stand, null and empty
+    texts have no words, texts of any length are read whole, an empty table gives
+    no rows.  Other columns are not passed on, so none can clash.
     """
     spark = df.sparkSession
     small_batches(spark)

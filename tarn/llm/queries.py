@@ -107,6 +107,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "mean_ratio")
 
 
+def base_of_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the shards: sizes, and that slots are gapless in every shard."""
+    placed = op1_histogram_shards(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+    told = placed.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    good = told.select("shard", ((F.col("slots") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("gapless"))
+    return placed.join(F.broadcast(good), "shard").select("doc_id", "size", "gapless")  # a row for each shard
+
+
+def base_of_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the exact patterns."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the base rules rest on, and their verdict."""
+    from tarn.llm.quality import COUNTS
+
+    return op10_quality_rules(spark, sf_dir).select("doc_id", *COUNTS, "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
@@ -118,12 +138,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_spans": op9_language_spans,
     "op10_quality_rules": op10_quality_rules,
+    "base_of_op1": base_of_op1,
+    "base_of_op8": base_of_op8,
+    "base_of_op10": base_of_op10,
     "op11_kdtree_clusters": clustering.op11_kdtree_clusters,
     "op12_count_rtree_join": ngram_join.op12_count_rtree_join,
     "op13_trie_repair": conversations.op13_trie_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "base_of_op1": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, true AS gapless FROM documents",
+    "base_of_op8": r"""
+SELECT doc_id,
+       len([x FOR x IN regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) IF length(x) >= 12]) AS n_assign,
+       len([x FOR x IN regexp_extract_all(t, 'AKIA[A-Z0-9]+') IF length(x) >= 18]) AS n_access,
+       len([x FOR x IN regexp_extract_all(t, '[0-9a-f]+') IF length(x) >= 16]) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""",
+    "base_of_op10": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)
+), often AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM w
+)
+SELECT c.doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(v.n, 0) > 50 * n_words AS base_failed
+FROM counts c LEFT JOIN covered v USING (doc_id)
+""",
     "op11_kdtree_clusters": clustering.ORACLE_SQL,
     "op12_count_rtree_join": ngram_join.ORACLE_SQL,
     "op13_trie_repair": conversations.ORACLE_SQL,

@@ -98,6 +98,9 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
     """For each pair of characters, how much likelier the second is after the first in a random string: log-likelihood ratios.
 
     Learns from all rows; a task sends one count for each pair that it met.
+    Null and empty texts add nothing, repeated rows count as often as they
+    stand, texts of any length are read whole, and from an empty table only
+    generated keys are learnt.
     """
     small_batches(df.sparkSession)
     rows = df.select(F.col(text).alias("text"))
@@ -132,7 +135,9 @@ def all_spans(text: str, ratios: np.ndarray, margin: float = MARGIN) -> list[tup
 def scan(df: DataFrame, ratios: np.ndarray, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``df`` with ``secrets``: an array of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    A null text has none.  A column already named like the output is replaced.
+    A null or empty text has none.  Repeated rows get the same spans, texts of
+    any length are scanned whole, an empty table gives no rows.  A column already
+    named like the output is replaced.
     """
     small_batches(df.sparkSession)
     kind = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
