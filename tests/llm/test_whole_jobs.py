@@ -29,14 +29,20 @@ def test_numbered_classes_are_one_place():
     assert found.main_paths() == [["body", "article.post-#"]]
 
 
-def test_wrapper_decides_inside_the_article(spark):
+def test_nothing_goes_from_an_article_for_being_constant(spark):
     page = "<body><article><h1>T %d</h1><div class='x'>Sign <b>up</b> now</div><p>Price: <b>%d</b></p></article></body>"
-    assert set(_read(spark, [page % (i, i) for i in range(30)], 5).values()) == {f"T {i}\nPrice: {i}" for i in range(30)}
-    # too few pages to tell, and articles that are copies of each other: nothing goes
-    assert _read(spark, [page % (i, i) for i in range(3)])[1] == "T 1\nSign up now\nPrice: 1"
+    for n in (3, 11, 12, 30):
+        assert _read(spark, [page % (i, i) for i in range(n)], 5) == {i: f"T {i}\nSign up now\nPrice: {i}" for i in range(n)}
+    # articles that are copies of each other
     assert _read(spark, [f"<body><nav>{i}</nav><p>{i}</p>" + page % (1, 1) for i in range(30)])[9] == "T 1\nSign up now\nPrice: 1"
 
 
+def test_without_an_article_what_all_pages_say_goes(spark):
+    page = "<body><div><h1>T %d</h1><div class='x'>Sign <b>up</b> now</div><p>The price of this thing here is %d</p></div></body>"
+    assert set(_read(spark, [page % (i, i) for i in range(30)], 5).values()) == {f"T {i}\nThe price of this thing here is {i}" for i in range(30)}
+    assert _read(spark, [page % (i, i) for i in range(2)])[1] == "T 1\nSign up now\nThe price of this thing here is 1"  # too few to tell
+
+
 def test_weights_are_whole_sums(spark):
     good = [(i, f"good words of kind {i % 7} " * 30) for i in range(60)]
     docs = spark.createDataFrame([*good, *[(100 + i, "junk ### line *** " * (5 + 400 * i)) for i in range(3)]], "doc_id long, text string")
