@@ -8,10 +8,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarn.session import exists
+
+
+#: What a counted writer says about a batch.
+COUNTS = "came long, written long, late long, refused long, newest timestamp, batch int"
+
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
     """New Parquet files of a folder, a bounded number a trigger."""
@@ -67,3 +73,30 @@ def limited(stream: DataFrame, limit: int, window_seconds: float = 60.0) -> Data
     return stream.groupBy("identity").applyInPandasWithState(
         decide, "identity string, id long, seconds double, passed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def write_counted(stream: DataFrame, path: str, checkpoint: str, valid: Column, late: str = "10 minutes", ts: str = "ts", **trigger):
+    """Append the valid rows of micro-batches that are not late, and beside them, under ``<path>-counts``, how many rows came, were written, late or refused.
+
+    A row is late if it is older than the newest row of all batches before its
+    own, less ``late``; a row without time is refused.  Counts are observed
+    while the batch is written, so it is read once.  A batch that is run again
+    replaces its own rows and counts.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark, counts = batch.sparkSession, f"{path}-counts"
+        newest = None
+        if number and exists(spark, counts):
+            newest = spark.read.schema(COUNTS).parquet(counts).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        too_late = F.lit(False) if newest is None else F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {late}")
+        good = F.coalesce(valid, F.lit(False)) & F.col(ts).isNotNull()
+        told, number_of = Observation(), lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+        rows = batch.withColumns({"__good": good, "__late": good & F.coalesce(too_late, F.lit(False))})
+        rows = rows.observe(told, F.count("*").alias("came"), number_of(F.col("__good") & ~F.col("__late")).alias("written"), number_of(F.col("__late")).alias("late"), number_of(~F.col("__good")).alias("refused"), F.max(ts).alias("newest"))
+        rows.where("__good AND NOT __late").drop("__good", "__late").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        said = told.get
+        row = [(said["came"], said["written"], said["late"], said["refused"], said["newest"])]
+        spark.createDataFrame(row, COUNTS.replace(", batch int", "")).coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -5,10 +5,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarn.operators import crawl, logs, unanswered
 from tarn.operators.ball_index import BallIndex
 from tarn.operators.chunk_store import ChunkStore
+from tarn.streaming import events
 
 CHUNKS = "organization_id string, knowledge_base_id string, document_id string, chunk_id string, content string"
 
@@ -108,3 +110,22 @@ def test_balls_skip_cells_and_lose_nothing(spark):
     few = BallIndex(spark).build(table.where("k < 3"), "k", "v")
     assert few.search_many(asked.where("query_id = 0"), 7).count() == 2
     assert BallIndex(spark).build(table.limit(0), "k", "v").search_many(asked, 7).count() == 0
+
+
+def test_a_writer_counts_what_it_drops(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    batches = [[(1, 0), (2, 30), (-3, 20)], [(4, 5), (5, 19), (6, 21), (7, None)], [(8, 22), (-9, None), (10, 60)], [(11, 40), (12, 55)]]
+    schema = "id long, ts timestamp"
+
+    def run():
+        stream = events.read_stream(spark, str(tmp_path / "in"), StructType.fromDDL(schema), 1)
+        events.write_counted(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), F.col("id") > 0).awaitTermination()
+
+    for rows in batches:
+        made = spark.createDataFrame([(i, None if m is None else start + timedelta(minutes=m)) for i, m in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()  # goes on where the last run ended
+    counts = spark.read.schema(events.COUNTS).parquet(str(tmp_path / "out-counts")).orderBy("batch").collect()
+    assert [(r.came, r.written, r.late, r.refused) for r in counts] == [(3, 2, 0, 1), (4, 1, 2, 1), (3, 2, 0, 1), (2, 1, 1, 0)]
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 6, 8, 10, 12]
