@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from tarn.functions.stem import stem_forms
 from tarn.operators.search import bm25_term, idf, place_of
 from tarn.operators.skew import join_hot
-from tarn.session import discard, exists, hadoop_path, materialize, scratch_path, ship_package
+from tarn.session import discard, exists, hadoop_path, materialize, scratch_path, small_batches
 
 #: Postings that a bucket holds about, and files that a bucket is spread over for each so many of them.
 BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 200_000, 2_000_000, 4096
@@ -378,7 +378,7 @@ def _postings(rows: DataFrame, forms: bool) -> DataFrame:
             out = pdf.drop(columns="tokens").iloc[at].reset_index(drop=True).assign(dl=dl, words=words, term=terms, tf=tf)
             yield out.assign(places=places) if forms else out
 
-    ship_package(rows.sparkSession)
+    small_batches(rows.sparkSession)  # a batch's postings are held as objects
     found = rows.select("key", *fields, "tokens").mapInPandas(run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
     return found.select("key", *fields, *made)
 

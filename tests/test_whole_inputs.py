@@ -1,12 +1,15 @@
 """Queries take all rows and whole texts of their tables; each case here lies outside of what a cut would leave."""
 
+import contextlib
 import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from tarn.operators import context
+from tarn.operators import context, lexical_index
 from tarn.plans import catalogue
+from tarn.session import BATCH_BYTES, BATCH_ROWS
 
 
 @pytest.fixture
@@ -58,3 +61,26 @@ def test_text_queries_take_whole_texts(spark, tables):
     found = catalogue.QUERIES["eval_recall_precision_mrr"](spark, d).first()
     # each item is in one document; three documents share its first characters
     assert found.queries == 2 and found.precision == pytest.approx(1 / 3, abs=1e-4)
+
+
+@contextlib.contextmanager
+def large_batches(spark):
+    """Arrow batches as large as Spark makes them unless it is told otherwise; the session's own setting comes back."""
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        yield lambda: (int(spark.conf.get(keys[0])), int(spark.conf.get(keys[1]).rstrip("bB")))
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("forms", [False, True])
+def test_postings_are_made_in_small_batches(spark, forms):
+    docs = spark.range(3000).select(F.col("id").alias("k"), F.array(F.lit("cuti"), F.concat(F.lit("w"), F.col("id") % 7)).alias("t"))
+    with large_batches(spark) as limits:
+        found = lexical_index._postings(lexical_index._rows(docs, "k", "t", []), forms)
+        assert limits()[0] <= BATCH_ROWS and limits()[1] <= BATCH_BYTES
+        assert found.groupBy("term").count().where("term IS NULL OR term = 'cuti'").agg(F.sum("count")).first()[0] == 6000
