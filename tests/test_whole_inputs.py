@@ -4,6 +4,7 @@ import contextlib
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,19 @@ def test_postings_are_made_in_small_batches(spark, forms):
         found = lexical_index._postings(lexical_index._rows(docs, "k", "t", []), forms)
         assert limits()[0] <= BATCH_ROWS and limits()[1] <= BATCH_BYTES
         assert found.groupBy("term").count().where("term IS NULL OR term = 'cuti'").agg(F.sum("count")).first()[0] == 6000
+
+
+def _sql_rows(folder, sql, *names):
+    con = duckdb.connect()
+    for name in names:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return sorted(con.execute(sql).fetchall())
+
+
+def test_upper_case_and_references_of_the_sql(spark, tables):
+    """ß becomes two letters; a reference without its semicolon stands for its character."""
+    d = tables(documents=([(50, "straße ŉ\nzwei", "de", "src1"), (51, "ß", "de", "src1")], "doc_id long, text string, lang string, source string"),
+               pages=([(1, "u", "<body><h1>a &amp;&amp</h1><p>b &lt c &amp;lt; &copy;</p></body>")], "page_id long, url string, html string"))
+    for name, table in (("replace_document", "documents"), ("html_text", "pages")):
+        rows = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, d).collect())
+        assert rows == _sql_rows(d, catalogue.ORACLE_SQL[name], table)
