@@ -152,7 +152,7 @@ QUERIES = {
 ORACLE_SQL = {
     "log_totals": LOG + """SELECT count(*) AS total, count(*) FILTER (WHERE status < 400) AS ok, count(*) FILTER (WHERE status = 429) AS rate_limited, count(*) FILTER (WHERE status >= 400 AND status < 500 AND status <> 429) AS client_errors,
 count(*) FILTER (WHERE status >= 500) AS server_errors, round(avg(latency_ms), 2) AS avg_latency_ms, round(max(latency_ms), 2) AS max_latency_ms, count(DISTINCT client_ip) AS clients FROM l""",
-    "log_series": LOG + f"SELECT floor(epoch(ts)::BIGINT / 10800)::BIGINT * 10800 AS t, {COUNTS} FROM l GROUP BY 1",
+    "log_series": LOG + f"SELECT floor(epoch(ts) / 10800)::BIGINT * 10800 AS t, {COUNTS} FROM l GROUP BY 1",
     "log_by_path": LOG + f"SELECT method, path, {COUNTS}, round(avg(latency_ms), 2) AS avg_latency_ms FROM l GROUP BY ALL ORDER BY count DESC, method, path LIMIT 10",
     "log_p95": LOG + ", r AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS k, count(*) OVER () AS n FROM l WHERE latency_ms IS NOT NULL) SELECT round(max(latency_ms), 2) AS latency_ms FROM r WHERE k = least(n - 1, floor(n * 0.95)::BIGINT)",
     "metrics_snapshot": LOG + """, v AS (SELECT list_sort(list(latency_ms)) AS v FROM (SELECT latency_ms FROM l ORDER BY ts DESC, id DESC LIMIT 2048))
