@@ -124,12 +124,20 @@ def condition(where: Where | None) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), number).otherwise(have == want)
 
 
+def exact_sum(number: Column) -> Column:
+    """Aggregate: the sum of numbers, without rounding errors (which would depend on the order of rows) for those below 1e18 with ten decimals or fewer."""
+    exact = number.try_cast("decimal(28,10)")
+    fits = exact.isNotNull() & (exact.cast("double") == number)
+    first, rest = F.sum(F.when(fits, exact)).cast("double"), F.sum(F.when(number.isNotNull() & ~fits, number))
+    return F.coalesce(first + rest, first, rest)
+
+
 def execute(plan: Plan, table: DataFrame, order: str) -> DataFrame:
     """The answer of a bound plan. ``order`` is the column that gives rows their order."""
     rows = table.where(condition(plan.where))
     if plan.operation in ("sum", "avg", "min", "max"):
         number = parse_number(cell(plan.metric))
-        of = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[plan.operation](number)
+        of = {"sum": exact_sum, "avg": F.avg, "min": F.min, "max": F.max}[plan.operation](number)
         skipped = F.sum((number.isNull() & (cell(plan.metric) != "")).cast("long"))
         out = rows.agg(of.alias("v"), F.count(number).alias("n"), F.coalesce(skipped, F.lit(0)).alias("rows_skipped"), F.count("*").alias("rows_matched"))
         return out.select(F.round("v", 4).alias("value"), format_number(F.col("v")).alias("text"), "n", "rows_matched", "rows_skipped")
@@ -146,7 +154,7 @@ def execute(plan: Plan, table: DataFrame, order: str) -> DataFrame:
     if plan.operation == "top_n":
         number = parse_number(cell(plan.metric))
         key = F.when(cell(plan.group_by) == "", EMPTY_KEY).otherwise(cell(plan.group_by))
-        sums = rows.where(number.isNotNull()).groupBy(key.alias("key")).agg(F.sum(number).alias("v"), F.min(order).alias("first"))
+        sums = rows.where(number.isNotNull()).groupBy(key.alias("key")).agg(exact_sum(number).alias("v"), F.min(order).alias("first"))
         sign = F.desc("v") if plan.order == "desc" else F.asc("v")
         return sums.orderBy(sign, "first").limit(min(plan.limit, MAX_ROWS)).select("key", F.round("v", 4).alias("value"), format_number(F.col("v")).alias("text"))
     raise PlanError(f"operation {plan.operation!r} can't be run")

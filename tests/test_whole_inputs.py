@@ -1,7 +1,9 @@
 """Queries take all rows and whole texts of their tables; each case here lies outside of what a cut would leave."""
 
 import contextlib
+import datetime
 import hashlib
+import math
 from collections import defaultdict
 
 import duckdb
@@ -9,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import context, lexical_index
-from tarn.plans import catalogue
+from tarn.operators.tables import exact_sum
+from tarn.plans import catalogue, q_formats
 from tarn.session import BATCH_BYTES, BATCH_ROWS
+from tarn.sources import sheets
 
 
 @pytest.fixture
@@ -101,3 +105,25 @@ def test_upper_case_and_references_of_the_sql(spark, tables):
     for name, table in (("replace_document", "documents"), ("html_text", "pages")):
         rows = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, d).collect())
         assert rows == _sql_rows(d, catalogue.ORACLE_SQL[name], table)
+
+
+def test_series_begin_where_seconds_are_cut(spark, tables):
+    """Half a second before a step's end is in that step."""
+    at = datetime.datetime(2024, 1, 1, 2, 59, 59, 600_000)
+    d = tables(events=([(1, at, 5, "view", 1.0, "{}"), (2, at + datetime.timedelta(seconds=1), 5, "view", 1.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    rows = sorted(tuple(r) for r in catalogue.QUERIES["log_series"](spark, d).collect())
+    assert [r[:2] for r in rows] == [(1704067200, 1), (1704078000, 1)]
+    assert rows == _sql_rows(d, catalogue.ORACLE_SQL["log_series"], "events")
+
+
+def test_doubled_quotes_that_the_sniffer_does_not_see():
+    line = '4734$$$ token = "40d78a45"### La%%% échmentré.### 126.57.31.34%%%'
+    assert list(sheets.delimited_rows(q_formats.BUILDERS["csv"]([line]))) == [["Nomor", "Isi"], ["1", line]]
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    cents = [0.1, 0.2, 33554432.07, 1e15 + 0.25] * 5000
+    rows = spark.createDataFrame([(x,) for x in cents], "x double").repartition(7)
+    assert rows.agg(exact_sum(F.col("x"))).first()[0] == math.fsum([1, 2, 335544320.7, 1e16 + 2.5]) * 500
+    few = spark.createDataFrame([(0.5, 1), (1e30, 1), (None, 1), (1e30, 2), (None, 3)], "x double, k int")
+    assert {r.k: r.v for r in few.groupBy("k").agg(exact_sum(F.col("x")).alias("v")).collect()} == {1: 1e30, 2: 1e30, 3: None}
