@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.providers import completed
 
@@ -147,21 +149,25 @@ def grouped(chunks: DataFrame, window: int, most_parts: int = SUMMARY_PARTS, mos
     goes.  Summaries stop at ``most_parts`` chunks and ``most_stages`` groups;
     what lies beyond is flagged, not dropped, so raising the limits covers it.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        stage, room, stages = 0, window, []
-        for i, tokens in enumerate(pdf["tokens"]):
-            if i and tokens > room:
-                stage, room = stage + 1, window
-            stages.append(stage)
-            room -= tokens
-        pdf = pdf.assign(stage=stages)
-        return pdf.assign(covered=(pdf["stage"] < most_stages) & (pd.Series(range(len(pdf)), index=pdf.index) < most_parts))
-
     rows = chunks.select(document, index, "tokens")
-    return rows.groupBy(document).applyInPandas(run, f"{document} {kinds[document]}, {index} {kinds[index]}, tokens {kinds['tokens']}, stage int, covered boolean")
+    kinds = T.StructType([*rows.schema, T.StructField("stage", T.IntegerType()), T.StructField("covered", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents follow each other, so their state is carried from batch to batch."""
+        last, place, stage, room = object(), 0, 0, window
+        for batch in batches:
+            stages, covered = [], []
+            for of, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if of != last:
+                    last, place, stage, room = of, 0, 0, window
+                elif tokens > room:
+                    stage, room = stage + 1, window
+                stages.append(stage)
+                covered.append(stage < most_stages and place < most_parts)
+                place, room = place + 1, room - tokens
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stages, pa.int32()), pa.array(covered, pa.bool_())], names=kinds.names)
+
+    return rows.repartition(document).sortWithinPartitions(document, F.col(index).asc_nulls_last()).mapInArrow(run, kinds)
 
 
 def summarised(parts: DataFrame, model, document: str = "document_id", index: str = "chunk_index", content: str = "content") -> DataFrame:
