@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
 
+from tarn.session import small_batches
+
 DIM = 384
 _WORD = re.compile(r"[\w\-]+")
 
@@ -33,6 +35,7 @@ def hash_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int =
         for texts in batches:
             yield pd.Series([hash_vector(t, dim) for t in texts], dtype=object)
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, run(F.col(text)))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.embed import dot
 from tarn.functions.text import fingerprint, garbage_reason
-from tarn.session import materialize
+from tarn.session import materialize, small_batches
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -90,7 +90,7 @@ def dense_many(vectors: DataFrame, key: str, vector: str, asked: DataFrame, top_
     """(query_id, key, score, rank): exact nearest rows, other than itself, of each of ``asked`` (query_id, query_vector).
 
     The asking side goes in blocks of about ``block`` vectors, which every task
-    gets; a task sends the best rows of each of its batches only.
+    gets; a task keeps the best rows so far, and sends those only.
     """
     blocks = max(1, math.ceil(asked.count() / block))
     kinds = asked.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
@@ -101,22 +101,38 @@ def dense_many(vectors: DataFrame, key: str, vector: str, asked: DataFrame, top_
 
         def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, sought = held.value
+            asking, least, kept = np.array(ids), np.full(len(ids), -np.inf), []
             for pdf in batches:
                 if not len(pdf) or not ids:
                     continue
                 scores = np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ sought.T
                 keys = pdf["key"].to_numpy()
-                scores[keys[:, None] == np.array(ids)[None, :]] = -np.inf
-                least = np.partition(scores, -min(top_k, len(pdf)), axis=0)[-min(top_k, len(pdf))]
-                at, of = np.nonzero((scores >= least[None, :]) & (scores > -np.inf))
-                yield pd.DataFrame({"query_id": np.array(ids)[of], "key": keys[at], "score": scores[at, of]})
+                scores[keys[:, None] == asking[None, :]] = -np.inf
+                own = np.partition(scores, -min(top_k, len(pdf)), axis=0)[-min(top_k, len(pdf))]
+                at, of = np.nonzero((scores >= np.maximum(own, least)[None, :]) & (scores > -np.inf))
+                kept.append(pd.DataFrame({"of": of, "key": keys[at], "score": scores[at, of]}))
+                if sum(map(len, kept)) > 4 * top_k * len(ids):
+                    kept = [_first_of_each(pd.concat(kept), top_k)]
+                    full = kept[0].groupby("of")["score"].agg(["size", "min"])
+                    full = full[full["size"] == top_k]
+                    least[full.index] = full["min"]
+            if kept:
+                out = _first_of_each(pd.concat(kept), top_k)
+                yield pd.DataFrame({"query_id": asking[out["of"]], "key": out["key"].to_numpy(), "score": out["score"].to_numpy()})
 
         found.append(vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInPandas(best, f"query_id {kinds[0]}, key {kinds[1]}, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    small_batches(vectors.sparkSession)
     met = reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= top_k)
     return met.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
+def _first_of_each(rows: pd.DataFrame, top_k: int) -> pd.DataFrame:
+    """The best rows (of, key, score) of each asking vector; ties by key."""
+    rows = rows.sort_values(["of", "score", "key"], ascending=[True, False, True])
+    return rows[rows.groupby("of").cumcount() < top_k]
+
+
 def ranked(hits: DataFrame, key: str, score: str = "score", rank: str = "rank") -> DataFrame:
     """Ranks from 0. For lists that a limit has cut already."""
     return hits.withColumn(rank, F.row_number().over(Window.orderBy(place_of(F.col(score)).desc(), key)) - 1)
