@@ -10,11 +10,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import context, lexical_index
+from tarn.functions.embed import hash_embedding
+from tarn.operators import context, lexical_index, search
 from tarn.operators.tables import exact_sum
 from tarn.plans import catalogue, q_formats
 from tarn.session import BATCH_BYTES, BATCH_ROWS
-from tarn.sources import sheets
+from tarn.sources import reader, sheets
 
 
 @pytest.fixture
@@ -127,3 +128,57 @@ def test_sums_do_not_depend_on_the_order_of_rows(spark):
     assert rows.agg(exact_sum(F.col("x"))).first()[0] == math.fsum([1, 2, 335544320.7, 1e16 + 2.5]) * 500
     few = spark.createDataFrame([(0.5, 1), (1e30, 1), (None, 1), (1e30, 2), (None, 3)], "x double, k int")
     assert {r.k: r.v for r in few.groupBy("k").agg(exact_sum(F.col("x")).alias("v")).collect()} == {1: 1e30, 2: 1e30, 3: None}
+
+
+def test_files_and_vectors_go_in_small_batches(spark):
+    docs = spark.range(600).select(F.concat(F.lit("/in/"), "id", F.lit(".csv")).alias("path"), F.concat(F.lit("Nomor,Isi\n1,a"), "id", F.lit("\n2,b\n")).cast("binary").alias("content"))
+    made = {
+        "pages": (lambda: reader.pages_of(docs), 600),
+        "rows": (lambda: reader.tables_in(docs), 1200),
+        "vectors": (lambda: hash_embedding(docs.select("path"), "path"), 600),
+    }
+    for make, n in made.values():
+        with large_batches(spark) as limits:
+            found = make()
+            assert limits()[0] <= BATCH_ROWS and limits()[1] <= BATCH_BYTES
+            assert found.count() == n
+    got = {(r.path, r.row_index): list(r["values"] or []) for r in reader.tables_in(docs.union(spark.createDataFrame([("/in/bad.xlsx", b"PK")], docs.schema))).collect()}
+    assert len(got) == 1201 and got["/in/7.csv", 0] == ["1", "a7"] and got["/in/7.csv", 1] == ["2", "b"]
+
+
+def test_dense_questions_keep_the_best_of_all_batches(spark):
+    vectors = [(i, [float(i % 50), float(i % 7)]) for i in range(1000)]  # many ties
+    rows = spark.createDataFrame(vectors, "vec_id long, v array<double>").repartition(3)
+    asked = rows.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "v AS query_vector")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.dense_many(rows, "vec_id", "v", asked, 4).collect()}
+    for q, (a, b) in vectors[::100]:
+        best = sorted((-(a * x + b * y), i) for i, (x, y) in vectors if i != q)[:4]
+        assert [got[q, k] for k in range(1, 5)] == [i for _, i in best]
+    with large_batches(spark) as limits:
+        search.dense_many(rows, "vec_id", "v", asked, 4)
+        assert limits()[0] <= BATCH_ROWS and limits()[1] <= BATCH_BYTES
+
+
+def test_stages_are_told_from_sorted_rows(spark):
+    """No group is handed to Python whole, and a document goes on in the next batch."""
+    rows = spark.range(900).selectExpr("IF(id < 700, 1, IF(id < 800, 2, NULL)) AS document_id", "CAST(id AS INT) AS chunk_index", "CAST(id % 5 AS INT) AS tokens").repartition(5)
+    found = context.grouped(rows, 9, most_parts=150, most_stages=20)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    got = {r.chunk_index: (r.stage, r.covered) for r in found.collect()}
+    for start, end in ((0, 700), (700, 800), (800, 900)):
+        stage, room = 0, 9
+        for i in range(start, end):
+            if i > start and i % 5 > room:
+                stage, room = stage + 1, 9
+            room -= i % 5
+            assert got[i] == (stage, stage < 20 and i - start < 150)
+
+
+def test_only_asked_terms_are_shuffled_by_block(spark, tmp_path):
+    docs = spark.range(300).selectExpr("id AS k", "array('cuti', concat('w', id % 9), concat('x', id)) AS t")
+    index = lexical_index.LexicalIndex(spark, str(tmp_path / "index")).build(docs, "k", "t")
+    asked = index._weighted(spark.createDataFrame([(1, "cuti"), (1, "w3"), (2, "w3"), (2, "x5")], "query_id int, term string"), index.state())
+    for made in (index._bounds(asked, index.state()), index._scored(asked, spark.range(5).selectExpr("1 AS query_id", "CAST(id AS INT) AS block"), index.state(), None)):
+        assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
+    many, best = (sorted(map(tuple, how(asked.select("query_id", "term"), 5).selectExpr("query_id", "key", "round(score, 6)", "rank").collect())) for how in (index.search_many, index.search_best))
+    assert best == many and len(best) == 10
