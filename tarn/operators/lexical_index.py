@@ -302,8 +302,11 @@ class LexicalIndex:
         scored = materialize(self._scored(asked, first, seen, within), "scores-first")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         least = scored.withColumn("rank", rank).where(F.col("rank") == top_k).select("query_id", F.col("score").alias("least"))
-        more = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
-        both = scored.union(self._scored(asked, materialize(more.select("query_id", "block"), "blocks-more"), seen, within))
+        least = materialize(least, "scores-least")  # a row for each query at most
+        enough = lambda c: F.col(c) >= F.coalesce("least", F.lit(0.0)) - SLACK
+        more = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left").where(enough("bound"))
+        late = self._scored(asked, materialize(more.select("query_id", "block"), "blocks-more"), seen, within)
+        both = scored.union(late.join(least, "query_id", "left").where(enough("score")).select("query_id", "key", "score"))  # only these are sorted
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("score")).desc(), "key"))
         return both.withColumn("rank", best).where(F.col("rank") <= top_k)
 
@@ -316,25 +319,47 @@ class LexicalIndex:
 
     def _bounds(self, asked: DataFrame, seen: State) -> DataFrame:
         """(query_id, block, bound): the most that a document of the block may score."""
-        blocks = self.blocks(seen)
-        side = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf", "average")).alias("asks"), F.max("df").alias("df"))
-        met = join_hot(blocks, side, ["term"], "df", asked.agg(F.sum("df")).first()[0] or 0, ["block"])
-        each = met.select("block", "max_tf", "min_dl", F.explode("asks").alias("a"))
-        part = bm25_term(F.col("max_tf"), F.col("min_dl"), F.col("a.average"), F.col("a.idf"))
-        return each.groupBy(F.col("a.query_id").alias("query_id"), "block").agg(F.sum(part).alias("bound"))
+        side = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.first("idf").alias("idf"), F.first("average").alias("average"))
+        dealt = asked_only(self.blocks(seen), asked).repartition("block")  # all terms of a block in one task: its bounds need no shuffle
+        met = dealt.join(F.broadcast(side) if few(asked) else side, "term")
+        part = bm25_term(F.col("max_tf"), F.col("min_dl"), F.col("average"), F.col("idf")).alias("part")
+        return met.select("block", part, F.explode("asks").alias("query_id")).groupBy("query_id", "block").agg(F.sum("part").alias("bound"))
 
     def _scored(self, asked: DataFrame, needed: DataFrame, seen: State, within: Column | None) -> DataFrame:
-        """(query_id, key, score) of the blocks that each query needs."""
-        terms = asked.join(needed, "query_id").groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf", "average")).alias("asks"))
-        met = self._shown(seen, within).select("key", "term", "block", "tf", "dl").join(terms, ["term", "block"]).select("key", "tf", "dl", F.explode("asks").alias("a"))
-        part = bm25_term(F.col("tf"), F.col("dl"), F.col("a.average"), F.col("a.idf"))
-        return met.groupBy(F.col("a.query_id").alias("query_id"), "key").agg(F.sum(part).alias("score"))
+        """(query_id, key, score) of the blocks that each query needs.
+
+        The postings of asked terms meet the list of queries that need their
+        block; a block's documents are scored where they meet, without another shuffle.
+        """
+        side = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.first("idf").alias("idf"), F.first("average").alias("average"))
+        need = needed.groupBy("block").agg(F.collect_set("query_id").alias("need"))
+        rows = asked_only(self._shown(seen, within).select("key", "term", "block", "tf", "dl"), asked).repartition("block")
+        held = rows.groupBy("block", "term").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("docs"))  # a block has about BLOCK_DOCS
+        met = held.join(need, "block").join(F.broadcast(side) if few(asked) else side, "term").withColumn("asks", F.array_intersect("asks", "need")).where(F.size("asks") > 0)
+        each = met.select("block", "idf", "average", "asks", F.explode("docs").alias("d"))
+        part = bm25_term(F.col("d.tf"), F.col("d.dl"), F.col("average"), F.col("idf")).alias("part")
+        scored = each.select("block", F.col("d.key").alias("key"), part, F.explode("asks").alias("query_id")).groupBy("block", "query_id", "key").agg(F.sum("part").alias("score"))
+        return scored.select("query_id", "key", "score")
 
 
 #: Bounds and scores are sums in different orders.
 SLACK = 1e-6
 
 
+#: Up to so many terms of queries are broadcast to postings; more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+
+
+def few(asked: DataFrame) -> bool:
+    return asked.count() <= BROADCAST_TERMS
+
+
+def asked_only(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` whose term a query asks for: where queries are few, what the others hold is not shuffled."""
+    terms = asked.select("term").distinct()
+    return rows.join(F.broadcast(terms) if few(asked) else terms, "term", "left_semi")
+
+
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
