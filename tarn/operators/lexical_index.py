@@ -27,7 +27,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,6 +42,8 @@ from tarn.session import discard, exists, hadoop_path, materialize, scratch_path
 BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 200_000, 2_000_000, 4096
 #: Postings that a document has about, until they are counted; documents that a block of keys has about.
 DOC_POSTINGS, BLOCK_DOCS = 150, 64
+#: Postings that a Python worker hands on at once.
+SLICE_POSTINGS = 50_000
 #: Journal entries before an index is compacted.
 MOST_ENTRIES = 64
 #: The bucket of documents' own rows.
@@ -371,41 +374,64 @@ def bucket_of(term: str, buckets: int) -> int:
 
 
 def _rows(docs: DataFrame, key: str, tokens: str, fields: list[str]) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), *fields, F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
+    return docs.select(F.col(key).alias("key"), *fields, F.array_compact(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens"))
 
 
 def _postings(rows: DataFrame, forms: bool) -> DataFrame:
     """(key, fields, dl, words, term, tf, places): a row for each term of a document, and one without term for the document itself.
 
     Documents are independent, so nothing is shuffled.  ``dl`` is what all
-    ``tf`` add up to; ``words`` is how many tokens there are.
+    ``tf`` add up to; ``words`` is how many tokens there are.  A batch is
+    counted in Arrow and numpy arrays, each of its words stemmed once, and its
+    postings are handed on in slices.
     """
     fields = [c for c in rows.columns if c not in ("key", "tokens")]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["key", *fields])
-    made = ["dl", "words", "term", "tf", *(["places"] if forms else [])]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at, dl, words, terms, tf, places = [], [], [], [], [], []
-            for i, tokens in enumerate(pdf["tokens"]):
-                table: dict[str, list[int]] = {}
-                for place, word in enumerate(tokens):
-                    for form in stem_forms(word) if forms else (word,):
-                        table.setdefault(form, []).append(place)
-                size = sum(map(len, table.values()))
-                n = len(table) + 1
-                at += [i] * n
-                dl += [size] * n
-                words += [len(tokens)] * n
-                terms += [None, *table]
-                tf += [0, *map(len, table.values())]
-                places += [None, *table.values()]
-            out = pdf.drop(columns="tokens").iloc[at].reset_index(drop=True).assign(dl=dl, words=words, term=terms, tf=tf)
-            yield out.assign(places=places) if forms else out
-
-    small_batches(rows.sparkSession)  # a batch's postings are held as objects
-    found = rows.select("key", *fields, "tokens").mapInPandas(run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
-    return found.select("key", *fields, *made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _counted(batch, forms)
+
+    small_batches(rows.sparkSession)
+    return rows.select("key", *fields, "tokens").mapInArrow(run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
+
+
+def _counted(batch: pa.RecordBatch, forms: bool) -> Iterator[pa.RecordBatch]:
+    """The postings of a batch of documents (key, fields, tokens), which have no null among their tokens."""
+    tokens = batch.column("tokens")
+    words = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    terms, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(words)), words)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(words) - words, words)
+    if forms:
+        made = [stem_forms(w) for w in terms.to_pylist()]
+        each = np.fromiter(map(len, made), np.int64, len(made))
+        filed = pa.array([f for fs in made for f in fs], terms.type).dictionary_encode()
+        terms, form = filed.dictionary, filed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = each[code]  # each token goes under every form of its word
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code = form[np.repeat((np.cumsum(each) - each)[code], n) + within]
+        doc, place = np.repeat(doc, n), np.repeat(place, n)
+    term_of = doc * (len(terms) + 1) + code + 1  # a document's own row stands before its terms'
+    order = np.argsort(term_of, kind="stable")  # places stay in order
+    found, first, tf = np.unique(term_of[order], return_index=True, return_counts=True)
+    own = np.arange(len(words)) * (len(terms) + 1)
+    at = np.searchsorted(found, own)
+    found, first, tf = np.insert(found, at, own), np.insert(first, at, np.append(first, len(order))[at]), np.insert(tf, at, 0)
+    dl, about = np.bincount(doc, minlength=len(words)), batch.select([c for c in batch.schema.names if c != "tokens"])
+    place = place[order]
+    for i in range(0, len(found), SLICE_POSTINGS):
+        mine = found[i : i + SLICE_POSTINGS]
+        at, code = mine // (len(terms) + 1), mine % (len(terms) + 1) - 1
+        count, start = tf[i : i + SLICE_POSTINGS], first[i : i + SLICE_POSTINGS]
+        out = about.take(pa.array(at))
+        columns = [pa.array(dl[at], pa.int32()), pa.array(words[at], pa.int32()), terms.take(pa.array(code, mask=code < 0)), pa.array(count, pa.int32())]
+        if forms:
+            ends = np.concatenate([[0], np.cumsum(count)])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[start[0] : start[0] + ends[-1]], pa.int32()), mask=pa.array(code < 0)))
+        names = [*about.schema.names, "dl", "words", "term", "tf", "places"]
+        yield pa.RecordBatch.from_arrays([*out.columns, *columns], names=names[: len(out.columns) + len(columns)])
 
 
 def _block(key: Column, blocks: int) -> Column:

@@ -7,10 +7,12 @@ import math
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions.embed import hash_embedding
+from tarn.functions.stem import stem_forms
 from tarn.operators import context, lexical_index, search
 from tarn.operators.tables import exact_sum
 from tarn.plans import catalogue, q_formats
@@ -182,3 +184,33 @@ def test_only_asked_terms_are_shuffled_by_block(spark, tmp_path):
         assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
     many, best = (sorted(map(tuple, how(asked.select("query_id", "term"), 5).selectExpr("query_id", "key", "round(score, 6)", "rank").collect())) for how in (index.search_many, index.search_best))
     assert best == many and len(best) == 10
+
+
+@pytest.mark.parametrize("forms", [False, True])
+def test_postings_are_counted_whole_and_handed_on_in_slices(forms, monkeypatch):
+    """Slices cut through documents; documents without words, repeated words and words of one form keep their rows."""
+    texts = [[], ["cuti"], ["mengajukan", "ajukan", "cuti", "mengajukan", "x"], [], ["é", "日本", "cuti"] * 40, [f"w{i}" for i in range(30)], []]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(7)), "lang": ["a", None] * 3 + ["b"], "tokens": pa.array(texts, pa.list_(pa.string()))})
+    expected = set()
+    for k, (lang, words) in enumerate(zip(["a", None] * 3 + ["b"], texts, strict=True)):
+        table = defaultdict(list)
+        for place, word in enumerate(words):
+            for form in stem_forms(word) if forms else [word]:
+                table[form].append(place)
+        dl = sum(map(len, table.values()))
+        expected |= {(k, lang, dl, len(words), term, len(at), tuple(at) if forms else None) for term, at in table.items()} | {(k, lang, dl, len(words), None, 0, None)}
+    for size in (1, 7, 50_000):
+        monkeypatch.setattr(lexical_index, "SLICE_POSTINGS", size)
+        made = list(lexical_index._counted(batch, forms))
+        assert max(b.num_rows for b in made) <= size
+        rows = [r for b in made for r in b.to_pylist()]
+        got = [(r["key"], r["lang"], r["dl"], r["words"], r["term"], r["tf"], tuple(r["places"]) if r.get("places") is not None else None) for r in rows]
+        assert len(got) == len(expected) and set(got) == expected
+    assert not sum(b.num_rows for b in lexical_index._counted(batch.slice(0, 0), forms))
+
+
+def test_an_index_takes_no_null_for_a_word(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["cuti", None]), (2, None), (3, [None])], "k int, t array<string>")
+    index = lexical_index.LexicalIndex(spark, str(tmp_path / "index")).build(docs, "k", "t")
+    assert sorted(map(tuple, index.docs().collect())) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
+    assert [tuple(r) for r in index.frequencies().collect()] == [("cuti", 1)]
