@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from tarn.operators import crawl, logs, unanswered
 from tarn.operators.ball_index import BallIndex
+from tarn.operators import chunk_store
 from tarn.operators.chunk_store import ChunkStore
 from tarn.streaming import events
 
@@ -129,3 +130,19 @@ def test_a_writer_counts_what_it_drops(spark, tmp_path):
     assert [(r.came, r.written, r.late, r.refused) for r in counts] == [(3, 2, 0, 1), (4, 1, 2, 1), (3, 2, 0, 1), (2, 1, 1, 0)]
     kept = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.id for r in kept.collect()) == [1, 2, 6, 8, 10, 12]
+
+
+def test_a_change_writes_stored_chunks_once(spark, tmp_path, monkeypatch):
+    """Only what is new is kept beside the store; a bucket that ends empty goes, and null keys are keys."""
+    beside, write = [], chunk_store.materialize
+    monkeypatch.setattr(chunk_store, "materialize", lambda df, name: beside.append((name, df.count())) or write(df, name))
+    make = lambda rows: spark.createDataFrame(rows, "organization_id string, knowledge_base_id string, document_id string, chunk_id string, content string")
+    rows = [("o", None if i % 3 else "k", f"d{i}", f"c{j}", f"{i} {j}") for i in range(40) for j in range(3)]
+    store = ChunkStore(spark, str(tmp_path / "s")).create(make(rows), 16)
+    store.replace_documents(make([("o", None, "d1", "c9", "new"), ("o", None, "d1", "c9", "new")]))
+    store.upsert(make([("o", "k", "d3", "c0", "first"), ("o", None, "d3", "c0", "of another base")]))
+    store.delete_documents(make([(*r[:3], "", "") for r in rows if r[2] not in ("d1", "d3")]))
+    expected = [("o", None, "d1", "c9", "new")] * 2 + [("o", "k", "d3", "c0", "first"), ("o", "k", "d3", "c1", "3 1"), ("o", "k", "d3", "c2", "3 2"), ("o", None, "d3", "c0", "of another base")]
+    assert sorted(map(tuple, store.read().collect()), key=repr) == sorted(expected, key=repr)
+    assert beside == [("new-chunks", 2), ("new-chunks", 2), ("doomed-documents", 38)]
+    assert len({f.split("/")[0] for f in store.files()}) <= 3
