@@ -41,8 +41,10 @@ def parse_number(value: Column) -> Column:
     return let(F.trim(F.coalesce(value, F.lit(""))), lambda text: let(F.regexp_replace(text, "[^0-9.,]", ""), lambda digits: _number(text, digits)))
 
 
-def is_numeric_cell(value: Column) -> Column:
-    """Whether a cell holds a number, its unit aside."""
+def is_numeric_cell(value: Column, number: Column | None = None) -> Column:
+    """Whether a cell holds a number, its unit aside. ``number`` is what :func:`parse_number` gives for the cell, where that is at hand: only cells that may have a unit are read again."""
+    if number is not None:
+        return F.when(~value.rlike("[A-Za-z$%]"), number.isNotNull()).otherwise(is_numeric_cell(value))
     bare = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)\b(rp|idr|usd|rp\.|ribu|juta|kg|pcs|unit|%)\b", "")
     return let(F.trim(F.translate(bare, "$%", "")), lambda b: (b != "") & ~b.rlike("[A-Za-z]") & parse_number(b).isNotNull())
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions.embed import hash_embedding
+from tarn.functions.numbers import is_numeric_cell, parse_number
 from tarn.functions.stem import stem_forms
 from tarn.operators import context, lexical_index, search
 from tarn.operators.tables import exact_sum
@@ -214,3 +215,24 @@ def test_an_index_takes_no_null_for_a_word(spark, tmp_path):
     index = lexical_index.LexicalIndex(spark, str(tmp_path / "index")).build(docs, "k", "t")
     assert sorted(map(tuple, index.docs().collect())) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
     assert [tuple(r) for r in index.frequencies().collect()] == [("cuti", 1)]
+
+
+def test_cells_are_read_where_a_rows_cells_meet(spark, tables):
+    """Cells are neither joined nor dealt by themselves; rows that occur twice, or differ in one cell only, give each cell once."""
+    day = datetime.date(2024, 5, 1)
+    rows = [(1, 1, "A", "O", 1234.5, 3.0, day), (1, 1, "A", "O", 1234.5, 3.0, day), (1, 1, "A", "F", 99.0, 3.0, day), (7, 2, "N", "O", 5.0, 4.0, day), (11, 1, "R", "F", 6.0, 6.0, day)]
+    d = tables(lineitem=(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_extendedprice double, l_quantity double, l_shipdate date"))
+    found = catalogue.QUERIES["number_parsing"](spark, d)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" in plan
+    got = sorted(((r.row_index, r.cell, r.number, r.numeric) for r in found.collect()), key=repr)
+    one = [(11, "1234.50", 1234.5, True), (11, "99.00", 99.0, True), (11, "3", 3.0, True), (11, "2024-05-01", None, False), (11, " A", None, False)]
+    other = [(72, "", None, False), (72, "4", 4.0, True), (72, "2024-05-01", None, False), (72, " N", None, False), (111, "n/a", None, False), (111, "6", 6.0, True), (111, "2024-05-01", None, False), (111, " R", None, False)]
+    assert got == sorted(one + other, key=repr)
+
+
+def test_a_cell_is_numeric_whether_its_number_is_at_hand_or_not(spark):
+    cells = ["12", " 1.234,5 ", "-3", "(4)", "5%", "$7", "Rp 8.000", "9 kg", "1/2/2024", "A1", "%", "", " ", None, "１２", "1 2", "12 juta", "٣", ",", "1e5", "K", "3 ⅓"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").withColumn("number", parse_number(F.col("c")))
+    for r in rows.select("c", is_numeric_cell(F.col("c")).alias("alone"), is_numeric_cell(F.col("c"), F.col("number")).alias("beside")).collect():
+        assert r.alone is r.beside, r.c
