@@ -50,6 +50,8 @@ MOST_ENTRIES = 64
 DOCS = -1
 #: Queries that are scored at once; more go block by block.
 BLOCK_QUERIES = 10_000
+#: Pairs of a document and a query that a task adds scores up for about.
+TASK_PAIRS = 1_000_000
 
 
 class StaleIndex(RuntimeError):
@@ -267,26 +269,38 @@ class LexicalIndex:
     def search_many(self, queries: DataFrame, top_k: int, within: Column | None = None) -> DataFrame:
         """(query_id, key, score, rank) of many queries (query_id, term), distinct.
 
-        A term's postings meet the list of queries that ask for it; terms with
-        many postings are dealt over salts.  Queries go in blocks, so a list
-        has ``BLOCK_QUERIES`` entries at most.  ``within`` narrows what is scored, by fields.
+        Only postings of asked terms are dealt, by their document, and meet
+        there the list of queries that ask for the term: a document's scores are
+        added up where they meet, so pairs of queries and documents are not
+        shuffled but for the best of each task.  Queries go in blocks, so a list
+        has ``BLOCK_QUERIES`` entries at most.  Where a block asks for too many
+        terms to broadcast, postings meet the lists by a shuffle, and terms with
+        many postings are dealt over salts.  ``within`` narrows what is scored, by fields.
         """
         seen = self.state()
         sizes = self.lengths(seen).first()
         n, average = sizes.n or 0, (sizes.total or 0) / max(1, sizes.n or 0)
-        blocks = max(1, math.ceil(queries.select("query_id").distinct().count() / BLOCK_QUERIES))
+        queries = materialize(queries.select("query_id", "term"), "queries")  # read several times
+        asking = queries.select("query_id").distinct().count()
+        blocks = max(1, math.ceil(asking / BLOCK_QUERIES))
         rows, df = self._shown(seen, within).select("key", "term", "tf", "dl"), self.frequencies(seen)
-        total = df.agg(F.sum("df")).first()[0] or 0
         found = []
         for block in range(blocks):
             mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
             side = mine.groupBy("term").agg(F.collect_list("query_id").alias("asks")).join(df, "term").withColumn("idf", idf(F.lit(n), F.col("df")))
-            met = join_hot(rows, side, ["term"], "df", total, ["key"])
+            if few(mine):
+                met = asked_only(rows, mine).repartition(self._pair_parts(n, math.ceil(asking / blocks)), "key").join(F.broadcast(side.drop("df")), "term")
+            else:
+                met = join_hot(rows, side, ["term"], "df", df.agg(F.sum("df")).first()[0] or 0, ["key"])
             part = bm25_term(F.col("tf"), F.col("dl"), F.lit(average), F.col("idf")).alias("part")
             found.append(met.select("key", part, F.explode("asks").alias("query_id")).groupBy("query_id", "key").agg(F.sum("part").alias("score")))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(place_of(F.col("score")).desc(), "key"))
         return reduce(DataFrame.union, found).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
+    def _pair_parts(self, docs: int, queries: int) -> int:
+        """Partitions by document in which a task holds about ``TASK_PAIRS`` pairs of a document and a query."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(max(least, math.ceil(docs * queries / TASK_PAIRS)), least * 4)
 
     def search_best(self, queries: DataFrame, top_k: int, within: Column | None = None) -> DataFrame:
         """The same rows as :meth:`search_many`, without scoring blocks of keys that can't hold any of them.

@@ -129,3 +129,20 @@ def test_entries_are_compacted_and_old_files_go(spark, tmp_path):
     assert [r.key for r in index.search(["cuti"]).collect()] == [3] and index.state().number == 5
     index.upsert(_docs(spark, [(9, "a", "cuti")]), "k", "t", ["f"])
     assert {r.key for r in index.search(["cuti"]).collect()} == {3, 9}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    """Only postings of asked terms are dealt, and pairs of a query and a document not before each task has kept its best."""
+    docs = spark.range(2000).select(F.col("id").alias("k"), F.array(F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("x"), F.col("id"))).alias("t"))
+    index = LexicalIndex(spark).build(docs, "k", "t")
+    found = index.search_many(spark.createDataFrame([(q, t) for q in range(20) for t in ("the", f"w{q}")], "query_id int, term string"), 3)
+    got = sorted((r.query_id, r.rank, r.key) for r in found.collect())
+    assert got == sorted((q, i + 1, (q + 7 * i) if q < 7 else i) for q in range(20) for i in range(3))
+    lines = _plan(found).split("== Initial Plan ==")[0].splitlines()
+    dealt = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(key#" in line for line in dealt) and not any("hashpartitioning(query_id#" in line and ", key#" in line for line in dealt)
+    assert not any("hashpartitioning(term#" in line and "salt" in line for line in dealt) and any("WindowGroupLimit" in line and "Partial" in line for line in lines)
