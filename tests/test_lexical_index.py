@@ -146,3 +146,19 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
     dealt = [line for line in lines if "Exchange hashpartitioning" in line]
     assert any("hashpartitioning(key#" in line for line in dealt) and not any("hashpartitioning(query_id#" in line and ", key#" in line for line in dealt)
     assert not any("hashpartitioning(term#" in line and "salt" in line for line in dealt) and any("WindowGroupLimit" in line and "Partial" in line for line in lines)
+
+
+def test_a_pool_is_searched_once(spark):
+    """The pool to rerank is a search over the whole index: it runs once."""
+    index = LexicalIndex(spark).build(_formed(spark, [(1, "cuti tahunan"), (2, "gaji pokok")]), "k", "t", forms=True)
+    questions = _formed(spark, [(1, "cuti tahunan"), (2, "gaji")]).toDF("query_id", "words")
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    pool = spark.createDataFrame([(q, k) for q in (1, 2) for k in (1, 2)], "query_id long, key long").coalesce(1).mapInArrow(counted, "query_id long, key long")
+    assert rerank.rerank_from_index(index, questions, pool).where("score > 0").count() == 2
+    assert ran.value == 4
