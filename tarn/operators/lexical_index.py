@@ -171,10 +171,12 @@ class LexicalIndex:
         path = self._new("journal")
         gone.distinct().write.parquet(f"{path}/gone")
         gone = self.spark.read.parquet(f"{path}/gone")
-        terms = [self.live(seen).join(gone, "key", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))]
-        lengths = [self.docs(seen).join(gone, "key", "left_semi").transform(self._lengths).select((-F.col("n")).alias("n"), (-F.col("total")).alias("total"))]
+        n = gone.count()
+        lost = F.broadcast(gone) if n <= BROADCAST_KEYS else gone
+        terms = [self.live(seen).join(lost, "key", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))]
+        lengths = [self.docs(seen).join(lost, "key", "left_semi").transform(self._lengths).select((-F.col("n")).alias("n"), (-F.col("total")).alias("total"))]
         if rows is not None:
-            self._write(_postings(rows, seen.forms), gone.count(), seen.buckets, seen.blocks, f"{path}/new")
+            self._write(_postings(rows, seen.forms), n, seen.buckets, seen.blocks, f"{path}/new")
             terms.append(self.spark.read.parquet(f"{path}/new/terms").select("term", "df"))
             new = self.spark.read.schema(StructType.fromJson(seen.schema)).parquet(f"{path}/new/postings")
             lengths.append(new.where(F.col("bucket") == DOCS).transform(self._lengths))
@@ -229,7 +231,7 @@ class LexicalIndex:
         if seen.journal:
             gone = [self.spark.read.parquet(f"{p}/gone").withColumn("gone", F.lit(i)) for i, p in enumerate(seen.journal, 1)]
             last = reduce(DataFrame.union, gone).groupBy("key").agg(F.max("gone").alias("gone"))
-            found = found.join(last, "key", "left").where("gone IS NULL OR gone <= entry").drop("gone")
+            found = found.join(F.broadcast(last) if last.count() <= BROADCAST_KEYS else last, "key", "left").where("gone IS NULL OR gone <= entry").drop("gone")
         return found.drop("entry")
 
     def blocks(self, seen: State | None = None) -> DataFrame:
@@ -363,8 +365,8 @@ class LexicalIndex:
 SLACK = 1e-6
 
 
-#: Up to so many terms of queries are broadcast to postings; more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
+#: Up to so many terms of queries are broadcast to postings, and up to so many keys that are gone; more are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_KEYS = 500_000, 1_000_000
 
 
 def few(asked: DataFrame) -> bool:

@@ -162,3 +162,16 @@ def test_a_pool_is_searched_once(spark):
     pool = spark.createDataFrame([(q, k) for q in (1, 2) for k in (1, 2)], "query_id long, key long").coalesce(1).mapInArrow(counted, "query_id long, key long")
     assert rerank.rerank_from_index(index, questions, pool).where("score > 0").count() == 2
     assert ran.value == 4
+
+
+def test_keys_that_are_gone_are_broadcast(spark, tmp_path):
+    """Postings are not shuffled to meet the keys that are gone, whatever Spark thinks of their size."""
+    index = LexicalIndex(spark, str(tmp_path / "index")).build(_docs(spark, [(i, "a", "cuti") for i in range(6)]), "k", "t", ["f"])
+    index.remove(spark.createDataFrame([(i,) for i in range(3)], "k long"), "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alive = index.live()
+        assert sorted(r.key for r in alive.collect()) == [3, 4, 5]
+        assert "BroadcastHashJoin" in _plan(alive) and "SortMergeJoin" not in _plan(alive)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
