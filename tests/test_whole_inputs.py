@@ -3,7 +3,10 @@
 import contextlib
 import datetime
 import hashlib
+import io
 import math
+import tracemalloc
+import zipfile
 from collections import defaultdict
 
 import duckdb
@@ -18,7 +21,7 @@ from tarn.operators import context, lexical_index, search
 from tarn.operators.tables import exact_sum
 from tarn.plans import catalogue, q_formats
 from tarn.session import BATCH_BYTES, BATCH_ROWS
-from tarn.sources import reader, sheets
+from tarn.sources import archive, parsers, reader, sheets
 
 
 @pytest.fixture
@@ -236,3 +239,34 @@ def test_a_cell_is_numeric_whether_its_number_is_at_hand_or_not(spark):
     rows = spark.createDataFrame([(c,) for c in cells], "c string").withColumn("number", parse_number(F.col("c")))
     for r in rows.select("c", is_numeric_cell(F.col("c")).alias("alone"), is_numeric_cell(F.col("c"), F.col("number")).alias("beside")).collect():
         assert r.alone is r.beside, r.c
+
+
+def _workbook(sheet):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    return out.getvalue()
+
+
+def test_pages_of_a_workbook_hold_no_tree_of_a_sheet():
+    """What a page takes beside its own text does not grow with a sheet's rows, and its edges are printed all the same."""
+    n, edges = 20_000, "<headerFooter><oddHeader>&amp;LKop &amp;P</oddHeader><oddFooter>Kaki</oddFooter></headerFooter>"
+    rows = "".join(f"<row r='{i}'><c r='A{i}'><v>{i}</v></c></row>" for i in range(1, n + 1))
+    made = _workbook(f"<x:worksheet xmlns:x='urn:x'><sheetData>{rows}</sheetData>{edges}</x:worksheet>")
+    tracemalloc.start()
+    parser, pages = parsers.parse("a.xlsx", made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (parser, pages) == ("xlsx", [(1, "\n".join(["sheet1", *(f"baris {i}: A={i}" for i in range(1, n + 1)), "Header cetak: Kop", "Footer cetak: Kaki"]))])
+    assert peak < 8 * len(pages[0][1])
+
+
+@pytest.mark.parametrize("over", range(-9, 2))
+def test_a_sheet_that_declares_entities_is_refused_wherever_it_does(over):
+    """Sheets are searched in pieces; the sign may begin before a piece's end and go on in the next."""
+    head = "<w><sheetData><row><c><v>1</v></c></row></sheetData>"
+    sheet = head + "x" * (archive.PIECE + over - len(head) - len("<![CDATA[")) + "<![CDATA[{}]]></w>"
+    assert sheet.index("{}") == archive.PIECE + over
+    assert parsers.parse("a.xlsx", _workbook(sheet.format("<!ENTIT")))[1] == [(1, "sheet1\nbaris 1: A=1")]
+    with pytest.raises(parsers.Unreadable, match="declares entities"):
+        parsers.parse("a.xlsx", _workbook(sheet.format("<!ENTITY")))
