@@ -3,9 +3,11 @@
 Postings lie in buckets by a hash of the term, sorted by term inside each file,
 so a search opens the buckets of its terms and skips row groups by statistics.
 A document's own row (its lengths) lies in a bucket apart, written in the same
-pass.  Document frequencies are kept beside them, and for each block of keys and
-term the largest frequency and the least length: no document of the block can
-score more with that term, so a search for the best few skips whole blocks.
+pass.  On their way there postings are packed, thousands to a row, so that what
+is shuffled is smaller than what is stored.  Document frequencies are kept
+beside them.  A document's key puts it in a block; the largest frequency and the
+least length that a block has of a term bound what its documents can score with
+that term, so a search for the best few skips whole blocks.
 
 An index of forms (``forms``) takes key words, stems each, and files a document
 under every form of its words, with their places, so that nearness and phrases
@@ -23,7 +25,8 @@ from __future__ import annotations
 import contextlib
 import json
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,6 +47,8 @@ BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 200_000, 2_000_000, 4096
 DOC_POSTINGS, BLOCK_DOCS = 150, 64
 #: Postings that a Python worker hands on at once.
 SLICE_POSTINGS = 50_000
+#: Bytes of postings that are packed at once, a row for each part that they are dealt to, and postings that a part holds about.
+PACK_BYTES, PART_POSTINGS = 24 << 20, 750_000
 #: Journal entries before an index is compacted.
 MOST_ENTRIES = 64
 #: The bucket of documents' own rows.
@@ -122,19 +127,17 @@ class LexicalIndex:
 
     # ---- writing
 
-    def _write(self, postings: DataFrame, docs: int, buckets: int, blocks: int, path: str) -> dict:
+    def _write(self, made: Made, docs: int, buckets: int, blocks: int, path: str) -> dict:
         """Write postings and documents' rows in one pass, then what is told by counting terms."""
+        small_batches(self.spark)
         bucket = F.when(F.col("term").isNull(), DOCS).otherwise(_bucket(F.col("term"), buckets))
-        rows = postings.withColumns({"bucket": bucket, "block": _block(F.col("key"), blocks)})
         spread = max(1, math.ceil(docs * DOC_POSTINGS / FILE_ROWS / buckets))
-        parts = min((buckets + 1) * spread, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4))
-        dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("key"), F.lit(spread)))
-        dealt.sortWithinPartitions("bucket", "term", "block", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
+        parts = min((buckets + 1) * spread, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs * DOC_POSTINGS / PART_POSTINGS)))
+        rows = _dealt(made, buckets, spread, parts).withColumns({"bucket": bucket, "block": _block(F.col("key"), blocks)})
+        rows.sortWithinPartitions("bucket", "term", "block", "key").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         written = self.spark.read.schema(rows.schema).parquet(f"{path}/postings")
-        best = written.where(F.col("bucket") != DOCS).groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        best.sortWithinPartitions("bucket", "term", "block").write.parquet(f"{path}/blocks")
-        told = self.spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-        told.sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
+        told = written.where(F.col("bucket") != DOCS).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        told.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").parquet(f"{path}/terms")
         return json.loads(rows.schema.json())
 
     def _lengths(self, docs: DataFrame) -> DataFrame:
@@ -143,18 +146,18 @@ class LexicalIndex:
     def _new(self, kind: str) -> str:
         return f"{self.root}/{kind}-{scratch_path(self.spark, 'x').rsplit('-', 1)[-1]}"
 
-    def _base(self, postings: DataFrame, docs: int, forms: bool, seen: State) -> None:
+    def _base(self, made: Made, docs: int, forms: bool, seen: State) -> None:
         path = self._new("base")
         buckets = 2 ** max(0, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, docs * DOC_POSTINGS / BUCKET_ROWS)))))
         blocks = max(1, math.ceil(docs / BLOCK_DOCS))
-        schema = self._write(postings, docs, buckets, blocks, path)
+        schema = self._write(made, docs, buckets, blocks, path)
         self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{path}/postings").where(F.col("bucket") == DOCS).transform(self._lengths).write.parquet(f"{path}/lengths")
         self._commit(seen, {"kind": "base", "path": path, "buckets": buckets, "blocks": blocks, "forms": forms, "schema": schema})
 
     def build(self, docs: DataFrame, key: str, tokens: str, fields: list[str] | None = None, forms: bool = False) -> LexicalIndex:
         """Write the base of all ``docs``. ``forms``: ``tokens`` are key words, and every form of a word is filed, with its places."""
         rows = _rows(docs, key, tokens, fields or [])
-        self._base(_postings(rows, forms), docs.count(), forms, self.state())
+        self._base(_made(rows, forms), docs.count(), forms, self.state())
         return self
 
     def upsert(self, docs: DataFrame, key: str, tokens: str, fields: list[str] | None = None) -> None:
@@ -176,7 +179,7 @@ class LexicalIndex:
         terms = [self.live(seen).join(lost, "key", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))]
         lengths = [self.docs(seen).join(lost, "key", "left_semi").transform(self._lengths).select((-F.col("n")).alias("n"), (-F.col("total")).alias("total"))]
         if rows is not None:
-            self._write(_postings(rows, seen.forms), n, seen.buckets, seen.blocks, f"{path}/new")
+            self._write(_made(rows, seen.forms), n, seen.buckets, seen.blocks, f"{path}/new")
             terms.append(self.spark.read.parquet(f"{path}/new/terms").select("term", "df"))
             new = self.spark.read.schema(StructType.fromJson(seen.schema)).parquet(f"{path}/new/postings")
             lengths.append(new.where(F.col("bucket") == DOCS).transform(self._lengths))
@@ -191,7 +194,8 @@ class LexicalIndex:
         """Write what is alive as a new base; StaleIndex if the index changed meanwhile. What no reader of the new state needs is left to :meth:`vacuum`."""
         seen = self.state()
         n = self.lengths(seen).first().n or 0
-        self._base(self._alive(seen).drop("bucket", "block"), n, seen.forms, seen)
+        alive = self._alive(seen).drop("bucket", "block")
+        self._base(Made(alive, iter, alive.schema), n, seen.forms, seen)
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete folders that only states before the last ``keep`` bases refer to, and their commits; the paths deleted. Readers of an older state must be done."""
@@ -222,8 +226,8 @@ class LexicalIndex:
         """(key, dl, words) of all documents, those without tokens too."""
         return self._alive(seen or self.state(), F.col("bucket") == DOCS).select("key", "dl", "words")
 
-    def _alive(self, seen: State, wanted: Column | None = None, what: str = "postings") -> DataFrame:
-        folders = [f"{seen.base}/{what}", *(f"{p}/new/{what}" for p in seen.journal)]
+    def _alive(self, seen: State, wanted: Column | None = None) -> DataFrame:
+        folders = [f"{seen.base}/postings", *(f"{p}/new/postings" for p in seen.journal)]
         held = [(i, f) for i, f in enumerate(folders) if exists(self.spark, f)]
         reader = self.spark.read.schema(StructType.fromJson(seen.schema))
         rows = [reader.parquet(f).where(F.lit(True) if wanted is None else wanted).withColumn("entry", F.lit(i)) for i, f in held]
@@ -234,13 +238,6 @@ class LexicalIndex:
             found = found.join(F.broadcast(last) if last.count() <= BROADCAST_KEYS else last, "key", "left").where("gone IS NULL OR gone <= entry").drop("gone")
         return found.drop("entry")
 
-    def blocks(self, seen: State | None = None) -> DataFrame:
-        """(term, block, n, max_tf, min_dl) over base and journal: what is gone may still count, so bounds hold but may be loose."""
-        seen = seen or self.state()
-        held = [f for f in (f"{seen.base}/blocks", *(f"{p}/new/blocks" for p in seen.journal)) if exists(self.spark, f)]
-        rows = [self.spark.read.parquet(f).drop("bucket") for f in held]
-        return rows[0] if len(rows) == 1 else reduce(DataFrame.union, rows).groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-
     def lengths(self, seen: State | None = None) -> DataFrame:
         """One row (n, total): documents and their tokens."""
         seen = seen or self.state()
@@ -315,7 +312,7 @@ class LexicalIndex:
         """
         seen = self.state()
         asked = self._weighted(queries, seen)
-        bounds = materialize(self._bounds(asked, seen), "block-bounds")
+        bounds = materialize(self._bounds(asked, seen, within), "block-bounds")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
         first = materialize(bounds.withColumn("place", place).where(F.col("place") <= top_k).select("query_id", "block"), "blocks-first")
         scored = materialize(self._scored(asked, first, seen, within), "scores-first")
@@ -336,11 +333,12 @@ class LexicalIndex:
         known = queries.join(self.frequencies(seen), "term")
         return materialize(known.select("query_id", "term", idf(F.lit(n), F.col("df")).alias("idf"), F.lit(average).alias("average"), "df"), "weighted-terms")
 
-    def _bounds(self, asked: DataFrame, seen: State) -> DataFrame:
+    def _bounds(self, asked: DataFrame, seen: State, within: Column | None = None) -> DataFrame:
         """(query_id, block, bound): the most that a document of the block may score."""
         side = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.first("idf").alias("idf"), F.first("average").alias("average"))
-        dealt = asked_only(self.blocks(seen), asked).repartition("block")  # all terms of a block in one task: its bounds need no shuffle
-        met = dealt.join(F.broadcast(side) if few(asked) else side, "term")
+        dealt = asked_only(self._shown(seen, within).select("term", "block", "tf", "dl"), asked).repartition("block")  # all terms of a block in one task: its bounds need no other shuffle
+        best = dealt.groupBy("block", "term").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        met = best.join(F.broadcast(side) if few(asked) else side, "term")
         part = bm25_term(F.col("max_tf"), F.col("min_dl"), F.col("average"), F.col("idf")).alias("part")
         return met.select("block", part, F.explode("asks").alias("query_id")).groupBy("query_id", "block").agg(F.sum("part").alias("bound"))
 
@@ -349,10 +347,15 @@ class LexicalIndex:
 
         The postings of asked terms meet the list of queries that need their
         block; a block's documents are scored where they meet, without another shuffle.
+        Of blocks that no query needs nothing is shuffled, and a task holds about
+        ``TASK_PAIRS`` pairs of a document and a query.
         """
         side = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.first("idf").alias("idf"), F.first("average").alias("average"))
         need = needed.groupBy("block").agg(F.collect_set("query_id").alias("need"))
-        rows = asked_only(self._shown(seen, within).select("key", "term", "block", "tf", "dl"), asked).repartition("block")
+        parts = max(self.spark.sparkContext.defaultParallelism, math.ceil(needed.count() * BLOCK_DOCS / TASK_PAIRS))
+        rows = asked_only(self._shown(seen, within).select("key", "term", "block", "tf", "dl"), asked)
+        blocks = needed.select("block").distinct()
+        rows = rows.join(F.broadcast(blocks) if seen.blocks <= BROADCAST_KEYS else blocks, "block", "left_semi").repartition(min(parts, MOST_BUCKETS), "block")
         held = rows.groupBy("block", "term").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("docs"))  # a block has about BLOCK_DOCS
         met = held.join(need, "block").join(F.broadcast(side) if few(asked) else side, "term").withColumn("asks", F.array_intersect("asks", "need")).where(F.size("asks") > 0)
         each = met.select("block", "idf", "average", "asks", F.explode("docs").alias("d"))
@@ -384,8 +387,6 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def bucket_of(term: str, buckets: int) -> int:
-    import zlib
-
     return zlib.crc32(term.encode()) % buckets
 
 
@@ -393,8 +394,17 @@ def _rows(docs: DataFrame, key: str, tokens: str, fields: list[str]) -> DataFram
     return docs.select(F.col(key).alias("key"), *fields, F.array_compact(F.coalesce(F.col(tokens), F.array().cast("array<string>"))).alias("tokens"))
 
 
-def _postings(rows: DataFrame, forms: bool) -> DataFrame:
-    """(key, fields, dl, words, term, tf, places): a row for each term of a document, and one without term for the document itself.
+@dataclass
+class Made:
+    """Rows, how batches of them become postings, and the schema of those: (key, fields, dl, words, term, tf, places)."""
+
+    rows: DataFrame
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+    schema: StructType | str
+
+
+def _made(rows: DataFrame, forms: bool) -> Made:
+    """A posting for each term of a document, and one without term for the document itself.
 
     Documents are independent, so nothing is shuffled.  ``dl`` is what all
     ``tf`` add up to; ``words`` is how many tokens there are.  A batch is
@@ -408,8 +418,87 @@ def _postings(rows: DataFrame, forms: bool) -> DataFrame:
         for batch in batches:
             yield from _counted(batch, forms)
 
+    return Made(rows.select("key", *fields, "tokens"), run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
+
+
+def _postings(rows: DataFrame, forms: bool) -> DataFrame:
+    """(key, fields, dl, words, term, tf, places), as they are made."""
+    made = _made(rows, forms)
     small_batches(rows.sparkSession)
-    return rows.select("key", *fields, "tokens").mapInArrow(run, f"{kinds}, dl int, words int, term string, tf int" + (", places array<int>" if forms else ""))
+    return made.rows.mapInArrow(made.run, made.schema)
+
+
+def _dealt(made: Made, buckets: int, spread: int, parts: int) -> DataFrame:
+    """The postings in ``parts`` partitions, those of a bucket in ``spread`` of them at most; what is shuffled is packed."""
+
+    run = made.run
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(run(batches)):
+            yield _packed(held, buckets, spread, parts)
+
+    return made.rows.mapInArrow(pack, "part int, postings binary").repartitionById(parts, F.col("part")).mapInArrow(_unpacked, made.schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about ``PACK_BYTES`` together, in one list that is used again: who takes it may empty it."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        del batch
+        if n >= PACK_BYTES:
+            yield held
+            held.clear()
+            n = 0
+    if held:
+        yield held
+
+
+def _packed(held: list[pa.RecordBatch], buckets: int, spread: int, parts: int) -> pa.RecordBatch:
+    """(part, postings): for each part that gets any its postings in one value, compressed, with a dictionary of their terms. ``held`` is emptied."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    terms, code = _coded(table, "term")
+    bucket = np.array([DOCS if t is None else bucket_of(t, buckets) for t in terms], np.int64)[code]
+    keys, key = _coded(table, "key") if spread > 1 else ([0], 0)
+    part = ((bucket - DOCS) * spread + np.array([zlib.crc32(repr(k).encode()) % spread for k in keys], np.int64)[key]) % parts
+    order = np.argsort(part, kind="stable")  # a document's postings stay together
+    table, part = table.take(pa.array(order)), part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    at, packs = table.schema.get_field_index("term"), []
+    for start, end in zip(starts, np.append(starts[1:], len(part)), strict=True):
+        mine = table.slice(start, end - start)
+        mine = mine.set_column(at, "term", mine["term"].dictionary_encode())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(mine)
+        packs.append(sink.getvalue().to_pybytes())
+    del table, mine
+    pa.default_memory_pool().release_unused()
+    return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(packs, pa.binary())], names=["part", "postings"])
+
+
+def _coded(table: pa.Table, column: str) -> tuple[list, np.ndarray]:
+    """The values of a column, each once, and the number of each row's; null is a value."""
+    coded = table[column].combine_chunks().dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of packs, in slices."""
+    held, n = [], 0
+    for batch in batches:
+        for pack in batch.column("postings"):
+            table = pa.ipc.open_stream(pack.as_buffer()).read_all()
+            at = table.schema.get_field_index("term")
+            held.append(table.set_column(at, "term", table["term"].cast(pa.string())))
+            n += table.num_rows
+            if n >= SLICE_POSTINGS:
+                yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=SLICE_POSTINGS)
+                held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=SLICE_POSTINGS)
 
 
 def _counted(batch: pa.RecordBatch, forms: bool) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,11 @@ import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import rerank, search
+from tarn.operators import lexical_index, rerank, search
 from tarn.operators.lexical_index import LexicalIndex, StaleIndex, bucket_of
 
 TERMS = ["cuti", "gaji", "w3", "absent"]
@@ -175,3 +176,69 @@ def test_keys_that_are_gone_are_broadcast(spark, tmp_path):
         assert "BroadcastHashJoin" in _plan(alive) and "SortMergeJoin" not in _plan(alive)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _shuffled(spark, run):
+    """(bytes, rows) that what ``run`` does writes to shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = gateway.jvm.java.util.ArrayList()
+        found = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i) for i in range(found.size())}
+
+    before = stages()
+    run()
+    new = [s for k, s in stages().items() if k not in before]
+    return sum(s.shuffleWriteBytes() for s in new), sum(s.shuffleWriteRecords() for s in new)
+
+
+def test_postings_are_shuffled_and_stored_packed(spark, tmp_path):
+    """A build shuffles far fewer rows than it has postings, a few bytes for each, and stores each once."""
+    words = [F.concat(F.lit("menguji" if i % 3 else "kata"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(4000))) for i in range(60)]
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("k"), (F.col("id") % 5 == 4).alias("f"), F.array(words).alias("t"))
+    index = LexicalIndex(spark, str(tmp_path / "index"))
+    size, rows = _shuffled(spark, lambda: index.build(docs, "k", "t", ["f"], forms=True))
+    postings = index.live().count()
+    assert postings > 150_000 and rows < postings / 4 and size < 14 * postings
+    assert sorted(f for f in os.listdir(index.state().base)) == ["lengths", "postings", "terms"]
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+def test_packs_hold_every_posting(spread, monkeypatch):
+    """What is packed, dealt and unpacked is what was there: documents without terms, null fields, places, and one bucket in a few parts at most."""
+    monkeypatch.setattr(lexical_index, "SLICE_POSTINGS", 70)
+    monkeypatch.setattr(lexical_index, "PACK_BYTES", 4000)
+    batches = [pa.RecordBatch.from_pydict({"key": [f"k{b}-{i}" for i in range(9)], "f": [None, b, 2] * 3, "tokens": pa.array([[], *[[f"w{i * b % 7}", "é", "mengajukan", f"x{i}"] * b for i in range(8)]], pa.list_(pa.string()))}) for b in range(6)]
+    made = [p for b in batches for p in lexical_index._counted(b, True)]
+    packs = [lexical_index._packed(held, 8, spread, 5) for held in lexical_index._gathered(iter(made))]
+    assert len(packs) > 1 and {p for b in packs for p in b["part"].to_pylist()} <= set(range(5))
+    got = list(lexical_index._unpacked(iter(packs)))
+    assert max(b.num_rows for b in got) <= 70 and got[0].schema.equals(made[0].schema)
+    rows = lambda found: sorted((r["key"], str(r["term"]), str(r)) for b in found for r in b.to_pylist())
+    assert rows(got) == rows(made)
+    where = {}
+    for part, pack in ((p, k) for b in packs for p, k in zip(b["part"].to_pylist(), b["postings"], strict=True)):
+        for term in pa.ipc.open_stream(pack.as_buffer()).read_all()["term"].to_pylist():
+            where.setdefault(-1 if term is None else bucket_of(term, 8), set()).add(part)
+    assert len(where) > 5 and max(map(len, where.values())) == spread
+    assert list(lexical_index._gathered(iter([]))) == [] and list(lexical_index._unpacked(iter([]))) == []
+
+
+def test_only_needed_blocks_are_shuffled(spark, tmp_path):
+    """Scoring deals the postings of blocks that a query needs; bounds know what is shown and what is gone."""
+    docs = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("f"), F.array_repeat(F.lit("cuti"), 1 + (F.col("id") % 4).cast("int")).alias("t"))
+    index = LexicalIndex(spark, str(tmp_path / "index")).build(docs, "k", "t", ["f"])
+    seen = index.state()
+    asked = index._weighted(spark.createDataFrame([(1, "cuti"), (2, "cuti")], "query_id int, term string"), seen)
+    needed = spark.createDataFrame([(1, 0), (2, 3)], "query_id int, block int")
+    held = {r.block: r["count"] for r in index.live(seen).groupBy("block").count().collect()}
+    scored = index._scored(asked, needed, seen, None)
+    assert scored.groupBy("query_id").count().orderBy("query_id").collect() == [(1, held[0]), (2, held[3])]
+    assert _shuffled(spark, scored.collect)[1] < 0.2 * 3000
+    bound = lambda within=None: index._bounds(asked, index.state(), within).agg(F.max("bound")).first()[0]
+    whole = bound()
+    assert bound(F.col("f") == "a") < whole  # k % 4 = 3 is not shown
+    index.remove(docs.where("k % 4 = 3").select("k"), "k")
+    assert bound() < whole
