@@ -55,8 +55,8 @@ MOST_ENTRIES = 64
 DOCS = -1
 #: Queries that are scored at once; more go block by block.
 BLOCK_QUERIES = 10_000
-#: Pairs of a document and a query that a task adds scores up for about.
-TASK_PAIRS = 1_000_000
+#: Pairs of a document and a query that a task adds scores up for about, and postings that it groups by block.
+TASK_PAIRS, TASK_POSTINGS = 1_000_000, 500_000
 
 
 class StaleIndex(RuntimeError):
@@ -330,7 +330,8 @@ class LexicalIndex:
         """(query_id, term, idf, average, df) of the terms that any document has, written."""
         sizes = self.lengths(seen).first()
         n, average = sizes.n or 0, (sizes.total or 0) / max(1, sizes.n or 0)
-        known = queries.join(self.frequencies(seen), "term")
+        queries = materialize(queries.select("query_id", "term"), "queries")
+        known = self.frequencies(seen).join(F.broadcast(queries) if few(queries) else queries, "term")
         return materialize(known.select("query_id", "term", idf(F.lit(n), F.col("df")).alias("idf"), F.lit(average).alias("average"), "df"), "weighted-terms")
 
     def _bounds(self, asked: DataFrame, seen: State, within: Column | None = None) -> DataFrame:
@@ -348,16 +349,18 @@ class LexicalIndex:
         The postings of asked terms meet the list of queries that need their
         block; a block's documents are scored where they meet, without another shuffle.
         Of blocks that no query needs nothing is shuffled, and a task holds about
-        ``TASK_PAIRS`` pairs of a document and a query.
+        ``TASK_POSTINGS`` postings and ``TASK_PAIRS`` pairs of a document and a query.
         """
         side = asked.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.first("idf").alias("idf"), F.first("average").alias("average"))
         need = needed.groupBy("block").agg(F.collect_set("query_id").alias("need"))
-        parts = max(self.spark.sparkContext.defaultParallelism, math.ceil(needed.count() * BLOCK_DOCS / TASK_PAIRS))
+        pairs, held = needed.agg(F.count("*"), F.countDistinct("block")).first()
+        postings = (asked.select("term", "df").distinct().agg(F.sum("df")).first()[0] or 0) * min(1, held / seen.blocks)
+        parts = max(self.spark.sparkContext.defaultParallelism, math.ceil(pairs * BLOCK_DOCS / TASK_PAIRS), math.ceil(postings / TASK_POSTINGS))
         rows = asked_only(self._shown(seen, within).select("key", "term", "block", "tf", "dl"), asked)
         blocks = needed.select("block").distinct()
         rows = rows.join(F.broadcast(blocks) if seen.blocks <= BROADCAST_KEYS else blocks, "block", "left_semi").repartition(min(parts, MOST_BUCKETS), "block")
-        held = rows.groupBy("block", "term").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("docs"))  # a block has about BLOCK_DOCS
-        met = held.join(need, "block").join(F.broadcast(side) if few(asked) else side, "term").withColumn("asks", F.array_intersect("asks", "need")).where(F.size("asks") > 0)
+        docs = rows.groupBy("block", "term").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("docs"))  # a block has about BLOCK_DOCS
+        met = docs.join(need, "block").join(F.broadcast(side) if few(asked) else side, "term").withColumn("asks", F.array_intersect("asks", "need")).where(F.size("asks") > 0)
         each = met.select("block", "idf", "average", "asks", F.explode("docs").alias("d"))
         part = bm25_term(F.col("d.tf"), F.col("d.dl"), F.col("average"), F.col("idf")).alias("part")
         scored = each.select("block", F.col("d.key").alias("key"), part, F.explode("asks").alias("query_id")).groupBy("block", "query_id", "key").agg(F.sum("part").alias("score"))

@@ -226,7 +226,7 @@ def test_packs_hold_every_posting(spread, monkeypatch):
     assert list(lexical_index._gathered(iter([]))) == [] and list(lexical_index._unpacked(iter([]))) == []
 
 
-def test_only_needed_blocks_are_shuffled(spark, tmp_path):
+def test_only_needed_blocks_are_shuffled(spark, tmp_path, monkeypatch):
     """Scoring deals the postings of blocks that a query needs; bounds know what is shown and what is gone."""
     docs = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("f"), F.array_repeat(F.lit("cuti"), 1 + (F.col("id") % 4).cast("int")).alias("t"))
     index = LexicalIndex(spark, str(tmp_path / "index")).build(docs, "k", "t", ["f"])
@@ -237,6 +237,9 @@ def test_only_needed_blocks_are_shuffled(spark, tmp_path):
     scored = index._scored(asked, needed, seen, None)
     assert scored.groupBy("query_id").count().orderBy("query_id").collect() == [(1, held[0]), (2, held[3])]
     assert _shuffled(spark, scored.collect)[1] < 0.2 * 3000
+    monkeypatch.setattr(lexical_index, "TASK_POSTINGS", 100)
+    every = index._scored(asked, index.live(seen).selectExpr("1 AS query_id", "block").distinct(), seen, None)
+    assert "Exchange hashpartitioning(block#" in _plan(every) and f", {3000 // 100}), REPARTITION_BY_NUM" in _plan(every)
     bound = lambda within=None: index._bounds(asked, index.state(), within).agg(F.max("bound")).first()[0]
     whole = bound()
     assert bound(F.col("f") == "a") < whole  # k % 4 = 3 is not shown
